@@ -30,11 +30,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
     first = keep(df.select(size.alias("_size"), prefix.alias("_prefix")), "dedup-prefix")
     lengths = first.groupBy("_size").count().filter("count > 1").select("_size")
-    keys = (
-        first.join(lengths, "_size", "left_semi")
-        .groupBy("_size", "_prefix").count().filter("count > 1")
-        .select("_size", "_prefix", F.lit(True).alias("_twice"))
-    )
+    # Counted before they meet the lengths: a length or prefix of a third of all rows is then one row per task.
+    prefixes = first.groupBy("_size", "_prefix").count().filter("count > 1")
+    keys = prefixes.join(lengths, "_size", "left_semi").select("_size", "_prefix", F.lit(True).alias("_twice"))
     keys = keep(keys, "dedup-keys")
     small = keys.count() * KEY_BYTES <= BROADCAST_BYTES
 
