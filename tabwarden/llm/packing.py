@@ -11,13 +11,18 @@ the number of lengths as well; pieces find their place by their rank among those
 from __future__ import annotations
 
 import bisect
+import gc
 import math
+import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,19 +32,32 @@ from .common import keep, map_batches, slices
 CAPACITY, GROUPS, LARGE = 2048, 400, 1 / 3
 #: Id put after each document.
 END_ID = 0
-#: Words whose ids a task remembers.
+#: Parts of texts whose ids a worker remembers.
 REMEMBER = 400_000
+#: Bytes of text that are encoded together.
+SLICE = 16_000_000
 #: Rounds of column generation; it stops by itself where no configuration improves on those it has.
 ROUNDS = 2000
 #: Rows of one length that one task ranks, about.
 RANKED = 20_000
 
 
+@cache
+def plain_words() -> re.Pattern:
+    """How the tokenizer cuts lower-case text below U+0300, where normal forms and letter case are simple (fixed rule)."""
+    low = [chr(i) for i in range(0x300)]
+    of = lambda kind: "".join(map(re.escape, (c for c in low if unicodedata.category(c)[0] == kind)))
+    letter, number, space = of("L"), of("N"), "".join(map(re.escape, "\t\n\v\f\r \x85\xa0"))
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
+
+
 class Encoder:
-    """Ids of whole texts by a word-level tokenizer file, remembering words.
+    """Ids of whole texts by a word-level tokenizer file, remembering the parts of texts it has seen.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its parts between spaces and
-    line ends, in turn.
+    line ends, in turn. New parts are cut into the tokenizer's words, and the new words encoded together: each
+    word's last token bears the end mark, which tells the words' ids apart. Parts with characters from U+0300 on, or that
+    might hold a special token, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -48,20 +66,69 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known = {}
-        known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            raw, start = ids.tobytes(), 0
+            for w, stop in zip(some, stops, strict=True):
+                self.words[w] = raw[start:stop]
+                start = stop
+
+    def learn(self, parts: set[str]) -> None:
+        plain, cuts, new = plain_words(), [], set()
+        for p in parts:
+            if p in self.before:
+                self.known[p] = self.before[p]
+            elif not p:
+                self.known[p] = b""
+            elif max(p) < "\u0300" and "<|" not in p:
+                own = plain.findall(p.lower())
+                cuts.append((p, own))
+                new.update(w for w in own if w not in self.words)
+            else:
+                self.known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        self.learn_words(list(new))
+        for p, own in cuts:
+            self.known[p] = self.words[own[0]] if len(own) == 1 else b"".join(map(self.words.__getitem__, own))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in turn, as little-endian unsigned 32 bits, and where each text's begin, with the end at last."""
+        if len(self.known) > REMEMBER:  # the parts seen lately stay at hand
+            self.before, self.known = self.known, {}
+        if len(self.words) > 2 * REMEMBER:
+            self.words = {}
+        lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        parts, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        collecting = gc.isenabled()
+        gc.disable()  # many short lists and no cycles
+        self.learn({p for p in parts if p not in self.known})
+        if collecting:
+            gc.enable()
+        ids = [self.known[p] for p in parts]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.concatenate([[0], np.cumsum(length)])
+        own = length[of]
+        stop = np.concatenate([[0], np.cumsum(own)])
+        where = np.repeat(begin[of] - stop[:-1], own) + np.arange(stop[-1])
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        return np.frombuffer(b"".join(ids), "<u4")[where], stop[bounds]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One per Python worker, for all its tasks."""
+    return Encoder(path)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -72,11 +139,12 @@ def cut(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_col: str =
     last = np.array([END_ID], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
-        for part in slices(batches, "text"):
+        encode = encoder(tokenizer)
+        for part in slices(batches, "text", SLICE):
             ids, piece, start, length, crc = [], [], [], [], []
-            for doc, raw in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
-                raw += last
+            tokens, bounds = encode(part.column(1))
+            for doc, a, b in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                raw = tokens[a:b].tobytes() + last
                 for n, at in enumerate(range(0, len(raw), 4 * capacity)):
                     own = raw[at : at + 4 * capacity]
                     ids.append(doc)
