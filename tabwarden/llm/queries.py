@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP9_SQL, op9_chat_format
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op10_language_id
+from .near_dedup import op6_near_dedup
 from .packing import op2_best_fit_packing
 from .pii import op5_pii
 from .topk import OP1_SQL, op1_exact_top_k
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_pii": op5_pii,
+    "op6_near_dedup": op6_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
