@@ -46,6 +46,11 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df with a broadcast hint if its counted rows, of row_bytes each, stay within the bound; else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     see_package(df.sparkSession)
     return df.mapInArrow(work, schema)
