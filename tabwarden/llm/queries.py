@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP9_SQL, op9_chat_format
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op10_language_id
+from .license_scan import OP4_SQL, op4_license_scan
 from .near_dedup import op6_near_dedup
 from .packing import op2_best_fit_packing
 from .pii import op5_pii
@@ -13,6 +14,7 @@ from .topk import OP1_SQL, op1_exact_top_k
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_license_scan": op4_license_scan,
     "op5_pii": op5_pii,
     "op6_near_dedup": op6_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
@@ -22,6 +24,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_top_k": OP1_SQL,
+    "op4_license_scan": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_chat_format": OP9_SQL,
 }
