@@ -3,12 +3,16 @@
 Only DataFrame functions, and no shuffle: a document is judged where it lies. Its units are the whole text, its paragraphs
 and its lines. A unit of m bigrams can reach a Dice coefficient t with a template of n only if m t <= (2 - t) n and
 n t <= (2 - t) m, so units outside every template's bounds are dropped by their word count alone, before any bigram is
-made, and the others meet just the templates whose bounds they keep.
+made, and the others meet just the templates whose bounds they keep. A text without any of a few anchor words that each
+match must hold is not cut into units at all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,6 +138,29 @@ def templates(texts: dict[str, str]) -> list[tuple[str, list[str]]]:
     return sorted((name, numbered(normalised(text))) for name, text in texts.items())
 
 
+def anchors(known: list[tuple[str, list[str]]], similarity: float) -> list[str]:
+    """Few words of which every text that can match some template holds at least one.
+
+    A match shares at least n t / (2 - t) of a template's n bigrams, so it has one of any `need` of them. Words are chosen
+    greedily until those `need` bigrams of each template hold a chosen word.
+    """
+    left = {name: len(b) - math.ceil(len(b) * similarity / (2 - similarity) - 1e-9) + 1 for name, b in known}
+    open_pairs = {name: [x.split()[:2] for x in b] for name, b in known}
+    out: list[str] = []
+    while any(n > 0 for n in left.values()):
+        worth: dict[str, int] = {}
+        for name, pairs in open_pairs.items():
+            if left[name] > 0:
+                for word in {w for p in pairs for w in p}:
+                    worth[word] = worth.get(word, 0) + min(left[name], sum(word in p for p in pairs))
+        word = max(worth, key=lambda w: (len(w) > 4, worth[w] * len(w) ** 2, w))  # long words are rare ones
+        out.append(word)
+        for name, pairs in open_pairs.items():
+            left[name] -= sum(word in p for p in pairs)
+            open_pairs[name] = [p for p in pairs if word not in p]
+    return out
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value worked out once although `use` names it within inner functions."""
     return F.transform(F.array(value), use)[0]
@@ -151,23 +178,26 @@ def numbered_bigrams(words: Column) -> Column:
 def license_scan(
     df: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, texts: dict[str, str] | None = None
 ) -> DataFrame:
-    """doc_id, n_units, n_candidates, matches (array of unit, license, dice), license, dice; one row per input row.
+    """doc_id, matches (array of unit, license, dice), license, dice; one row per input row.
 
     Words are runs of letters and digits of the lower-cased text; units are the whole text (`text`), its paragraphs, where
     blank lines part them (`paragraph`), and its lines (`line`). matches: for each unit the template of the greatest Dice
     coefficient of at least `similarity`, ties to the name that sorts first, in the order whole, paragraphs, lines.
-    license and dice: the best of them, ties to the name that sorts first; null where there is none. n_units counts units
-    with a word, n_candidates those within some template's size bounds. A null or empty text has no units. Repeated rows
-    and null ids are rows like others, other columns are ignored, an empty table gives an empty result.
+    license and dice: the best of them, ties to the name that sorts first; null where there is none. A null or empty text
+    has no units. Repeated rows and null ids are rows like others, other columns are ignored, an empty table gives an empty
+    result.
     """
-    known = templates(TEMPLATES if texts is None else texts)
+    known = [x for x in templates(TEMPLATES if texts is None else texts) if x[1]]
+    telling = anchors(known, similarity)
+    tells = lambda c: reduce(or_, [c.contains(w) for w in telling])
     ratio = (2 - similarity) / similarity
     table = F.array(*[
         F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("b")) for name, b in known
     ])
     low, high = min(len(b) for _, b in known) / ratio, max(len(b) for _, b in known) * ratio
 
-    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+    low_case = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    plain = F.when(tells(low_case), F.regexp_replace(low_case, r"[^\p{L}\p{N}\n]+", " "))
     flat = lambda c: F.trim(F.translate(c, "\n", " "))
     unit = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), flat(t).alias("said"))
     units = F.filter(
@@ -175,7 +205,7 @@ def license_scan(
             F.array(unit("text")("_plain")), F.transform(F.split("_plain", r"\n *\n[ \n]*"), unit("paragraph")),
             F.transform(F.split("_plain", "\n"), unit("line")),
         ),
-        lambda u: u["said"] != "",
+        lambda u: tells(u["said"]),
     )
     words = lambda u: F.split(u["said"], " +")
     cut = F.filter(
@@ -195,14 +225,12 @@ def license_scan(
     kept = F.filter(found, lambda m: m["top"]["low"] <= -similarity)
     out = (
         df.select(F.col(id_col).cast("long").alias("doc_id"), plain.alias("_plain"))
-        .select("doc_id", units.alias("_units")).select("doc_id", F.size("_units").cast("long").alias("n_units"), cut.alias("_cut"))
-        .select("doc_id", "n_units", F.size("_cut").cast("long").alias("n_candidates"), pairs.alias("_pairs"))
-        .select("doc_id", "n_units", "n_candidates", kept.alias("_kept"))
+        .select("doc_id", F.when(F.col("_plain").isNotNull(), units).alias("_units")).select("doc_id", cut.alias("_cut"))
+        .select("doc_id", pairs.alias("_pairs")).select("doc_id", F.coalesce(kept, F.array()).alias("_kept"))
     )
     first = F.array_min("_kept.top")
     return out.select(
-        "doc_id", "n_units", "n_candidates",
-        F.transform("_kept", lambda m: F.struct(m["unit"].alias("unit"), m["top"]["name"].alias("license"), (-m["top"]["low"]).alias("dice"))).alias("matches"),
+        "doc_id", F.transform("_kept", lambda m: F.struct(m["unit"].alias("unit"), m["top"]["name"].alias("license"), (-m["top"]["low"]).alias("dice"))).alias("matches"),
         first["name"].alias("license"), (-first["low"]).alias("dice"),
     )
 
@@ -213,7 +241,7 @@ def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     found = license_scan(table(spark, sf_dir, "documents"))
     names = F.array_sort(F.array_distinct("matches.license"))
     return found.select(
-        "doc_id", "n_units", "n_candidates", F.size("matches").cast("long").alias("n_matches"),
+        "doc_id", F.size("matches").cast("long").alias("n_matches"),
         F.array_join(names, ",").alias("licenses"), "license", F.round("dice", 6).alias("dice"),
     )
 
@@ -249,8 +277,7 @@ top AS (SELECT i, r, name, d FROM dice JOIN cand USING (i) WHERE d >= {similarit
 docs AS (
   SELECT r, count(*) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, arg_min(name, (-d, name)) AS license, max(d) AS dice FROM top GROUP BY r
 )
-SELECT doc_id, (SELECT count(*) FROM units u WHERE u.r = p.r) AS n_units, (SELECT count(*) FROM cand c WHERE c.r = p.r) AS n_candidates,
-  coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, license, round(dice, 6) AS dice
+SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, license, round(dice, 6) AS dice
 FROM plain p LEFT JOIN docs USING (r)
 """
 
