@@ -6,17 +6,21 @@ from .chat_format import OP9_SQL, op9_chat_format
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op10_language_id
 from .license_scan import OP4_SQL, op4_license_scan
+from .lm_scoring import op7_lm_scoring
 from .near_dedup import op6_near_dedup
 from .packing import op2_best_fit_packing
 from .pii import op5_pii
+from .sentencepiece_codec import op3_sentencepiece
 from .topk import OP1_SQL, op1_exact_top_k
 
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_license_scan": op4_license_scan,
     "op5_pii": op5_pii,
     "op6_near_dedup": op6_near_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
