@@ -1,28 +1,71 @@
-"""Corpus pipeline: language ID, exact dedup, near dedup, personal data, packing."""
+"""Corpus pipeline: language ID, exact dedup, near dedup, personal data, packing.
+
+Every stage but the last returns the columns of documents (doc_id, text, lang, source, n_chars) and works on all that the
+one before it kept. Rows are told apart by doc_id; where it repeats or is null, the rows that share it are kept or go
+together. Each stage is written as Parquet and read again as the next one's input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabwarden.llm.common import keep, see_package
 from tabwarden.llm.exact_dedup import exact_dedup
+from tabwarden.llm.langid import fit, held_out, identify
+from tabwarden.llm.near_dedup import near_dedup
+from tabwarden.llm.packing import pack_documents
+from tabwarden.llm.pii import find_pii
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among those of `kept`; null ids count as equal."""
+    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi").select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told stay; those that the identifier rejects go. Learns from the same training rows as the query."""
+    see_package(spark)
+    found = identify(docs, fit(docs, ~held_out()))
+    return only(docs, found.filter(~F.col("rejected")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    see_package(spark)
+    return only(docs, exact_dedup(docs).filter("kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    see_package(spark)
+    return only(docs, near_dedup(docs).filter("kept"))
+
+
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in brackets; n_chars follows the text. Every document stays, a null text null."""
+    see_package(spark)
+    found = find_pii(docs.select("doc_id", "text", "lang", "source", "n_chars"), redact=True, carry=["lang", "source", "n_chars"], keep_null=True)
+    text = F.col("redacted")
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of every document: its place in the packed sequences."""
+    see_package(spark)
+    return pack_documents(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("pii", personal), ("packing", packed)]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

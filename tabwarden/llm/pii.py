@@ -355,12 +355,15 @@ def said(spans: list[tuple[int, int, int]]) -> str:
 SPANS = "doc_id long, base string, spans string, n_email long, n_ip long, n_card long, n_phone long, n_added long, redacted string"
 
 
-def find_pii(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", redact: bool = False) -> DataFrame:
+def find_pii(
+    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", redact: bool = False, carry: list[str] | None = None, keep_null: bool = False
+) -> DataFrame:
     """One row per input row: doc_id, base and all spans as text, counts of base spans by kind, n_added, redacted text.
 
     Offsets count code points, end exclusive. A null text counts as empty. `redacted` has each span replaced by its
-    kind in brackets where `redact` is set (overlapping spans as one, by the first's kind), and is null otherwise. Null ids
-    and repeated rows are rows like others; other columns are ignored.
+    kind in brackets where `redact` is set (overlapping spans as one, by the first's kind), and is null otherwise; with
+    `keep_null` a null text is redacted to null. Null ids and repeated rows are rows like others; the columns of `carry`
+    follow behind, unchanged, and other columns are ignored.
     """
     model = field()
 
@@ -372,13 +375,16 @@ def find_pii(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", reda
             for k, name in enumerate(KINDS):
                 out[f"n_{name}"] = [sum(s[0] == k for s in b) for b, _ in found]
             out["n_added"] = [len(m) for _, m in found]
-            out["redacted"] = [redacted(t, b + m) if redact else None for t, (b, m) in zip(texts, found)]
+            gone = part.column(1).is_null().to_pylist() if keep_null else [False] * len(texts)
+            out["redacted"] = [redacted(t, b + m) if redact and not g else None for t, (b, m), g in zip(texts, found, gone)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *[pa.array(out[n], pa.string() if n in ("base", "spans", "redacted") else pa.int64()) for n in out]], ["doc_id", *out]
+                [part.column(0), *[pa.array(out[n], pa.string() if n in ("base", "spans", "redacted") else pa.int64()) for n in out], *part.columns[2:]],
+                ["doc_id", *out, *carry],
             )
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, work, SPANS)
+    carry = carry or []
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    return map_batches(rows, work, ", ".join([SPANS, *(f"`{c}` {dict(df.dtypes)[c]}" for c in carry)]))
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
