@@ -42,16 +42,16 @@ def macro_roc(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
     """(by, fpr, tpr): the mean over classes of their curves at every false positive rate of any class, between points by line.
 
     Rates and rows meet in one sort: the last point of the class at or before a rate and the first at or after it are taken
-    from running windows. A vertical part of a curve counts with its top.
+    from running windows. At a vertical part of a curve its top counts, and a line from the left ends at its foot.
     """
-    points = roc(one_against_rest(scored, k, by), [*by, "class"]).groupBy(*by, "class", "fpr").agg(F.max("tpr").alias("tpr"))
+    points = roc(one_against_rest(scored, k, by), [*by, "class"]).groupBy(*by, "class", "fpr").agg(F.max("tpr").alias("top"), F.min("tpr").alias("foot"))
     rates = points.select(*by, "fpr").distinct()
     grid = rates.join(points.select(*by, "class").distinct(), by).join(points, [*by, "class", "fpr"], "left")
     up = Window.partitionBy(*by, "class").orderBy("fpr").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*by, "class").orderBy("fpr").rowsBetween(0, Window.unboundedFollowing)
-    own = F.when(F.col("tpr").isNotNull(), F.struct("fpr", "tpr"))
+    own = F.when(F.col("top").isNotNull(), F.struct("fpr", "top", "foot"))
     near = grid.select(*by, "class", "fpr", F.last(own, ignorenulls=True).over(up).alias("a"), F.first(own, ignorenulls=True).over(down).alias("b"))
-    between = F.col("a.tpr") + F.coalesce(ratio((F.col("b.tpr") - F.col("a.tpr")) * (F.col("fpr") - F.col("a.fpr")), F.col("b.fpr") - F.col("a.fpr")), F.lit(0.0))
+    between = F.col("a.top") + F.coalesce(ratio((F.col("b.foot") - F.col("a.top")) * (F.col("fpr") - F.col("a.fpr")), F.col("b.fpr") - F.col("a.fpr")), F.lit(0.0))
     return near.select(*by, "fpr", between.alias("t")).groupBy(*by, "fpr").agg(F.avg("t").alias("tpr"))
 
 

@@ -125,12 +125,12 @@ def ap(by: str, source: str) -> str:
 
 
 MACRO_AUC = f"""cu AS ({cum('model, class', 'ovr')}), pt AS (
-  SELECT model, class, fp / N::DOUBLE AS fpr, max(tp / P::DOUBLE) AS tpr FROM cu GROUP BY ALL
-  UNION SELECT DISTINCT model, class, 0::DOUBLE, 0::DOUBLE FROM cu WHERE NOT EXISTS (SELECT 1 FROM cu z WHERE z.model = cu.model AND z.class = cu.class AND z.fp = 0)
+  SELECT model, class, fp / N::DOUBLE AS fpr, max(tp / P::DOUBLE) AS tpr, min(tp / P::DOUBLE) AS foot FROM cu GROUP BY ALL
+  UNION SELECT DISTINCT model, class, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM cu WHERE NOT EXISTS (SELECT 1 FROM cu z WHERE z.model = cu.model AND z.class = cu.class AND z.fp = 0)
 ), xs AS (SELECT DISTINCT model, fpr FROM pt), gr AS (
   SELECT xs.model, xs.fpr, c.class FROM xs JOIN (SELECT DISTINCT model, class FROM pt) c ON c.model = xs.model
 ), lo AS (SELECT gr.model, gr.class, gr.fpr, pt.fpr AS x0, pt.tpr AS y0 FROM gr ASOF JOIN pt ON pt.model = gr.model AND pt.class = gr.class AND gr.fpr >= pt.fpr
-), hi AS (SELECT gr.model, gr.class, gr.fpr, pt.fpr AS x1, pt.tpr AS y1 FROM gr ASOF JOIN pt ON pt.model = gr.model AND pt.class = gr.class AND gr.fpr <= pt.fpr
+), hi AS (SELECT gr.model, gr.class, gr.fpr, pt.fpr AS x1, pt.foot AS y1 FROM gr ASOF JOIN pt ON pt.model = gr.model AND pt.class = gr.class AND gr.fpr <= pt.fpr
 ), me AS (
   SELECT model, fpr, avg(CASE WHEN x1 = x0 THEN y0 ELSE y0 + (y1 - y0) * (fpr - x0) / (x1 - x0) END) AS tpr FROM lo JOIN hi USING (model, class, fpr) GROUP BY model, fpr
 ), ma AS (SELECT model, sum(w) AS auc FROM (
