@@ -29,13 +29,15 @@ from .common import map_batches, slices
 #: Fixed values of the format: the mark that stands for a space, and what an unknown id decodes to.
 SPACE, UNKNOWN_TEXT = "▁", " ⁇ "
 #: Words and pairs of pieces that a worker remembers.
-REMEMBER, PAIRS = 400_000, 2_000_000
+REMEMBER, PAIRS = 600_000, 2_000_000
 #: Characters of new words indexed at once; a longer word is indexed alone.
 INDEXED = 400_000
 #: Characters of text encoded at once.
 SLICE = 8_000_000
-#: Edges' names: of the null character (negated), and of what stands before a word.
-NUL, BEGIN = 1 << 22, 1 << 40
+#: Edges' names: one character's code is added to CHAR; BEGIN stands before a word.
+CHAR, BEGIN = 1 << 21, 1 << 23
+#: Characters of words that are relaxed together, and a table of no pairs.
+TOGETHER, NO_PAIRS = 48, np.array([-1])
 #: Put between words before they are split; texts that hold it take a slower way.
 CUT = "\x1e"
 
@@ -174,8 +176,7 @@ class Codec:
         self.before: dict[str, bytes] = {}
         self.long_ids = [np.array([v.id[p]], "<u4").tobytes() for p in self.long]
         self.chars: dict[int, bytes] = {}
-        self.pairs: dict[int, dict[int, bool]] = {}
-        self.n_pairs = 0
+        self.pair, self.pair_fits = NO_PAIRS, np.zeros(1, bool)
 
     def char_ids(self, code: int) -> bytes:
         """Ids of one character: its own piece, or else its bytes."""
@@ -185,10 +186,10 @@ class Codec:
         return np.array(own, "<u4").tobytes()
 
     def text_of(self, edge: int) -> str:
-        return self.long[edge] if edge >= 0 else "\0" if edge == -NUL else chr(-edge)
+        return self.long[edge] if edge < CHAR else chr(edge - CHAR)
 
     def index(self, words: list[str]) -> None:
-        """Encode new words together. An edge is named by its piece's number, or by minus the code of its one character."""
+        """Encode new words together. An edge is named by its piece's number, or by CHAR and the code of its one character."""
         if not words:
             return
         text = "".join(words)
@@ -199,47 +200,73 @@ class Codec:
         codes[place] = chars + 1
         start, piece = self.matcher.edges(codes)
         start, end = np.concatenate([place, start]), np.concatenate([place + 1, start + self.matcher.size[piece]])
-        # The null character would be edge 0: a code of its own stands for it.
-        named = np.concatenate([-np.where(chars == 0, NUL, chars), piece])
-        by = np.argsort(start, kind="stable")
-        begins = (np.cumsum(sizes + 1) - sizes - 1).tolist()
-        last: list[int | None] = [None] * (len(codes) + 1)
-        came = [0] * (len(codes) + 1)
-        for b in begins:
-            last[b] = BEGIN
-        rows, suits, text_of, at, row = self.pairs, self.vocabulary.suits, self.text_of, -1, None
-        for s, e, k in zip(start[by].tolist(), end[by].tolist(), named[by].tolist()):
-            if last[e] is None:
-                if s != at:
-                    at = s
-                    row = rows.get(last[s])
-                    if row is None:
-                        row = rows[last[s]] = {}
-                fits = row.get(k)
-                if fits is None:
-                    fits = row[k] = last[s] == BEGIN or suits(text_of(last[s]), text_of(k))
-                    self.n_pairs += 1
-                if fits:
-                    last[e] = k
-                    came[e] = s
+        named = np.concatenate([CHAR + chars, piece])
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        last, came = self.relax(start, end, named, start - begins[np.searchsorted(begins, start, "right") - 1], begins, len(codes) + 1)
+        begins = begins.tolist()
         long_ids, char_ids = self.long_ids, self.chars
         for word, b, n in zip(words, begins, sizes.tolist()):
             chain, e = [], b + n
             while e > b:
                 k = last[e]
-                if k >= 0:
+                if k < CHAR:
                     chain.append(long_ids[k])
                 else:
                     own = char_ids.get(k)
                     if own is None:
-                        own = char_ids[k] = self.char_ids(0 if k == -NUL else -k)
+                        own = char_ids[k] = self.char_ids(k - CHAR)
                     chain.append(own)
                 e = came[e]
             chain.reverse()
             self.known[word] = b"".join(chain)
-        if self.n_pairs > PAIRS:
-            rows.clear()
-            self.n_pairs = 0
+
+    def relax(
+        self, start: np.ndarray, end: np.ndarray, named: np.ndarray, inside: np.ndarray, begins: np.ndarray, n: int
+    ) -> tuple[list[int], list[int]]:
+        """For each position the last edge of the encoding of its word up to there, and where that edge starts.
+
+        All words take a step at a time, by the edges' places inside them; what is left of long words goes edge by edge.
+        """
+        last, came = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        last[begins] = BEGIN
+        by = np.argsort(inside, kind="stable")
+        cuts = np.searchsorted(inside[by], np.arange(min(TOGETHER, int(inside.max(initial=0)) + 1) + 1))
+        for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            some = by[a:b]
+            some = some[last[end[some]] < 0]
+            if p:
+                some = some[self.fit(last[start[some]], named[some])]
+            last[end[some]] = named[some]
+            came[end[some]] = start[some]
+        tail = by[cuts[-1] :]
+        last, came = last.tolist(), came.tolist()
+        if len(tail):
+            tail = tail[np.argsort(start[tail], kind="stable")]
+            known: dict[tuple[int, int], bool] = {}
+            for s, e, k in zip(start[tail].tolist(), end[tail].tolist(), named[tail].tolist()):
+                if last[e] < 0:
+                    fits = known.get((last[s], k))
+                    if fits is None:
+                        fits = known[last[s], k] = bool(self.fit(np.array([last[s]]), np.array([k]))[0])
+                    if fits:
+                        last[e], came[e] = k, s
+        return last, came
+
+    def fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each pair of edges suits each other: looked up among the pairs known, new ones worked out."""
+        key = left * (1 << 22) + right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        new = np.unique(key[self.pair[at] != key])
+        if len(new):
+            if len(self.pair) > PAIRS:
+                self.pair, self.pair_fits = NO_PAIRS, np.zeros(1, bool)
+                new = np.unique(key)
+            text_of, suits = self.text_of, self.vocabulary.suits
+            fits = np.array([suits(text_of(k >> 22), text_of(k & ((1 << 22) - 1))) for k in new.tolist()], bool)
+            place = np.searchsorted(self.pair, new)
+            self.pair, self.pair_fits = np.insert(self.pair, place, new), np.insert(self.pair_fits, place, fits)
+            at = np.searchsorted(self.pair, key)
+        return self.pair_fits[at]
 
     def learn(self, words: list[str]) -> None:
         some, size = [], 0
