@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Least Dice coefficient of a match.
 SIMILARITY = 0.8
+#: Room for rounding where a size lies just on its bound.
+SLACK = 1e-6
 
 # --- licence templates: fixed values, public texts ---
 TEMPLATES = {
@@ -194,7 +196,7 @@ def license_scan(
     table = F.array(*[
         F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("b")) for name, b in known
     ])
-    low, high = min(len(b) for _, b in known) / ratio, max(len(b) for _, b in known) * ratio
+    low, high = min(len(b) for _, b in known) / ratio - SLACK, max(len(b) for _, b in known) * ratio + SLACK
 
     low_case = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     plain = F.when(tells(low_case), F.regexp_replace(low_case, r"[^\p{L}\p{N}\n]+", " "))
@@ -215,7 +217,7 @@ def license_scan(
     pairs = F.transform("_cut", lambda u: F.struct(u["kind"].alias("kind"), (F.size(u["w"]) - 1).alias("n"), numbered_bigrams(u["w"]).alias("b")))
 
     def best(u: Column) -> Column:
-        near = F.filter(table, lambda t: (u["n"] * F.lit(similarity) <= (2 - similarity) * t["n"]) & (t["n"] * F.lit(similarity) <= (2 - similarity) * u["n"]))
+        near = F.filter(table, lambda t: (u["n"] * F.lit(similarity) <= (2 - similarity) * t["n"] + SLACK) & (t["n"] * F.lit(similarity) <= (2 - similarity) * u["n"] + SLACK))
         scored = F.transform(near, lambda t: F.struct(
             (F.lit(-2.0) * F.size(F.array_intersect(t["b"], u["b"])) / (t["n"] + u["n"])).alias("low"), t["name"].alias("name")
         ))
@@ -251,7 +253,7 @@ def oracle(similarity: float = SIMILARITY) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ",\n".join(f"({quote(name)}, {quote(' '.join(normalised(text)))})" for name, text in sorted(TEMPLATES.items()))
     sizes = [len(b) for _, b in templates(TEMPLATES)]
-    low, high = min(sizes) * similarity / (2 - similarity), max(sizes) * (2 - similarity) / similarity
+    low, high = min(sizes) * similarity / (2 - similarity) - SLACK, max(sizes) * (2 - similarity) / similarity + SLACK
     return rf"""
 WITH plain AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS p FROM documents
