@@ -54,9 +54,12 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of every document: its place in the packed sequences."""
+    """A row for each piece of every document: its place in the packed sequences.
+
+    Workers that have served the stages before have less memory to spare, so they remember fewer words.
+    """
     see_package(spark)
-    return pack_documents(docs)
+    return pack_documents(docs, remember=100_000)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("pii", personal), ("packing", packed)]

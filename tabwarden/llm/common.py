@@ -52,8 +52,14 @@ def small_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(work); a worker gives memory it no longer needs back after each task, since others share its limit."""
     see_package(df.sparkSession)
-    return df.mapInArrow(work, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -60,7 +60,7 @@ class Encoder:
     might hold a special token, go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,6 +70,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.remember = remember
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -103,9 +104,9 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, as little-endian unsigned 32 bits, and where each text's begin, with the end at last."""
-        if len(self.known) > REMEMBER:  # the parts seen lately stay at hand
+        if len(self.known) > self.remember:  # the parts seen lately stay at hand
             self.before, self.known = self.known, {}
-        if len(self.words) > 2 * REMEMBER:
+        if len(self.words) > 2 * self.remember:
             self.words = {}
         lists = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
@@ -126,20 +127,22 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: int = REMEMBER) -> Encoder:
     """One per Python worker, for all its tasks."""
-    return Encoder(path)
+    return Encoder(path, remember)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def cut(
+    df: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id", remember: int = REMEMBER
+) -> DataFrame:
     """The pieces of each document: its ids and END_ID, cut into lengths of `capacity`, the last one perhaps shorter."""
     last = np.array([END_ID], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, remember)
         for part in slices(batches, "text", SLICE):
             ids, piece, start, length, crc = [], [], [], [], []
             tokens, bounds = encode(part.column(1))
@@ -374,13 +377,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pack_documents(df: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack_documents(
+    df: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id", remember: int = REMEMBER
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece of every document.
 
     A null or empty text is the end id alone. Repeated rows are packed each. Other columns are ignored; an empty table
-    gives no sequences.
+    gives no sequences. `remember`: parts of texts whose ids a worker keeps at hand, which changes no result.
     """
-    return pack(keep(cut(df, tokenizer or tokenizer_path(), capacity, text_col, id_col), "pieces"), capacity)
+    return pack(keep(cut(df, tokenizer or tokenizer_path(), capacity, text_col, id_col, remember), "pieces"), capacity)
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
