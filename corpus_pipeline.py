@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwarden.llm.common import keep, see_package
+from tabwarden.llm.common import keep, see_package, small_broadcast
 from tabwarden.llm.exact_dedup import exact_dedup
 from tabwarden.llm.langid import fit, held_out, identify
 from tabwarden.llm.near_dedup import near_dedup
@@ -18,12 +18,14 @@ from tabwarden.llm.packing import pack_documents
 from tabwarden.llm.pii import find_pii
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of an id in a broadcast table, generously.
+ID_BYTES = 64
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among those of `kept`; null ids count as equal."""
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi").select(*COLUMNS)
+    """The rows of docs whose doc_id is among those of `kept`; null ids count as equal. Up to a bound the ids go to the texts."""
+    ids = keep(kept.select(F.col("doc_id").alias("_kept")).distinct(), "pipeline-kept")
+    return docs.join(small_broadcast(ids, ID_BYTES), docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +58,10 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of every document: its place in the packed sequences.
 
-    Workers that have served the stages before have less memory to spare, so they remember fewer words.
+    Workers that have served the stages before have less memory to spare, so they encode less text at once and remember fewer words.
     """
     see_package(spark)
-    return pack_documents(docs, remember=100_000)
+    return pack_documents(docs, remember=100_000, together=3_000_000)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("pii", personal), ("packing", packed)]

@@ -136,14 +136,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut(
-    df: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id", remember: int = REMEMBER
+    df: DataFrame, tokenizer: str, capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id", remember: int = REMEMBER, together: int = SLICE
 ) -> DataFrame:
     """The pieces of each document: its ids and END_ID, cut into lengths of `capacity`, the last one perhaps shorter."""
     last = np.array([END_ID], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, remember)
-        for part in slices(batches, "text", SLICE):
+        for part in slices(batches, "text", together):
             ids, piece, start, length, crc = [], [], [], [], []
             tokens, bounds = encode(part.column(1))
             for doc, a, b in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -378,14 +378,15 @@ def tokenizer_path() -> str:
 
 
 def pack_documents(
-    df: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id", remember: int = REMEMBER
+    df: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id", remember: int = REMEMBER, together: int = SLICE
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece of every document.
 
     A null or empty text is the end id alone. Repeated rows are packed each. Other columns are ignored; an empty table
-    gives no sequences. `remember`: parts of texts whose ids a worker keeps at hand, which changes no result.
+    gives no sequences. `remember`, parts of texts whose ids a worker keeps at hand,
+    and `together`, bytes of text that it encodes at once, change no result.
     """
-    return pack(keep(cut(df, tokenizer or tokenizer_path(), capacity, text_col, id_col, remember), "pieces"), capacity)
+    return pack(keep(cut(df, tokenizer or tokenizer_path(), capacity, text_col, id_col, remember, together), "pieces"), capacity)
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
