@@ -7,8 +7,9 @@ probability of their (weighted) Jaccard similarity.
 
 Equal word sequences are one node. Nodes that share a band meet in a bucket; a bucket is never expanded into its
 pairs: its members are compared with a pivot, and where they do not all prove connected, once more within the finer buckets
-that two bands make. Links are checked on whole shingle sets and joined to components by contraction; every step works
-on tables, keyed by hash, and nothing of the corpus reaches the driver.
+that two bands make. What a bucket then still holds apart is compared in full, block by block in numpy. Links are checked on
+whole shingle sets and joined to components by contraction; every step works on tables, keyed by hash, and nothing of the
+corpus reaches the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, map_batches, slices, small_broadcast
+from .common import keep, map_batches, see_package, slices, small_broadcast
 
 #: Words of a shingle and least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
@@ -31,6 +32,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Bytes of a row number and of a node in a broadcast table, generously.
 ROW_BYTES, NODE_BYTES = 32, 64
+#: Bytes of shingles in a block of a bucket that is compared in full, and of a bucket's row in a broadcast table.
+BLOCK_BYTES, KEY_BYTES = 2 << 20, 128
 #: Elements whose darts are thrown at once.
 THROWN = 200_000
 
@@ -218,11 +221,12 @@ def star_pairs(rows: DataFrame, both_ends: bool) -> DataFrame:
 
 
 def links(signed: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) of the nodes that links of `similarity` or more connect, from two rounds of stars.
+    """(node, root) of the nodes that links of `similarity` or more connect, from two rounds of stars and what they leave apart.
 
     First the members of each bucket are compared with one of them. Where a bucket's members are then not all connected, its
     members are dealt anew by pairs of such buckets: texts that are similar enough share two bands but once in 1,400 cases, and
-    far fewer others do. There each member is compared with one or two that it is not connected with.
+    far fewer others do. There each member is compared with one or two that it is not connected with. In buckets that are
+    still not connected, all members of different roots are compared, so every pair that shares a band is proved.
     """
     # One row stands for a node; rows are told apart by number, so that bands and shingles are not aggregated.
     stands = signed.filter("node is not null").groupBy("node").agg(F.min("_row").alias("_row"))
@@ -245,7 +249,108 @@ def links(signed: DataFrame, similarity: float) -> DataFrame:
     by_two = keep(own.select("node", "root", F.explode(twos).alias("key")), "near-two")
     pairs = star_pairs(by_two, True)
     second = keep(compared(pairs, sets, similarity), "near-pairs").filter(F.col("similarity") >= similarity)
-    return components(first.select("a", "b").unionByName(second.select("a", "b")))
+    labels = components(first.select("a", "b").unionByName(second.select("a", "b")))
+    merged = components(keep(rest(labelled(unclear.select("key", "node"), labels), sets, similarity), "near-rest"))
+    further = labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return further.unionByName(merged.join(labels.select("node"), "node", "left_anti").select("node", "root"))
+
+
+def elements(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle) of packed shingle sets, and the sets' sizes."""
+    raws = column.to_pylist()
+    size = np.array([len(x) // 5 for x in raws], np.int64)
+    wide = np.zeros((int(size.sum()), 8), np.uint8)
+    wide[:, :5] = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, 5)
+    return np.repeat(np.arange(len(raws)), size), wide.view("<u8").ravel(), size
+
+
+def similar(left: pa.Table, right: pa.Table | None, similarity: float) -> np.ndarray:
+    """(rows of left, rows of right, or of left again without it): whether their Jaccard similarity is `similarity` or more."""
+    row_a, h_a, size_a = elements(left["shingles"])
+    if right is None:
+        row_b, h_b, size_b = row_a, h_a, size_a
+        ids, times = np.unique(h_a, return_counts=True)
+        ids = ids[times > 1]
+    else:
+        row_b, h_b, size_b = elements(right["shingles"])
+        ids = np.intersect1d(h_a, h_b)
+
+    def placed(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(ids, h)
+        good = np.flatnonzero(ids[np.minimum(at, len(ids) - 1)] == h) if len(ids) else np.zeros(0, np.int64)
+        order = good[np.argsort(at[good], kind="stable")]
+        return row[order], at[order]
+
+    (row_a, at_a), (row_b, at_b) = placed(row_a, h_a), placed(row_b, h_b)
+    common = np.zeros((len(size_a), len(size_b)), np.float32)
+    wide = max(256, (4 << 20) // max(len(size_a), len(size_b)))
+    for begin in range(0, len(ids), wide):  # a bounded number of columns at a time
+        w = min(wide, len(ids) - begin)
+        grids = []
+        for row, at, n in ((row_a, at_a, len(size_a)), (row_b, at_b, len(size_b))):
+            x, y = np.searchsorted(at, [begin, begin + w])
+            grid = np.zeros((n, w), np.float32)
+            grid[row[x:y], at[x:y] - begin] = 1
+            grids.append(grid)
+        common += grids[0] @ grids[1].T
+    common = common.astype(np.float64)
+    return common / np.maximum(size_a[:, None] + size_b[None] - common, 1) >= similarity
+
+
+def rest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, root) -> (a, b): roots of members of a key that a link connects, one row for each two roots of a block.
+
+    A key's first pivot, its least node, has met all members. The others are dealt by hash into blocks of bounded bytes, those
+    of the commonest root apart from the others; each two blocks that can hold different roots meet in a task. Keys of one block
+    share tasks.
+    """
+    spark = rows.sparkSession
+    pivots = rows.groupBy("key").agg(F.min("node").alias("_pivot"))
+    left = rows.join(small_broadcast(pivots, KEY_BYTES), "key").filter("node <> _pivot").drop("_pivot")
+    left = keep(left.join(sets.select("node", F.octet_length("shingles").cast("long").alias("size")), "node"), "near-apart")
+    roots = left.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    keys = roots.groupBy("key").agg(F.max(F.struct("n", "root", "bytes")).alias("main"), F.sum("bytes").alias("bytes"), F.count("*").alias("n")).filter("n > 1")
+    single, blocks = F.col("bytes") <= BLOCK_BYTES, lambda b: F.ceil(b / BLOCK_BYTES).cast("long")
+    keys = keep(keys.select(
+        "key", single.alias("single"), F.col("main.root").alias("main"), F.when(single, 1).otherwise(blocks(F.col("bytes") - F.col("main.bytes"))).alias("q"),
+        F.when(single, 0).otherwise(blocks(F.col("main.bytes"))).alias("p"), "bytes",
+    ), "near-keys")
+    bins = 1 + (keys.filter("single").agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES
+    in_main, own = ~F.col("single") & (F.col("root") == F.col("main")), F.xxhash64("node")
+    dealt = left.join(small_broadcast(keys.drop("bytes"), KEY_BYTES), "key").withColumn(
+        "block", F.when(in_main, F.col("q") + F.pmod(own, F.greatest("p", F.lit(1)))).otherwise(F.pmod(own, F.col("q")))
+    ).select(
+        "key", "node", "root", "single", "block",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1 + F.when(in_main, 0).otherwise(F.col("p")))).alias("other"),
+    )
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    dealt = dealt.select("key", "node", "root", i.alias("i"), j.alias("j"), (F.col("block") == i).alias("low"), F.when(F.col("single"), F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.xxhash64("key", i, j)).alias("task"))
+    full = dealt.join(sets, "node").select("task", "key", "i", "j", "low", "root", "shingles")
+    see_package(spark)
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("low", "ascending")])
+        key, i, j, low = (table[c].to_numpy() for c in ("key", "i", "j", "low"))
+        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
+        names = table["root"].combine_chunks().dictionary_encode()
+        code, found = names.indices.to_numpy(), set()
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if i[a] == j[a]:
+                x = y = code[a:b]
+                hit = similar(table.slice(a, b - a), None, similarity)
+            else:
+                mid = a + int((~low[a:b].astype(bool)).sum())
+                if mid in (a, b):
+                    continue
+                x, y = code[mid:b], code[a:mid]
+                hit = similar(table.slice(mid, b - mid), table.slice(a, mid - a), similarity)
+            hit &= x[:, None] != y[None]
+            r, c = np.nonzero(hit)
+            found |= set(zip(np.minimum(x[r], y[c]).tolist(), np.maximum(x[r], y[c]).tolist()))
+        at = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pa.table({n: names.dictionary.take(pa.array(at[:, k])).cast(pa.binary()) for k, n in enumerate(("a", "b"))})
+
+    return full.groupBy("task").applyInArrow(work, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

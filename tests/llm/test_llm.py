@@ -104,6 +104,24 @@ def test_near_dedup_recall_over_a_large_group(spark):
     assert sizes[0] >= 148 and sizes[-1] == 1
 
 
+def test_near_dedup_finds_pairs_within_a_family_below_the_threshold(spark, monkeypatch):
+    from tabwarden.llm import near_dedup as near
+
+    core, texts = prose(354).split(), []
+    for pair in range(150):  # 0.81 within a pair, 0.75 to 0.79 with the rest of the family
+        both = [f"pair{pair}x{i}" for i in range(8)]
+        texts += [" ".join(core + both + [f"own{pair}y{k}z{i}" for i in range(36 + pair % 5)]) for k in range(2)]
+    sets = [shingles(t) for t in texts]
+    close = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    linked = {(a, b) for b in range(300) for a in range(b) if close(a, b) >= 0.8}
+    assert linked == {(2 * i, 2 * i + 1) for i in range(150)} and 0.75 <= close(0, 299) < 0.8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: i - i % 2 for i in range(300)}
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup(df).collect()} == want
+    monkeypatch.setattr(near, "BLOCK_BYTES", 40_000)  # so that buckets take several blocks
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup(df).collect()} == want
+
+
 def test_sentencepiece(spark, docs):
     import sentencepiece
 
