@@ -2,8 +2,8 @@
 
 One pass turns the texts into subword ids, which are stored; the others read the ids, and none shuffles texts. Counting: word
 counts by hash and subword counts over every training text, summed by Spark. Training: in each round every task fits its own copy of the model by Adam on
-its share of the training texts, and Spark averages the copies, weighted by what each has read; the share is a
-fixed part of the corpus, so what is learned from grows with it. Scoring: each text is cut into blocks; a block's queries
+its share of the round's texts, and Spark averages the copies, weighted by what each has read; every training text is read in
+exactly one round. Scoring: each text is cut into blocks; a block's queries
 look at the block before it and at its own past, so windows of two blocks overlap by one and each token is scored once.
 
 The model predicts the class of the next subword: frequent ids are classes of their own, others share classes by
@@ -29,8 +29,8 @@ from .common import crc_of_id, keep, map_batches, slices
 BLOCK, WIDTH, CLASSES, INPUTS = 16, 16, 128, 4096
 #: Classes of one id each; the rest are bands of ids with about equal counts.
 OWN = 95
-#: Rounds of training; a round reads one in SHARE training texts, chosen by hash. Blocks of a step, Adam's step size.
-ROUNDS, SHARE, STEP_BLOCKS, RATE = 2, 48, 192, 0.015
+#: Rounds of training, over which a hash deals the training texts. Blocks of a step, Adam's step size.
+ROUNDS, STEP_BLOCKS, RATE = 2, 192, 0.015
 #: Words whose counts may be broadcast (16 bytes each: 16 MB).
 FREQUENT = 1 << 20
 #: Words that a worker remembers, characters of text and bytes of ids handled at once.
@@ -319,8 +319,8 @@ def count(learned: DataFrame, path: str) -> DataFrame:
     return map_batches(learned.select("ids"), work, "kind int, key long, n long")
 
 
-def train(learned: DataFrame, path: str, layout: Layout, rounds: int = ROUNDS, share: int = SHARE) -> Attention:
-    """The model after `rounds` rounds of local training and averaging; round r reads the texts of remainder r of a hash."""
+def train(learned: DataFrame, path: str, layout: Layout, rounds: int = ROUNDS) -> Attention:
+    """The model after `rounds` rounds of local training and averaging; round r reads the texts whose hash mod `rounds` is r."""
     model = Attention(layout.bias)
     for r in range(rounds):
         start = model.flat()
@@ -340,7 +340,7 @@ def train(learned: DataFrame, path: str, layout: Layout, rounds: int = ROUNDS, s
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), float(seen)))], ["i", "x", "w"])
 
-        chosen = learned.filter(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(share)) == r).select("ids")
+        chosen = learned.filter(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(rounds)) == r).select("ids")
         summed = map_batches(chosen, work, "i long, x double, w double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x"))
         found = summed.toArrow()
         if found.num_rows:

@@ -319,6 +319,20 @@ def test_lm_scores(spark, docs):
     assert [(r["n_known"], r["train_tokens"]) for r in none] == [(0, 0)]
 
 
+def test_lm_trains_on_every_text_once(spark, docs, monkeypatch):
+    read, whole = [], lm.map_batches
+
+    def seen(df, work, schema):
+        if schema.startswith("i long, x double"):
+            read.append(df.count())
+        return whole(df, work, schema)
+
+    monkeypatch.setattr(lm, "map_batches", seen)
+    train_on = F.coalesce(F.col("doc_id") % 7 != 2, F.lit(False))
+    lm.lm_score(docs, train_on)
+    assert len(read) == lm.ROUNDS and sum(read) == docs.filter(train_on).count()
+
+
 def test_lm_frequent_and_other_words_agree(spark, docs, monkeypatch):
     few = lambda: sorted(((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in lm.lm_score(docs, F.col("doc_id") % 3 != 0).collect()), key=str)
     all_sent = few()
