@@ -1,8 +1,8 @@
 """Corpus pipeline: language ID, exact dedup, near dedup, personal data, packing.
 
 Every stage but the last returns the columns of documents (doc_id, text, lang, source, n_chars) and works on all that the
-one before it kept. Rows are told apart by doc_id; where it repeats or is null, the rows that share it are kept or go
-together. Each stage is written as Parquet and read again as the next one's input.
+one before it kept. A stage that drops rows stores its input with row numbers and decides by row, so rows that share a
+doc_id, or have none, are kept or go each by itself. Each stage is written as Parquet and read again as the next one's input.
 """
 
 from __future__ import annotations
@@ -18,33 +18,41 @@ from tabwarden.llm.packing import pack_documents
 from tabwarden.llm.pii import find_pii
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bytes of an id in a broadcast table, generously.
-ID_BYTES = 64
+#: The number of a row, and its bytes in a broadcast table, generously.
+NUMBER, NUMBER_BYTES = "row_number", 64
 
 
-def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among those of `kept`; null ids count as equal. Up to a bound the ids go to the texts."""
-    ids = keep(kept.select(F.col("doc_id").alias("_kept")).distinct(), "pipeline-kept")
-    return docs.join(small_broadcast(ids, ID_BYTES), docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi").select(*COLUMNS)
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, stored so that it stays."""
+    return keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(NUMBER)), "pipeline-rows")
+
+
+def only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The numbered rows whose numbers `kept` has. Up to a bound the numbers go to the texts."""
+    numbers = keep(kept.select(NUMBER), "pipeline-kept")
+    return rows.join(small_broadcast(numbers, NUMBER_BYTES), NUMBER, "left_semi").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told stay; those that the identifier rejects go. Learns from the same training rows as the query."""
     see_package(spark)
-    found = identify(docs, fit(docs, ~held_out()))
-    return only(docs, found.filter(~F.col("rejected")))
+    rows = numbered(docs)
+    found = identify(rows, fit(rows, ~held_out()), id_col=NUMBER)
+    return only(rows, found.filter(~F.col("rejected")).select(F.col("doc_id").alias(NUMBER)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
     see_package(spark)
-    return only(docs, exact_dedup(docs).filter("kept"))
+    rows = numbered(docs)
+    return only(rows, exact_dedup(rows, digests={NUMBER: F.col(NUMBER)}).filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
     see_package(spark)
-    return only(docs, near_dedup(docs).filter("kept"))
+    rows = numbered(docs)
+    return only(rows, near_dedup(rows, row_col=NUMBER).filter("kept"))
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,8 +129,9 @@ def shingles(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 SIGNED = "doc_id long, node binary, n_shingles int, bands array<long>, shingles binary"
 
 
-def sign(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Of each document: its node (a hash of its words, null where it has none), shingles and band keys."""
+def sign(df: DataFrame, text_col: str, id_col: str, row_col: str | None = None) -> DataFrame:
+    """Of each document: its node (a hash of its words, null where it has none), shingles and band keys, and the row number of row_col."""
+    given = [F.col(row_col).cast("long").alias("_row")] if row_col else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1_500_000):
@@ -158,9 +159,10 @@ def sign(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
                 part.column(0), pa.array(nodes, pa.binary()), pa.array(np.diff(stops).astype(np.int32)),
                 pa.array([k if b is not None else None for k, b in zip(keys.view(np.int64), nodes)], pa.list_(pa.int64())),
                 pa.array([(short[a:b] & U(0xFFFFFFFFFF)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for a, b in zip(stops[:-1], stops[1:])], pa.binary()),
-            ], ["doc_id", "node", "n_shingles", "bands", "shingles"])
+                *part.columns[2:],
+            ], ["doc_id", "node", "n_shingles", "bands", "shingles", *part.schema.names[2:]])
 
-    return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, SIGNED)
+    return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *given), work, SIGNED + ", _row long" * len(given))
 
 
 def unpacked(raw: bytes) -> np.ndarray:
@@ -373,14 +375,15 @@ def components(edges: DataFrame) -> DataFrame:
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, class_size, kept, n_shingles; one row per input row.
+def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, row_col: str | None = None) -> DataFrame:
+    """doc_id, class_id, class_size, kept, n_shingles and row_col, stored numbers of the rows, where given; one row per input row.
 
     A class is what links of similarity `similarity` or more connect; class_id is its least doc_id, and that document
     stays. Texts of equal words are one class at any length; a null text, or one without words, is alone. Repeated
     rows are one class, of which one row stays. Null ids come first. Other columns are ignored.
     """
-    signed = keep(sign(df, text_col, id_col).withColumn("_row", F.monotonically_increasing_id()), "near-signed")
+    signed = sign(df, text_col, id_col, row_col)
+    signed = keep(signed if row_col else signed.withColumn("_row", F.monotonically_increasing_id()), "near-signed")
     roots = links(signed, similarity)
     docs = signed.select("doc_id", "_row", "node", "n_shingles")
     placed = docs.join(roots, "node", "left").select("doc_id", "_row", "n_shingles", F.coalesce("root", "node").alias("root"))
@@ -391,7 +394,7 @@ def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", si
     return joined.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("_first.doc_id")).alias("class_id"),
         F.coalesce("_n", F.lit(1)).cast("long").alias("class_size"), (alone | (F.col("_first._row") == F.col("_row"))).alias("kept"),
-        F.col("n_shingles").cast("long").alias("n_shingles"),
+        F.col("n_shingles").cast("long").alias("n_shingles"), *([F.col("_row").alias(row_col)] if row_col else []),
     )
 
 

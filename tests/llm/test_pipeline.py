@@ -41,3 +41,13 @@ def test_stages(spark):
     assert {r["doc_id"] for r in done.collect()} == left
     assert corpus_pipeline.personal(spark, docs.filter(F.col("text").isNull()), "").first()["text"] is None
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "pii", "packing"]
+
+
+def test_repeated_rows_and_null_ids_through_run(spark, tmp_path):
+    words = "the house of many old trees stood near a quiet river where people came to rest in summer and winter".split()
+    texts = [" ".join(words[j % 19] + words[(j * i) % 17] for j in range(30)) for i in range(15)]
+    rows = [(None, texts[12])] * 3 + [(5, texts[12])] * 2 + [(7, texts[13])] * 2 + [(None, texts[14]), (None, "1234 5678")] + [(30 + i, texts[i]) for i in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(ids, key=str) == sorted([5, 7, None, *range(30, 42)], key=str)
