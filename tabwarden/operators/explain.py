@@ -39,8 +39,8 @@ def exact_shapley(df: DataFrame, key: str, features: list[str], predict, backgro
         raise ValueError(f"exact values take at most {MOST_FEATURES} features")
     rows = df.select(F.col(key).alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
     base = [list(r) for r in (df if background is None else background).select(*[F.col(f).cast("double") for f in features]).limit(TREE_ROWS).collect()]
-    others = F.array(*[F.array(*[F.lit(float(v)) for v in b]) for b in base])
-    mixed = rows.select("id", "x", F.explode(others).alias("b")).select("id", "x", "b", F.explode(F.sequence(F.lit(0), F.lit(2**d - 1))).alias("s"))
+    others = df.sparkSession.createDataFrame([([float(v) for v in b],) for b in base], "b array<double>")
+    mixed = rows.join(F.broadcast(others)).select("id", "x", "b", F.explode(F.sequence(F.lit(0), F.lit(2**d - 1))).alias("s"))
     hybrid = mixed.select("id", "x", "s", array_to_vector(F.transform("x", lambda v, i: F.when(F.get(binary("s", d), i) == 1, v).otherwise(F.get("b", i)))).alias("features"))
     worth = predict(hybrid).select("id", "x", "s", F.posexplode("p").alias("class", "p")).groupBy("id", "x", "class", "s").agg(F.avg("p").alias("v"))
     # A coalition's worth counts for its members with one sign and for the others with the other.

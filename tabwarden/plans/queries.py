@@ -141,7 +141,7 @@ def c2_davies_bouldin(spark, d):
 
 def chosen_by(how: str):
     def query(spark, d):
-        n, placed = clusters.choose_clusters(frames.embeddings(spark, d), FEATURES[:4], range(2, 5), how)
+        n, placed = clusters.choose_clusters(frames.embeddings(spark, d), FEATURES, by=how)
         return placed.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("clusters", F.lit(n))
 
     return query
@@ -328,7 +328,7 @@ def fitted(name: str):
 
 def t3_search(spark, d):
     ready = models.vectors(small(spark, d), FEATURES[:4], "t", ["id"])
-    best = models.search(ready, "id", models.REGISTRY["Logistic Regression"], 2, 4, "randomized", 2, 3)
+    best = models.search(ready, "id", models.REGISTRY["Logistic Regression"], 2, 4)
     return spark.createDataFrame([(n, str(v)) for n, v in sorted(best.items())], "parameter string, value string")
 
 
@@ -346,7 +346,7 @@ def x5_shapley(spark, d):
 
     rows = small(spark, d)
     model = RandomForestClassifier(seed=1, numTrees=5).fit(models.vectors(rows, FEATURES[:4], "t"))
-    few = prep.stratified_sample(rows, "t", "id", 10)
+    few = prep.stratified_sample(rows, "t", "id", explain.TREE_ROWS)
     return explain.exact_shapley(few, "id", FEATURES[:4], explain.probability(model))
 
 

@@ -147,3 +147,36 @@ def test_whole_run(spark, rows, tmp_path):
     for name in ("BiasAssessment/Train", "BiasAssessment/Test", "ClassProfile", "2_fold_results", "test_results", "Curves", "Models/Logistic_Regression", "Errors"):
         assert os.path.isdir(f"{out}/{name}"), name
     assert spark.read.parquet(f"{out}/test_results").first()["auc"] > 0.8
+
+
+def test_registered_queries_keep_the_operators_sizes(spark, monkeypatch):
+    """The queries choose, search and explain over all that the operators do by themselves."""
+    import inspect
+
+    from tabwarden.plans import frames, queries
+
+    class Asked(Exception):
+        pass
+
+    def asked(module, name, query):
+        own = getattr(module, name)
+
+        def told(*a, **b):
+            said = inspect.signature(own).bind(*a, **b)
+            said.apply_defaults()
+            raise Asked(said.arguments)
+
+        with monkeypatch.context() as m:
+            m.setattr(module, name, told)
+            with pytest.raises(Asked) as found:
+                queries.QUERIES[query](spark, "/root/testdata/sf0.001")
+        return found.value.args[0]
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    for query, by in (("c3_choose_clusters", "davies_bouldin"), ("c4_choose_silhouette", "silhouette")):
+        said = asked(clusters, "choose_clusters", query)
+        assert said["ks"] == range(2, 31) and said["features"] == frames.FEATURES and said["by"] == by
+    said = asked(models, "search", "t3_random_search")
+    assert said["most"] is None and said["folds"] == 3 and said["how"] == "randomized"
+    assert explain.TREE_ROWS in asked(prep, "stratified_sample", "x5_x6_exact_shapley").values()
