@@ -6,8 +6,8 @@ its share of the round's texts, and Spark averages the copies, weighted by what
 exactly one round. Scoring: each text is cut into blocks; a block's queries
 look at the block before it and at its own past, so windows of two blocks overlap by one and each token is scored once.
 
-The model predicts the class of the next subword: frequent ids are classes of their own, others share classes by
-frequency, and within a class the ids' counts over the corpus decide. The word counts of the base score meet the documents
+The model predicts the class of the next subword and, within the class, its leaf: nearly all ids in use are leaves of their own; rare
+ids share leaves, in which their counts over the corpus decide. The word counts of the base score meet the documents
 in two ways: those of the most frequent words, up to a fixed number, are broadcast; the others are joined by hash.
 """
 
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, keep, map_batches, slices
 
-#: Tokens of a block (a window is two blocks), width of the model, classes it predicts, ids with an input vector of their own.
-BLOCK, WIDTH, CLASSES, INPUTS = 16, 16, 128, 4096
-#: Classes of one id each; the rest are bands of ids with about equal counts.
-OWN = 95
+#: Tokens of a block (a window is two blocks), width of the model, ids with an input vector of their own.
+BLOCK, WIDTH, INPUTS = 16, 16, 4096
+#: Classes of ids, the last being the end of a text, leaves of a class, and how many of these are of one id each.
+CLASSES, LEAVES, OWN = 48, 48, 36
 #: Rounds of training, over which a hash deals the training texts. Blocks of a step, Adam's step size.
-ROUNDS, STEP_BLOCKS, RATE = 2, 192, 0.015
+ROUNDS, STEP_BLOCKS, RATE = 2, 224, 0.015
 #: Words whose counts may be broadcast (16 bytes each: 16 MB).
 FREQUENT = 1 << 20
 #: Words that a worker remembers, characters of text and bytes of ids handled at once.
@@ -145,62 +145,83 @@ def word_hashes(flat: np.ndarray, bounds: np.ndarray, spaced: np.ndarray) -> tup
 
 
 class Layout:
-    """How ids map to input vectors and to classes, from their counts over the corpus."""
+    """How ids map to input vectors, and to classes and leaves of classes, from their counts over the corpus.
 
-    def __init__(self, counts: np.ndarray):
+    Ids that begin a word and ids that go on with one are ordered by count apart, and cut into classes of about equal counts; in
+    a class the frequent ids are leaves of their own, the rest share leaves of about equal counts, where their counts decide.
+    """
+
+    def __init__(self, counts: np.ndarray, spaced: np.ndarray):
         n = len(counts)
         end = n - 1
         order = np.argsort(-counts[:end], kind="stable")
         self.input = np.full(n, 0, np.int64)
         self.input[order[: INPUTS - 3]] = np.arange(3, 3 + min(INPUTS - 3, end))  # 0: rare, 1: padding, 2: what begins a text
         self.input[end] = 2
-        self.of_class = np.zeros(n, np.int64)
-        self.of_class[order[:OWN]] = np.arange(min(OWN, end))
-        rest = order[OWN:]
-        mass = np.cumsum(counts[rest] + 1.0)
-        bands = CLASSES - OWN - 1
-        self.of_class[rest] = OWN + np.minimum((bands * mass / mass[-1]).astype(np.int64), bands - 1)
-        self.of_class[end] = CLASSES - 1
         smooth = counts + 1.0
-        total = np.bincount(self.of_class, weights=smooth, minlength=CLASSES)
-        self.within = np.log(smooth / total[self.of_class]).astype(np.float32)
+        order = np.concatenate([order[spaced[order]], order[~spaced[order]]])
+        self.target = np.full(n, (CLASSES - 1) * LEAVES, np.int64)
+        of_class = bands(smooth[order], CLASSES - 1)
+        for c in range(CLASSES - 1):
+            own = order[of_class == c]
+            own = own[np.argsort(-counts[own], kind="stable")]
+            self.target[own[:OWN]] = c * LEAVES + np.arange(min(OWN, len(own)))
+            self.target[own[OWN:]] = c * LEAVES + OWN + bands(smooth[own[OWN:]], LEAVES - OWN)
+        leaf = np.bincount(self.target, weights=smooth, minlength=CLASSES * LEAVES)
+        self.within = np.log(smooth / leaf[self.target]).astype(np.float32)
+        leaf = leaf.reshape(CLASSES, LEAVES)
+        total = leaf.sum(axis=1)
         self.bias = np.log(np.maximum(total, 1) / total.sum()).astype(np.float32)
+        self.leaf_bias = np.log(np.maximum(leaf, 1e-9) / np.maximum(total, 1)[:, None]).astype(np.float32)
 
-    def blocks(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Input symbols (blocks, 2 BLOCK), target classes (blocks, BLOCK) with -1 for padding, and of each id its block and place."""
+    def blocks(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Input symbols (blocks, 2 BLOCK) and targets (blocks, BLOCK), class * LEAVES + leaf, with -1 for padding."""
         length = np.diff(bounds)
         n = -(-length // BLOCK)
         first = np.concatenate([[0], np.cumsum(n)])
-        owner = np.repeat(np.arange(len(length)), length)
-        inside = np.arange(len(ids)) - bounds[:-1][owner]
-        flat = first[:-1][owner] * BLOCK + inside
+        inside = np.arange(len(ids)) - np.repeat(bounds[:-1], length)
+        flat = np.repeat(first[:-1] * BLOCK, length) + inside
         fed = np.full((first[-1] + 1) * BLOCK, 1, np.int64)
         target = np.full(first[-1] * BLOCK, -1, np.int64)
-        target[flat] = self.of_class[ids]
+        target[flat] = self.target[ids]
         own = self.input[ids]
         after = np.flatnonzero(inside > 0)
         fed[flat[after]] = own[after - 1]
-        fed[flat[inside == 0]] = 2
+        fed[flat[bounds[:-1][length > 0]]] = 2
         fed = fed.reshape(-1, BLOCK)
         before = np.arange(first[-1]) - 1
         before[first[:-1][n > 0]] = first[-1]  # the block of padding
-        return np.hstack([fed[before], fed[:-1]]), target.reshape(-1, BLOCK), flat // BLOCK, flat % BLOCK
+        return np.hstack([fed[before], fed[:-1]]), target.reshape(-1, BLOCK)
+
+
+def bands(weight: np.ndarray, n: int) -> np.ndarray:
+    """Of each element the band, 0 to n - 1, in which the middle of its weight lies; bands have about equal weights."""
+    mass = np.cumsum(weight)
+    return np.minimum((n * (mass - weight / 2) / mass[-1:]).astype(np.int64), n - 1)
 
 
 MASK = np.where(np.arange(2 * BLOCK)[None] <= BLOCK + np.arange(BLOCK)[:, None], 0, -1e9).astype(np.float32)
+#: Gradients below it count as it: numbers that float32 holds only in part make products many times slower.
+TINY = np.float32(1e-15)
+
+
+def summed(x: np.ndarray) -> np.ndarray:
+    """Sums of rows."""
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 class Attention:
-    """One causal self-attention layer with a residual path, and its gradient."""
+    """One causal self-attention layer with a residual path, and its gradient; it gives a class, and within the class a leaf."""
 
-    NAMES = ("embed", "q", "k", "v", "o", "near", "out", "bias")
+    NAMES = ("embed", "q", "k", "v", "o", "near", "out", "bias", "leaf", "leaf_bias")
 
-    def __init__(self, bias: np.ndarray):
+    def __init__(self, layout: Layout):
         draw = np.random.default_rng(7)
         d = WIDTH
         self.p = {
             "embed": draw.normal(0, 0.3, (INPUTS, d)), **{n: draw.normal(0, d**-0.5, (d, d)) for n in "qkvo"},
-            "near": np.zeros((BLOCK, 2 * BLOCK)), "out": draw.normal(0, 0.05, (d, CLASSES)), "bias": bias,
+            "near": np.zeros((BLOCK, 2 * BLOCK)), "out": draw.normal(0, 0.05, (d, CLASSES)), "bias": layout.bias,
+            "leaf": draw.normal(0, 0.05, (CLASSES, d, LEAVES)), "leaf_bias": layout.leaf_bias,
         }
         self.p = {n: x.astype(np.float32) for n, x in self.p.items()}
 
@@ -222,7 +243,8 @@ class Attention:
         return t
 
     def attend(self, fed: np.ndarray, tables: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-        q, k, v = tables["q"][fed[:, BLOCK:]], tables["k"][fed], tables["v"][fed]
+        own = fed[:, BLOCK:]
+        q, k, v = tables["q"].take(own, axis=0), tables["k"].take(fed, axis=0), tables["v"].take(fed, axis=0)
         weight = q @ k.transpose(0, 2, 1)
         weight += self.p["near"] + MASK
         if weight.max(initial=0) > 60:
@@ -231,50 +253,85 @@ class Attention:
         total = weight.sum(axis=2, keepdims=True)
         mixed = weight @ v
         mixed /= total
-        hidden = self.p["embed"][fed[:, BLOCK:]] + mixed @ self.p["o"]
-        logits = hidden.reshape(-1, WIDTH) @ self.p["out"]
+        hidden = self.p["embed"].take(own, axis=0) + mixed @ self.p["o"]
+        return q, k, v, weight, total, mixed, hidden
+
+    def classes(self, hidden: np.ndarray) -> np.ndarray:
+        """Logits of the classes; exp() of them neither overflows nor loses digits."""
+        logits = hidden @ self.p["out"]
         logits += self.p["bias"]
-        if np.abs(hidden).max(initial=0) * np.abs(self.p["out"]).sum(axis=0).max() + np.abs(self.p["bias"]).max() > 80:
-            np.minimum(logits, 80, out=logits)
-        return q, k, v, weight, total, mixed, hidden, logits
+        return np.clip(logits, -60, 60, out=logits)
+
+    def leaves(self, hidden: np.ndarray, of_class: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits of the leaves of each row's class, with rows sorted by class; how they are sorted, and where each class begins."""
+        order = np.argsort(of_class.astype(np.uint8), kind="stable")
+        cuts = np.searchsorted(of_class[order], np.arange(CLASSES + 1))
+        rows, logits = hidden[order], np.empty((len(order), LEAVES), hidden.dtype)
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            np.matmul(rows[cuts[c] : cuts[c + 1]], self.p["leaf"][c], out=logits[cuts[c] : cuts[c + 1]])
+        logits += self.p["leaf_bias"].take(of_class[order], axis=0)
+        return np.clip(logits, -60, 60, out=logits), order, cuts
 
     def score(self, fed: np.ndarray, target: np.ndarray, tables: dict[str, np.ndarray]) -> np.ndarray:
-        """Natural log-probability of each target class; padding gets 0."""
-        logits = self.attend(fed, tables)[-1]
+        """Natural log-probability of each target; padding gets 0."""
+        hidden = self.attend(fed, tables)[-1].reshape(-1, WIDTH)
         aim = target.ravel()
-        own = logits[np.arange(len(aim)), aim]
-        return np.where(aim >= 0, own - np.log(np.exp(logits, out=logits).sum(axis=1)), 0).reshape(target.shape)
+        of_class, leaf = np.divmod(np.maximum(aim, 0), LEAVES)
+        rows, logits = np.arange(len(aim)), self.classes(hidden)
+        out = logits[rows, of_class] - np.log(summed(np.exp(logits)))
+        logits, order, _ = self.leaves(hidden, of_class)
+        out[order] += logits[rows, leaf[order]] - np.log(summed(np.exp(logits)))
+        return np.where(aim >= 0, out, 0).reshape(target.shape)
 
     def gradient(self, fed: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         p, scale = self.p, np.float32(WIDTH**-0.5)
-        q, k, v, weight, total, mixed, hidden, logits = self.attend(fed, self.tables())
+        q, k, v, weight, total, mixed, hidden = self.attend(fed, self.tables())
         weight /= total
-        aim = target.ravel()
-        live = aim >= 0
-        d_logits = np.exp(logits - logits.max(axis=1, keepdims=True))
-        d_logits /= d_logits.sum(axis=1, keepdims=True)
-        d_logits[np.flatnonzero(live), aim[live]] -= 1
-        d_logits *= (live / max(1, live.sum())).astype(np.float32)[:, None]
-        g = {"out": hidden.reshape(-1, WIDTH).T @ d_logits, "bias": d_logits.sum(axis=0)}
-        d_hidden = (d_logits @ p["out"].T).reshape(hidden.shape)
-        g["o"] = mixed.reshape(-1, WIDTH).T @ d_hidden.reshape(-1, WIDTH)
+        rows, aim = hidden.reshape(-1, WIDTH), target.ravel()
+        of_class, leaf = np.divmod(np.maximum(aim, 0), LEAVES)
+        share = ((aim >= 0) / max(1, (aim >= 0).sum())).astype(np.float32)
+
+        def error(logits: np.ndarray, aim: np.ndarray, share: np.ndarray) -> np.ndarray:
+            d = np.exp(logits, out=logits)
+            d *= (share / summed(d))[:, None]
+            np.maximum(d, TINY, out=d)
+            d[np.arange(len(aim)), aim] -= share
+            return d
+
+        d_class = error(self.classes(rows), of_class, share)
+        g = {"out": rows.T @ d_class, "bias": d_class.sum(axis=0), "leaf": np.zeros_like(p["leaf"]), "leaf_bias": np.zeros_like(p["leaf_bias"])}
+        logits, order, cuts = self.leaves(rows, of_class)
+        d_leaf = error(logits, leaf[order], share[order])
+        by_class, back = rows[order], np.empty_like(rows)
+        seen = np.flatnonzero(np.diff(cuts))
+        for c in seen.tolist():
+            a, b = cuts[c], cuts[c + 1]
+            np.matmul(by_class[a:b].T, d_leaf[a:b], out=g["leaf"][c])
+            np.matmul(d_leaf[a:b], p["leaf"][c].T, out=back[a:b])
+        g["leaf_bias"][seen] = np.add.reduceat(d_leaf, cuts[seen], axis=0)
+        d_hidden = d_class @ p["out"].T
+        d_hidden[order] += back
+
+        g["o"] = mixed.reshape(-1, WIDTH).T @ d_hidden
+        d_hidden = d_hidden.reshape(hidden.shape)
         d_mixed = d_hidden @ p["o"].T
         d_weight = d_mixed @ v.transpose(0, 2, 1)
         d_v = weight.transpose(0, 2, 1) @ d_mixed
-        d_score = weight * (d_weight - (d_weight * weight).sum(axis=2, keepdims=True))
+        d_weight -= (d_mixed * mixed).sum(axis=2, keepdims=True)
+        d_score = np.multiply(d_weight, weight, out=weight)
         g["near"] = d_score.sum(axis=0)
         d_q, d_k = d_score @ k * scale, d_score.transpose(0, 2, 1) @ q  # q is scaled already
-        whole, own = p["embed"][fed].reshape(-1, WIDTH), p["embed"][fed[:, BLOCK:]].reshape(-1, WIDTH)
+        whole, own = p["embed"].take(fed, axis=0).reshape(-1, WIDTH), p["embed"].take(fed[:, BLOCK:], axis=0).reshape(-1, WIDTH)
         d_q, d_k, d_v = (x.reshape(-1, WIDTH) for x in (d_q, d_k, d_v))
         g |= {"q": own.T @ d_q, "k": whole.T @ d_k, "v": whole.T @ d_v}
         back = (d_k @ p["k"].T + d_v @ p["v"].T).reshape(*fed.shape, WIDTH)
         back[:, BLOCK:] += (d_q @ p["q"].T).reshape(hidden.shape) + d_hidden
-        symbol = fed.ravel()
+        symbol = fed.ravel().astype(np.uint16)
         order = np.argsort(symbol, kind="stable")
         s = symbol[order]
         cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         g["embed"] = np.zeros_like(p["embed"])
-        g["embed"][s[cuts]] = np.add.reduceat(back.reshape(-1, WIDTH)[order], cuts, axis=0)
+        g["embed"][s[cuts]] = np.add.reduceat(back.reshape(-1, WIDTH).take(order, axis=0), cuts, axis=0)
         return g
 
 
@@ -306,13 +363,14 @@ def count(learned: DataFrame, path: str) -> DataFrame:
         spaced, docs = tokens_of(path).spaced, 0
         totals = np.zeros(len(spaced), np.int64)
         out = lambda kind, key, n: pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(key), kind, np.int32)), pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["kind", "key", "n"]
+            [pa.array(np.full(len(key), kind, np.int32)), pa.array(key).cast(pa.int64()), pa.array(n).cast(pa.int64())], ["kind", "key", "n"]
         )
         for part in slices(batches, "ids", IDS):
             flat, bounds = streams(part.column(0), len(spaced) - 1)
             totals += np.bincount(flat, minlength=len(spaced))
             docs += part.num_rows
-            yield out(0, *np.unique(word_hashes(flat, bounds, spaced)[1], return_counts=True))
+            words = pc.value_counts(pa.array(word_hashes(flat, bounds, spaced)[1]))
+            yield out(0, words.field(0), words.field(1))
         yield out(1, np.flatnonzero(totals), totals[totals > 0])
         yield out(2, np.zeros(1, np.int64), np.array([docs]))
 
@@ -321,16 +379,16 @@ def count(learned: DataFrame, path: str) -> DataFrame:
 
 def train(learned: DataFrame, path: str, layout: Layout, rounds: int = ROUNDS) -> Attention:
     """The model after `rounds` rounds of local training and averaging; round r reads the texts whose hash mod `rounds` is r."""
-    model = Attention(layout.bias)
+    model = Attention(layout)
     for r in range(rounds):
         start = model.flat()
 
         def work(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
             end, seen = len(tokens_of(path).spaced) - 1, 0
-            own = Attention(layout.bias).load(start)
+            own = Attention(layout).load(start)
             adam = Adam(own)
             for part in slices(batches, "ids", IDS // 4):
-                fed, target, _, _ = layout.blocks(*streams(part.column(0), end))
+                fed, target = layout.blocks(*streams(part.column(0), end))
                 order = np.random.default_rng(seen).permutation(len(fed))
                 for at in range(0, len(order), STEP_BLOCKS):
                     some = order[at : at + STEP_BLOCKS]
@@ -363,7 +421,8 @@ def score_texts(rows: DataFrame, path: str, layout: Layout, model: Attention, fr
             n = part.num_rows
             flat, bounds = streams(part.column(1), len(spaced) - 1)
             row, own = word_hashes(flat, bounds, spaced)
-            hashes, of = np.unique(own, return_inverse=True)
+            coded = pa.array(own).dictionary_encode()
+            hashes, of = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             at = np.minimum(np.searchsorted(usual, hashes), max(0, len(usual) - 1))
             hit = usual[at] == hashes if len(usual) else np.zeros(len(hashes), bool)
             worth = np.where(hit, logs[at] if len(usual) else 0.0, 0.0)
@@ -373,7 +432,7 @@ def score_texts(rows: DataFrame, path: str, layout: Layout, model: Attention, fr
             cuts = np.searchsorted(rare_row, np.arange(n + 1))
 
             total = np.bincount(np.repeat(np.arange(n), np.diff(bounds)), weights=layout.within[flat], minlength=n)
-            fed, target, _, _ = layout.blocks(flat, bounds)
+            fed, target = layout.blocks(flat, bounds)
             whose = np.repeat(np.arange(n), -(-np.diff(bounds) // BLOCK))
             by_block = np.concatenate([np.zeros(0), *(model.score(fed[b : b + BATCH], target[b : b + BATCH], tables).sum(axis=1) for b in range(0, len(fed), BATCH))])
             total += np.bincount(whose, weights=by_block, minlength=n)
@@ -405,7 +464,7 @@ def lm_score(df: DataFrame, train_on: Column, text_col: str = "text", id_col: st
     of_ids = counts.filter("kind = 1").toArrow()
     id_counts = np.zeros(len(tokens_of(path).spaced))
     id_counts[of_ids.column("key").to_numpy()] = of_ids.column("n").to_numpy()
-    layout = Layout(id_counts)
+    layout = Layout(id_counts, tokens_of(path).spaced)
     model = train(learned, path, layout)
 
     words = counts.filter("kind = 0").select(F.col("key").alias("hash"), F.col("n").alias("c"))

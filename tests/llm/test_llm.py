@@ -340,13 +340,18 @@ def test_lm_frequent_and_other_words_agree(spark, docs, monkeypatch):
     assert few() == all_sent
 
 
+def a_layout():
+    np = lm.np
+    return lm.Layout(np.random.default_rng(2).integers(0, 50, 50_257).astype(float), np.arange(50_257) % 3 == 0)
+
+
 def test_attention_is_causal_and_its_gradient_right():
     np = lm.np
     rng = np.random.default_rng(1)
-    model = lm.Attention(np.zeros(lm.CLASSES, np.float32))
+    model = lm.Attention(a_layout())
     model.p = {k: x.astype(np.float64) for k, x in model.p.items()}
     fed = rng.integers(0, 50, (3, 2 * lm.BLOCK))
-    target = rng.integers(0, lm.CLASSES, (3, lm.BLOCK))
+    target = rng.integers(0, lm.CLASSES * lm.LEAVES, (3, lm.BLOCK))
     target[2, 5:] = -1
     before = model.score(fed, target, model.tables())
     later = fed.copy()
@@ -364,9 +369,42 @@ def test_attention_is_causal_and_its_gradient_right():
         assert g[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3), name
 
 
-def test_lm_probabilities_sum_to_one():
+def test_lm_probabilities_of_all_ids_sum_to_one():
     np = lm.np
-    counts = np.random.default_rng(2).integers(0, 50, 50_257).astype(float)
-    layout = lm.Layout(counts)
-    mass = np.bincount(layout.of_class, weights=np.exp(layout.within.astype(np.float64)), minlength=lm.CLASSES)
-    assert np.allclose(mass, 1, atol=1e-3)
+    layout = a_layout()
+    model = lm.Attention(layout)
+    ids = np.arange(len(layout.target))
+    fed = np.tile(np.random.default_rng(3).integers(0, 50, (1, 2 * lm.BLOCK)), (-(-len(ids) // lm.BLOCK), 1))
+    fed[:, lm.BLOCK :] = fed[:, :1]
+    for place in (0, lm.BLOCK - 1):  # each id in turn as the target of one place
+        target = np.full((len(ids), lm.BLOCK), -1)
+        target[:, place] = layout.target
+        chance = sum(
+            np.exp(model.score(np.repeat(fed[:1], 1000, axis=0)[: len(t)], t, model.tables())[:, place].astype(np.float64) + w).sum()
+            for t, w in ((target[b : b + 1000], layout.within[b : b + 1000]) for b in range(0, len(ids), 1000))
+        )
+        assert chance == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_beats_counts_and_pairs_of_ids(spark):
+    """Held-out log10 probability against the ids' counts alone, and against counts of id pairs smoothed by them (Witten and Bell)."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    np, path = lm.np, lm.vocabulary_path()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = lm.lm_score(docs, ~lm.held_out()).withColumn("held", lm.held_out()).filter("held").agg(F.sum("score")).first()[0]
+    read = lm.read(docs.select("doc_id", (~lm.held_out()).alias("train"), "text"), path).toArrow()
+    end = len(lm.tokens_of(path).spaced) - 1
+    train, test = (lm.streams(read.filter(x)["ids"].combine_chunks(), end)[0] for x in (read["train"], lm.pc.invert(read["train"])))
+    counts = np.bincount(train, minlength=end + 1)
+    alone = np.log10((counts + 1) / (counts.sum() + end + 1))
+    seen, times = np.unique(np.append(end, train[:-1]) * (end + 1) + train, return_counts=True)
+    after = np.bincount(seen // (end + 1), minlength=end + 1)
+    before = np.append(end, test[:-1])
+    at = np.minimum(np.searchsorted(seen, before * (end + 1) + test), len(seen) - 1)
+    both = np.where(seen[at] == before * (end + 1) + test, times[at], 0)
+    starts = np.bincount(np.append(end, train[:-1]), minlength=end + 1)
+    pairs = np.log10((both + np.maximum(after[before], 1) * 10 ** alone[test]) / (starts[before] + np.maximum(after[before], 1))).sum()
+    assert got > 0.8 * alone[test].sum() and got > pairs
