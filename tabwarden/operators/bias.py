@@ -1,7 +1,7 @@
 """Bias audit of an outcome over the values of a facet.
 
 Everything but two regressions is computed from one contingency table (scope, subgroup, facet, outcome, n), long and small; its
-partial counts are the only thing that is shuffled from the rows. A scope is the whole table, or a cluster. Where a
+partial counts are the only thing that is shuffled from the rows. An audit stores it first, so the rows are read once for all metrics. A scope is the whole table, or a cluster. Where a
 metric is not defined it is null by itself.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_where, ratio
+from ..functions.store import stored
 
 #: Fair bands of the metrics for display, and the bounds beyond which a metric is called biased (fixed values).
 BANDS = {"BR": (0.8, 1.25), "LR": (-2.0, 2.0), "LR_intercept": (-2.0, 2.0)}
@@ -20,6 +21,8 @@ DEFAULT_BAND = (-0.1, 0.1)
 BOUNDS = {"CI": 0.9, "DPL": 0.1, "DD": 0.1, "CDD": 0.1, "JS": 0.1, "L2": 0.1, "TVD": 0.1, "KS": 0.1}
 #: What a probability of zero counts as below a fraction.
 TINY = 1e-10
+#: Cells of a contingency table that one task may hold.
+FEW_CELLS = 100_000
 METRICS = ("CI", "DPL", "DD", "CDD", "JS", "L2", "TVD", "KS", "NMI", "NCMI", "BR", "BD", "CBD", "CORR", "V")
 
 
@@ -255,19 +258,20 @@ def report(values: DataFrame) -> DataFrame:
 
 def audit(df: DataFrame, facet: str, outcome: str, label=1, subgroup: str | None = None, scope: Column | None = None, numeric: bool = True) -> DataFrame:
     """The report over all metrics that the columns allow: those with a subgroup only if one is given, Cramer's V in place of Pearson's for text."""
-    ct = contingency(df, facet, outcome, subgroup, scope)
+    ct = stored(contingency(df, facet, outcome, subgroup, scope), "contingency")
+    # A few cells need no further shuffle; more of them are dealt by scope once for each metric.
+    ct = ct.coalesce(1) if ct.count() <= FEW_CELLS else ct.repartition("scope")
     parts = [
         class_imbalance(ct), label_difference(ct, label), demographic_disparity(ct), pmf_distances(ct), total_variation(ct),
         normalised_information(ct), binary_means(ct), correlation(ct) if numeric else cramers_v(ct),
     ]
     if subgroup is not None:
         parts += [conditional_disparity(ct), conditional_information(ct), conditional_difference(ct)]
-    scopes = ct.select("scope").distinct()
+    # Scopes in which a distance between distributions is not defined have no row of it yet: a row without value stands in.
     names = F.explode(F.array(*map(F.lit, ("JS", "L2", "KS", "TVD"))))
-    found = reduce(DataFrame.unionByName, parts)
-    # Scopes in which a distance between distributions is not defined have no row yet.
-    missing = scopes.select("scope", names.alias("metric")).join(found, ["scope", "metric"], "left_anti").select("scope", "metric", F.lit(None).cast("double").alias("value"))
-    return report(found.unionByName(missing))
+    empty = ct.select("scope").distinct().select("scope", names.alias("metric"), F.lit(None).cast("double").alias("value"))
+    found = reduce(DataFrame.unionByName, [*parts, empty]).groupBy("scope", "metric").agg(F.max("value").alias("value"))
+    return report(found)
 
 
 def logistic_coefficient(df: DataFrame, facet: str, outcome: str) -> tuple[float | None, float | None]:

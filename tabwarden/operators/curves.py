@@ -1,36 +1,57 @@
-"""ROC and precision-recall curves over distinct scores, per model and class, micro and macro."""
+"""ROC and precision-recall curves over distinct scores, per model and class, micro and macro.
+
+Areas are added up from the counts at each score, so no row needs the one before it; running counts are taken in two levels
+(`functions/numbers.py`), so no task holds a whole curve.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import or_zero, ratio
+from ..functions.numbers import logit_cut, or_zero, running
 from .scoring import one_against_rest, score_histogram
 
+#: Ranges of false positive rates in which a macro curve is added up.
+RATE_RANGES = 4096
+#: Slopes are added and taken away exactly.
+SLOPE = "decimal(38,18)"
+
 
 def cumulative(scored: DataFrame, by: list[str]) -> DataFrame:
-    """(by, threshold, tp, fp, positives, negatives): counts of rows that score at least the threshold."""
-    h, down = score_histogram(scored, by), Window.partitionBy(*by).orderBy(F.col("p").desc())
-    return h.select(
-        *by, F.col("p").alias("threshold"), F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"),
-        F.sum("pos").over(Window.partitionBy(*by)).alias("positives"), F.sum("neg").over(Window.partitionBy(*by)).alias("negatives"),
-    )
+    """(by, threshold, pos, neg, tp, fp, positives, negatives): rows at each score, and rows that score at least it."""
+    h = score_histogram(scored, by)
+    down = running(h, by, -logit_cut(F.col("p")), F.col("p").desc(), {"tp": F.col("pos"), "fp": F.col("neg")}, {"positives": "tp", "negatives": "fp"})
+    return down.select(*by, F.col("p").alias("threshold"), "pos", "neg", "tp", "fp", "positives", "negatives")
+
+
+def true_rate(count: str) -> Column:
+    return or_zero(F.col(count), F.col("positives"))
+
+
+def false_rate(count: str) -> Column:
+    return or_zero(F.col(count), F.col("negatives"))
 
 
 def roc(scored: DataFrame, by: list[str]) -> DataFrame:
     """(by, threshold, fpr, tpr) from (0, 0), whose threshold is null, to (1, 1); a side without rows is 0 throughout."""
-    c = cumulative(scored, by)
-    points = c.select(*by, "threshold", or_zero(F.col("fp"), F.col("negatives")).alias("fpr"), or_zero(F.col("tp"), F.col("positives")).alias("tpr"))
+    points = cumulative(scored, by).select(*by, "threshold", false_rate("fp").alias("fpr"), true_rate("tp").alias("tpr"))
     zero = F.lit(0.0)
-    return points.unionByName(points.select(*by).distinct().select(*by, F.lit(None).cast("double").alias("threshold"), zero.alias("fpr"), zero.alias("tpr")))
+    return points.unionByName(scored.select(*by).distinct().select(*by, F.lit(None).cast("double").alias("threshold"), zero.alias("fpr"), zero.alias("tpr")))
+
+
+def areas(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, auc, ap) of cumulative counts: trapezoids under the ROC points; precision at each score weighted by the recall it adds."""
+    under = false_rate("neg") * (true_rate("tp") - true_rate("pos") / 2)
+    return counts.groupBy(*by).agg(F.sum(under).alias("auc"), F.sum(true_rate("pos") * or_zero(F.col("tp"), F.col("tp") + F.col("fp"))).alias("ap"))
+
+
+def roc_area(scored: DataFrame, by: list[str]) -> DataFrame:
+    return areas(cumulative(scored, by), by).select(*by, "auc")
 
 
-def area(points: DataFrame, by: list[str], x: str = "fpr", y: str = "tpr") -> DataFrame:
-    """(by, auc): trapezoids under the points in order of x and then y."""
-    along = Window.partitionBy(*by).orderBy(x, y)
-    part = (F.col(x) - F.lag(x).over(along)) * (F.col(y) + F.lag(y).over(along)) / 2
-    return points.select(*by, part.alias("part")).groupBy(*by).agg(F.sum("part").alias("auc"))
+def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
+    return areas(cumulative(scored, by), by).select(*by, "ap")
 
 
 def micro(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -38,42 +59,56 @@ def micro(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
     return one_against_rest(scored, k, by).drop("class")
 
 
-def macro_roc(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
-    """(by, fpr, tpr): the mean over classes of their curves at every false positive rate of any class, between points by line.
+def macro_steps(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, fpr, gap, step, tpr): the sum of the classes' curves at each false positive rate of any class, over their number.
 
-    Rates and rows meet in one sort: the last point of the class at or before a rate and the first at or after it are taken
-    from running windows. At a vertical part of a curve its top counts, and a line from the left ends at its foot.
+    A score with negatives is a line of a class's curve: its slope holds between two rates. One without is a vertical part: a
+    jump, whose top counts at its rate. Slopes in force times the gap to the rate before, and jumps, are what the sum rises by.
     """
-    points = roc(one_against_rest(scored, k, by), [*by, "class"]).groupBy(*by, "class", "fpr").agg(F.max("tpr").alias("top"), F.min("tpr").alias("foot"))
-    rates = points.select(*by, "fpr").distinct()
-    grid = rates.join(points.select(*by, "class").distinct(), by).join(points, [*by, "class", "fpr"], "left")
-    up = Window.partitionBy(*by, "class").orderBy("fpr").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*by, "class").orderBy("fpr").rowsBetween(0, Window.unboundedFollowing)
-    own = F.when(F.col("top").isNotNull(), F.struct("fpr", "top", "foot"))
-    near = grid.select(*by, "class", "fpr", F.last(own, ignorenulls=True).over(up).alias("a"), F.first(own, ignorenulls=True).over(down).alias("b"))
-    between = F.col("a.top") + F.coalesce(ratio((F.col("b.foot") - F.col("a.top")) * (F.col("fpr") - F.col("a.fpr")), F.col("b.fpr") - F.col("a.fpr")), F.lit(0.0))
-    return near.select(*by, "fpr", between.alias("t")).groupBy(*by, "fpr").agg(F.avg("t").alias("tpr"))
+    own = [*by, "fpr"]
+    slope = F.when(F.col("negatives") > 0, or_zero(true_rate("pos"), false_rate("neg"))).otherwise(0.0).cast(SLOPE)
+    none, line = F.lit(0.0), F.col("neg") > 0
+    events = counts.select(*by, "class", F.explode(F.array(
+        F.struct(false_rate("fp").alias("fpr"), F.when(line, none).otherwise(true_rate("pos")).alias("jump"), F.when(line, -slope).otherwise(F.lit(0).cast(SLOPE)).alias("turn")),
+        F.struct(or_zero(F.col("fp") - F.col("neg"), F.col("negatives")).alias("fpr"), none.alias("jump"), F.when(line, slope).otherwise(F.lit(0).cast(SLOPE)).alias("turn")),
+    )).alias("e")).select(*by, "e.*")
+    classes = counts.select(*by, "class").distinct().groupBy(*by).agg(F.count("*").alias("classes"))
+    rates = events.groupBy(*own).agg(F.sum("jump").alias("jump"), F.sum("turn").cast(SLOPE).alias("turn"))
+    cut = F.floor(F.col("fpr") * RATE_RANGES).cast("long")
+    turned = running(rates, by, cut, F.col("fpr"), {"slope": F.col("turn")}, before={"last": F.col("fpr")})
+    gap = F.coalesce(F.col("fpr") - F.col("last"), none)
+    in_force = (F.col("slope") - F.col("turn")).cast("double")
+    steps = turned.join(classes, by).select(*own, gap.alias("gap"), ((in_force * gap + F.col("jump")) / F.col("classes")).alias("step"))
+    return running(steps, by, cut, F.col("fpr"), {"tpr": F.col("step")})
+
+
+def macro_roc(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """(by, fpr, tpr): the mean over classes of their curves at every false positive rate of any class, between points by line."""
+    return macro_steps(cumulative(one_against_rest(scored, k, by), [*by, "class"]), by).select(*by, "fpr", "tpr")
+
+
+def macro_area(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, auc): trapezoids under the macro curve."""
+    return macro_steps(counts, by).groupBy(*by).agg(F.sum(F.col("gap") * (F.col("tpr") - F.col("step") / 2)).alias("auc"))
 
 
 def precision_recall(scored: DataFrame, by: list[str]) -> DataFrame:
     """(by, threshold, precision, recall) at each distinct score."""
     c = cumulative(scored, by)
-    return c.select(*by, "threshold", or_zero(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), or_zero(F.col("tp"), F.col("positives")).alias("recall"))
-
-
-def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
-    """(by, ap): precision at each distinct score, weighted by the recall it adds."""
-    points = precision_recall(scored, by)
-    added = F.col("recall") - F.coalesce(F.lag("recall").over(Window.partitionBy(*by).orderBy(F.col("threshold").desc())), F.lit(0.0))
-    return points.select(*by, (added * F.col("precision")).alias("part")).groupBy(*by).agg(F.sum("part").alias("ap"))
+    return c.select(*by, "threshold", or_zero(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), true_rate("tp").alias("recall"))
 
 
 def curve_report(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
     """(by, curve, class, value): AUC and AP of each class and micro, macro AUC; class is null for micro and macro."""
-    each, all_rows, own = one_against_rest(scored, k, by), micro(scored, k, by), [*by, "class"]
-    said = lambda df, curve, v, single: df.select(*by, F.lit(curve).alias("curve"), (F.lit(None).cast("int") if single else F.col("class")).alias("class"), F.col(v).alias("value"))
+    own = [*by, "class"]
+    each = cumulative(one_against_rest(scored, k, by), own)
+
+    def said(df: DataFrame, single: bool, **curves: str) -> DataFrame:
+        rows = F.explode(F.array(*[F.struct(F.lit(name).alias("curve"), F.col(column).alias("value")) for name, column in curves.items()])).alias("_c")
+        return df.select(*by, (F.lit(None).cast("int") if single else F.col("class")).alias("class"), rows).select(*by, "_c.curve", "class", "_c.value")
+
     return (
-        said(area(roc(each, own), own), "roc", "auc", False).unionByName(said(area(roc(all_rows, by), by), "roc_micro", "auc", True))
-        .unionByName(said(area(macro_roc(scored, k, by), by), "roc_macro", "auc", True))
-        .unionByName(said(average_precision(each, own), "pr", "ap", False)).unionByName(said(average_precision(all_rows, by), "pr_micro", "ap", True))
+        said(areas(each, own), False, roc="auc", pr="ap")
+        .unionByName(said(areas(cumulative(micro(scored, k, by), by), by), True, roc_micro="auc", pr_micro="ap"))
+        .unionByName(said(macro_area(each, by), True, roc_macro="auc"))
     )

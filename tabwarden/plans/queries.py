@@ -237,15 +237,15 @@ def m12_roc(spark, d):
 
 def m12_class_auc(spark, d):
     own = ["model", "class"]
-    return tidy(curves.area(curves.roc(scoring.one_against_rest(frames.class_scores(spark, d), CLASSES, M), own), own))
+    return tidy(curves.roc_area(scoring.one_against_rest(frames.class_scores(spark, d), CLASSES, M), own))
 
 
 def m13_micro(spark, d):
-    return tidy(curves.area(curves.roc(curves.micro(frames.class_scores(spark, d), CLASSES, M), M), M))
+    return tidy(curves.roc_area(curves.micro(frames.class_scores(spark, d), CLASSES, M), M))
 
 
 def m14_macro(spark, d):
-    return tidy(curves.area(curves.macro_roc(frames.class_scores(spark, d), CLASSES, M), M))
+    return tidy(curves.macro_area(curves.cumulative(scoring.one_against_rest(frames.class_scores(spark, d), CLASSES, M), [*M, "class"]), M))
 
 
 def m15_pr(spark, d):

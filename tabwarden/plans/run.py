@@ -50,7 +50,7 @@ def run(spark: SparkSession, folder: str, config: Config, out: str) -> None:
     write_table(scored, f"{out}/TestScores")
     scored = spark.read.parquet(f"{out}/TestScores")
     write_table(scoring.wide_report(models.hold_out_metrics(scored, k, thresholds)), f"{out}/test_results")
-    write_table(curves.curve_report(scored, k, ["model"]) if k > 2 else curves.area(curves.roc(scored.select("model", "y", F.col("p")[1].alias("p")), ["model"]), ["model"]), f"{out}/Curves")
+    write_table(curves.curve_report(scored, k, ["model"]) if k > 2 else curves.roc_area(scored.select("model", "y", F.col("p")[1].alias("p")), ["model"]), f"{out}/Curves")
     models.save(fitted, f"{out}/Models")
     write_errors(spark, errors, f"{out}/Errors")
 

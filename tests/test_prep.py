@@ -6,19 +6,18 @@ from tabwarden.operators import prep
 
 @pytest.fixture
 def pair(spark):
+    """Loans: two columns that tell rows apart, a number and two texts. The test rows know a purpose that the training rows do not."""
+    kinds = "loan_id long, ID long, {}rate double, purpose string, region string"
     train = spark.createDataFrame(
-        [(1, 101, 0, 10, 100, "A"), (2, 102, 1, 20, 200, "B"), (3, 103, 0, 30, 300, "C"), (4, 104, 1, 40, 400, "A")],
-        "patient_id long, ID long, Target long, feature1 long, feature2 long, categorical string",
-    )
-    test = spark.createDataFrame(
-        [(5, 105, 50, 500, "A"), (6, 106, 60, 600, "B"), (7, 107, 70, 700, "D"), (8, 108, 80, 800, "A")],
-        "patient_id long, ID long, feature1 long, feature2 long, categorical string",
+        [(71, 9, 2, 1.5, "car", "N"), (72, 8, 0, 2.5, "house", "S"), (73, 7, 0, 1.5, "car", "S"), (74, 6, 2, 4.0, "boat", "N"), (75, 5, 0, 3.5, "house", "N")],
+        kinds.format("Target long, "),
     )
+    test = spark.createDataFrame([(81, 4, 1.0, "house", "S"), (82, 3, 2.0, "bike", "S"), (83, 2, 3.0, "car", "N")], kinds.format(""))
     return train, test
 
 
 def test_target(spark, pair):
-    assert {(r["class"], r["n"], r["percent"]) for r in prep.check_target(pair[0]).collect()} == {(0, 2, 50.0), (1, 2, 50.0)}
+    assert {(r["class"], r["n"], r["percent"]) for r in prep.check_target(pair[0]).collect()} == {(0, 3, 60.0), (2, 2, 40.0)}
     with pytest.raises(ValueError):
         prep.check_target(pair[1])
     with pytest.raises(ValueError):
@@ -27,19 +26,21 @@ def test_target(spark, pair):
 
 def test_keys(spark, pair):
     assert prep.assign_key(pair[0])[1] == "ID"
-    assert prep.assign_key(pair[0].drop("ID"))[1] == "patient_id"
-    made, key = prep.assign_key(pair[0].drop("ID", "patient_id").union(pair[0].drop("ID", "patient_id")))
-    again, _ = prep.assign_key(pair[0].drop("ID", "patient_id").union(pair[0].drop("ID", "patient_id")))
-    assert made.select(key).distinct().count() == 8
+    assert prep.assign_key(pair[0].drop("ID"))[1] == prep.MADE_KEY
+    assert prep.assign_key(pair[0].drop("ID").withColumnRenamed("loan_id", "patient_id"))[1] == "patient_id"
+    bare = pair[0].drop("ID", "loan_id")
+    (made, key), (again, _) = prep.assign_key(bare.union(bare)), prep.assign_key(bare.union(bare))
+    assert made.select(key).distinct().count() == 10
     assert sorted(r[0] for r in made.select(key).collect()) == sorted(r[0] for r in again.select(key).collect())
 
 
 def test_domains_and_prepare(spark, pair):
     train, test = prep.prepare(*pair)
-    assert "categorical" not in train.columns and "categorical" not in test.columns
-    assert train.count() == 4 and test.count() == 4
-    same, _ = prep.match_domains(pair[0], pair[1].withColumn("categorical", F.when(F.col("categorical") == "D", "C").otherwise(F.col("categorical"))))
-    assert "categorical" in same.columns
+    assert "purpose" not in train.columns and "purpose" not in test.columns and "region" in train.columns
+    assert train.count() == 5 and test.count() == 3
+    known = pair[1].withColumn("purpose", F.when(F.col("loan_id") == 82, "boat").otherwise(F.col("purpose")))
+    same, _ = prep.match_domains(pair[0], known)
+    assert "purpose" in same.columns
 
 
 def test_null_rows(spark):

@@ -4,8 +4,11 @@ from pyspark.sql import functions as F
 
 from tabwarden.operators import curves, scoring
 
-Y = [0, 1, 1, 0, 1, 0, 1, 0, 1, 0]
-P = [0.1, 0.8, 0.7, 0.2, 0.9, 0.3, 0.6, 0.1, 0.4, 0.2]
+# Worked out by hand: above 0.5 are three of four positives and one of four negatives; 14 of 16 pairs are in order.
+Y = [1, 0, 1, 1, 0, 0, 1, 0]
+P = [0.95, 0.15, 0.35, 0.85, 0.65, 0.05, 0.75, 0.45]
+# Scores with ties between the classes.
+TIED = [0.6, 0.6, 0.3, 0.9, 0.3, 0.1, 0.4, 0.6]
 
 
 def scored(spark, y, p, fold=0):
@@ -13,11 +16,11 @@ def scored(spark, y, p, fold=0):
     return spark.createDataFrame([("m", fold, a, b) for a, b in zip(y, p)], f"model string, fold int, y int, p {kind}")
 
 
-def test_golden(spark):
+def test_counts_and_rates(spark):
     r = scoring.bundle(scored(spark, Y, P)).first()
-    assert (r["tp"], r["fp"], r["tn"], r["fn"]) == (4, 0, 5, 1)
-    assert r["sensitivity"] == pytest.approx(0.8) and r["specificity"] == 1.0 and r["f1"] == pytest.approx(8 / 9)
-    assert r["accuracy"] == pytest.approx(0.9) and r["balanced_accuracy"] == pytest.approx(0.9) and r["auc"] == 1.0
+    assert (r["tp"], r["fp"], r["tn"], r["fn"]) == (3, 1, 3, 1)
+    assert [r[m] for m in ("sensitivity", "specificity", "f1", "accuracy", "balanced_accuracy")] == pytest.approx([0.75] * 5)
+    assert r["auc"] == pytest.approx(14 / 16)
 
 
 def test_threshold_is_strict(spark):
@@ -30,15 +33,15 @@ def test_threshold_is_strict(spark):
 def test_auc_edges(spark):
     assert scoring.auc(scored(spark, [0, 1], [0.3, 0.3])).first()["auc"] == 0.5
     assert scoring.auc(scored(spark, [1, 1], [0.3, 0.4])).first()["auc"] is None
-    up, down = scored(spark, Y, [0.1, 0.2, 0.7, 0.2, 0.9, 0.3, 0.6, 0.8, 0.4, 0.2]), None
+    up, down = scored(spark, Y, TIED), None
     down = up.withColumn("p", 1 - F.col("p"))
     assert scoring.auc(up).first()["auc"] + scoring.auc(down).first()["auc"] == pytest.approx(1)
 
 
 def test_best_threshold(spark):
     r = scoring.best_threshold(scored(spark, Y, P)).first()
-    assert r["threshold"] == pytest.approx(0.32) and r["score"] == pytest.approx(1.0)
-    none = scoring.best_threshold(scored(spark, [0, 0], [0.99, 0.99]), "f1").first()
+    assert r["threshold"] == pytest.approx(0.67) and r["score"] == pytest.approx(0.875)  # three positives and no negative lie above
+    none = scoring.best_threshold(scored(spark, [0, 0], [0.98, 0.975]), "f1").first()
     assert none["threshold"] == 0.5 and none["score"] is None
     assert scoring.best_threshold(scored(spark, Y, P), "auc").first()["threshold"] == pytest.approx(0.02)
 
@@ -61,13 +64,13 @@ def test_fold_summary(spark):
 
 def test_layout(spark):
     cells = {(r["actual"], r["predicted"]): r["n"] for r in scoring.binary_cells(scoring.confusion(scored(spark, Y, P))).collect()}
-    assert cells == {(1, 1): 4, (1, 0): 1, (0, 1): 0, (0, 0): 5}
+    assert cells == {(1, 1): 3, (1, 0): 1, (0, 1): 1, (0, 0): 3}
 
 
 def test_curves(spark):
-    s = scored(spark, Y, [0.1, 0.2, 0.7, 0.2, 0.9, 0.3, 0.6, 0.8, 0.4, 0.2])
+    s = scored(spark, Y, TIED)
     by = ["model", "fold"]
-    assert curves.area(curves.roc(s, by), by).first()["auc"] == pytest.approx(scoring.auc(s).first()["auc"])
+    assert curves.roc_area(s, by).first()["auc"] == pytest.approx(scoring.auc(s).first()["auc"])
     points = curves.roc(s, by).collect()
     assert (0.0, 0.0) in {(r["fpr"], r["tpr"]) for r in points} and (1.0, 1.0) in {(r["fpr"], r["tpr"]) for r in points}
     assert curves.average_precision(scored(spark, [1, 0], [0.9, 0.1]), by).first()["ap"] == 1.0
@@ -77,8 +80,24 @@ def test_curves(spark):
     lines = {c: sorted((r["fpr"], r["tpr"]) for r in curves.roc(one.filter(F.col("class") == c), by).collect()) for c in (0, 1)}
     grid = sorted({x for line in lines.values() for x, _ in line})
     mean = np.mean([np.interp(grid, *zip(*line)) for line in lines.values()], axis=0)
-    macro = curves.area(curves.macro_roc(two, 2, by), by).first()["auc"]
-    assert macro == pytest.approx(np.trapezoid(mean, grid))
+    macro = {r["fpr"]: r["tpr"] for r in curves.macro_roc(two, 2, by).collect()}
+    assert sorted(macro) == grid and [macro[x] for x in grid] == pytest.approx(list(mean))
+    found = curves.macro_area(curves.cumulative(one, [*by, "class"]), by).first()["auc"]
+    assert found == pytest.approx(np.trapezoid(mean, grid))
+
+
+def test_running_sums_equal_plain_windows(spark):
+    from pyspark.sql import Window
+
+    from tabwarden.functions.numbers import logit_cut, running
+
+    df = spark.range(800).select((F.col("id") % 3).alias("g"), (F.col("id") * 37 % 801 / 800 - 0.0).alias("p"), (F.col("id") % 11).alias("n")).withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    up = Window.partitionBy("g").orderBy("p")
+    got = running(df, ["g"], logit_cut(F.col("p")), F.col("p"), {"s": F.col("n")}, {"all": "s"}, {"last": F.col("p")})
+    plain = got.select(
+        "*", F.sum("n").over(up).alias("s0"), F.sum("n").over(Window.partitionBy("g")).alias("all0"), F.lag("p").over(up).alias("last0"),
+    )
+    assert plain.count() == 800 and plain.filter("not (s <=> s0 and all <=> all0 and last <=> last0)").count() == 0
 
 
 def test_empty(spark):
