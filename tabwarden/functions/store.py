@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, spark.checkpoint.dir. A local session without one uses its own warehouse's folder."""
+    """The folder that the driver and all executors see, spark.checkpoint.dir. A session of one process without it has a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored"
+    return own_folder()
+
+
+@cache
+def own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
