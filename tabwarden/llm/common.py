@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import stored
+
 #: A table of at most this many bytes may be broadcast; beyond it each operator has another way.
 BROADCAST_BYTES = 32 << 20
 
@@ -30,21 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, and a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def keep(df: DataFrame, what: str) -> DataFrame:
     """Write df into the shared folder and read it back: lineage ends there, and lost executors cost no second run."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, what)
 
 
 def small_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -66,6 +54,18 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(tidy, schema)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(kind: type, *args):
+    """kind(*args), which a worker keeps from task to task. It keeps one such object at a time: another one takes its place, with all it remembers."""
+    key = (kind, *args)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = kind(*args)
+    return _HELD[key]
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about `chars` bytes of text; a longer text is a slice of its own."""
     for batch in batches:

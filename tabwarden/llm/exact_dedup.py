@@ -1,8 +1,11 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
 Only DataFrame functions. The first scan sees lengths and short prefixes; a full hash is taken only for rows whose
-(length, prefix) another row shares. What is shuffled are fixed-size keys, never texts, and groups are reduced by
-partial aggregation, so a text that holds a third of all rows costs no more than another.
+(length, prefix) another row shares. Which do is told by a bit map of fixed size that goes to the texts, so the method is the
+same at every size: where keys are many, some bits stand for several of them and a few more rows are hashed than need be.
+What is shuffled are fixed-size keys, never texts. Groups are counted by partial aggregation, and rows meet a stored table of
+groups, so the rows of one text are never gathered: the table is broadcast up to a bound, and beyond it joined by
+a sort-merge join, whose large partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -10,12 +13,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, keep
+from .common import keep, small_broadcast
 
 #: Characters of the prefix that the second step hashes.
 PREFIX = 128
-#: Bytes that a surviving key takes in a broadcast table, generously.
-KEY_BYTES = 64
+#: Bits of the map of shared keys, 16 MB in all, and bits of one of its rows (Spark's own size of a bitmap).
+BITS, ROW_BITS = 1 << 27, 1 << 15
+#: Bytes that a group takes in a broadcast table, generously.
+GROUP_BYTES = 192
+
+
+def bit_of(size: str, prefix: str) -> tuple[Column, Column]:
+    """The row of the bit map, and the place in it, of a (length, prefix)."""
+    h = F.pmod(F.xxhash64(size, prefix), F.lit(BITS))
+    return F.floor(h / ROW_BITS).cast("int"), (h % ROW_BITS).cast("int")
+
+
+def is_set(bits: str, place: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(F.col(bits), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.col(bits).isNotNull() & ((F.shiftrightunsigned(byte, place % 8) % 2) == 1)
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: dict[str, Column] | None = None) -> DataFrame:
@@ -32,38 +48,33 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     lengths = first.groupBy("_size").count().filter("count > 1").select("_size")
     # Counted before they meet the lengths: a length or prefix of a third of all rows is then one row per task.
     prefixes = first.groupBy("_size", "_prefix").count().filter("count > 1")
-    keys = prefixes.join(lengths, "_size", "left_semi").select("_size", "_prefix", F.lit(True).alias("_twice"))
-    keys = keep(keys, "dedup-keys")
-    small = keys.count() * KEY_BYTES <= BROADCAST_BYTES
+    shared = prefixes.join(lengths, "_size", "left_semi")
+    which, place = bit_of("_size", "_prefix")
+    bits = shared.select(which.alias("_which"), place.cast("long").alias("_place")).groupBy("_which").agg(F.bitmap_construct_agg("_place").alias("_bits"))
 
-    full = F.sha2(text, 256)
     scan = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), size.alias("_size"), prefix.alias("_prefix"),
-        # Without a bounded key table the hash is taken here, since a text must not travel through a shuffle.
-        (text if small else full).alias("_content"), *[c.alias(k) for k, c in (digests or {}).items()],
-    )
-    marked = scan.join(F.broadcast(keys) if small else keys, ["_size", "_prefix"], "left")
-    content = F.sha2(F.col("_content"), 256) if small else F.col("_content")
+        F.col(id_col).cast("long").alias("doc_id"), size.alias("_size"), prefix.alias("_prefix"), text.alias("_text"),
+        *[c.alias(k) for k, c in (digests or {}).items()],
+    ).withColumn("_which", which)
+    marked = scan.join(F.broadcast(keep(bits, "dedup-bits")), "_which", "left")  # at most BITS / ROW_BITS rows
     rows = keep(
         marked.select(
-            "doc_id", F.monotonically_increasing_id().alias("_row"), F.when(F.col("_twice"), content).alias("_hash"), "_size",
+            "doc_id", F.monotonically_increasing_id().alias("_row"), F.when(is_set("_bits", place), F.sha2("_text", 256)).alias("_hash"), "_size",
             *(digests or {}),
         ),
         "dedup-rows",
     )
-    groups = (
-        rows.filter("_hash is not null").groupBy("_size", "_hash")
-        .agg(F.max(F.struct("doc_id", "_row")).alias("_best"), F.count("*").alias("_n")).filter("_n > 1")
+    hashed = rows.filter("_hash is not null")
+    groups = hashed.groupBy("_size", "_hash").agg(F.max(F.struct("doc_id", "_row")).alias("_best"), F.count("*").alias("_n")).filter("_n > 1")
+    joined = hashed.join(small_broadcast(keep(groups, "dedup-groups"), GROUP_BYTES), ["_size", "_hash"], "left")
+    told = joined.withColumn("_alone", F.col("_n").isNull()).select(
+        "doc_id", F.when(F.col("_alone"), F.col("doc_id")).otherwise(F.col("_best.doc_id")).alias("keep_id"),
+        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), (F.col("_alone") | (F.col("_row") == F.col("_best._row"))).alias("kept"), *(digests or {}),
     )
-    joined = rows.join(groups, ["_size", "_hash"], "left")
-    alone = F.col("_n").isNull()
-    return joined.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("_best.doc_id")).alias("keep_id"),
-        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("_row") == F.col("_best._row"))).alias("kept"),
-        *(digests or {}),
+    alone = rows.filter("_hash is null").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *(digests or {})
     )
+    return told.unionByName(alone)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
