@@ -32,8 +32,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Bytes of a row number and of a node in a broadcast table, generously.
 ROW_BYTES, NODE_BYTES = 32, 64
-#: Bytes of shingles in a block of a bucket that is compared in full, and of a bucket's row in a broadcast table.
-BLOCK_BYTES, KEY_BYTES = 2 << 20, 128
+#: Bytes of shingles in a block of a bucket that is compared in full, and of a bucket's row, without and with pivots, in a broadcast table.
+BLOCK_BYTES, KEY_BYTES, PIVOT_BYTES = 2 << 20, 128, 256
 #: Elements whose darts are thrown at once.
 THROWN = 200_000
 
@@ -214,11 +214,13 @@ def star_pairs(rows: DataFrame, both_ends: bool) -> DataFrame:
     """(key, node, root) -> (a, b): each node of a key with a pivot of it that has another root.
 
     Pivots are the nodes of least and, with `both_ends`, of greatest (root, node): so a key's pairs are as many as its rows, or
-    twice as many, and pivots come from partial aggregates however many rows a key has.
+    twice as many, and pivots come from partial aggregates however many rows a key has. They are stored before they meet the
+    rows: they go to the rows up to a bound, and beyond it Spark can split what rows of one key come together.
     """
     ends = rows.groupBy("key").agg(F.min(F.struct("root", "node")).alias("low"), F.max(F.struct("root", "node")).alias("high")).filter("low.root <> high.root")
     pivots = F.array("low", "high") if both_ends else F.array("low")
-    met = rows.join(ends.select("key", pivots.alias("pivots")), "key").select("node", "root", F.explode("pivots").alias("p")).filter("root <> p.root")
+    chosen = small_broadcast(keep(ends.select("key", pivots.alias("pivots")), "near-pivots"), PIVOT_BYTES)
+    met = rows.join(chosen, "key").select("node", "root", F.explode("pivots").alias("p")).filter("root <> p.root")
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
