@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, map_batches, slices
+from .common import crc_of_id, held, map_batches, slices
 
 #: Hashed n-gram dimensions and n-gram orders.
 D, ORDERS = 4096, (1, 2, 3)
@@ -32,7 +31,6 @@ ROWS = 256
 UNKNOWN = "und"
 
 
-@cache
 def letters() -> np.ndarray:
     """Code point -> itself for letters, space for others."""
     out = np.full(0x110000, 32, dtype=np.uint32)
@@ -43,7 +41,8 @@ def letters() -> np.ndarray:
 
 def term_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(rows, D) counts of hashed character n-grams of lower-cased letters, all else being one space; and has-letter."""
-    codes = [letters()[np.frombuffer(("  " + (t or "").lower() + " ").encode("utf-32-le", "replace"), dtype=np.uint32)] for t in texts]
+    known = held(letters)
+    codes = [known[np.frombuffer(("  " + (t or "").lower() + " ").encode("utf-32-le", "replace"), dtype=np.uint32)] for t in texts]
     has = np.array([bool((c != 32).any()) for c in codes])
     chars = np.concatenate(codes).astype(np.uint64)
     doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, keep, map_batches, slices
+from .common import crc_of_id, held, keep, map_batches, slices
 
 #: Tokens of a block (a window is two blocks), width of the model, ids with an input vector of their own.
 BLOCK, WIDTH, INPUTS = 16, 16, 4096
@@ -90,10 +89,8 @@ class Tokens:
         return np.frombuffer(b"".join(ids), "<u2")[where], stop[bounds]
 
 
-@cache
 def tokens_of(path: str) -> Tokens:
-    """One per Python worker, for all its tasks."""
-    return Tokens(path)
+    return held(Tokens, path)
 
 
 def read(rows: DataFrame, path: str) -> DataFrame:

@@ -26,16 +26,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, map_batches, slices
+from .common import held, keep, map_batches, slices
 
 #: Tokens of a sequence, groups of large lengths, and the share of a sequence above which a length is large.
 CAPACITY, GROUPS, LARGE = 2048, 400, 1 / 3
 #: Id put after each document.
 END_ID = 0
 #: Parts of texts whose ids a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 250_000
 #: Bytes of text that are encoded together.
-SLICE = 16_000_000
+SLICE = 8_000_000
 #: Rounds of column generation; it stops by itself where no configuration improves on those it has.
 ROUNDS = 2000
 #: Rows of one length that one task ranks, about.
@@ -126,12 +126,6 @@ class Encoder:
         return np.frombuffer(b"".join(ids), "<u4")[where], stop[bounds]
 
 
-@cache
-def encoder(path: str, remember: int = REMEMBER) -> Encoder:
-    """One per Python worker, for all its tasks."""
-    return Encoder(path, remember)
-
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -142,7 +136,7 @@ def cut(
     last = np.array([END_ID], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, remember)
+        encode = held(Encoder, tokenizer, remember)
         for part in slices(batches, "text", together):
             ids, piece, start, length, crc = [], [], [], [], []
             tokens, bounds = encode(part.column(1))

@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices
+from .common import held, map_batches, slices
 
 #: Fixed values of the format: the mark that stands for a space, and what an unknown id decodes to.
 SPACE, UNKNOWN_TEXT = "▁", " ⁇ "
@@ -339,10 +338,8 @@ def mended(raw: bytes) -> str:
     return "".join(out)
 
 
-@cache
 def codec(path: str) -> Codec:
-    """One per Python worker, for all its tasks."""
-    return Codec(path)
+    return held(Codec, path)
 
 
 def model_path() -> str:
