@@ -69,7 +69,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Workers that have served the stages before have less memory to spare, so they encode less text at once and remember fewer words.
     """
     see_package(spark)
-    return pack_documents(docs, remember=100_000, together=3_000_000)
+    return pack_documents(docs, remember=30_000, together=1_500_000)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("pii", personal), ("packing", packed)]
