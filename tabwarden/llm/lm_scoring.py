@@ -33,7 +33,7 @@ ROUNDS, STEP_BLOCKS, RATE = 2, 224, 0.015
 #: Words whose counts may be broadcast (16 bytes each: 16 MB).
 FREQUENT = 1 << 20
 #: Words that a worker remembers, characters of text and bytes of ids handled at once.
-REMEMBER, SLICE, IDS = 180_000, 3_000_000, 3_000_000
+REMEMBER, SLICE, IDS = 150_000, 2_000_000, 1_000_000
 #: Blocks of one batch of masked attention in scoring.
 BATCH = 256
 
@@ -110,7 +110,7 @@ def streams(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     length = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2
     flat = np.frombuffer(b"".join(column.to_pylist()), "<u2")
     bounds = np.concatenate([[0], np.cumsum(length + 1)])
-    out = np.full(bounds[-1], end, np.int64)
+    out = np.full(bounds[-1], end, np.int32)
     inside = np.ones(bounds[-1], bool)
     inside[bounds[1:] - 1] = False
     out[inside] = flat
@@ -152,12 +152,12 @@ class Layout:
         n = len(counts)
         end = n - 1
         order = np.argsort(-counts[:end], kind="stable")
-        self.input = np.full(n, 0, np.int64)
+        self.input = np.full(n, 0, np.int32)
         self.input[order[: INPUTS - 3]] = np.arange(3, 3 + min(INPUTS - 3, end))  # 0: rare, 1: padding, 2: what begins a text
         self.input[end] = 2
         smooth = counts + 1.0
         order = np.concatenate([order[spaced[order]], order[~spaced[order]]])
-        self.target = np.full(n, (CLASSES - 1) * LEAVES, np.int64)
+        self.target = np.full(n, (CLASSES - 1) * LEAVES, np.int32)
         of_class = bands(smooth[order], CLASSES - 1)
         for c in range(CLASSES - 1):
             own = order[of_class == c]
@@ -176,10 +176,10 @@ class Layout:
         length = np.diff(bounds)
         n = -(-length // BLOCK)
         first = np.concatenate([[0], np.cumsum(n)])
-        inside = np.arange(len(ids)) - np.repeat(bounds[:-1], length)
+        inside = (np.arange(len(ids)) - np.repeat(bounds[:-1], length)).astype(np.int32)
         flat = np.repeat(first[:-1] * BLOCK, length) + inside
-        fed = np.full((first[-1] + 1) * BLOCK, 1, np.int64)
-        target = np.full(first[-1] * BLOCK, -1, np.int64)
+        fed = np.full((first[-1] + 1) * BLOCK, 1, np.int32)
+        target = np.full(first[-1] * BLOCK, -1, np.int32)
         target[flat] = self.target[ids]
         own = self.input[ids]
         after = np.flatnonzero(inside > 0)
@@ -384,7 +384,7 @@ def train(learned: DataFrame, path: str, layout: Layout, rounds: int = ROUNDS) -
             end, seen = len(tokens_of(path).spaced) - 1, 0
             own = Attention(layout).load(start)
             adam = Adam(own)
-            for part in slices(batches, "ids", IDS // 4):
+            for part in slices(batches, "ids", IDS):
                 fed, target = layout.blocks(*streams(part.column(0), end))
                 order = np.random.default_rng(seen).permutation(len(fed))
                 for at in range(0, len(order), STEP_BLOCKS):
