@@ -1,8 +1,8 @@
 """Exact top-k search by inner product: tiled matrix products, partial selection per tile, tree merge of the lists.
 
 Queries are packed into blocks and rows into shards; a tile is one block against one shard. A set of blocks is broadcast
-only up to a fixed size: a larger query set is cut into bands by a hash of the id, and each band is a pass of its own
-over the rows as stored, so neither rows nor queries are ever shuffled; only lists of k are.
+only up to a fixed number of bytes: a larger query set is cut into bands by a hash of the id, and each band is a pass of its own
+over the rows as stored, whose lists are stored in turn. So neither rows nor queries are ever shuffled; only lists of k are.
 """
 
 from __future__ import annotations
@@ -15,23 +15,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import keep, map_batches
 
 #: Queries of a block and rows of a shard.
 BLOCK, SHARD = 1024, 4096
-#: Queries whose vectors may be broadcast at once (64 components: 16 MB).
-BAND = 32768
+#: Bytes of query vectors that may be broadcast at once.
+BAND_BYTES = 16 << 20
 #: Lists that one task of a merge level joins for a query.
 FAN = 32
-#: Scaled components beyond this make products that a long might not hold; they are limited to it.
-LIMIT = 2.0**24
+#: Scaled components have to stay below this, so that they are longs.
+LIMIT = 2.0**63
 #: Below every score.
 NONE = -(2**62)
 
-PACKED = "ids binary, matrix binary, dim int"
+#: A matrix has `wide` bytes to a whole number.
+PACKED = "ids binary, matrix binary, dim int, wide int"
 LISTS = "query_id long, vec_id array<long>, score array<long>, task int"
 
 
+def whole(m: np.ndarray) -> np.ndarray:
+    """floor(256 x), as it is; a component that no long can hold is refused."""
+    out = np.floor(256 * m)
+    if np.abs(out).max(initial=0) >= LIMIT:
+        raise OverflowError("floor(256 x) of a component does not fit a long")
+    return out
+
+
 def scaled(vectors: list, ids: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By dimension: ids and floor(256 x) of the vectors that are whole and finite."""
     by_dim: dict[int, list] = {}
@@ -44,7 +53,7 @@ def scaled(vectors: list, ids: list) -> dict[int, tuple[np.ndarray, np.ndarray]]
             continue
         m = np.array([[np.nan if x is None else x for x in v] for _, v in rows], dtype=np.float64)
         good = np.isfinite(m).all(axis=1)
-        out[dim] = np.array([i for i, _ in rows], dtype=np.int64)[good], np.clip(np.floor(256 * m[good]), -LIMIT, LIMIT)
+        out[dim] = np.array([i for i, _ in rows], dtype=np.int64)[good], whole(m[good])
     return out
 
 
@@ -56,7 +65,7 @@ def fast(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         if sizes[0] and (sizes == sizes[0]).all():
             m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, sizes[0])
             good = np.isfinite(m).all(axis=1)
-            return {int(sizes[0]): (ids.to_numpy()[good].astype(np.int64), np.clip(np.floor(256 * m[good]), -LIMIT, LIMIT))}
+            return {int(sizes[0]): (ids.to_numpy()[good].astype(np.int64), whole(m[good]))}
     return scaled(vectors.to_pylist(), ids.to_pylist())
 
 
@@ -68,18 +77,23 @@ def pack(size: int):
             for dim, (ids, m) in fast(batch).items():
                 for at in range(0, len(ids), size):
                     part = m[at : at + size]
+                    wide = 4 if np.abs(part).max(initial=0) < 2.0**31 else 8
                     yield pa.RecordBatch.from_pydict({
-                        "ids": [ids[at : at + size].tobytes()], "matrix": [part.astype(np.int32).tobytes()], "dim": pa.array([dim], pa.int32())
+                        "ids": [ids[at : at + size].tobytes()], "matrix": [part.astype(f"i{wide}").tobytes()], "dim": pa.array([dim], pa.int32()),
+                        "wide": pa.array([wide], pa.int32()),
                     })
 
     return work
 
 
 def exact_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a b' of whole numbers, in float32 or float64 where every partial sum fits their mantissa, else in int64."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
-    return a.astype(kind) @ b.astype(kind).T
+    """a b' of whole numbers, in float32 or float64 where every partial sum fits their mantissa, else in longs or in Python's own numbers."""
+    bound = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1]
+    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64 if bound < 2**62 else object
+    found = a.astype(kind) @ b.astype(kind).T
+    if kind is object and found.size and max(abs(int(found.max())), abs(int(found.min()))) >= 2**62:
+        raise OverflowError("a score does not fit a long")
+    return found
 
 
 class Best:
@@ -145,12 +159,12 @@ def tiles(k: int):
                 raw, dim, block = batch.column(0)[r].as_buffer(), batch.column(2)[r].as_py(), batch.column(3)[r].as_py()
                 if last is None or not raw.equals(last):
                     last, ids = raw, np.frombuffer(raw, np.int64)
-                    m = np.frombuffer(batch.column(1)[r].as_buffer(), np.int32).reshape(-1, dim)
+                    m = np.frombuffer(batch.column(1)[r].as_buffer(), f"i{batch.column(6)[r].as_py()}").reshape(-1, dim)
                     order = np.argsort(ids, kind="stable")
                     shard = ids[order], m[order]
                 if block not in best:
                     q = np.frombuffer(batch.column(4)[r].as_buffer(), np.int64)
-                    best[block] = Best(q, np.frombuffer(batch.column(5)[r].as_buffer(), np.int32).reshape(len(q), dim), k)
+                    best[block] = Best(q, np.frombuffer(batch.column(5)[r].as_buffer(), f"i{batch.column(7)[r].as_py()}").reshape(len(q), dim), k)
                 best[block].take(*shard)
         task = TaskContext.get().partitionId()
         for b in best.values():
@@ -180,34 +194,41 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", ve
 
     Scores are inner products of floor(256 x), ties go to the smaller id. Vectors null, empty or with null or non-finite
     components take no part, nor do rows without id or vectors of another dimension than the query's. Rows that carry the query's id are its own. Repeated
-    rows count each; a repeated query id asks with its smallest vector. Components beyond 2**24 once scaled count as
-    2**24. Other columns are ignored; an empty table gives an empty result.
+    rows count each; a repeated query id asks with its smallest vector. A component or score that does not fit a long raises
+    OverflowError. Other columns are ignored; an empty table gives an empty result.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     asked = df.filter(queries).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    whole = F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    one = asked.filter(whole & F.col("id").isNotNull()).groupBy("id").agg(F.min("vector").alias("vector"))
-    # The number of passes follows from the number of queries; each pass broadcasts BAND queries or so.
-    bands = max(1, math.ceil(one.count() / BAND))
+    good = F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    one = asked.filter(good & F.col("id").isNotNull()).groupBy("id").agg(F.min("vector").alias("vector"))
+    # The number of passes follows from the bytes of the queries; each pass broadcasts BAND_BYTES or so.
+    one = keep(one, "topk-queries")
+    bands = max(1, math.ceil((one.agg(F.sum(F.size("vector").cast("long") * 8 + 8)).first()[0] or 0) / BAND_BYTES))
     found = None
     for band in range(bands):
-        part = one.filter(F.pmod(F.xxhash64("id"), F.lit(bands)) == band)
-        blocks = map_batches(part.coalesce(1) if bands == 1 else part, pack(BLOCK), PACKED).select(
-            F.monotonically_increasing_id().alias("block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dim").alias("q_dim")
-        )
-        shards = map_batches(rows, pack(SHARD), PACKED)
-        pairs = shards.join(F.broadcast(blocks), F.col("dim") == F.col("q_dim")).select("ids", "matrix", "dim", "block", "q_ids", "q_matrix")
-        lists = map_batches(pairs, tiles(k), LISTS)
-        found = lists if found is None else found.unionByName(lists)
+        part = one.filter(F.pmod(F.xxhash64("id"), F.lit(bands)) == band).coalesce(1)
+        best = searched(rows, part, k)
+        best = best if bands == 1 else keep(best, "topk-band")
+        found = best if found is None else found.unionByName(best)
+    return found.select("query_id", F.posexplode(F.arrays_zip("score", "vec_id")).alias("pos", "hit")).select(
+        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")
+    )
+
+
+def searched(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, score, vec_id), lists of the k best: one pass over the rows for a band of queries."""
+    blocks = map_batches(queries, pack(BLOCK), PACKED).select(
+        F.monotonically_increasing_id().alias("block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dim").alias("q_dim"), F.col("wide").alias("q_wide")
+    )
+    shards = map_batches(rows, pack(SHARD), PACKED)
+    pairs = shards.join(F.broadcast(blocks), F.col("dim") == F.col("q_dim")).select("ids", "matrix", "dim", "block", "q_ids", "q_matrix", "wide", "q_wide")
+    found = map_batches(pairs, tiles(k), LISTS)
     # Tree: each level joins at most FAN lists of a query, by the task that made them.
     parts = max(1, rows.rdd.getNumPartitions())
     while parts > FAN:
         found = merged(found, ["query_id", F.floor(F.col("task") / FAN).cast("int").alias("task")], k)
         parts = math.ceil(parts / FAN)
-    best = merged(found.select("query_id", "score", "vec_id"), ["query_id"], k)
-    return best.select("query_id", F.posexplode(F.arrays_zip("score", "vec_id")).alias("pos", "hit")).select(
-        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")
-    )
+    return merged(found.select("query_id", "score", "vec_id"), ["query_id"], k)
 
 
 def op1_exact_top_k(spark, sf_dir: str) -> DataFrame:
