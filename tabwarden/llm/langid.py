@@ -1,8 +1,8 @@
 """Language identification: nearest of several clustered centroids per language over TF-IDF n-gram vectors.
 
 Three passes, each linear and parallel over the documents: document frequencies of hashed character n-grams over every
-training text; a bounded, hash-chosen sample of training vectors per language, clustered on the driver; prediction.
-Nothing but the D document frequencies and the bounded sample reaches the driver.
+training text; a bounded, hash-chosen sample of training vectors per language, clustered in a task per language; prediction.
+Nothing but the D document frequencies, a few centroids per language and a bound per length reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, held, map_batches, slices
+from .common import crc_of_id, held, map_batches, slices, small_broadcast
 
 #: Hashed n-gram dimensions and n-gram orders.
 D, ORDERS = 4096, (1, 2, 3)
@@ -23,9 +23,13 @@ D, ORDERS = 4096, (1, 2, 3)
 TRAIN_PER_LANG = 1000
 #: Centroids per language and rounds of clustering.
 CENTROIDS, ROUNDS = 3, 12
-#: A text is rejected where its similarity to the nearest centroid is under this share of the least similarity
-#: that a training text of that centroid has to it.
-REJECT_SHARE = 0.25
+#: Similarity to the nearest centroid rises with the number of different n-grams, so bounds go by its binary logarithm. A text is
+#: rejected under this share of the least similarity of training texts that took no part in clustering (one in HELD_BACK).
+REJECT_SHARE, HELD_BACK = 0.7, 4
+#: Numbers of that kind, how many training texts a bound needs, and by what it falls for each number below those that have them.
+LENGTHS, ENOUGH, FALL = 13, 20, 0.75
+#: Bytes of a language and its count in a broadcast table, generously.
+LANG_BYTES = 128
 #: Documents whose vectors are held at once.
 ROWS = 256
 UNKNOWN = "und"
@@ -42,7 +46,7 @@ def letters() -> np.ndarray:
 def term_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(rows, D) counts of hashed character n-grams of lower-cased letters, all else being one space; and has-letter."""
     known = held(letters)
-    codes = [known[np.frombuffer(("  " + (t or "").lower() + " ").encode("utf-32-le", "replace"), dtype=np.uint32)] for t in texts]
+    codes = [known[np.frombuffer((" " + (t or "").lower() + " ").encode("utf-32-le", "replace"), dtype=np.uint32)] for t in texts]
     has = np.array([bool((c != 32).any()) for c in codes])
     chars = np.concatenate(codes).astype(np.uint64)
     doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
@@ -82,7 +86,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     langs: tuple[str, ...]  # of each centroid
-    least: np.ndarray  # similarity under which a text nearest to the centroid is rejected
+    least: np.ndarray  # by length_of(): similarity under which a text is rejected
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         counts, has = term_counts(texts)
@@ -92,7 +96,29 @@ class Model:
         best = near.argmax(axis=1)
         score = np.clip(near[np.arange(len(best)), best].astype(np.float64), 0, 1)
         lang = [self.langs[b] if h else UNKNOWN for b, h in zip(best, has)]
-        return lang, np.where(has, score, 0.0).tolist(), ((score < self.least[best]) | ~has).tolist()
+        return lang, np.where(has, score, 0.0).tolist(), ((score < self.least[length_of(counts)]) | ~has).tolist()
+
+
+def length_of(counts: np.ndarray) -> np.ndarray:
+    """Binary logarithm of the number of different n-grams of each row."""
+    return np.log2(np.maximum((counts > 0).sum(axis=1), 1)).astype(np.int64)
+
+
+def bounds(length: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The least similarity that is accepted at each length, from held-back texts of these lengths and similarities."""
+    out = np.full(LENGTHS, np.nan)
+    for i in range(LENGTHS):
+        own = near[length == i]
+        if len(own) >= ENOUGH:
+            out[i] = REJECT_SHARE * own.min()
+    known = np.flatnonzero(~np.isnan(out))
+    if not len(known):
+        return np.full(LENGTHS, REJECT_SHARE * FALL * near.min() if len(near) else 0.0)
+    for i in range(LENGTHS):
+        if np.isnan(out[i]):
+            longer = known[known > i]
+            out[i] = out[longer[0]] * FALL ** (longer[0] - i) if len(longer) else out[known[known < i][-1]]
+    return out
 
 
 def cluster(v: np.ndarray) -> np.ndarray:
@@ -111,8 +137,7 @@ def cluster(v: np.ndarray) -> np.ndarray:
 
 
 def fit(df: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Learn from the rows for which `train` holds and neither text nor language is null."""
-    spark = df.sparkSession
+    """Learn from the rows for which `train` holds and neither text nor language is null. Repeated rows are rows like others."""
     rows = df.filter(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
@@ -130,15 +155,10 @@ def fit(df: DataFrame, train: Column, text_col: str = "text", lang_col: str = "l
     idf = np.log((1 + total) / (1 + np.array([seen.get(i, 0) for i in range(D)]))).astype(np.float32) + np.float32(1)
 
     # At most TRAIN_PER_LANG rows of each language, those of the smallest hash; a hash bound thins large ones first.
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    hashed = rows.withColumn("_h", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
-    share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (1.3 * TRAIN_PER_LANG + 100) / n))).otherwise(share)
-    from pyspark.sql import Window
-
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    share = F.least(F.lit(1.0), F.lit(1.3 * TRAIN_PER_LANG + 100) / F.col("_n"))
     chosen = (
-        hashed.filter(F.col("_h") < share * (1 << 30))
+        rows.withColumn("_h", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))).join(small_broadcast(sizes, LANG_BYTES), "lang").filter(F.col("_h") < share * (1 << 30))
         .withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "id", F.xxhash64("text"))))
         .filter(F.col("_r") <= TRAIN_PER_LANG).select("lang", "text")
     )
@@ -146,35 +166,34 @@ def fit(df: DataFrame, train: Column, text_col: str = "text", lang_col: str = "l
     def vectorised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(batches, "text"):
             counts, has = term_counts(part.column(1).to_pylist())
-            v = vectors(counts, idf).astype(np.float16)
-            yield pa.RecordBatch.from_pydict({
-                "lang": [x for x, h in zip(part.column(0).to_pylist(), has) if h], "v": [x.tobytes() for x, h in zip(v, has) if h]
-            }, schema=pa.schema([("lang", pa.string()), ("v", pa.binary())]))
-
-    by_lang: dict[str, list[bytes]] = {}
-    for r in map_batches(chosen, vectorised, "lang string, v binary").toLocalIterator():
-        by_lang.setdefault(r["lang"], []).append(bytes(r["v"]))
-    centroids, langs, least = [], [], []
-    for lang in sorted(by_lang):
-        v = np.array([np.frombuffer(b, np.float16) for b in sorted(by_lang[lang])]).astype(np.float32)
-        c = cluster(v)
-        near = v @ c.T
-        of = near.argmax(axis=1)
-        for j in range(len(c)):
-            own = near[of == j, j]
-            centroids.append(c[j])
-            langs.append(lang)
-            least.append(REJECT_SHARE * float(own.min()) if len(own) else 0.0)
-    # A short text of one language may lie nearest to a tight centroid of another: the loosest bound holds for all.
-    floor = min(least, default=0.0)
-    return Model(idf, np.array(centroids, np.float32).reshape(-1, D), tuple(langs), np.full(len(langs), floor, np.float64))
+            v, length = vectors(counts, idf).astype(np.float16), length_of(counts)
+            yield pa.RecordBatch.from_arrays([
+                part.column(0).filter(pa.array(has)), pa.array([x.tobytes() for x in v[has]], pa.binary()), pa.array(length[has], pa.int32())
+            ], ["lang", "v", "length"])
+
+    def clustered(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("v", "ascending"), ("length", "ascending")])
+        v = np.frombuffer(b"".join(table["v"].to_pylist()), np.float16).reshape(-1, D).astype(np.float32)
+        back = np.arange(len(v)) % HELD_BACK == HELD_BACK - 1
+        c = cluster(v[~back])
+        return pa.table({
+            "lang": [table["lang"][0].as_py()], "centroids": pa.array([c.astype(np.float32).tobytes()], pa.binary()),
+            "length": [table["length"].to_numpy()[back].tolist()], "near": [(v[back] @ c.T).max(axis=1, initial=0).astype(np.float64).tolist()],
+        }, schema=pa.schema([("lang", pa.string()), ("centroids", pa.binary()), ("length", pa.list_(pa.int32())), ("near", pa.list_(pa.float64()))]))
+
+    seen = map_batches(chosen, vectorised, "lang string, v binary, length int").groupBy("lang").applyInArrow(clustered, "lang string, centroids binary, length array<int>, near array<double>")
+    found = sorted(seen.collect(), key=lambda r: r["lang"])
+    centroids = [np.frombuffer(bytes(r["centroids"]), np.float32).reshape(-1, D) for r in found]
+    langs = tuple(r["lang"] for r, c in zip(found, centroids) for _ in c)
+    least = bounds(np.array([x for r in found for x in r["length"]], int), np.array([x for r in found for x in r["near"]]))
+    return Model(idf, np.concatenate([*centroids, np.zeros((0, D), np.float32)]), langs, least)
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), rejected; one row per input row, whatever other columns it has.
 
     A text that is null or has no letter is `und`, score 0, rejected. Texts are read whole. Ties go to the language that
-    sorts first. An untrained model rejects all.
+    sorts first. An untrained model rejects all. Null ids and repeated rows are rows like others; an empty table gives an empty result.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
