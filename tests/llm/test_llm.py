@@ -61,6 +61,16 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup(docs.filter("doc_id = -5")).count() == 0
 
 
+def test_exact_dedup_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    from tabwarden.llm import common, exact_dedup as module
+
+    said = lambda: sorted((tuple(r) for r in exact_dedup(docs).collect()), key=str)
+    usual = [r[:3] for r in said()]
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(module, "BITS", 1 << 15)  # bits that several keys share hash more rows, and change nothing
+    assert [r[:3] for r in said()] == usual
+
+
 def shingles(text):
     w = (text or "").lower().split()
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
@@ -104,6 +114,30 @@ def test_near_dedup_recall_over_a_large_group(spark):
     assert sizes[0] >= 148 and sizes[-1] == 1
 
 
+def test_near_dedup_links_of_the_test_tables(spark):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = told(df)
+    sets = {i: shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    linked = [(a, b) for n, b in enumerate(ids) for a in ids[:n] if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    of = {r["doc_id"]: r["class_id"] for r in near_dedup(df).collect()}
+    assert linked and sum(of[a] == of[b] for a, b in linked) >= 0.98 * len(linked)
+
+
+def test_darts_agree_as_often_as_weighted_sets_overlap():
+    from tabwarden.llm import near_dedup as near
+
+    np = near.np
+    element = np.arange(1, 41, dtype=np.uint64)
+    a, b = np.where(element < 30, 0.3 + (element % 5), 0.0).astype(float), np.where(element > 8, 0.7 + (element % 3), 0.0).astype(float)
+    both = near.dart_signatures(np.repeat([0, 1], 40), near.mix(np.tile(element, 2)), np.concatenate([a, b]), 2, 4096)
+    assert (both[0] == both[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.03)
+
+
 def test_near_dedup_finds_pairs_within_a_family_below_the_threshold(spark, monkeypatch):
     from tabwarden.llm import near_dedup as near
 
@@ -262,6 +296,71 @@ def test_language(spark):
     assert {r["lang_pred"] for r in none} == {"und"}
 
 
+def test_language_by_plain_python(spark):
+    """Frequencies, vectors and cosines of the test tables' documents without arrays."""
+    import os
+
+    from tabwarden.llm import langid
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    df = df.unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("score", F.lit("clash"))
+    model = fit(df, ~langid.held_out())
+
+    def grams(text):
+        chars, out = [], {}
+        for c in (text or "").lower() + " ":
+            c = c if c.isalpha() else " "
+            if c != " " or chars[-1:] not in ([], [" "]):
+                chars.append(c)
+        for n in langid.ORDERS:
+            for i in range(len(chars) - n + 1):
+                h = n
+                for c in chars[i : i + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                out[h >> (64 - langid.D.bit_length() + 1)] = out.get(h >> (64 - langid.D.bit_length() + 1), 0) + 1
+        return out
+
+    rows = df.collect()
+    bags = [grams(r["text"]) for r in rows]
+    train = [b for r, b in zip(rows, bags) if (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2) and r["text"] is not None and r["lang"] is not None]
+    seen = {}
+    for b in train:
+        for g in b:
+            seen[g] = seen.get(g, 0) + 1
+    idf = [math.log((1 + len(train)) / (1 + seen.get(g, 0))) + 1 for g in range(langid.D)]
+    assert [float(x) for x in model.idf] == pytest.approx(idf, abs=1e-5)
+    centroids = [(lang, [float(x) for x in c]) for lang, c in zip(model.langs, model.centroids)]
+    want = {}
+    for r, b in zip(rows, bags):
+        v = {g: math.log1p(n) * idf[g] for g, n in b.items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        near = [(sum(x * c[g] for g, x in v.items()) / size, lang) for lang, c in centroids]
+        want[r["doc_id"]] = max(near) if any(ch.isalpha() for ch in r["text"] or "") else (0.0, "und")
+    got = identify(df, model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]][0], abs=1e-3) and r["lang_pred"] == want[r["doc_id"]][1]
+
+
+def test_language_rejects_junk_and_keeps_prose(spark):
+    import os
+
+    from tabwarden.llm import langid
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = fit(df, ~langid.held_out())
+    assert identify(df, model).filter("rejected").count() <= 1
+    junk = ["asdkjh qwlekj zxmcnb 1kjh2 qpwoe lkjsd mnxcb " * 8, "你好世界" * 30, "Привет мир это русский текст " * 9, "def f(x): return x+1 # 12345 " * 5, "qzxj " * 400]
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    assert identify(odd, model).filter("rejected").count() == len(junk)
+    assert identify(df.filter("doc_id < -1"), model).count() == 0
+
+
 def test_top_k(spark):
     import numpy as np
 
@@ -280,6 +379,26 @@ def test_top_k(spark):
     assert top_k(df.filter("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_top_k_large_components_and_bands(spark, monkeypatch):
+    from tabwarden.llm import topk
+
+    big = [(i, [1e5 * (i + 1), -3.0 * i, 1e6 * (i % 3)]) for i in range(40)]
+    df = spark.createDataFrame([(i, v, 7) for i, v in big], "vec_id long, embedding array<double>, score int")
+    own = {i: [math.floor(256 * x) for x in v] for i, v in big}
+    want = []
+    for q in range(0, 40, 5):
+        scores = sorted((-sum(a * b for a, b in zip(own[q], own[i])), i) for i in own if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:3])]
+    said = lambda: [tuple(r) for r in top_k(df, F.col("vec_id") % 5 == 0, 3).orderBy("query_id", "rank").collect()]
+    assert max(abs(r[3]) for r in want) > 2**53 and said() == want
+    monkeypatch.setattr(topk, "BAND_BYTES", 64)  # several passes
+    assert said() == want
+    with pytest.raises(OverflowError):
+        topk.whole(topk.np.array([[1e18]]))
+    with pytest.raises(OverflowError):
+        topk.exact_product(topk.np.array([[2**40]]), topk.np.array([[2**40]]))
+
+
 def test_chat_folds_events(spark):
     log = [
         (1, 0, "start", None, "user", "Hi"), (1, 1, "start", None, "assistant", None), (1, 2, "delta", None, None, "He"), (1, 3, "delta", 1, None, "llo"),
