@@ -31,7 +31,7 @@ def bit_of(size: str, prefix: str) -> tuple[Column, Column]:
 
 def is_set(bits: str, place: Column) -> Column:
     byte = F.conv(F.hex(F.substring(F.col(bits), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.col(bits).isNotNull() & ((F.shiftrightunsigned(byte, place % 8) % 2) == 1)
+    return F.col(bits).isNotNull() & (F.getbit(byte, place % 8) == 1)
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: dict[str, Column] | None = None) -> DataFrame:
