@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def named(column: str) -> Column:
+    """The column of this very name, whatever marks it has."""
+    return F.col(quoted(column))
+
+
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double; null where b is 0 or either is null."""
     return F.try_divide(a.cast("double"), b.cast("double"))
@@ -46,7 +55,7 @@ def rank_by_text(df: DataFrame, by: list[str], order: Column, ties: list[Column]
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
     ranked = cut.withColumn("_inner", F.row_number().over(inner)).join(begins, same)
-    return ranked.select(*df.columns, (F.col("_begin") + F.col("_inner")).cast("long").alias(name))
+    return ranked.select(*map(named, df.columns), (F.col("_begin") + F.col("_inner")).cast("long").alias(name))
 
 
 def logit_cut(score: Column, width: int = 64) -> Column:
@@ -79,6 +88,6 @@ def running(df: DataFrame, by: list[str], cut: Column, order: Column, sums: dict
     up_to, until = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(Window.unboundedPreceding, -1)
     # A join for each row's range; rows of a range then lie together for the windows.
     return rows.join(begins, same).select(
-        *df.columns, *[(F.sum(c).over(up_to) + F.coalesce(f"_s_{n}", F.lit(0))).alias(n) for n, c in sums.items()],
+        *map(named, df.columns), *[(F.sum(c).over(up_to) + F.coalesce(f"_s_{n}", F.lit(0))).alias(n) for n, c in sums.items()],
         *totals, *[F.coalesce(F.max(c).over(until), f"_m_{n}").alias(n) for n, c in before.items()],
     )

@@ -25,11 +25,16 @@ def own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written into the shared folder and read back: lineage ends there, and lost executors cost no second run. It goes when the session's JVM ends."""
+def written(df: DataFrame, what: str, kind: str = "parquet") -> str:
+    """The path of df, written into the shared folder. It goes when the session's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}.{kind}"
+    df.write.format(kind).save(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written into the shared folder and read back: lineage ends there, and lost executors cost no second run."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, what))

@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import ratio
+from ..functions.numbers import named, ratio
 from .bias import audit
 from .selection import z_scores
 
@@ -34,7 +34,7 @@ def cluster(df: DataFrame, features: list[str], k: int, seed: int = 42, name: st
     scaled = z_scores(df.select("*", *[F.col(f).cast("double").alias(n) for f, n in zip(features, z)]), z)
     rows = VectorAssembler(inputCols=z, outputCol="_features").transform(scaled)
     model = KMeans(k=k, seed=seed, maxIter=30, featuresCol="_features", predictionCol=name).fit(rows)
-    return model.transform(rows).select(*df.columns, name)
+    return model.transform(rows).select(*map(named, df.columns), name)
 
 
 def choose_clusters(df: DataFrame, features: list[str], ks: range = range(2, 31), by: str = "davies_bouldin", seed: int = 42) -> tuple[int, DataFrame]:

@@ -1,15 +1,20 @@
-"""Feature attributions: closed form for linear models, exact Shapley values for any model over few features, and reports."""
+"""Feature attributions: closed form for linear models, Shapley values for any model, exact over few features and sampled over many, and reports."""
 
 from __future__ import annotations
 
 from math import factorial
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import named
+
 #: Rows that are explained and rows of the background, by kind of explainer; features that exact values allow.
 TREE_ROWS, KERNEL_ROWS, MOST_FEATURES = 100, 14, 12
+#: Orders of the features that sampled values are averaged over, by pairs of an order and its reverse.
+ORDERS = 64
 TOP = 10
 
 
@@ -20,25 +25,25 @@ def explainer(model_name: str) -> str:
 
 def linear_shap(df: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
     """(id, feature, value, shap): w (x - mean), on the scale of the log odds; the background is the explained rows."""
-    means = df.agg(*[F.avg(F.col(f).cast("double")).alias(f"_m {f}") for f in weights])
+    means = df.agg(*[F.avg(named(f).cast("double")).alias(f"_m {f}") for f in weights])
     wide = df.join(F.broadcast(means))  # a single row
-    return wide.select(F.col(key).alias("id"), F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), (F.lit(float(w)) * (F.col(f) - F.col(f"_m {f}"))).alias("shap")) for f, w in weights.items()
+    return wide.select(named(key).alias("id"), F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), named(f).cast("double").alias("value"), (F.lit(float(w)) * (named(f) - named(f"_m {f}"))).alias("shap")) for f, w in weights.items()
     ])).alias("x")).select("id", "x.*")
 
 
 def exact_shapley(df: DataFrame, key: str, features: list[str], predict, background: DataFrame | None = None) -> DataFrame:
     """(id, class, feature, value, shap): interventional Shapley values of any model, by all coalitions of the features.
 
-    df and background are samples of at most TREE_ROWS rows (see stratified_sample); predict takes a DataFrame with a vector column
+    df and background are samples of at most TREE_ROWS rows (see stratified_sample), else ValueError; predict takes a DataFrame with a vector column
     `features` and adds an array `p` of class scores. Each (row, background row, coalition) is a row that the model scores, so
-    the work is spread over the cluster; at most MOST_FEATURES features, else ValueError.
+    the work is spread over the cluster; at most MOST_FEATURES features, else ValueError (see sampled_shapley).
     """
     d = len(features)
     if d > MOST_FEATURES:
         raise ValueError(f"exact values take at most {MOST_FEATURES} features")
-    rows = df.select(F.col(key).alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-    base = [list(r) for r in (df if background is None else background).select(*[F.col(f).cast("double") for f in features]).limit(TREE_ROWS).collect()]
+    rows = df.select(named(key).alias("id"), F.array(*[named(f).cast("double") for f in features]).alias("x"))
+    base = bounded_rows(df if background is None else background, features)
     others = df.sparkSession.createDataFrame([([float(v) for v in b],) for b in base], "b array<double>")
     mixed = rows.join(F.broadcast(others)).select("id", "x", "b", F.explode(F.sequence(F.lit(0), F.lit(2**d - 1))).alias("s"))
     hybrid = mixed.select("id", "x", "s", array_to_vector(F.transform("x", lambda v, i: F.when(F.get(binary("s", d), i) == 1, v).otherwise(F.get("b", i)))).alias("features"))
@@ -54,6 +59,47 @@ def exact_shapley(df: DataFrame, key: str, features: list[str], predict, backgro
     ])).alias("e")).select("id", "class", "e.*")
 
 
+def bounded_rows(df: DataFrame, features: list[str]) -> list[list[float]]:
+    """The rows' features, sorted; ValueError beyond TREE_ROWS rows."""
+    found = [list(r) for r in df.select(*[named(f).cast("double") for f in features]).limit(TREE_ROWS + 1).collect()]
+    if len(found) > TREE_ROWS:
+        raise ValueError(f"a background has at most {TREE_ROWS} rows")
+    return sorted(found, key=str)
+
+
+def sampled_shapley(df: DataFrame, key: str, features: list[str], predict, background: DataFrame | None = None, orders: int = ORDERS) -> DataFrame:
+    """(id, class, feature, value, shap, error): interventional Shapley values by drawn orders of the features, for any number of them.
+
+    In each order features go from a background row's values to the row's own, one by one; a feature's value is the mean change that
+    it brings, and `error` the standard error of that mean. Orders come in pairs, one the reverse of the other, with a background row
+    for each pair, all by a fixed seed. For each row the values add up to its score less the mean score of the background rows drawn.
+    """
+    d = len(features)
+    base, draw = bounded_rows(df if background is None else background, features), np.random.default_rng(11)
+    drawn = []
+    for pair in range(orders // 2 if base else 0):
+        rank = draw.permutation(d)
+        drawn += [(2 * pair + turn, (rank if turn == 0 else d - 1 - rank).tolist(), [float(v) for v in base[pair % len(base)]]) for turn in (0, 1)]
+    plans = df.sparkSession.createDataFrame(drawn, "j int, rank array<int>, b array<double>")
+    rows = df.select(named(key).alias("id"), F.array(*[named(f).cast("double") for f in features]).alias("x"))
+    steps = rows.join(F.broadcast(plans)).select("id", "x", "j", "rank", "b", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("t"))
+    hybrid = steps.select("id", "x", "j", "rank", "t", array_to_vector(F.transform("x", lambda v, i: F.when(F.get("rank", i) < F.col("t"), v).otherwise(F.get("b", i)))).alias("features"))
+    worth = predict(hybrid).select("id", "x", "j", "rank", "t", F.posexplode("p").alias("class", "p"))
+    along = worth.groupBy("id", "x", "class", "j", "rank").agg(F.sort_array(F.collect_list(F.struct("t", "p"))).alias("w"))  # d + 1 entries
+    change = F.transform("rank", lambda r, i: F.struct(i.alias("i"), (F.get(F.col("w.p"), r + 1) - F.get(F.col("w.p"), r)).alias("c")))
+    told = along.select("id", "x", "class", "j", F.explode(change).alias("e"))
+    pairs = told.groupBy("id", "x", "class", "e.i", F.floor(F.col("j") / 2).alias("pair")).agg(F.avg("e.c").alias("c"))
+    means = pairs.groupBy("id", "x", "class", "i").agg(F.avg("c").alias("shap"), (F.stddev_samp("c") / F.sqrt(F.count("*"))).alias("error"))
+    return means.select("id", "class", F.get(F.array(*map(F.lit, features)), F.col("i")).alias("feature"), F.get("x", F.col("i")).alias("value"), "shap", "error")
+
+
+def explained(df: DataFrame, key: str, features: list[str], predict, background: DataFrame | None = None) -> DataFrame:
+    """(id, class, feature, value, shap, error): exact values where their features are few enough, with error 0, else sampled ones."""
+    if len(features) <= MOST_FEATURES:
+        return exact_shapley(df, key, features, predict, background).withColumn("error", F.lit(0.0))
+    return sampled_shapley(df, key, features, predict, background)
+
+
 def binary(column: str, d: int) -> Column:
     """The bits of a number, lowest first, as an array."""
     return F.array(*[F.shiftright(F.col(column), i).bitwiseAND(F.lit(1)) for i in range(d)])

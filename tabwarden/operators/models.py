@@ -16,14 +16,15 @@ from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Normalizer, SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import named
 from .prep import stratified_folds
 from .scoring import auc, best_threshold, bundle, class_bundle, long_metrics, mean_threshold, one_against_rest
-from .selection import preprocess, routed, select_features
+from .selection import LIMIT, preprocess, select_features
 
 log = logging.getLogger(__name__)
 
@@ -120,8 +121,9 @@ def fit(rows: DataFrame, kind: str, params: dict, k: int, width: int) -> Fitted:
 
 
 def vectors(df: DataFrame, features: list[str], target: str, keep: list[str] = ()) -> DataFrame:
-    rows = df.select(F.col(target).cast("double").alias("label"), *keep, *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
-    return VectorAssembler(inputCols=features, outputCol="features").transform(rows).select("label", *keep, "features")
+    places = [f"_{i}" for i in range(len(features))]
+    rows = df.select(named(target).cast("double").alias("label"), *keep, *[named(f).cast("double").alias(p) for f, p in zip(features, places)])
+    return VectorAssembler(inputCols=places, outputCol="features").transform(rows).select("label", *keep, "features")
 
 
 def candidates(spec: Spec, search: str) -> list[dict]:
@@ -185,53 +187,84 @@ def evaluate(scored: DataFrame, k: int, metric: str, thresholds: DataFrame | Non
     return long_metrics(bundle(joined, F.col("threshold"))), found
 
 
+Errors = list[tuple[str, str, int, str]]
+
+
+def chosen(ready: DataFrame, names: list[str], target: str, method: str | None, limit: float) -> list[str]:
+    """The features that a selector keeps; `limit` of correlation is for the one that looks at it."""
+    if not method:
+        return names
+    return select_features(ready, names, target, method, **({"limit": limit} if method == "featurewiz" else {}))
+
+
+def scored_rows(spark, parts: list[DataFrame], df: DataFrame, key: str) -> DataFrame:
+    """All parts together; without any, an empty table of their columns."""
+    if parts:
+        return reduce(DataFrame.unionByName, parts)
+    return spark.createDataFrame([], f"model string, fold int, id {dict(df.dtypes)[key]}, y int, p array<double>")
+
+
 def cross_validate(
     df: DataFrame, target: str, key: str, k: int, models: list[str], folds: int = 5, method: str | None = None, params: dict[str, dict] | None = None,
+    limit: float = LIMIT, errors: Errors | None = None,
 ) -> DataFrame:
     """(model, fold, id, y, p): every row scored by a model that was selected, scaled and fitted without its fold.
 
-    A fold whose fit fails is left out with a warning, never scored by another model.
+    A fold whose preparation or fit fails is left out, with a warning and a row of `errors` (stage, model, fold, error), never
+    scored by another model.
     """
     folded = stratified_folds(df, target, key, folds).cache()
-    parts = []
+    parts, errors = [], [] if errors is None else errors
+
+    def failed(model: str, fold: int, error: Exception) -> None:
+        log.warning("%s, fold %d failed: %s", model, fold, error)
+        errors.append(("cross-validation", model, fold, str(error)[:500]))
+
     for f in range(folds):
         train, test = folded.filter(F.col("fold") != f).drop("fold"), folded.filter(F.col("fold") == f).drop("fold")
-        ready, other, names = preprocess(train, test, [target, key])
-        if method:
-            names = select_features(ready, names, target, method) or names
+        try:
+            ready, other, made = preprocess(train, test, [target, key])
+            names = chosen(ready, list(made), target, method, limit)
+        except Exception as error:
+            failed("", f, error)
+            continue
         own, held = vectors(ready, names, target, [key]).cache(), vectors(other, names, target, [key])
         for m in models:
             spec = adjusted(REGISTRY[m], k)
             try:
                 model = fit(own, spec.kind, (params or {}).get(m, spec.params), k, len(names))
             except Exception as error:
-                log.warning("%s, fold %d failed: %s", m, f, error)
+                failed(m, f, error)
                 continue
-            parts.append(model.scores(held).select(F.lit(m).alias("model"), F.lit(f).alias("fold"), F.col(key).alias("id"), F.col("label").cast("int").alias("y"), "p"))
+            parts.append(model.scores(held).select(F.lit(m).alias("model"), F.lit(f).alias("fold"), named(key).alias("id"), F.col("label").cast("int").alias("y"), "p"))
         own.unpersist()
     folded.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+    return scored_rows(df.sparkSession, parts, df, key)
 
 
 def hold_out(
     train: DataFrame, test: DataFrame, target: str, key: str, k: int, models: list[str], method: str | None = None, params: dict[str, dict] | None = None,
-) -> tuple[DataFrame, dict[str, Fitted], list[str]]:
-    """Scored rows of the test table (fold -1) by models fitted on the whole train table, the models, and the features' names."""
-    ready, other, names = preprocess(train, test, [target, key])
-    if method:
-        names = select_features(ready, names, target, method) or names
+    limit: float = LIMIT, errors: Errors | None = None,
+) -> tuple[DataFrame, dict[str, Fitted], dict[str, str]]:
+    """Scored rows of the test table (fold -1) by models fitted on the whole train table, the models, and the features with the SQL of each.
+
+    A model that fails is left out, with a warning and a row of `errors`.
+    """
+    ready, other, made = preprocess(train, test, [target, key])
+    names = chosen(ready, list(made), target, method, limit)
     own, held = vectors(ready, names, target, [key]).cache(), vectors(other, names, target, [key])
-    fitted, parts = {}, []
+    fitted, parts, errors = {}, [], [] if errors is None else errors
     for m in models:
         spec = adjusted(REGISTRY[m], k)
         try:
             fitted[m] = fit(own, spec.kind, (params or {}).get(m, spec.params), k, len(names))
         except Exception as error:
             log.warning("%s failed: %s", m, error)
+            errors.append(("hold-out", m, -1, str(error)[:500]))
             continue
-        parts.append(fitted[m].scores(held).select(F.lit(m).alias("model"), F.lit(-1).alias("fold"), F.col(key).alias("id"), F.col("label").cast("int").alias("y"), "p"))
+        parts.append(fitted[m].scores(held).select(F.lit(m).alias("model"), F.lit(-1).alias("fold"), named(key).alias("id"), F.col("label").cast("int").alias("y"), "p"))
     own.unpersist()
-    return reduce(DataFrame.unionByName, parts), fitted, names
+    return scored_rows(train.sparkSession, parts, train, key), fitted, {n: made[n] for n in names}
 
 
 def hold_out_metrics(scored: DataFrame, k: int, thresholds: DataFrame) -> DataFrame:
@@ -240,12 +273,28 @@ def hold_out_metrics(scored: DataFrame, k: int, thresholds: DataFrame) -> DataFr
     return evaluate(scored, k, "balanced_accuracy", means)[0]
 
 
-def save(fitted: dict[str, Fitted], path: str) -> None:
-    """Each model's stages as a pipeline model under path/<name>."""
+def pipeline(model: Fitted, features: dict[str, str]) -> PipelineModel:
+    """One model from raw columns to `p`, a vector of the scores of classes 0 to K - 1: preparation, selection, fitted models, curves over margins."""
+    places = [f"_f{i}" for i in range(len(features))]
+    made = ", ".join(f"{sql} AS {p}" for p, sql in zip(places, features.values()))
+    stages: list[Transformer] = [SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__"), VectorAssembler(inputCols=places, outputCol="_features")]
+    for i, (one, curve) in enumerate(zip(model.models, model.curves)):
+        raw, chance = f"_raw{i}", f"_chance{i}"
+        given = {one.featuresCol: "_features", one.rawPredictionCol: raw, one.predictionCol: f"_label{i}"} | ({one.probabilityCol: chance} if hasattr(one, "probabilityCol") else {})
+        stages.append(one.copy(given))
+        if curve is not None:
+            stages.append(VectorSlicer(inputCol=raw, outputCol=f"_margin{i}", indices=[1]))
+            stages.append(curve.copy({curve.featuresCol: f"_margin{i}", curve.rawPredictionCol: f"_r{i}", curve.probabilityCol: chance, curve.predictionCol: f"_l{i}"}))
+        if len(model.models) > 1:
+            stages.append(VectorSlicer(inputCol=chance, outputCol=f"_one{i}", indices=[1]))
+    if len(model.models) > 1:
+        stages += [VectorAssembler(inputCols=[f"_one{i}" for i in range(model.k)], outputCol="_all"), Normalizer(inputCol="_all", outputCol="p", p=1.0)]
+    else:
+        stages.append(SQLTransformer(statement="SELECT *, _chance0 AS p FROM __THIS__"))
+    return PipelineModel(stages)
+
+
+def save(fitted: dict[str, Fitted], features: dict[str, str], path: str) -> None:
+    """Each model, from raw columns to scores, as a pipeline model under path/<name>."""
     for name, f in fitted.items():
-        PipelineModel([s for s in (*f.models, *f.curves) if s is not None]).write().overwrite().save(f"{path}/{name.replace(' ', '_')}")
-
-
-def usable(df: DataFrame, skip: list[str]) -> list[str]:
-    numeric, text = routed(df, skip)
-    return numeric + text
+        pipeline(f, features).write().overwrite().save(f"{path}/{name.replace(' ', '_')}")

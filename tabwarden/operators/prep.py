@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import rank_by_text, ratio, shuffled
+from ..functions.numbers import named, rank_by_text, ratio, shuffled
 
 TARGET = "Target"
 #: Names of a key column, in order of preference, and that of one made here.
@@ -49,7 +49,7 @@ def assign_key(df: DataFrame) -> tuple[DataFrame, str]:
     key = key_of(df)
     if key:
         return df, key
-    said = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).cast("binary"))
+    said = F.md5(F.to_json(F.struct(*map(named, df.columns)), {"ignoreNullFields": "false"}).cast("binary"))
     copies = Window.partitionBy("_said").orderBy(F.lit(1))
     made = df.withColumn("_said", said).withColumn(MADE_KEY, F.concat_ws("-", "_said", F.row_number().over(copies)))
     return made.drop("_said"), MADE_KEY
@@ -60,9 +60,9 @@ def drop_null_rows(df: DataFrame, key: str | None = None) -> DataFrame:
     whole = F.lit(True)
     for f in df.schema.fields:
         if f.name != key:
-            whole = whole & F.col(f.name).isNotNull()
+            whole = whole & named(f.name).isNotNull()
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-                whole = whole & ~F.isnan(f.name)
+                whole = whole & ~F.isnan(named(f.name))
     return df.filter(whole)
 
 
@@ -72,7 +72,7 @@ def domain_report(train: DataFrame, test: DataFrame) -> DataFrame:
     if not both:
         return train.sparkSession.createDataFrame([], "feature string, n_train long, n_test long, n_unmatched long")
     side = lambda df, n: df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in both
+        F.struct(F.lit(c).alias("feature"), named(c).cast("string").alias("value")) for c in both
     ])).alias("x")).select("x.feature", "x.value", F.lit(n).alias("side")).filter("value is not null")
     seen = side(train, 1).unionByName(side(test, 2)).groupBy("feature", "value").agg(F.max((F.col("side") == 1).cast("int")).alias("a"), F.max((F.col("side") == 2).cast("int")).alias("b"))
     found = seen.groupBy("feature").agg(
@@ -86,7 +86,7 @@ def domain_report(train: DataFrame, test: DataFrame) -> DataFrame:
 def match_domains(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the text columns whose sets of values differ. Only the columns' names reach the driver."""
     bad = [r["feature"] for r in domain_report(train, test).filter("n_unmatched > 0").select("feature").collect()]
-    return train.drop(*bad), test.drop(*bad)
+    return tuple(df.select(*[named(c) for c in df.columns if c not in bad]) for df in (train, test))
 
 
 def prepare(train: DataFrame, test: DataFrame, target: str = TARGET) -> tuple[DataFrame, DataFrame]:
@@ -96,18 +96,13 @@ def prepare(train: DataFrame, test: DataFrame, target: str = TARGET) -> tuple[Da
     return match_domains(drop_null_rows(train, train_key), drop_null_rows(test, test_key))
 
 
-def features_of(df: DataFrame, target: str = TARGET) -> list[str]:
-    """Columns that are neither target nor key."""
-    return [c for c in df.columns if c != target and c not in (*KEYS, MADE_KEY)]
-
-
 def split_label(df: DataFrame, target: str = TARGET) -> tuple[DataFrame, DataFrame]:
     return df.drop(target), df.select(target)
 
 
 def codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): the distinct non-null values in order, numbered from 0."""
-    values = df.select(F.col(column).cast("string").alias("value")).filter("value is not null").distinct()
+    values = df.select(named(column).cast("string").alias("value")).filter("value is not null").distinct()
     return rank_by_text(values, [], F.col("value"), [], "code", prefix=2).select("value", (F.col("code") - 1).alias("code"))
 
 
@@ -115,7 +110,7 @@ def code_integers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """df with its text columns (or those named) as codes of their sorted distinct values; null is -1."""
     for c in columns if columns is not None else [c for c in df.columns if is_text(df, c)]:
         known = codes(df, c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-        joined = df.join(known, F.col(c).cast("string") == F.col("_value"), "left")
+        joined = df.join(known, named(c).cast("string") == F.col("_value"), "left")
         df = joined.withColumn(c, F.coalesce("_code", F.lit(-1)).cast("long")).drop("_value", "_code")
     return df
 
@@ -161,7 +156,7 @@ def stratified_sample(df: DataFrame, label: str, key: str, cap: int, seed: int =
     quotas = sizes.select("_label", quota.cast("long").alias("_quota"))
     ranked = rank_by_text(rows, [label], shuffled(key, seed), [F.col(key)], "_rank")
     kept = ranked.join(F.broadcast(quotas) if binary else quotas, F.col(label) == F.col("_label")).filter(F.col("_rank") <= F.col("_quota"))
-    return kept.select(*df.columns)
+    return kept.select(*map(named, df.columns))
 
 
 def train_test_split(df: DataFrame, label: str, key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import ratio
+from ..functions.numbers import named, quoted, ratio
 
 #: Least importance of a selected feature, features that recursive elimination keeps, weight of the lasso, limit of correlation.
 IMPORTANCE, KEEP, LASSO, LIMIT = 0.01, 5, 0.001, 0.7
@@ -20,13 +20,13 @@ BINS, MOST_CATEGORIES = 10, 1000
 
 def long_pairs(one: DataFrame, features: list[str], name: str) -> Column:
     return F.explode(F.array(*[
-        F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"`{a}|{b}`").alias(name)) for i, a in enumerate(features) for b in features[i + 1 :]
+        F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), named(f"{a}|{b}").alias(name)) for i, a in enumerate(features) for b in features[i + 1 :]
     ])).alias("x")
 
 
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:
     """(f1, f2, r) of each pair in the order of `features`, one pass; null where a feature is constant."""
-    x = {f: F.col(f).cast("double") for f in features}
+    x = {f: named(f).cast("double") for f in features}
     one = df.agg(*[
         ratio(F.covar_pop(x[a], x[b]), F.stddev_pop(x[a]) * F.stddev_pop(x[b])).alias(f"{a}|{b}") for i, a in enumerate(features) for b in features[i + 1 :]
     ])
@@ -35,10 +35,10 @@ def correlations(df: DataFrame, features: list[str]) -> DataFrame:
 
 def binned_information(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(feature, mi): mutual information in nats of each feature's equal-width bin and the target. Two passes of aggregates."""
-    ends = df.agg(*[f(F.col(c).cast("double")).alias(f"{n} {c}") for c in features for n, f in (("low", F.min), ("high", F.max))])
-    spread = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"low {c}").alias("low"), F.col(f"high {c}").alias("high")) for c in features])).alias("e")
+    ends = df.agg(*[f(named(c).cast("double")).alias(f"{n} {c}") for c in features for n, f in (("low", F.min), ("high", F.max))])
+    spread = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), named(f"low {c}").alias("low"), named(f"high {c}").alias("high")) for c in features])).alias("e")
     bounds = ends.select(spread).select("e.*")
-    rows = df.select(F.col(target).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("v"))
+    rows = df.select(named(target).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), named(c).cast("double").alias("x")) for c in features])).alias("v"))
     place = F.least(F.floor(F.coalesce(ratio((F.col("v.x") - F.col("low")) * BINS, F.col("high") - F.col("low")), F.lit(0.0))), F.lit(BINS - 1))
     binned = rows.join(F.broadcast(bounds), F.col("v.feature") == F.col("feature")).select("feature", place.alias("b"), "y")  # one row per feature
     cells = binned.groupBy("feature", "b", "y").agg(F.count("*").alias("n"))
@@ -60,8 +60,9 @@ def sulov(df: DataFrame, features: list[str], target: str, limit: float = LIMIT)
 
 
 def assembled(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    rows = df.select(F.col(target).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features])
-    return VectorAssembler(inputCols=features, outputCol="features").transform(rows)
+    places = [f"_{i}" for i in range(len(features))]
+    rows = df.select(named(target).cast("double").alias("label"), *[named(f).cast("double").alias(p) for f, p in zip(features, places)])
+    return VectorAssembler(inputCols=places, outputCol="features").transform(rows)
 
 
 def forest_importances(df: DataFrame, features: list[str], target: str) -> dict[str, float]:
@@ -128,24 +129,28 @@ SELECTORS: dict[str, Callable[..., list[str]]] = {
 
 
 def select_features(df: DataFrame, features: list[str], target: str, method: str = "featurewiz", **options) -> list[str]:
-    """Names of the selected numeric features, by one of SELECTORS."""
+    """Names of the selected features, by one of SELECTORS; ValueError where none is left."""
     if method not in SELECTORS:
         raise ValueError(f"no selector {method}: one of {', '.join(SELECTORS)}")
-    return SELECTORS[method](df, features, target, **options)
+    found = SELECTORS[method](df, features, target, **options)
+    if not found:
+        raise ValueError(f"{method} leaves no feature")
+    return found
 
 
 def z_scores(df: DataFrame, features: list[str], fitted_on: DataFrame | None = None) -> DataFrame:
     """df with its features as z-scores by the population's standard deviation over `fitted_on` (df itself); constants become 0."""
     base = df if fitted_on is None else fitted_on
-    stats = base.agg(*[f(F.col(c).cast("double")).alias(f"_{n} {c}") for c in features for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    stats = base.agg(*[f(named(c).cast("double")).alias(f"_{n} {c}") for c in features for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
     wide = df.join(F.broadcast(stats))  # a single row
-    scaled = {c: F.when(F.col(f"_std {c}") > 0, (F.col(c) - F.col(f"_mean {c}")) / F.col(f"_std {c}")).otherwise(F.when(F.col(c).isNotNull(), 0.0)) for c in features}
-    return wide.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
+    mean, std = (lambda c: named(f"_mean {c}")), (lambda c: named(f"_std {c}"))
+    scaled = {c: F.when(std(c) > 0, (named(c) - mean(c)) / std(c)).otherwise(F.when(named(c).isNotNull(), 0.0)) for c in features}
+    return wide.select(*[scaled[c].alias(c) if c in scaled else named(c) for c in df.columns])
 
 
 def categories(df: DataFrame, column: str, most: int = MOST_CATEGORIES) -> list[str]:
     """Sorted distinct values; ValueError beyond `most`, so what the driver holds is bounded."""
-    found = [r[0] for r in df.select(F.col(column).cast("string")).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    found = [r[0] for r in df.select(named(column).cast("string").alias("v")).filter("v is not null").distinct().limit(most + 1).collect()]
     if len(found) > most:
         raise ValueError(f"column {column} has more than {most} categories")
     return sorted(found)
@@ -153,11 +158,19 @@ def categories(df: DataFrame, column: str, most: int = MOST_CATEGORIES) -> list[
 
 def one_hot(df: DataFrame, column: str, known: list[str]) -> DataFrame:
     """df with a 0/1 column `column=value` per known value instead of the column; a value that is not known fails the query."""
-    seen = reduce(lambda c, v: c | (F.col(column) == v), known, F.lit(False))
-    flag = lambda v: F.when(F.coalesce(seen, F.lit(False)), (F.col(column) == v).cast("int")).otherwise(
-        F.raise_error(F.concat(F.lit(f"unknown category in {column}: "), F.coalesce(F.col(column), F.lit("null")))).cast("int")
-    )
-    return df.select(*[c for c in df.columns if c != column], *[flag(v).alias(f"{column}={v}") for v in known])
+    return df.select(*[named(c) for c in df.columns if c != column], *[F.expr(flag(column, v, known)).cast("int").alias(f"{column}={v}") for v in known])
+
+
+def said(text: str) -> str:
+    """A SQL string."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def flag(column: str, v: str, known: list[str]) -> str:
+    """SQL: 1 where the column has this value, 0 for another known one; any other value fails the query."""
+    c = quoted(column)
+    others = ", ".join(map(said, known))
+    return f"CASE WHEN {c} = {said(v)} THEN 1 WHEN {c} IN ({others}) THEN 0 ELSE CAST(raise_error(concat({said(f'unknown category in {column}: ')}, coalesce({c}, 'null'))) AS INT) END"
 
 
 def routed(df: DataFrame, skip: list[str]) -> tuple[list[str], list[str]]:
@@ -167,17 +180,26 @@ def routed(df: DataFrame, skip: list[str]) -> tuple[list[str], list[str]]:
     return numeric, [f.name for f in fields if isinstance(f.dataType, T.StringType)]
 
 
-def preprocess(train: DataFrame, other: DataFrame, skip: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both tables scaled and one-hot encoded by the train table, and the names of the features."""
+def preparation(train: DataFrame, skip: list[str]) -> dict[str, str]:
+    """Feature -> the SQL that makes it from a raw row, as a double: z-scores and 0/1 columns by the train table. One pass for all numbers."""
     numeric, text = routed(train, skip)
-    keep = [c for c in train.columns if c in skip]
-    names = list(numeric)
-    out = [z_scores(df.select(*[c for c in keep if c in df.columns], *numeric, *text), numeric, train) for df in (train, other)]
+    out: dict[str, str] = {}
+    stats = train.agg(F.count("*"), *[f(named(c).cast("double")) for c in numeric for f in (F.avg, F.stddev_pop)]).first()[1:]
+    for i, c in enumerate(numeric):
+        mean, std = stats[2 * i], stats[2 * i + 1]
+        plain = std is None or not std > 0
+        out[c] = f"CASE WHEN {quoted(c)} IS NOT NULL THEN 0.0D END" if plain else f"(CAST({quoted(c)} AS DOUBLE) - ({mean!r}D)) / {std!r}D"
     for c in text:
         known = categories(train, c)
-        out = [one_hot(df, c, known) for df in out]
-        names += [f"{c}={v}" for v in known]
-    return out[0], out[1], names
+        out |= {f"{c}={v}": f"CAST({flag(c, v, known)} AS DOUBLE)" for v in known}
+    return out
+
+
+def preprocess(train: DataFrame, other: DataFrame, skip: list[str]) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """Both tables scaled and one-hot encoded by the train table, and the features with the SQL of each."""
+    made = preparation(train, skip)
+    ready = [df.select(*[named(c) for c in train.columns if c in skip and c in df.columns], *[F.expr(e).alias(n) for n, e in made.items()]) for df in (train, other)]
+    return ready[0], ready[1], made
 
 
 def positive_weight(df: DataFrame, target: str) -> DataFrame:

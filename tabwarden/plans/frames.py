@@ -26,16 +26,6 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a (status O), y (flag R), y3 (A, N, R), s (line number), q, price, disc, tax."""
-    flag = F.col("l_returnflag")
-    return read(spark, sf_dir, "lineitem").select(
-        (F.col("l_linestatus") == "O").cast("bigint").alias("a"), (flag == "R").cast("bigint").alias("y"),
-        F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).cast("bigint").alias("y3"), F.col("l_linenumber").cast("bigint").alias("s"),
-        F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"),
-    )
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, y (quality), t (toxic): labelled documents."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source")

@@ -197,7 +197,7 @@ DB_F = [f"f{i}" for i in range(10)]
 SUMSQ = lambda a, b: "sqrt(" + " + ".join(f"({a}.{f} - {b}.{f}) ** 2" for f in DB_F) + ")"
 
 ORACLE_SQL = {
-    "s2_json_scan": "SELECT event_type, count(*)::BIGINT AS n, count(props ->> '$.k')::BIGINT AS n_prop FROM events GROUP BY event_type",
+    **{f"s2_{kind}_scan": f"SELECT event_type, count(*)::BIGINT AS n, count(props ->> '$.k')::BIGINT AS n_prop, {r('sum(value)')} AS total FROM events GROUP BY event_type" for kind in ("json", "orc")},
     "s11_class_profile": f"WITH {ORD} SELECT y3 AS class, count(*)::BIGINT AS n, {r('round(count(*) * 100 / (sum(count(*)) OVER ())::DOUBLE, 2)')} AS percent FROM ord GROUP BY y3",
     "p1_target_check": f"WITH {DOC} SELECT y AS class, count(*)::BIGINT AS n, {r('round(count(*) * 100 / (sum(count(*)) OVER ())::DOUBLE, 2)')} AS percent FROM doc GROUP BY y",
     "p2_index": "SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS n_keys FROM nation",

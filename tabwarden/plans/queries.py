@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
+from ..functions.store import written
 from ..operators import bias, clusters, curves, explain, models, prep, scoring, selection
+from ..sources import tables
 from . import frames
 from .frames import CLASSES, FEATURES
 
@@ -29,10 +31,17 @@ def metric(of, scope: str | None = None, facet: str = "a", outcome: str = "y", s
     return query
 
 
-def s2_json_scan(spark, d):
-    """Records that came as JSON: the events' properties, by their text."""
-    e = frames.read(spark, d, "events")
-    return tidy(e.select("event_type", F.get_json_object("props", "$.k").alias("prop")).groupBy("event_type").agg(F.count("*").alias("n"), F.count("prop").alias("n_prop")))
+def scanned(kind: str):
+    """The events written in a format and read back by its scan: JSON has one record on a line."""
+
+    def query(spark, d):
+        events = frames.read(spark, d, "events").select("event_id", "event_type", "props", "value")
+        found = tables.read_table(spark, written(events, "scan", kind))
+        return tidy(found.select("event_type", F.get_json_object("props", "$.k").alias("prop"), "value").groupBy("event_type").agg(
+            F.count("*").alias("n"), F.count("prop").alias("n_prop"), F.sum("value").alias("total"),
+        ))
+
+    return query
 
 
 def p2_index(spark, d):
@@ -375,7 +384,7 @@ def p1_target(spark, d):
 
 
 QUERIES = {
-    "s2_json_scan": s2_json_scan, "s11_class_profile": s11_profile, "p1_target_check": p1_target, "p2_index": p2_index, "p3_drop_nulls": p3_drop_nulls,
+    "s2_json_scan": scanned("json"), "s2_orc_scan": scanned("orc"), "s11_class_profile": s11_profile, "p1_target_check": p1_target, "p2_index": p2_index, "p3_drop_nulls": p3_drop_nulls,
     "p4_domain_match": p4_domains, "p5_prepare": p5_prepare, "p6_split_label": p6_split, "p7_integer_codes": p7_codes, "p8_age_bins": p8_age,
     "p9_filter": p9_filter, "p10_folds": p10_folds, "p11_sample_binary": p11_sample, "p12_sample_multiclass": p12_sample, "p13_train_test": p13_split,
     "b1_class_imbalance": metric(bias.class_imbalance, facet="seg"), "b2_label_difference": metric(bias.label_difference),

@@ -45,12 +45,23 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
         kinds = ["bigint" if seen[3 * i] and seen[3 * i + 2] else "double" if seen[3 * i + 1] and seen[3 * i + 2] else "string" for i in range(len(plain.columns))]
         return plain.select(*[F.trim(F.col(f"`{c}`")).cast(k).alias(c) if k != "string" else F.col(f"`{c}`") for c, k in zip(plain.columns, kinds)])
     if kind == "json":
-        return normalised(spark.read.json(path, schema=schema, multiLine=True))
+        return normalised(spark.read.json(path, schema=schema, multiLine=not by_lines(spark, path)))
     if kind in ("parquet", "orc"):
         return spark.read.format(kind).load(path)
     raise ValueError(f"no reader for .{kind} files")
 
 
+def by_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file's first line that is not empty is a whole record."""
+    import json
+
+    first = spark.read.text(path).filter("trim(value) <> ''").first()
+    try:
+        return first is not None and isinstance(json.loads(first[0]), dict)
+    except ValueError:
+        return False
+
+
 def read_pair(spark: SparkSession, folder: str, kind: str = "csv") -> tuple[DataFrame, DataFrame]:
     """Train and Test of a folder; FileNotFoundError if one is missing."""
     out = []
@@ -75,6 +86,10 @@ class Config:
     metric: str = "balanced_accuracy"
     models: tuple[str, ...] = field(default=("Logistic Regression",))
     selector: str | None = "featurewiz"
+    target: str = "Target"
+    label: int = 1
+    subgroup: str | None = None
+    key: str | None = None
 
 
 #: Names of metrics in a configuration file.

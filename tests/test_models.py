@@ -135,18 +135,82 @@ def test_config(spark, tmp_path):
     assert c == tables.Config(True, "sex", 3, "randomized", 0.6, "f1", ("SVC",))
 
 
-def test_whole_run(spark, rows, tmp_path):
+@pytest.mark.parametrize("k", [2, 3])
+def test_whole_run(spark, rows, tmp_path, k):
+    from pyspark.ml import PipelineModel
+
+    from tabwarden.plans.run import run
+
+    os.makedirs(tmp_path / "in")
+    df = rows.withColumn("Target", F.col("Target") if k == 2 else F.col("c")).drop("c").withColumn("kind.of", F.when(F.col("ID") % 2 == 0, "it's").otherwise("b")).withColumnRenamed("noise", "no.ise")
+    train, test = prep.train_test_split(df, "Target", "ID")
+    for name, part in (("Train", train), ("Test", test)):
+        part.toPandas().to_csv(tmp_path / "in" / f"{name}.csv", index=False)
+    out = str(tmp_path / "out")
+    chosen, selector = (("Logistic Regression", "Decision Tree"), "featurewiz") if k == 2 else (("SVC",), None)
+    run(spark, str(tmp_path / "in"), tables.Config(bias_assessment=True, feature="Target", folds=2, selector=selector, correlation_limit=0.6, models=chosen), out)
+    said = lambda name: spark.read.parquet(f"{out}/{name}")
+    for name in ("BiasAssessment/Train", "BiasAssessment/Test", "ClassProfile", "FoldScores", "FoldMetrics", "Thresholds", "2_fold_results"):
+        assert said(name).count() > 0, name
+    assert said("Errors").count() == 0
+    assert all(r["auc"] > 0.8 for r in said("test_results").collect()) and said("test_results").count() == len(chosen)
+    for part, n in (("Folds", train.count()), ("Test", test.count())):
+        assert {r["n"] for r in said(f"Confusion/{part}").groupBy("model").agg(F.sum("n").alias("n")).collect()} == {n}
+        assert said(f"Curves/{part}/Areas").count() > 0 and {0.0, 1.0} <= {r["fpr"] for r in said(f"Curves/{part}/Roc").collect()}
+        assert said(f"Curves/{part}/PrecisionRecall").filter("recall = 1").count() > 0
+    for m in chosen:
+        place = f"Explanation/{m.replace(' ', '_')}"
+        values, scored = said(f"{place}/Values"), said("TestScores").filter(F.col("model") == m).select(F.col("id").alias("key"), "p")
+        assert values.filter("error > 0").count() == 0 and said(f"{place}/Importance").count() == values.select("feature").distinct().count()
+        assert said(f"{place}/TellingClass").count() == 1 and said(f"{place}/Beeswarm").count() > 0 and said(f"{place}/ClassImportance").count() > 0
+        model = PipelineModel.load(f"{out}/Models/{m.replace(' ', '_')}")
+        from pyspark.ml.functions import vector_to_array
+
+        raw = test.select("ID", "x", "z", "twin", "`no.ise`", "`kind.of`")
+        both = model.transform(raw).select("ID", vector_to_array("p").alias("q")).join(scored, F.col("ID") == F.col("key"))
+        assert both.count() == test.count() and both.filter(F.abs(F.col("p")[1] - F.col("q")[1]) > 1e-9).count() == 0
+
+
+def test_failures_are_rows_of_the_error_table(spark, rows, tmp_path, monkeypatch):
     from tabwarden.plans.run import run
 
     os.makedirs(tmp_path / "in")
     train, test = prep.train_test_split(rows.drop("c"), "Target", "ID")
-    for name, df in (("Train", train), ("Test", test)):
-        df.toPandas().to_csv(tmp_path / "in" / f"{name}.csv", index=False)
+    for name, part in (("Train", train), ("Test", test)):
+        part.toPandas().to_csv(tmp_path / "in" / f"{name}.csv", index=False)
+
+    def broken(*a, **b):
+        raise RuntimeError("no fit today")
+
+    monkeypatch.setattr(models, "fit", broken)
     out = str(tmp_path / "out")
-    run(spark, str(tmp_path / "in"), tables.Config(bias_assessment=True, feature="Target", folds=2, selector=None), out)
-    for name in ("BiasAssessment/Train", "BiasAssessment/Test", "ClassProfile", "2_fold_results", "test_results", "Curves", "Models/Logistic_Regression", "Errors"):
-        assert os.path.isdir(f"{out}/{name}"), name
-    assert spark.read.parquet(f"{out}/test_results").first()["auc"] > 0.8
+    run(spark, str(tmp_path / "in"), tables.Config(folds=2, selector=None), out)
+    found = {(r["stage"], r["model"], r["fold"]) for r in spark.read.parquet(f"{out}/Errors").collect()}
+    assert {("cross-validation", "Logistic Regression", 0), ("cross-validation", "Logistic Regression", 1), ("hold-out", "Logistic Regression", -1)} <= found
+    assert spark.read.parquet(f"{out}/FoldScores").count() == 0
+
+
+def test_sampled_values_are_near_the_exact_ones_and_add_up(spark, rows):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    names = ["x", "z", "noise", "twin"]
+    model = RandomForestClassifier(seed=3, numTrees=5).fit(models.vectors(rows, names, "Target"))
+    few = prep.stratified_sample(rows, "Target", "ID", 8)
+    predict = explain.probability(model)
+    exact = {(r["id"], r["class"], r["feature"]): r["shap"] for r in explain.exact_shapley(few, "ID", names, predict).collect()}
+    got = explain.sampled_shapley(few, "ID", names, predict, orders=256).collect()
+    assert len(got) == len(exact)
+    for r in got:
+        assert abs(r["shap"] - exact[r["id"], r["class"], r["feature"]]) <= 5 * r["error"] + 0.02
+    with pytest.raises(ValueError):
+        explain.exact_shapley(rows.limit(5), "ID", names, predict, rows)  # a background beyond the bound is refused, never cut
+
+
+def test_json_by_line_and_whole(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"x": 1, "s": "NA"}\n{"x": 2, "s": "b"}\n')
+    (tmp_path / "b.json").write_text('[\n {"x": 1, "s": "NA"},\n {"x": 2, "s": "b"}\n]\n')
+    for name in ("a", "b"):
+        assert sorted((r["x"], r["s"]) for r in tables.read_table(spark, str(tmp_path / f"{name}.json")).collect()) == [(1, None), (2, "b")]
 
 
 def test_registered_queries_keep_the_operators_sizes(spark, monkeypatch):
