@@ -197,6 +197,17 @@ DB_F = [f"f{i}" for i in range(10)]
 SUMSQ = lambda a, b: "sqrt(" + " + ".join(f"({a}.{f} - {b}.{f}) ** 2" for f in DB_F) + ")"
 
 ORACLE_SQL = {
+    # Newton's steps on the sum of losses and half the squared weight, over the four cells.
+    "b18_logistic": f"""WITH RECURSIVE {ORD}, c AS (SELECT a::DOUBLE AS a, y::DOUBLE AS y, count(*)::DOUBLE AS n FROM ord GROUP BY ALL), it AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b
+  UNION ALL
+  SELECT i + 1, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb), b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb) FROM (
+    SELECT i, w, b, sum(n * (p - y) * a) + w AS gw, sum(n * (p - y)) AS gb, sum(n * p * (1 - p) * a * a) + 1 AS hww, sum(n * p * (1 - p) * a) AS hwb, sum(n * p * (1 - p)) AS hbb
+    FROM (SELECT it.i, it.w, it.b, c.a, c.y, c.n, 1 / (1 + exp(-(it.w * c.a + it.b))) AS p FROM it, c WHERE it.i < 30) GROUP BY i, w, b)
+)
+SELECT 'LR' AS metric, round(w, 4) + 0.0 AS value FROM it WHERE i = 30 UNION ALL SELECT 'LR_intercept', round(b, 4) + 0.0 FROM it WHERE i = 30""",
+    "l1_logistic_optimum": f"""WITH {EMB}, x AS ({" UNION ALL ".join(f"SELECT id % 3 AS y, '{n}' AS feature, {v} AS x FROM emb" for n, v in [("(one)", "1.0::DOUBLE"), *((f"f{i}", f"f{i}") for i in range(4))])})
+SELECT k::BIGINT AS class, feature, round(avg(CASE WHEN y = k THEN x ELSE 0 END), 4) + 0.0 AS mean FROM x, (SELECT unnest(range(3)) AS k) GROUP BY k, feature""",
     **{f"s2_{kind}_scan": f"SELECT event_type, count(*)::BIGINT AS n, count(props ->> '$.k')::BIGINT AS n_prop, {r('sum(value)')} AS total FROM events GROUP BY event_type" for kind in ("json", "orc")},
     "s11_class_profile": f"WITH {ORD} SELECT y3 AS class, count(*)::BIGINT AS n, {r('round(count(*) * 100 / (sum(count(*)) OVER ())::DOUBLE, 2)')} AS percent FROM ord GROUP BY y3",
     "p1_target_check": f"WITH {DOC} SELECT y AS class, count(*)::BIGINT AS n, {r('round(count(*) * 100 / (sum(count(*)) OVER ())::DOUBLE, 2)')} AS percent FROM doc GROUP BY y",

@@ -128,7 +128,8 @@ def b17_v(spark, d):
 
 def b18_logistic(spark, d):
     w, b = bias.logistic_coefficient(frames.orders(spark, d), "a", "y")
-    return spark.createDataFrame([("LR", w), ("LR_intercept", b)], "metric string, value double")
+    found = spark.createDataFrame([("LR", w), ("LR_intercept", b)], "metric string, value double")
+    return found.select("metric", rounded(F.col("value"), 4).alias("value"))
 
 
 def b19_audit(spark, d):
@@ -335,6 +336,17 @@ def fitted(name: str):
     return query
 
 
+def l1_logistic(spark, d):
+    """Where the likelihood is greatest, a class's scores weigh every feature as the class's rows do: (class, feature, mean of score x feature)."""
+    rows = small(spark, d).withColumn("y", F.col("id") % 3)
+    ready = models.vectors(rows, FEATURES[:4], "y", ["id"])
+    model = models.fit(ready, "logistic", {"tol": 1e-12, "maxIter": 500}, 3, 4)
+    scored = model.scores(ready).select("id", F.posexplode("p").alias("class", "p")).join(rows, "id")
+    told = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), c.alias("x")) for f, c in [("(one)", F.lit(1.0)), *((f, F.col(f)) for f in FEATURES[:4])]])).alias("e")
+    means = scored.select("class", "p", told).groupBy("class", "e.feature").agg(F.avg(F.col("p") * F.col("e.x")).alias("mean"))
+    return means.select(F.col("class").cast("bigint").alias("class"), "feature", rounded(F.col("mean"), 4).alias("mean"))
+
+
 def t3_search(spark, d):
     ready = models.vectors(small(spark, d), FEATURES[:4], "t", ["id"])
     best = models.search(ready, "id", models.REGISTRY["Logistic Regression"], 2, 4)
@@ -407,6 +419,7 @@ QUERIES = {
     "r3_wide_report": r3_wide, "r4_hold_out_summary": r4_hold_out, "r5_confusion_layout": r5_layout, "r6_mean_threshold": r6_threshold,
     "t3_random_search": t3_search, "t4_search_score": t4_score, "t7_cross_validation": t7_cross_validation, "t8_hold_out": t8_hold_out,
     **{f"l{i}_{n.lower().replace(' ', '_')}": fitted(n) for i, n in enumerate(("Logistic Regression", "SVC", "Random Forest", "SGD", "MLP", "Decision Tree", "XGBoost"), 1)},
+    "l1_logistic_optimum": l1_logistic,
     "x2_explained_rows": x2_sample, "x4_linear_shap": x4_linear, "x5_x6_exact_shapley": x5_shapley, "x7_telling_class": x7_class, "x8_importance": x8_importance,
     "x9_class_importance": x9_class_importance, "x10_beeswarm": x10_beeswarm,
 }
