@@ -189,20 +189,27 @@ def fit(df: DataFrame, train: Column, text_col: str = "text", lang_col: str = "l
     return Model(idf, np.concatenate([*centroids, np.zeros((0, D), np.float32)]), langs, least)
 
 
-def identify(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def identify(df: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), rejected; one row per input row, whatever other columns it has.
 
     A text that is null or has no letter is `und`, score 0, rejected. Texts are read whole. Ties go to the language that
-    sorts first. An untrained model rejects all. Null ids and repeated rows are rows like others; an empty table gives an empty result.
+    sorts first. An untrained model rejects all. Null ids and repeated rows are rows like others; an empty table gives an empty
+    result. The columns of `carry` follow behind, unchanged.
     """
+    carry = carry or []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in small_batches(batches, "text"):
+        for part in small_batches(batches, "_text"):
             lang, score, rejected = model.predict(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "lang_pred": lang, "score": score, "rejected": rejected})
-
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(rows, work, "doc_id long, lang_pred string, score double, rejected boolean")
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), *part.columns[2:]],
+                ["doc_id", "lang_pred", "score", "rejected", *(f"_c{i}" for i in range(len(carry)))],
+            )
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    kinds = dict(df.dtypes)
+    found = map_batches(rows, work, ", ".join(["doc_id long, lang_pred string, score double, rejected boolean", *(f"_c{i} {kinds[c]}" for i, c in enumerate(carry))]))
+    return found.select("doc_id", "lang_pred", "score", "rejected", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -130,8 +130,8 @@ SIGNED = "doc_id long, node binary, n_shingles int, bands array<long>, shingles
 
 
 def sign(df: DataFrame, text_col: str, id_col: str, row_col: str | None = None) -> DataFrame:
-    """Of each document: its node (a hash of its words, null where it has none), shingles and band keys, and the row number of row_col."""
-    given = [F.col(row_col).cast("long").alias("_row")] if row_col else []
+    """Of each document: its node (a hash of its words, null where it has none), shingles and band keys, and what row_col tells rows apart by."""
+    given, kind = ([F.col(row_col).alias("_row")], dict(df.dtypes)[row_col]) if row_col else ([], "")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1_500_000):
@@ -162,7 +162,7 @@ def sign(df: DataFrame, text_col: str, id_col: str, row_col: str | None = None)
                 *part.columns[2:],
             ], ["doc_id", "node", "n_shingles", "bands", "shingles", *part.schema.names[2:]])
 
-    return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *given), work, SIGNED + ", _row long" * len(given))
+    return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *given), work, SIGNED + f", _row {kind}" * len(given))
 
 
 def unpacked(raw: bytes) -> np.ndarray:
@@ -378,7 +378,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, row_col: str | None = None) -> DataFrame:
-    """doc_id, class_id, class_size, kept, n_shingles and row_col, stored numbers of the rows, where given; one row per input row.
+    """doc_id, class_id, class_size, kept, n_shingles and row_col, which tells rows apart and stays as it is, where given; one row per input row.
 
     A class is what links of similarity `similarity` or more connect; class_id is its least doc_id, and that document
     stays. Texts of equal words are one class at any length; a null text, or one without words, is alone. Repeated
