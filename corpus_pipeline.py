@@ -1,12 +1,14 @@
 """Corpus pipeline: language ID, exact dedup, near dedup, personal data, packing.
 
 Every stage but the last returns the columns of documents (doc_id, text, lang, source, n_chars) and works on all that the
-one before it kept. A stage that drops rows stores its input with row numbers and decides by row, so rows that share a
-doc_id, or have none, are kept or go each by itself. Each stage is written as Parquet and read again as the next one's input.
+one before it kept. The dedup stages decide by row, so rows that share a doc_id, or have none, are kept or go each by itself:
+a row of a Parquet file is told by its file and its place there, and no text is copied; other tables are stored with row
+numbers first. Each stage is written as Parquet and read again as the next one's input.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,19 @@ from tabwarden.llm.packing import pack_documents
 from tabwarden.llm.pii import find_pii
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: The number of a row, and its bytes in a broadcast table, generously.
+#: What tells rows apart, and its bytes in a broadcast table, generously.
 NUMBER, NUMBER_BYTES = "row_number", 64
+#: More rows than a file has.
+ROWS_OF_A_FILE = 10**12
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, stored so that it stays."""
-    return keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(NUMBER)), "pipeline-rows")
+    """docs with a number for each row that is the same whenever the row is read."""
+    try:
+        file = F.xxhash64("_metadata.file_path").cast("decimal(38,0)") * F.lit(ROWS_OF_A_FILE).cast("decimal(13,0)")
+        return docs.select(*COLUMNS, (file + F.col("_metadata.row_index")).cast("decimal(38,0)").alias(NUMBER))
+    except AnalysisException:  # rows that come from no Parquet file have no place in one
+        return keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(NUMBER)), "pipeline-rows")
 
 
 def only(rows: DataFrame, kept: DataFrame) -> DataFrame:
@@ -36,9 +44,8 @@ def only(rows: DataFrame, kept: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told stay; those that the identifier rejects go. Learns from the same training rows as the query."""
     see_package(spark)
-    rows = numbered(docs)
-    found = identify(rows, fit(rows, ~held_out()), id_col=NUMBER)
-    return only(rows, found.filter(~F.col("rejected")).select(F.col("doc_id").alias(NUMBER)))
+    found = identify(docs, fit(docs, ~held_out()), carry=COLUMNS[1:])
+    return found.filter(~F.col("rejected")).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +85,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
