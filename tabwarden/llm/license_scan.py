@@ -1,7 +1,7 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Only DataFrame functions, and no shuffle: a document is judged where it lies. Its units are the whole text, its paragraphs
-and its lines. A unit of m bigrams can reach a Dice coefficient t with a template of n only if m t <= (2 - t) n and
+Only DataFrame functions, and no shuffle: a document is judged where it lies. Its units are the whole text, its paragraphs,
+runs of as many paragraphs as a template has, and its lines. A unit of m bigrams can reach a Dice coefficient t with a template of n only if m t <= (2 - t) n and
 n t <= (2 - t) m, so units outside every template's bounds are dropped by their word count alone, before any bigram is
 made, and the others meet just the templates whose bounds they keep. A text without any of a few anchor words that each
 match must hold is not cut into units at all.
@@ -10,6 +10,7 @@ match must hold is not cut into units at all.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from functools import reduce
 from operator import or_
@@ -163,6 +164,11 @@ def anchors(known: list[tuple[str, list[str]]], similarity: float) -> list[str]:
     return out
 
 
+def most_paragraphs(texts: dict[str, str]) -> int:
+    """Paragraphs of the template that has the most; two at least."""
+    return max([2, *(len(re.split(r"\n *\n\s*", t.strip())) for t in texts.values())])
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value worked out once although `use` names it within inner functions."""
     return F.transform(F.array(value), use)[0]
@@ -183,13 +189,16 @@ def license_scan(
     """doc_id, matches (array of unit, license, dice), license, dice; one row per input row.
 
     Words are runs of letters and digits of the lower-cased text; units are the whole text (`text`), its paragraphs, where
-    blank lines part them (`paragraph`), and its lines (`line`). matches: for each unit the template of the greatest Dice
-    coefficient of at least `similarity`, ties to the name that sorts first, in the order whole, paragraphs, lines.
+    blank lines part them (`paragraph`), its lines (`line`), and two or more paragraphs that follow each other, up to as many as
+    the template with the most has (`run`). matches: for each unit the template of the greatest Dice coefficient of at least
+    `similarity`, ties to the name that sorts first, in the order whole, paragraphs, lines; of the runs, which overlap, the best
+    one only, at last.
     license and dice: the best of them, ties to the name that sorts first; null where there is none. A null or empty text
     has no units. Repeated rows and null ids are rows like others, other columns are ignored, an empty table gives an empty
     result.
     """
-    known = [x for x in templates(TEMPLATES if texts is None else texts) if x[1]]
+    given = TEMPLATES if texts is None else texts
+    known, most = [x for x in templates(given) if x[1]], most_paragraphs(given)
     telling = anchors(known, similarity)
     tells = lambda c: reduce(or_, [c.contains(w) for w in telling])
     ratio = (2 - similarity) / similarity
@@ -202,10 +211,12 @@ def license_scan(
     plain = F.when(tells(low_case), F.regexp_replace(low_case, r"[^\p{L}\p{N}\n]+", " "))
     flat = lambda c: F.trim(F.translate(c, "\n", " "))
     unit = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), flat(t).alias("said"))
+    count = F.size("_paras")
+    run = lambda i: lambda n: F.struct(F.lit("run").alias("kind"), flat(F.array_join(F.slice("_paras", i, n), " ")).alias("said"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), count), lambda i: F.transform(F.filter(F.sequence(F.lit(2), F.lit(most)), lambda n: i + n - 1 <= count), run(i))))
     units = F.filter(
         F.concat(
-            F.array(unit("text")("_plain")), F.transform(F.split("_plain", r"\n *\n[ \n]*"), unit("paragraph")),
-            F.transform(F.split("_plain", "\n"), unit("line")),
+            F.array(unit("text")("_plain")), F.transform("_paras", unit("paragraph")), F.transform(F.split("_plain", "\n"), unit("line")), runs,
         ),
         lambda u: tells(u["said"]),
     )
@@ -224,11 +235,16 @@ def license_scan(
         return F.array_min(scored)
 
     found = F.transform("_pairs", lambda u: F.struct(u["kind"].alias("unit"), best(u).alias("top")))
-    kept = F.filter(found, lambda m: m["top"]["low"] <= -similarity)
+    good = F.filter(found, lambda m: m["top"]["low"] <= -similarity)
+    of_runs = F.filter("_good", lambda m: m["unit"] == "run")
+    kept = F.concat(
+        F.filter("_good", lambda m: m["unit"] != "run"), F.when(F.size(of_runs) > 0, F.array(F.array_min(of_runs))).otherwise(F.filter("_good", lambda m: F.lit(False))),
+    )
     out = (
         df.select(F.col(id_col).cast("long").alias("doc_id"), plain.alias("_plain"))
+        .select("doc_id", "_plain", F.split("_plain", r"\n *\n[ \n]*").alias("_paras"))
         .select("doc_id", F.when(F.col("_plain").isNotNull(), units).alias("_units")).select("doc_id", cut.alias("_cut"))
-        .select("doc_id", pairs.alias("_pairs")).select("doc_id", F.coalesce(kept, F.array()).alias("_kept"))
+        .select("doc_id", pairs.alias("_pairs")).select("doc_id", F.coalesce(good, F.array()).alias("_good")).select("doc_id", kept.alias("_kept"))
     )
     first = F.array_min("_kept.top")
     return out.select(
@@ -252,7 +268,7 @@ def oracle(similarity: float = SIMILARITY) -> str:
     """DuckDB SQL that says the same from the definition: every unit against every template, no bounds used for the scores."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ",\n".join(f"({quote(name)}, {quote(' '.join(normalised(text)))})" for name, text in sorted(TEMPLATES.items()))
-    sizes = [len(b) for _, b in templates(TEMPLATES)]
+    sizes, most = [len(b) for _, b in templates(TEMPLATES)], most_paragraphs(TEMPLATES)
     low, high = min(sizes) * similarity / (2 - similarity) - SLACK, max(sizes) * (2 - similarity) / similarity + SLACK
     return rf"""
 WITH plain AS (
@@ -261,8 +277,11 @@ WITH plain AS (
   SELECT r, 'text' AS kind, p AS u FROM plain
   UNION ALL SELECT r, 'paragraph', unnest(regexp_split_to_array(p, '\n *\n[ \n]*')) FROM plain
   UNION ALL SELECT r, 'line', unnest(string_split(p, chr(10))) FROM plain
+  UNION ALL SELECT r, 'run', array_to_string(list_slice(ps, k, k + n - 1), ' ')
+  FROM (SELECT r, ps, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT r, regexp_split_to_array(p, '\n *\n[ \n]*') AS ps FROM plain)), (SELECT unnest(range(2, {most} + 1)) AS n)
+  WHERE k + n - 1 <= len(ps)
 ), units AS (
-  SELECT row_number() OVER () AS i, r, regexp_split_to_array(trim(translate(u, chr(10), ' ')), ' +') AS w
+  SELECT row_number() OVER () AS i, r, kind, regexp_split_to_array(trim(translate(u, chr(10), ' ')), ' +') AS w
   FROM raw WHERE trim(translate(u, chr(10), ' ')) <> ''
 ), cand AS (SELECT * FROM units WHERE len(w) - 1 BETWEEN {low} AND {high}),
 pairs AS (SELECT i, w[k] || ' ' || w[k + 1] AS b FROM (SELECT i, w, unnest(range(1, len(w))) AS k FROM cand)),
@@ -275,7 +294,8 @@ tbags AS (SELECT name, w[k] || ' ' || w[k + 1] AS b, count(*) AS n FROM (SELECT
 tsizes AS (SELECT name, sum(n) AS n FROM tbags GROUP BY name),
 met AS (SELECT i, name, sum(least(x.n, y.n)) AS m FROM bags x JOIN tbags y USING (b) GROUP BY i, name),
 dice AS (SELECT i, name, 2.0::DOUBLE * m / (s.n + t.n) AS d FROM met JOIN sizes s USING (i) JOIN tsizes t USING (name)),
-top AS (SELECT i, r, name, d FROM dice JOIN cand USING (i) WHERE d >= {similarity} QUALIFY row_number() OVER (PARTITION BY i ORDER BY d DESC, name) = 1),
+found AS (SELECT i, r, kind, name, d FROM dice JOIN cand USING (i) WHERE d >= {similarity} QUALIFY row_number() OVER (PARTITION BY i ORDER BY d DESC, name) = 1),
+top AS (SELECT * FROM found QUALIFY kind <> 'run' OR row_number() OVER (PARTITION BY r, kind ORDER BY d DESC, name) = 1),
 docs AS (
   SELECT r, count(*) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, arg_min(name, (-d, name)) AS license, max(d) AS dice FROM top GROUP BY r
 )

@@ -256,10 +256,21 @@ def test_licenses(spark, docs):
     got = {r["doc_id"]: r for r in lic.license_scan(df).collect()}
     whole = {i: {m["license"] for m in r["matches"] if m["unit"] == "text"} for i, r in got.items()}
     assert whole == {1: {"MIT"}, 2: {"MIT"}, 3: set()}  # bigrams count as often as they come
-    assert got[1]["license"] == "MIT grant" and got[1]["dice"] == 1.0  # a paragraph of it, word for word
+    assert got[1]["license"] == "MIT" and got[1]["dice"] == 1.0  # a run of its paragraphs, word for word
     assert got[2]["license"] == "MIT" and 0.8 <= got[2]["dice"] < 1
 
 
+def test_license_in_the_middle_of_a_long_document(spark):
+    before, after = prose(700) + "\n\n" + prose(60), prose(80) + "\n\n" + prose(900)
+    names = sorted(lic.TEMPLATES)
+    df = spark.createDataFrame([(i, f"{before}\n\n{lic.TEMPLATES[n].strip()}\n\n{after}") for i, n in enumerate(names)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lic.license_scan(df).collect()}
+    for i, n in enumerate(names):
+        assert n in {m["license"] for m in got[i]["matches"]} and got[i]["dice"] == 1.0, n
+        assert sum(m["unit"] == "run" for m in got[i]["matches"]) <= 1
+    assert lic.license_scan(df.filter("doc_id < 0")).count() == 0
+
+
 def test_license_anchors_lose_nothing(spark):
     """Dice over all templates by brute force, on shuffled parts of templates."""
     known = lic.templates(lic.TEMPLATES)
