@@ -1,13 +1,12 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field for what they miss.
 
 The field's features are word shapes of a token and its neighbours; it is trained on the small labelled table below and
-decoded by Viterbi over numpy batches. It reads the stretches of a text around digits, @ and spelled-out separators:
-elsewhere no label but O is possible by construction. All rows are handled where they lie, with no shuffle.
+decoded over whole texts by Viterbi in numpy batches. Tokens that no span of the best path can hold, which a bound on the worth
+of spans proves, are left out of Viterbi. All rows are handled where they lie, with no shuffle.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -22,7 +21,6 @@ from .common import map_batches, slices
 KINDS = ("email", "ip", "card", "phone")
 
 # --- patterns: fixed values ---
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -126,69 +124,198 @@ Section 4.1.2 and 4.1.3 of part 9
 at 10 at 20 at 30 the rate is 4
 | 12 | 34 | 56 | 78 | 90 |
 dot dot dot and at at at 7
+write to [email johnny at example.com] soon
+email: [email jane at example.com]
+mail [email kim AT company.org] now
+contact [email mary AT company.org].
+send it to [email paul at host.net], please
+reach me by email: [email j.doe at mail.example.org]
+e-mail [email anna.b (at) post.de] or call
+My email is [email tom_r at firm dot com].
+contact: [email sales [at] shop [dot] example [dot] com]
+mail to [email lee {at} site {dot} io]
+email [email max @ example . com] for more
+write [email eva at uni dot edu]
+Reach us: [phone (089) 765 4321] or [phone 089-765-4322].
+Call [phone 212.555.0199] or mail [email bo at example dot org].
+my number is [phone 0151 2345 6789], call me
+phone: [phone (415) 555-0100]
+Tel. [phone 0043 1 234 5678]
+call [phone 01-234-5678] now
+ip [ip 10[.]20[.]30[.]40] was blocked
+from host [ip 192 . 168 . 0 . 12] to host [ip 192 . 168 . 0 . 13]
+address [ip 172[.]31[.]0[.]9], blocked
+pay by card [card 5105.1051.0510.5100] only
+my visa is [card 4222_2222_2222_2220].
+card [card 6011/1111/1111/1117] on file
+We met at the house. It was late.
+They look at it and see the dot.
+The show is at home. Come at 8 or at 9.
+It is found at example.com and on the page.
+See more at www.example.org today.
+available at shop.example.com since 2019
+visit the site at news.example.net
+Look at this.The end came.
+at. at, at the end of the page at night.
+He was at school. She was at work.
+A dot and a dot and at last a dot.
+On 2021-04-17 at 10:30 in room 5.
+Tables 1, 2, 3 and 4: 10 20 30 40.
+The sum of 12 345 678 and 9 is 12 345 687.
+From 1999 to 2005 there were 300 to 400 of them.
+Pages 10-20, 30-40 and 50-60 of the order.
+1.2.3 is the version and 4.5.6 is next.
+The number 1234567 was drawn.
+Item 55-1234 costs 12.99 or 13.99.
+It rose by 3.5 to 4.5 in 1980-1990.
+Ratios: 1/2, 3/4, 5/8 and 7/16.
+The key is 8f3a9c2dee1177ab and so on.
+Lorem at ipsum dolor. Sit amet at elit.
+abc def ghi at jkl mno. Pqr stu.
+WE SAW IT AT NIGHT. IT WAS DARK.
+x y z 1 a 2 b 3 c
+Values: 3 14 15 92 65 35 and 89.
+Counts 21 22 23 24 1990 1991
+Sums: 4.25 7,300 31 32 33 1980 1981
+The years 1901 1902 1903 were cold.
+Numbers: 11 12 13 14 15 16 17.
 """
 
-TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|\w")
-LIVE = re.compile(r"[0-9@]|[(\[][aA][tT][)\]]|(?<![^\W\d_])(?:dot|DOT|Dot)(?![^\W\d_])")
-#: Characters of context on either side of a live point; stretches that touch are read as one.
-CONTEXT = 40
 #: Words that are features as they are; all others are features by their shape.
-WORDS = frozenset("at dot com net org de phone tel telefon tél mobile call fax ring reach email mail e write contact card visa pay number server host address blocked version isbn order page pages section room".split())
+WORDS = (
+    "at dot com net org de io edu phone tel telefon tél mobile call fax ring reach email mail e write contact send card visa charge pay number server host address ip "
+    "blocked version isbn order page pages section room look meet found available see visit site is was in on the of and or to"
+).split()
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Passes of training, step and weight decay.
-EPOCHS, STEP, DECAY = 120, 0.5, 1e-3
-
-
-def shape(token: str) -> str:
-    if token[0].isdigit():
-        return f"d{min(len(token), 9)}"
-    if token[0].isalpha():
-        low = token.lower()
-        return "w:" + low if low in WORDS else ("X" if token.isupper() else "Xx" if token[0].isupper() else "x") + ("1" if len(token) == 1 else "")
-    return "p:" + token
-
-
-def features(shapes: list[str], gaps: list[bool]) -> list[list[str]]:
-    """Of each token: its shape and those around it, with whether white space lies between."""
-    n, out = len(shapes), []
-    at = lambda i: shapes[i] if 0 <= i < n else "^"
-    gap = lambda i: "_" if 0 <= i < n and gaps[i] else ""
-    for i in range(n):
-        out.append([
-            "0" + at(i), "-1" + at(i - 1) + gap(i), "+1" + gap(i + 1) + at(i + 1), "-2" + at(i - 2), "+2" + at(i + 2),
-            "-1,0" + at(i - 1) + gap(i) + at(i), "0,+1" + at(i) + gap(i + 1) + at(i + 1), "-2,-1,0" + at(i - 2) + at(i - 1) + at(i),
-            "0,+1,+2" + at(i) + at(i + 1) + at(i + 2), "-1,+1" + at(i - 1) + at(i + 1), "-3" + at(i - 3), "+3" + at(i + 3),
-        ])
-    return out
+EPOCHS, STEP, DECAY = 150, 0.5, 1e-3
+#: Bytes of text whose tokens are held at once, and tokens of a batch of Viterbi.
+TOGETHER, BATCH = 1_500_000, 200_000
 
+#: Shapes: 0 for marks that the table does not have, 1 around texts, digits by number, letters by case and whether there is one only, then words and marks.
+EDGE, DIGITS, CASES, FIRST_WORD = 1, 1, 11, 17
+U = np.uint64
+POWERS = np.cumprod(np.full(32, 0x9E3779B97F4A7C15, U)) | U(1)
 
-def tokens_of(text: str, start: int = 0, stop: int | None = None) -> tuple[list[tuple[int, int]], list[str], list[bool]]:
-    spans = [m.span() for m in TOKEN.finditer(text, start, len(text) if stop is None else stop)]
-    return spans, [shape(text[a:b]) for a, b in spans], [i == 0 or spans[i - 1][1] < a for i, (a, _) in enumerate(spans)]
 
+@cache
+def alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: its kind (0 space, 1 letter, 2 digit 0 to 9, 3 other; 4 more where upper case), and its lower case."""
+    kind, low = np.full(0x110000, 3, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isspace():
+            kind[i] = 0
+        elif c.isalpha():
+            kind[i] = 5 if c.isupper() else 1
+            if len(c.lower()) == 1:
+                low[i] = ord(c.lower())
+    kind[48:58] = 2
+    return kind, low
 
-def labelled() -> list[tuple[list[list[str]], list[int]]]:
-    """The table as features and label numbers."""
-    out = []
+
+def hashed(words: list[str]) -> np.ndarray:
+    return np.array([int((np.array([ord(c) for c in w], U) * POWERS[: len(w)]).sum()) for w in words], U)
+
+
+def tokens_of(texts: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shape, space before, text, start and end of each token of all texts, with three edges around each text.
+
+    Tokens are runs of letters, runs of digits, and all other characters but white space, one by one. marks: code points of the table's marks, sorted.
+    """
+    kinds, low = alphabet()
+    text_size = np.array([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    base = np.cumsum(text_size) - text_size
+    full = kinds[codes]
+    kind = full & 3
+    new = np.ones(len(codes), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 3)
+    new[base[text_size > 0]] = True
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(codes))
+    live = kind[start] > 0
+    owner_all = np.repeat(np.arange(len(texts)), text_size)
+    space = np.ones(len(start), bool)  # white space before, or the beginning of the text
+    space[1:] = ~live[:-1]
+    owner = owner_all[start] if len(start) else np.zeros(0, np.int64)
+    space[1:] |= owner[1:] != owner[:-1]
+    upper = np.concatenate([[0], np.cumsum(full == 5)])
+    place = np.arange(len(codes)) - np.repeat(start, end - start)
+    part = np.where(place < len(POWERS), low[codes].astype(U) * POWERS[np.minimum(place, len(POWERS) - 1)], U(0))
+    word = np.add.reduceat(part, start) if len(start) else np.zeros(0, U)
+    start, end, space, owner, word = start[live], end[live], space[live], owner[live], word[live]
+    own, size = kind[start] if len(start) else np.zeros(0, np.uint8), end - start
+    first, many = full[start] == 5 if len(start) else np.zeros(0, bool), upper[end] - upper[start]
+    shape = np.zeros(len(start), np.int64)
+    digits, letters, other = own == 2, own == 1, own == 3
+    shape[digits] = DIGITS + np.minimum(size[digits], 9)
+    shape[letters] = (CASES + np.where(many == size, 0, np.where(first, 2, 4)) + (size == 1))[letters]
+    names = np.sort(hashed(WORDS))
+    order = np.argsort(hashed(WORDS))
+    at = np.minimum(np.searchsorted(names, word), len(names) - 1)
+    known = letters & (names[at] == word) & (size <= max(map(len, WORDS)))
+    shape[known] = FIRST_WORD + order[at[known]]
+    if len(marks):
+        code = codes[start]
+        at = np.minimum(np.searchsorted(marks, code), len(marks) - 1)
+        known = other & (marks[at] == code)
+        shape[known] = FIRST_WORD + len(WORDS) + at[known]
+    # Three edges before the first text and behind each.
+    seat = np.arange(len(start)) + 3 * (owner + 1)
+    n = len(start) + 3 * (len(texts) + 1)
+    out = [np.full(n, EDGE), np.ones(n, bool), np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)]
+    for to, values in zip(out, (shape, space, owner, start - base[owner], end - base[owner])):
+        to[seat] = values
+    return tuple(out)
+
+
+#: Templates of features: places relative to the token, and whether white space before the second of two neighbours counts.
+TEMPLATES = (
+    ((0,), 0), ((-1,), 1), ((1,), 2), ((-2,), 0), ((2,), 0), ((-1, 0), 1), ((0, 1), 2), ((-2, -1, 0), 0), ((0, 1, 2), 0), ((-1, 1), 0), ((-3,), 0), ((3,), 0),
+)
+
+
+def windows(shape: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct surroundings of tokens, seven shapes and two spaces in one number, and which each token has."""
+    wide = np.concatenate([np.full(3, EDGE), shape, np.full(3, EDGE)]).astype(np.int64)
+    after = np.append(space[1:], True)
+    key = space.astype(np.int64) + 2 * after
+    for j in range(7):
+        key += wide[j : j + len(shape)] << (2 + 8 * j)
+    coded = pa.array(key).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
+
+
+def features(window: np.ndarray) -> np.ndarray:
+    """(windows, templates): a number for each feature."""
+    at = lambda j: (window >> (2 + 8 * (j + 3))) & 255
+    out = np.empty((len(window), len(TEMPLATES)), np.int64)
+    for t, (places, gap) in enumerate(TEMPLATES):
+        key = np.full(len(window), t, np.int64)
+        for j in places:
+            key = key * 256 + at(j)
+        out[:, t] = key * 4 + (window & 1 if gap == 1 else (window >> 1) & 1 if gap == 2 else 2)
+    return out
+
+
+def labelled() -> tuple[list[str], list[list[tuple[int, int, int]]]]:
+    """The table's texts, and (start, end, kind) of each one's marked spans."""
+    texts, marks = [], []
     for line in LABELLED.splitlines():
-        text, marks, at = "", [], 0
+        text, own, at = "", [], 0
         for m in re.finditer(r"\[(email|ip|card|phone) ((?:[^\[\]]|\[[^\]]*\])*)\]", line):
             text += line[at : m.start()]
-            marks.append((len(text), len(text) + len(m[2]), m[1]))
+            own.append((len(text), len(text) + len(m[2]), KINDS.index(m[1])))
             text += m[2]
             at = m.end()
-        text += line[at:]
-        spans, shapes, gaps = tokens_of(text)
-        tags = []
-        for a, _ in spans:
-            hit = next(((x, k) for x, y, k in marks if x <= a < y), None)
-            tags.append(0 if hit is None else LABELS.index(("B-" if hit[0] == a else "I-") + hit[1]))
-        out.append((features(shapes, gaps), tags))
-    return out
+        texts.append(text + line[at:])
+        marks.append(own)
+    return texts, marks
 
 
 def allowed() -> np.ndarray:
-    """Transitions: 0, or minus infinity for an I that does not follow its kind."""
+    """Transitions: 0, or minus much for an I that does not follow its kind."""
     t = np.zeros((len(LABELS), len(LABELS)))
     for j, b in enumerate(LABELS):
         if b[0] == "I":
@@ -197,82 +324,124 @@ def allowed() -> np.ndarray:
 
 
 class Field:
-    """Weights by feature and label, and of label pairs; trained by full-batch gradient steps from zero."""
+    """Weights by feature and label, and of label pairs; trained by full-batch gradient steps from zero. Texts begin and end in O."""
 
     def __init__(self):
-        table = labelled()
-        self.index: dict[str, int] = {}
-        rows = [([[self.index.setdefault(f, len(self.index)) for f in fs] for fs in feats], tags) for feats, tags in table]
+        texts, spans = labelled()
+        self.marks = np.array(sorted({ord(c) for t in texts for c in t if not c.isalnum() and not c.isspace()}), np.uint32)
+        shape, space, owner, start, _ = tokens_of(texts, self.marks)
+        window, of = windows(shape, space)
+        found = features(window)
+        self.known, number = np.unique(found, return_inverse=True)
+        number = number.reshape(found.shape)
+        rows = []
+        for n, own in enumerate(spans):
+            mine = np.flatnonzero(owner == n)
+            tags = []
+            for a in start[mine].tolist():
+                hit = next(((x, k) for x, y, k in own if x <= a < y), None)
+                tags.append(0 if hit is None else 1 + 2 * hit[1] + (hit[0] != a))
+            rows.append((number[of[mine]], np.array(tags)))
         k, hard = len(LABELS), allowed()
-        begin = np.array([-1e4 if x[0] == "I" else 0.0 for x in LABELS])
-        w, t = np.zeros((len(self.index), k)), np.zeros((k, k))
+        w, t = np.zeros((len(self.known), k)), np.zeros((k, k))
         gw2, gt2 = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
         for _ in range(EPOCHS):
             gw, gt = -DECAY * w, -DECAY * t
+            trans = t + hard
             for feats, tags in rows:
-                e = np.array([w[f].sum(axis=0) for f in feats])
-                e[0] += begin
-                trans, n = t + hard, len(tags)
+                n = len(tags)
+                e = w[feats].sum(axis=1)
                 alpha, beta = np.zeros((n, k)), np.zeros((n, k))
-                alpha[0] = e[0]
+                alpha[0], beta[-1] = e[0] + trans[0], trans[:, 0]
                 for i in range(1, n):
                     alpha[i] = np.logaddexp.reduce(alpha[i - 1][:, None] + trans, axis=0) + e[i]
                 for i in range(n - 2, -1, -1):
                     beta[i] = np.logaddexp.reduce(trans + (e[i + 1] + beta[i + 1])[None], axis=1)
-                z = np.logaddexp.reduce(alpha[-1])
-                p = np.exp(alpha + beta - z)
-                for i in range(n):
-                    p_i = -p[i]
-                    p_i[tags[i]] += 1
-                    gw[feats[i]] += p_i
-                    if i:
-                        gt -= np.exp(alpha[i - 1][:, None] + trans + (e[i] + beta[i])[None] - z)
-                        gt[tags[i - 1], tags[i]] += 1
+                z = np.logaddexp.reduce(alpha[-1] + trans[:, 0])
+                p = -np.exp(alpha + beta - z)
+                gt[0] += p[0]
+                gt[:, 0] += p[-1]
+                p[np.arange(n), tags] += 1
+                gt[0, tags[0]] += 1
+                gt[tags[-1], 0] += 1
+                for c in range(feats.shape[1]):
+                    np.add.at(gw, feats[:, c], p)
+                for i in range(1, n):
+                    gt -= np.exp(alpha[i - 1][:, None] + trans + (e[i] + beta[i])[None] - z)
+                    gt[tags[i - 1], tags[i]] += 1
             gw2 += gw**2
             gt2 += gt**2
             w += STEP * gw / np.sqrt(gw2)
             t += STEP * gt / np.sqrt(gt2)
-        self.weights, self.trans, self.begin = w, t + hard, begin
-
-    def emissions(self, shapes: list[str], gaps: list[bool]) -> np.ndarray:
-        out = np.zeros((len(shapes), len(LABELS)))
-        for i, fs in enumerate(features(shapes, gaps)):
-            known = [self.index[f] for f in fs if f in self.index]
-            if known:
-                out[i] = self.weights[known].sum(axis=0)
-        return out
-
-    def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi over sequences of like length at a time."""
-        out: list[np.ndarray] = [np.zeros(0, int)] * len(emissions)
-        order = sorted(range(len(emissions)), key=lambda i: len(emissions[i]))
+        self.weights, self.trans = np.vstack([w, np.zeros(k)]), t + hard
+        spans_of = [(1 + 2 * j, 2 + 2 * j) for j in range(len(KINDS))]
+        soft = np.where(self.trans < -1e3, -np.inf, self.trans)
+        #: What a token more, and the ends, can bring a span beyond what O brings there.
+        self.inside = max(max(soft[b, i], soft[i, i]) for b, i in spans_of) - soft[0, 0]
+        begins = [b for b, _ in spans_of]
+        self.ends = (soft[:, begins] - soft[:, :1]).max() + max((soft[x, [0, *begins]] - soft[0, [0, *begins]]).max() for pair in spans_of for x in pair)
+
+    def emissions(self, window: np.ndarray) -> np.ndarray:
+        """(windows, labels): summed weights of the features that the table has."""
+        found = features(window)
+        at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+        return self.weights[np.where(self.known[at] == found, at, len(self.known))].sum(axis=1)
+
+    def undecided(self, gain: np.ndarray) -> np.ndarray:
+        """Tokens that some span might hold; all others are O on the best path, whatever the rest is.
+
+        gain: how far a token's best other label is above O. A span's worth is at most the sum over its tokens of gain and `inside`, and
+        `ends`. Where the best sum over all spans that hold a token stays below 0, O throughout the span would be better.
+        """
+        g = gain + self.inside
+        s = np.concatenate([[0.0], np.cumsum(g)])
+        left = s[:-1] - np.minimum.accumulate(s[:-1])  # the best sum of tokens that end just before
+        right = np.maximum.accumulate(s[::-1])[::-1][1:] - s[1:]
+        return g + left + right + self.ends - self.inside >= -1e-3
+
+    def paths(self, e: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Labels of all tokens by Viterbi over the stretches [first, last), each between two O, batches of like length at a time."""
+        out, size = np.zeros(len(e), np.int8), last - first
+        order = np.argsort(size, kind="stable")
         at = 0
         while at < len(order):
-            longest, group = 0, []
-            while at < len(order) and (not group or len(emissions[order[at]]) <= 1.25 * longest + 4) and (len(group) + 1) * len(emissions[order[at]]) < 200_000 or not group:
-                group.append(order[at])
-                longest = longest or len(emissions[order[at]])
-                at += 1
-            top = max(len(emissions[i]) for i in group)
-            if not top:
-                continue
-            e = np.zeros((len(group), top, len(LABELS)))
-            for r, i in enumerate(group):
-                e[r, : len(emissions[i])] = emissions[i]
-                e[r, len(emissions[i]) :, 1:] = -1e4  # padding is O
+            shortest, stop = size[order[at]], at + 1
+            while stop < len(order) and size[order[stop]] <= 1.25 * shortest + 4 and (stop + 1 - at) * size[order[stop]] <= BATCH:
+                stop += 1
+            group = order[at:stop]
+            at, top = stop, int(size[group].max())
+            inside = np.arange(top)[None] < size[group][:, None]
+            place = np.where(inside, first[group][:, None] + np.arange(top)[None], 0)
+            x = np.where(inside[:, :, None], e[place], np.where(np.arange(len(LABELS)) == 0, 0.0, -1e6))  # padding is O
             back = np.zeros((len(group), top, len(LABELS)), np.int8)
-            v = e[:, 0] + self.begin
-            for s in range(1, top):
+            v = x[:, 0] + self.trans[0]
+            for i in range(1, top):
                 through = v[:, :, None] + self.trans
-                back[:, s] = through.argmax(axis=1)
-                v = through.max(axis=1) + e[:, s]
-            path = np.zeros((len(group), top), int)
-            path[:, -1] = v.argmax(axis=1)
-            rows = np.arange(len(group))
-            for s in range(top - 1, 0, -1):
-                path[:, s - 1] = back[rows, s, path[:, s]]
-            for r, i in enumerate(group):
-                out[i] = path[r, : len(emissions[i])]
+                back[:, i] = through.argmax(axis=1)
+                v = through.max(axis=1) + x[:, i]
+            path, rows = np.zeros((len(group), top), np.int8), np.arange(len(group))
+            path[:, -1] = (v + self.trans[:, 0]).argmax(axis=1)
+            for i in range(top - 1, 0, -1):
+                path[:, i - 1] = back[rows, i, path[:, i]]
+            out[place[inside]] = path[inside]
+        return out
+
+    def spans(self, texts: list[str], whole: bool = False) -> list[list[tuple[int, int, int]]]:
+        """(kind, start, end) of each text's spans on the best path over the whole text. `whole` decodes decided tokens too, which changes nothing."""
+        shape, space, owner, start, end = tokens_of(texts, self.marks)
+        window, of = windows(shape, space)
+        scores = self.emissions(window)
+        gain = (scores[:, 1:].max(axis=1) - scores[:, 0])[of]
+        gain[owner < 0] = -1e6
+        live = (owner >= 0) if whole else self.undecided(gain) & (owner >= 0)
+        edge = np.diff(np.concatenate([[0], live.astype(np.int8), [0]]))
+        label = self.paths(scores[of], np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        begins = np.flatnonzero(label % 2 == 1)
+        more = np.append(label[1:], 0)
+        stops = np.flatnonzero((label > 0) & ~((more > 0) & (more % 2 == 0)))
+        for b, s in zip(begins.tolist(), stops.tolist(), strict=True):
+            out[owner[b]].append(((int(label[b]) - 1) // 2, int(start[b]), int(end[s])))
         return out
 
 
@@ -281,69 +450,43 @@ def field() -> Field:
     return Field()
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text in which a label other than O can be, cut at white space."""
-    out: list[list[int]] = []
-    for m in LIVE.finditer(text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    for x in out:
-        while 0 < x[0] and x[1] - x[0] < 4 * CONTEXT and not text[x[0] - 1].isspace():
-            x[0] -= 1
-    return [(a, b) for a, b in out]
+#: An address that is spelled out: parts of a name, `at` or @, parts of a host with a dot or `dot` between them.
+SPELLED = re.compile(
+    r"[\w+-]+(?:\s*(?:\.|\bdot\b)\s*[\w+-]+){0,4}\s*[(\[{<]?\s*(?:@|\bat\b)\s*[)\]}>]?\s*[\w-]+(?:\s*[(\[{]?\s*(?:\.|\bdot\b)\s*[)\]}]?\s*[\w-]+){1,5}", re.IGNORECASE,
+)
+#: What a phone number without its plus is made of.
+PHONE_LIKE = re.compile(r"\(?[0-9][0-9()./ -]*[0-9]")
+#: The longest span of each kind, in characters.
+LONGEST = (100, 50, 40, 30)
 
 
 def plausible(kind: int, found: str) -> bool:
     """A check on what the field finds, as the patterns have theirs."""
+    if len(found) > LONGEST[kind]:
+        return False
     d = digits_of(found)
     if kind == 0:
-        low = found.lower()
-        return ("@" in low or "at" in re.findall(r"[a-z]+", low)) and ("." in low or "dot" in re.findall(r"[a-z]+", low))
+        return SPELLED.fullmatch(found) is not None
     if kind == 1:
         parts = re.findall(r"[0-9]+", found)
-        return len(parts) == 4 and all(int(p) <= 255 for p in parts if len(p) < 9) and max(map(len, parts)) <= 3
+        return len(parts) == 4 and max(map(len, parts)) <= 3 and all(int(p) <= 255 for p in parts)
     if kind == 2:
         return 13 <= len(d) <= 19 and luhn(d)
-    return 7 <= len(d) <= 15
+    return 7 <= len(d) <= 15 and PHONE_LIKE.fullmatch(found) is not None
 
 
 def find_all(texts: list[str], model: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text: base spans, and the field's spans that touch none of them."""
-    base = [base_spans(t) for t in texts]
-    jobs, emissions = [], []
-    for n, t in enumerate(texts):
-        for a, b in stretches(t):
-            spans, shapes, gaps = tokens_of(t, a, b)
-            jobs.append((n, spans))
-            emissions.append(model.emissions(shapes, gaps))
-    more: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for (n, spans), path in zip(jobs, model.decode(emissions)):
-        i = 0
-        while i < len(spans):
-            label = LABELS[path[i]]
-            if label[0] != "B":
-                i += 1
-                continue
-            j = i + 1
-            while j < len(spans) and LABELS[path[j]] == "I" + label[1:]:
-                j += 1
-            kind, a, b = KINDS.index(label[2:]), spans[i][0], spans[j - 1][1]
-            if plausible(kind, texts[n][a:b]):
-                more[n].append((kind, a, b))
-            i = j
     out = []
-    for known, new in zip(base, more):
+    for text, known, new in zip(texts, map(base_spans, texts), model.spans(texts)):
         taken = sorted((a, b) for _, a, b in known)
         starts = np.array([a for a, _ in taken])
         ends = np.maximum.accumulate([b for _, b in taken]) if taken else np.zeros(0)
         free = []
-        for s in new:
-            at = int(np.searchsorted(starts, s[2]))
-            if not at or ends[at - 1] <= s[1]:
-                free.append(s)
+        for k, a, b in new:
+            at = int(np.searchsorted(starts, b))
+            if (not at or ends[at - 1] <= a) and plausible(k, text[a:b]):
+                free.append((k, a, b))
         out.append((known, free))
     return out
 
@@ -368,7 +511,7 @@ def find_pii(
     model = field()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TOGETHER):
             texts = [t or "" for t in part.column(1).to_pylist()]
             found = find_all(texts, model)
             out: dict[str, list] = {"base": [said(b) for b, _ in found], "spans": [said(b + m) for b, m in found]}
@@ -396,10 +539,6 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def digest(base: str) -> str:
-    return hashlib.sha256(base.encode()).hexdigest()
-
-
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
