@@ -560,3 +560,64 @@ def test_lm_beats_counts_and_pairs_of_ids(spark):
     starts = np.bincount(np.append(end, train[:-1]), minlength=end + 1)
     pairs = np.log10((both + np.maximum(after[before], 1) * 10 ** alone[test]) / (starts[before] + np.maximum(after[before], 1))).sum()
     assert got > 0.8 * alone[test].sum() and got > pairs
+
+
+def each_operator(docs):
+    """Every operator over the columns doc_id and text, by name: a row per document."""
+    model = fit(docs, F.lit(True))
+    return {
+        "exact": lambda: exact_dedup(docs), "near": lambda: near_dedup(docs), "pieces": lambda: spc.encode(docs), "license": lambda: lic.license_scan(docs),
+        "pii": lambda: pii.find_pii(docs), "language": lambda: identify(docs, model), "lm": lambda: lm.lm_score(docs, F.lit(True)),
+        "packing": lambda: packing.pack_documents(docs, capacity=1 << 20),
+    }
+
+
+def test_odd_rows_and_clashing_columns_give_a_row_each(spark, docs):
+    """Nulls, empty and very long texts, repeated rows, null ids, and extra columns with the operators' own names."""
+    clash = ["_text", "_size", "_hash", "_plain", "ids", "bands", "shingles", "rejected", "lang_pred", "score", "spans", "base", "piece", "length", "root", "train", "_units"]
+    odd = docs.unionByName(spark.createDataFrame([(900, "word " * 60_000, None, 1, "k", 0)], docs.schema)).select("*", *[F.lit("x").alias(c) for c in clash])
+    want = sorted((r["doc_id"] for r in odd.select("doc_id").collect()), key=str)
+    for name, run in each_operator(odd).items():
+        assert sorted((r["doc_id"] for r in run().select("doc_id").collect()), key=str) == want, name
+
+
+def test_empty_tables(spark, docs):
+    for name, run in each_operator(docs.filter("doc_id = -5")).items():
+        assert run().count() == 0, name
+
+
+def test_chat_repeated_rows_and_other_columns(spark):
+    log = [(1, 0, "start", None, "user", "Hi", "x"), (1, 1, "start", None, "assistant", "Yo", "x"), (1, 1, "start", None, "assistant", "Yo", "x")]
+    df = spark.createDataFrame(log, "conv_id long, seq long, kind string, target long, role string, text string, message string")
+    df = df.select("*", F.lit(1).alias("_at"), F.lit("z").alias("formatted"), F.lit("z").alias("mask"))
+    assert chat_format(df).first()["formatted"] == "<|user|>\nHi<|end|>\n" + "<|assistant|>\nYo<|end|>\n" * 2
+
+
+def test_top_k_with_clashing_columns(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], 0, "a", 1, 2) for i in range(10)], "vec_id long, embedding array<double>, id int, vector string, block int, score int")
+    got = [tuple(r) for r in top_k(df, F.col("vec_id") == 3, 2).orderBy("rank").collect()]
+    assert got == [(3, 1, 9, 256 * 256 * 28), (3, 2, 8, 256 * 256 * 25)]
+
+
+CONTRACT = {
+    "op2_best_fit_packing": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op5_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    "op7_lm_scoring": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op10_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_columns_of_the_queries(spark, name):
+    import os
+
+    from tabwarden.llm.queries import QUERIES
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert CONTRACT[name].items() <= dict(df.dtypes).items()
+    if "held_out" in df.columns:
+        rest, out = (4, 2) if name.startswith("op10") else (7, 2)
+        rows = df.select("doc_id", "held_out").collect()
+        assert len(rows) == 200 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % rest == out) for r in rows)
