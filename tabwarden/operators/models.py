@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import logging
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -28,8 +29,8 @@ from .selection import LIMIT, preprocess, select_features
 
 log = logging.getLogger(__name__)
 
-#: Candidates of the random search, the most that an exhaustive one may have, and seeds.
-DRAWS, MOST_CANDIDATES, SEED = 40, 500, 42
+#: Candidates of the random search, the most that an exhaustive one may have, candidates fitted side by side, and seeds.
+DRAWS, MOST_CANDIDATES, AT_ONCE, SEED = 40, 500, 4, 42
 
 
 @dataclass(frozen=True)
@@ -156,23 +157,29 @@ def scored_auc(scored: DataFrame, k: int) -> DataFrame:
 
 
 def search(rows: DataFrame, key: str, spec: Spec, k: int, width: int, how: str = "randomized", folds: int = 3, most: int | None = None) -> dict:
-    """The candidate of the greatest AUC under stratified folds, the first of equal ones; a candidate that fails scores 0."""
+    """The candidate of the greatest AUC under stratified folds, the first of equal ones; a candidate that fails scores 0.
+
+    AT_ONCE candidates are fitted side by side, so that small jobs fill the cluster.
+    """
     folded = stratified_folds(rows, "label", key, folds).cache()
+
+    def worth(params: dict) -> float:
+        try:
+            parts = []
+            for f in range(folds):
+                model = fit(folded.filter(F.col("fold") != f), spec.kind, params, k, width)
+                parts.append(model.scores(folded.filter(F.col("fold") == f)).select(F.lit("m").alias("model"), F.col("label").alias("y"), "p"))
+            return scored_auc(reduce(DataFrame.unionByName, parts), k).first()["auc"] or 0.0
+        except Exception as error:  # what a library refuses must not end the search
+            log.warning("candidate %s failed: %s", params, error)
+            return 0.0
+
     try:
-        best, chosen = -1.0, dict(spec.params)
-        for params in candidates(spec, how)[:most]:
-            try:
-                parts = []
-                for f in range(folds):
-                    model = fit(folded.filter(F.col("fold") != f), spec.kind, params, k, width)
-                    parts.append(model.scores(folded.filter(F.col("fold") == f)).select(F.lit("m").alias("model"), F.col("label").alias("y"), "p"))
-                worth = scored_auc(reduce(DataFrame.unionByName, parts), k).first()["auc"] or 0.0
-            except Exception as error:  # what a library refuses must not end the search
-                log.warning("candidate %s failed: %s", params, error)
-                worth = 0.0
-            if worth > best:
-                best, chosen = worth, params
-        return chosen
+        folded.count()  # cached once, before all ask for it
+        tried = candidates(spec, how)[:most]
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            found = list(pool.map(worth, tried))
+        return tried[found.index(max(found))] if tried else dict(spec.params)
     finally:
         folded.unpersist()
 
