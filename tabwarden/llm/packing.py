@@ -34,6 +34,8 @@ CAPACITY, GROUPS, LARGE = 2048, 400, 1 / 3
 END_ID = 0
 #: Parts of texts whose ids a worker remembers.
 REMEMBER = 250_000
+#: Parts and words beyond which a worker keeps fewer between tasks.
+RESTING = 100_000
 #: Bytes of text that are encoded together.
 SLICE = 8_000_000
 #: Rounds of column generation; it stops by itself where no configuration improves on those it has.
@@ -102,6 +104,11 @@ class Encoder:
         for p, own in cuts:
             self.known[p] = self.words[own[0]] if len(own) == 1 else b"".join(map(self.words.__getitem__, own))
 
+    def rest(self) -> None:
+        """Between tasks only the parts seen last stay, since other workers share the memory."""
+        if len(self.known) + len(self.before) + len(self.words) > RESTING:
+            self.before, self.words = {}, {}
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, as little-endian unsigned 32 bits, and where each text's begin, with the end at last."""
         if len(self.known) > self.remember:  # the parts seen lately stay at hand
@@ -153,6 +160,7 @@ def cut(
                 [pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        encode.rest()
 
     return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, PIECES)
 
