@@ -100,3 +100,26 @@ def test_logistic_against_newton(spark, known):
 
 def test_empty_table(spark, known):
     assert bias.audit(known.filter("a = 9"), "a", "y").count() == 0
+
+
+def test_audit_of_many_cells_is_the_same(spark, monkeypatch):
+    df = spark.range(300).select((F.col("id") % 2).alias("a"), (F.col("id") % 3 == 0).cast("long").alias("y"), (F.col("id") % 5).alias("s"))
+    said = lambda: sorted((r["scope"], r["metric"], r["value"], r["biased"]) for r in bias.audit(df, "a", "y", 1, "s").collect())
+    few = said()
+    monkeypatch.setattr(bias, "FEW_CELLS", 0)
+    many = said()
+    assert [x[:2] for x in few] == [x[:2] for x in many]
+    assert [x[2] for x in few] == pytest.approx([x[2] for x in many], nan_ok=True)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tabwarden.functions import store
+
+    session = lambda master, path=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: path), sparkContext=SimpleNamespace(master=master))
+    assert store.shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            store.shared_dir(session(master))
+    assert store.shared_dir(session("local[4]")) == store.shared_dir(session("local"))
