@@ -136,7 +136,7 @@ def test_config(spark, tmp_path):
 
 
 @pytest.mark.parametrize("k", [2, 3])
-def test_whole_run(spark, rows, tmp_path, k):
+def test_whole_run(spark, rows, tmp_path, monkeypatch, k):
     from pyspark.ml import PipelineModel
 
     from tabwarden.plans.run import run
@@ -147,6 +147,8 @@ def test_whole_run(spark, rows, tmp_path, k):
     for name, part in (("Train", train), ("Test", test)):
         part.toPandas().to_csv(tmp_path / "in" / f"{name}.csv", index=False)
     out = str(tmp_path / "out")
+    monkeypatch.setattr(explain, "TREE_ROWS", 10)
+    monkeypatch.setattr(explain, "KERNEL_ROWS", 6)
     chosen, selector = (("Logistic Regression", "Decision Tree"), "featurewiz") if k == 2 else (("SVC",), None)
     run(spark, str(tmp_path / "in"), tables.Config(bias_assessment=True, feature="Target", folds=2, selector=selector, correlation_limit=0.6, models=chosen), out)
     said = lambda name: spark.read.parquet(f"{out}/{name}")
