@@ -17,8 +17,14 @@ from ..functions.store import stored
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows of a batch that goes to a Python worker, where the session has Spark's own setting: whole texts are large rows.
+BATCH_ROWS, BATCH_SETTING, USUAL_ROWS = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def see_package(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package from where the driver has it."""
+    """Let Python workers of a local session import this package from where the driver has it; batches of whole texts have BATCH_ROWS rows."""
+    if spark.conf.get(BATCH_SETTING, USUAL_ROWS) == USUAL_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(":"):

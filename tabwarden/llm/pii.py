@@ -190,7 +190,7 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Passes of training, step and weight decay.
 EPOCHS, STEP, DECAY = 150, 0.5, 1e-3
 #: Bytes of text whose tokens are held at once, and tokens of a batch of Viterbi.
-TOGETHER, BATCH = 1_500_000, 200_000
+TOGETHER, BATCH = 400_000, 50_000
 
 #: Shapes: 0 for marks that the table does not have, 1 around texts, digits by number, letters by case and whether there is one only, then words and marks.
 EDGE, DIGITS, CASES, FIRST_WORD = 1, 1, 11, 17
