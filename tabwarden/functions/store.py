@@ -25,16 +25,25 @@ def own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
-def written(df: DataFrame, what: str, kind: str = "parquet") -> str:
-    """The path of df, written into the shared folder. It goes when the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}.{kind}"
-    df.write.format(kind).save(path)
+def new_path(spark: SparkSession, what: str, kind: str) -> str:
+    """A path in the shared folder at which nothing is yet."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}.{kind}"
+
+
+def until_the_end(spark: SparkSession, path: str) -> str:
+    """The path, at which something lies now; it goes when the session's JVM ends."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
 
 
+def written(df: DataFrame, what: str, kind: str = "parquet") -> str:
+    """The path of df, written into the shared folder. It goes when the session's JVM ends."""
+    path = new_path(df.sparkSession, what, kind)
+    df.write.format(kind).save(path)
+    return until_the_end(df.sparkSession, path)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written into the shared folder and read back: lineage ends there, and lost executors cost no second run."""
     return df.sparkSession.read.schema(df.schema).parquet(written(df, what))
