@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -37,57 +37,4 @@ def count_where(condition: Column, n: Column | None = None) -> Column:
 
 def shuffled(key: str, seed: int) -> Column:
     """A reproducible random order: the hex md5 of key and seed."""
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")).cast("binary"))
-
-
-def rank_by_text(df: DataFrame, by: list[str], order: Column, ties: list[Column], name: str, prefix: int = 3) -> DataFrame:
-    """df with the rank (from 1) of each row within `by` in the order of a text and then of `ties`.
-
-    No task holds a whole group: rows are ranked within groups of a common prefix of the text, whose counts, added up in order,
-    give where each begins. Null texts come first.
-    """
-    cut = df.withColumn("_order", order).withColumn("_cut", F.coalesce(F.substring("_order", 1, prefix), F.lit("")))
-    inner = Window.partitionBy(*by, "_cut").orderBy(F.col("_order").asc_nulls_first(), *ties)
-    sizes = cut.groupBy(*by, "_cut").agg(F.count("*").alias("_n"))
-    outer = Window.partitionBy(*[F.col(b) for b in by] or [F.lit(1)]).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sizes.select(*[F.col(b).alias(f"_b_{b}") for b in by], F.col("_cut").alias("_begin_cut"), F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_begin"))
-    same = F.col("_cut") == F.col("_begin_cut")
-    for b in by:
-        same = same & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
-    ranked = cut.withColumn("_inner", F.row_number().over(inner)).join(begins, same)
-    return ranked.select(*map(named, df.columns), (F.col("_begin") + F.col("_inner")).cast("long").alias(name))
-
-
-def logit_cut(score: Column, width: int = 64) -> Column:
-    """A number that rises with a score and cuts it into ranges narrow near 0 and 1, where scores crowd; scores beyond 0 and 1 have ranges of their own."""
-    p = score.cast("double")
-    inside = F.floor(F.ln(p / (1 - p)) * width).cast("long")
-    return F.when(p.isNull(), -2_000_000).when(p <= 0, -1_000_000).when(p >= 1, 1_000_000).otherwise(inside)
-
-
-def running(df: DataFrame, by: list[str], cut: Column, order: Column, sums: dict[str, Column], totals: dict[str, str] | None = None, before: dict[str, Column] | None = None) -> DataFrame:
-    """df with running sums within `by` in the order of `order`, this row included; sums over the whole group; and greatest values before the row.
-
-    sums: name -> what is summed; totals: name -> which of `sums`; before: name -> what the greatest is taken of, null in the first row.
-    `cut` numbers ranges of `order` so that they rise with it. No task holds a whole group: rows are added up within ranges, and the
-    ranges' own sums, one row for each, give what lies before.
-    """
-    totals, before = totals or {}, before or {}
-    rows = df.withColumn("_cut", cut)
-    ranges = rows.groupBy(*by, "_cut").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()], *[F.max(c).alias(f"_m_{n}") for n, c in before.items()])
-    group = Window.partitionBy(*by)
-    earlier = group.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    begins = ranges.select(
-        *[F.col(b).alias(f"_b_{b}") for b in by], F.col("_cut").alias("_b_cut"), *[F.sum(f"_s_{n}").over(earlier).alias(f"_s_{n}") for n in sums],
-        *[F.sum(f"_s_{of}").over(group).alias(n) for n, of in totals.items()], *[F.max(f"_m_{n}").over(earlier).alias(f"_m_{n}") for n in before],
-    )
-    same = F.col("_cut") == F.col("_b_cut")
-    for b in by:
-        same = same & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
-    inner = Window.partitionBy(*by, "_cut").orderBy(order)
-    up_to, until = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(Window.unboundedPreceding, -1)
-    # A join for each row's range; rows of a range then lie together for the windows.
-    return rows.join(begins, same).select(
-        *map(named, df.columns), *[(F.sum(c).over(up_to) + F.coalesce(f"_s_{n}", F.lit(0))).alias(n) for n, c in sums.items()],
-        *totals, *[F.coalesce(F.max(c).over(until), f"_m_{n}").alias(n) for n, c in before.items()],
-    )
+    return F.md5(F.concat(named(key).cast("string"), F.lit(f"|{seed}")).cast("binary"))

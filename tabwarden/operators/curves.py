@@ -1,7 +1,7 @@
 """ROC and precision-recall curves over distinct scores, per model and class, micro and macro.
 
-Areas are added up from the counts at each score, so no row needs the one before it; running counts are taken in two levels
-(`functions/numbers.py`), so no task holds a whole curve.
+Areas are added up from the counts at each score, so no row needs the one before it; running counts of many scores are taken in two
+levels, over ranges that follow the scores (`functions/ranges.py`), so no task holds a whole curve. Counts by score are stored first.
 """
 
 from __future__ import annotations
@@ -9,19 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import logit_cut, or_zero, running
+from ..functions.numbers import or_zero
+from ..functions.ranges import cut_points, running
+from ..functions.store import stored
 from .scoring import one_against_rest, score_histogram
 
-#: Ranges of false positive rates in which a macro curve is added up.
-RATE_RANGES = 4096
 #: Slopes are added and taken away exactly.
 SLOPE = "decimal(38,18)"
 
 
 def cumulative(scored: DataFrame, by: list[str]) -> DataFrame:
     """(by, threshold, pos, neg, tp, fp, positives, negatives): rows at each score, and rows that score at least it."""
-    h = score_histogram(scored, by)
-    down = running(h, by, -logit_cut(F.col("p")), F.col("p").desc(), {"tp": F.col("pos"), "fp": F.col("neg")}, {"positives": "tp", "negatives": "fp"})
+    h = stored(score_histogram(scored, by), "scores")
+    down = running(h, by, "p", cut_points(h, "p"), {"tp": F.col("pos"), "fp": F.col("neg")}, {"positives": "tp", "negatives": "fp"}, down=True)
     return down.select(*by, F.col("p").alias("threshold"), "pos", "neg", "tp", "fp", "positives", "negatives")
 
 
@@ -73,13 +73,13 @@ def macro_steps(counts: DataFrame, by: list[str]) -> DataFrame:
         F.struct(or_zero(F.col("fp") - F.col("neg"), F.col("negatives")).alias("fpr"), none.alias("jump"), F.when(line, slope).otherwise(F.lit(0).cast(SLOPE)).alias("turn")),
     )).alias("e")).select(*by, "e.*")
     classes = counts.select(*by, "class").distinct().groupBy(*by).agg(F.count("*").alias("classes"))
-    rates = events.groupBy(*own).agg(F.sum("jump").alias("jump"), F.sum("turn").cast(SLOPE).alias("turn"))
-    cut = F.floor(F.col("fpr") * RATE_RANGES).cast("long")
-    turned = running(rates, by, cut, F.col("fpr"), {"slope": F.col("turn")}, before={"last": F.col("fpr")})
+    rates = stored(events.groupBy(*own).agg(F.sum("jump").alias("jump"), F.sum("turn").cast(SLOPE).alias("turn")), "rates")
+    bounds = cut_points(rates, "fpr")
+    turned = running(rates, by, "fpr", bounds, {"slope": F.col("turn")}, before={"last": F.col("fpr")})
     gap = F.coalesce(F.col("fpr") - F.col("last"), none)
     in_force = (F.col("slope") - F.col("turn")).cast("double")
     steps = turned.join(classes, by).select(*own, gap.alias("gap"), ((in_force * gap + F.col("jump")) / F.col("classes")).alias("step"))
-    return running(steps, by, cut, F.col("fpr"), {"tpr": F.col("step")})
+    return running(steps, by, "fpr", bounds, {"tpr": F.col("step")})
 
 
 def macro_roc(scored: DataFrame, k: int, by: list[str]) -> DataFrame:

@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import count_where, logit_cut, or_zero, ratio, running
+from ..functions.numbers import count_where, or_zero, ratio
+from ..functions.ranges import cut_points, running
+from ..functions.store import stored
 
 GROUP = ["model", "fold"]
 METRICS = ("sensitivity", "specificity", "auc", "f1", "accuracy", "balanced_accuracy")
@@ -56,7 +58,8 @@ def score_histogram(scored: DataFrame, by: list[str], positive: Column | None =
 
 def auc(scored: DataFrame, by: list[str] = GROUP, positive: Column | None = None, empty: float | None = None) -> DataFrame:
     """(by, auc): chance that a positive scores above a negative, ties for half; `empty` where a class has no rows."""
-    h = running(score_histogram(scored, by, positive), by, logit_cut(F.col("p")), F.col("p"), {"below": F.col("neg")})
+    counted = stored(score_histogram(scored, by, positive), "scores")
+    h = running(counted, by, "p", cut_points(counted, "p"), {"below": F.col("neg")})
     h = h.select(*by, "pos", "neg", (F.col("pos") * (F.col("below") - 0.5 * F.col("neg"))).alias("won"))
     return h.groupBy(*by).agg(F.coalesce(ratio(F.sum("won"), F.sum("pos").cast("double") * F.sum("neg")), F.lit(empty).cast("double")).alias("auc"))
 

@@ -33,8 +33,7 @@ def run(spark: SparkSession, folder: str, config: Config, out: str) -> None:
             except Exception as error:
                 log.warning("audit of %s failed: %s", name, error)
                 errors.append((f"audit {name}", "", -1, str(error)[:500]))
-    train, test = prep.prepare(train, test, target)
-    key = config.key or prep.key_of(train) or prep.MADE_KEY
+    train, test, key = prep.prepared(train, test, target, config.key)
     k = train.select(target).distinct().count()
     write_table(prep.class_profile(train, target), f"{out}/ClassProfile")
     params = {}

@@ -173,6 +173,24 @@ def test_whole_run(spark, rows, tmp_path, monkeypatch, k):
         assert both.count() == test.count() and both.filter(F.abs(F.col("p")[1] - F.col("q")[1]) > 1e-9).count() == 0
 
 
+@pytest.mark.parametrize("case", ["no key", "text key", "key of its own"])
+def test_run_over_any_key(spark, rows, tmp_path, case):
+    """Tables without a key, with a text key, and with a configured text key beside a numeric ID: the run ends, and no key is a feature."""
+    from tabwarden.plans.run import run
+
+    os.makedirs(tmp_path / "in")
+    train, test = prep.train_test_split(rows.select("ID", "Target", "x", "z"), "Target", "ID")
+    for name, part in (("Train", train), ("Test", test)):
+        told = {"no key": part.drop("ID"), "text key": part.withColumn("ID", F.concat(F.lit("P"), "ID")), "key of its own": part.withColumn("who", F.concat(F.lit("W"), "ID"))}[case]
+        told.toPandas().to_csv(tmp_path / "in" / f"{name}.csv", index=False)
+    out = str(tmp_path / "out")
+    run(spark, str(tmp_path / "in"), tables.Config(folds=2, selector=None, key="who" if case == "key of its own" else None), out)
+    said = lambda name: spark.read.parquet(f"{out}/{name}")
+    assert said("Errors").count() == 0 and said("TestScores").count() == test.count() and said("FoldScores").count() == train.count()
+    assert said("FoldScores").select("id").distinct().count() == train.count()
+    assert {r["feature"] for r in said("Explanation/Logistic_Regression/Importance").collect()} == {"x", "z"}
+
+
 def test_failures_are_rows_of_the_error_table(spark, rows, tmp_path, monkeypatch):
     from tabwarden.plans.run import run
 

@@ -34,6 +34,28 @@ def test_keys(spark, pair):
     assert sorted(r[0] for r in made.select(key).collect()) == sorted(r[0] for r in again.select(key).collect())
 
 
+def test_keys_of_a_pair(spark, pair):
+    """A key is told for both tables, compared with nothing, kept, and alone: other columns that tell rows apart are no features."""
+    train, test, key = prep.prepared(*pair)
+    assert key == "ID" and "ID" in train.columns and "ID" in test.columns
+    texts = [df.withColumn("ID", F.concat(F.lit(f"{n}-"), "ID")) for n, df in zip("ab", pair)]
+    train, test, key = prep.prepared(*texts)
+    assert key == "ID" and {r["ID"] for r in test.select("ID").collect()} == {"b-2", "b-3", "b-4"} and train.count() == 5
+    bare = [df.drop("ID").unionByName(df.drop("ID").limit(1)) for df in pair]
+    train, test, key = prep.prepared(*bare)
+    assert key == prep.MADE_KEY and train.select(key).distinct().count() == train.count() == 6 and test.count() == 4
+    train, test, key = prep.prepared(*pair, key="loan_id")
+    assert key == "loan_id" and "ID" not in train.columns and "ID" not in test.columns
+    nulls = pair[0].withColumn("loan_id", F.when(F.col("loan_id") > 72, F.col("loan_id")))
+    assert prep.prepared(nulls, pair[1], key="loan_id")[0].count() == 5  # a null in the key is no reason to go
+    mixed = pair[1].withColumn("ID", F.col("ID").cast("string"))
+    assert dict(prep.prepared(pair[0], mixed)[0].dtypes)["ID"] == "string"
+    one_sided = prep.prepared(pair[0], pair[1].drop("ID"))
+    assert one_sided[2] == prep.MADE_KEY and "ID" not in one_sided[0].columns
+    with pytest.raises(ValueError):
+        prep.prepared(*pair, key="no such")
+
+
 def test_domains_and_prepare(spark, pair):
     train, test = prep.prepare(*pair)
     assert "purpose" not in train.columns and "purpose" not in test.columns and "region" in train.columns
@@ -72,11 +94,12 @@ def test_folds_are_even_and_complete(spark):
 def test_ranks_equal_a_plain_window(spark):
     from pyspark.sql import Window
 
-    from tabwarden.functions.numbers import rank_by_text, shuffled
+    from tabwarden.functions.numbers import shuffled
+    from tabwarden.functions.ranges import rank_in_order
 
     df = spark.range(500).withColumn("y", F.when(F.col("id") % 7 > 0, F.col("id") % 2)).withColumn("t", shuffled("id", 3))
     plain = F.row_number().over(Window.partitionBy("y").orderBy("t", "id"))
-    both = rank_by_text(df, ["y"], F.col("t"), [F.col("id")], "r").withColumn("p", plain)
+    both = rank_in_order(df, ["y"], [F.col("t"), F.col("id")], "r").withColumn("p", plain)
     assert both.count() == 500 and both.filter("r <> p").count() == 0
 
 

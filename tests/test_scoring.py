@@ -86,20 +86,47 @@ def test_curves(spark):
     assert found == pytest.approx(np.trapezoid(mean, grid))
 
 
-def test_running_sums_equal_plain_windows(spark):
+@pytest.mark.parametrize("small", [None, 40])
+@pytest.mark.parametrize("down", [False, True])
+def test_running_sums_equal_plain_windows(spark, small, down):
+    """In one level, and over ranges that follow the numbers; nulls and NaN have their places, a group may be null."""
     from pyspark.sql import Window
 
-    from tabwarden.functions.numbers import logit_cut, running
+    from tabwarden.functions.ranges import cut_points, running
 
     df = spark.range(800).select((F.col("id") % 3).alias("g"), (F.col("id") * 37 % 801 / 800 - 0.0).alias("p"), (F.col("id") % 11).alias("n")).withColumn("g", F.when(F.col("g") > 0, F.col("g")))
-    up = Window.partitionBy("g").orderBy("p")
-    got = running(df, ["g"], logit_cut(F.col("p")), F.col("p"), {"s": F.col("n")}, {"all": "s"}, {"last": F.col("p")})
+    df = df.withColumn("p", F.when(F.col("p") == 0.5, float("nan")).when(F.col("p") != 0.25, F.col("p")))
+    bounds = cut_points(df, "p", small)
+    assert bool(bounds) == bool(small)
+    up = Window.partitionBy("g").orderBy(F.col("p").desc() if down else F.col("p"))
+    got = running(df, ["g"], "p", bounds, {"s": F.col("n")}, {"all": "s"}, {"last": F.col("n")}, down)
     plain = got.select(
-        "*", F.sum("n").over(up).alias("s0"), F.sum("n").over(Window.partitionBy("g")).alias("all0"), F.lag("p").over(up).alias("last0"),
+        "*", F.sum("n").over(up).alias("s0"), F.sum("n").over(Window.partitionBy("g")).alias("all0"), F.max("n").over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("last0"),
     )
     assert plain.count() == 800 and plain.filter("not (s <=> s0 and all <=> all0 and last <=> last0)").count() == 0
 
 
+def test_ranges_follow_the_data(spark, monkeypatch):
+    """Scores within a hundredth of each other, and texts that begin alike, are dealt evenly: no range has twice the rows of the median one."""
+    from tabwarden.functions import ranges
+
+    df = spark.range(60_000).select((0.5 + F.col("id") / 6e6).alias("p"), F.concat(F.lit("a common beginning of all "), F.md5(F.col("id").cast("string"))).alias("t"))
+    bounds = ranges.cut_points(df, "p", 1000)
+    sizes = sorted(r["count"] for r in ranges.cut_at(df, "p", bounds, "cut").groupBy("cut").count().collect())
+    assert len(sizes) >= 50 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    kept = []
+    monkeypatch.setattr(ranges, "stored", lambda d, what, own=ranges.stored: kept.append(own(d, what)) or kept[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = ranges.rank_in_order(df, [], [F.col("t")], "r")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = sorted(r["count"] for r in kept[0].groupBy(F.shiftright("_at", ranges.PLACE_BITS)).count().collect())
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[1]
+    assert ranked.agg(F.count_distinct("r"), F.min("r"), F.max("r")).first()[:] == (60_000, 1, 60_000)
+    assert ranked.alias("a").join(ranked.alias("b"), F.col("b.r") == F.col("a.r") + 1).filter("a.t >= b.t").count() == 0
+
+
 def test_empty(spark):
     none = scored(spark, Y, P).filter("y = 9")
     assert scoring.bundle(none).count() == 0 and scoring.best_threshold(none).count() == 0
