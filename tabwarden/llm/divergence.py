@@ -66,7 +66,7 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def share(count: Column, total: Column, terms: Column) -> Column:
     """1 + PARTS (count + PRIOR) div (total + PRIOR terms), null where there are no terms.
 
-    Divided in three steps of a thousand each, so that no product leaves the range of a long while totals stay under 9 x 10^15.
+    A count whose product would leave the range of a long is divided in three steps of a thousand each; totals may be up to 9 x 10^15.
     """
     whole = F.nullif(total + PRIOR * terms, F.lit(0))
     rest, found = count + PRIOR, F.lit(0).cast("long")
@@ -74,11 +74,11 @@ def share(count: Column, total: Column, terms: Column) -> Column:
     for _ in range(3):
         rest = rest * 1000
         found, rest = found * 1000 + F.call_function("div", rest, whole), rest % whole
-    return found + 1
+    return F.when(count < (2**63 - 1) // PARTS - PRIOR, F.call_function("div", (count + PRIOR) * PARTS, whole)).otherwise(found) + 1
 
 
-def differences(cells: pa.Table) -> pa.Table:
-    """Cells (lang, a, b, ix, term, p) of a block and of the sources of tiles a and b into sums (lang, i, o, value).
+def differences(cells: pa.Table, tile: int) -> pa.Table:
+    """Cells (lang, a, b, ix, term, p) of a block and of the sources of tiles a and b, of `tile` sources each, into sums (lang, i, o, value).
 
     Rows without a term give a source's share of a word that it lacks. value is the sum of |p(i) - p(o)| over the words of the block
     less what it would be if neither source had any of them.
@@ -98,8 +98,8 @@ def differences(cells: pa.Table) -> pa.Table:
     begin = np.searchsorted(c, np.arange(m + 1))
     full = np.flatnonzero(np.diff(begin))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    others = np.flatnonzero(sources // TILE == b)
-    for i in np.flatnonzero(sources // TILE == a):
+    others = np.flatnonzero(sources // tile == b)
+    for i in np.flatnonzero(sources // tile == a):
         mine = slice(begin[i], begin[i + 1])
         x = np.full(n, without[i])
         x[t[mine]] = p[mine]
@@ -171,7 +171,8 @@ def pairs(cells: DataFrame, groups: DataFrame, small: DataFrame) -> DataFrame:
         "lang", "ix", "tile", "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("string").alias("term"), F.coalesce("without", F.lit(0)).alias("p"),
     )
     dealt = said.unionByName(lacking).select("lang", *ends, "block", "ix", "term", "p")
-    sums = dealt.groupBy("lang", "a", "b", "block").applyInArrow(differences, SUMS).groupBy("lang", "i", "o").agg(F.sum("value").alias("value"))
+    tile = TILE  # as the driver has it
+    sums = dealt.groupBy("lang", "a", "b", "block").applyInArrow(lambda block: differences(block, tile), SUMS).groupBy("lang", "i", "o").agg(F.sum("value").alias("value"))
     mine = small.select("lang", F.col("ix").alias("i"), "source", "terms", F.col("without").alias("_mine"))
     theirs = small.select("lang", F.col("ix").alias("o"), F.col("source").alias("item"), F.col("without").alias("_theirs"))
     value = F.coalesce(F.col("terms") * F.abs(F.col("_mine") - F.col("_theirs")) + F.col("value"), F.lit(0).cast("long"))

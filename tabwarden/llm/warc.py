@@ -414,8 +414,8 @@ def with_first(rows: DataFrame, id_col: str, least_bytes: int = LEAST_BYTES) ->
         return rows.join(F.broadcast(shared.drop("_n")), "payload_digest", "left")
     hot = shared.withColumn("_hot", F.col("_n") > HOT_SHARE * size["rows"])
     marked = rows.join(F.broadcast(hot.filter("_hot").select("payload_digest", "_hot")), "payload_digest", "left")  # at most 1 / HOT_SHARE rows
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(id_col, "target_uri"), F.lit(HOT_PARTS))).otherwise(0).alias("_salt")
-    parts = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))).cast("long").alias("_salt")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(id_col, "target_uri"), F.lit(HOT_PARTS))).otherwise(0).cast("int").alias("_salt")
+    parts = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt")
     return marked.select(*rows.columns, salt).join(hot.select("payload_digest", "first", parts), ["payload_digest", "_salt"], "left").drop("_salt")
 
 
