@@ -11,18 +11,19 @@ import logging
 import random
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.feature import Normalizer, SQLTransformer, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import named
+from ..functions.store import stored
+from . import side_by_side
 from .prep import stratified_folds
 from .scoring import auc, best_threshold, bundle, class_bundle, long_metrics, mean_threshold, one_against_rest
 from .selection import LIMIT, preprocess, select_features
@@ -87,21 +88,23 @@ class Fitted:
 
     def scores(self, df: DataFrame) -> DataFrame:
         """df, which has a vector column `features`, with p: the scores of classes 0 to K - 1, which sum to 1."""
-        single = len(self.models) == 1
+        scored, p = self.scored(df, "features", "")
+        return scored.select(*df.columns, p.alias("p"))
+
+    def scored(self, df: DataFrame, features: str, tag: str) -> tuple[DataFrame, Column]:
+        """df with hidden columns whose names begin with _ and have `tag` in them, and the scores over them, from the vector column `features`."""
         for i, (model, curve) in enumerate(zip(self.models, self.curves)):
-            raw, prob, label = f"_raw{i}", f"_prob{i}", f"_label{i}"
-            names = {model.rawPredictionCol: raw, model.predictionCol: label} | ({model.probabilityCol: prob} if hasattr(model, "probabilityCol") else {})
+            raw, prob, label = f"_raw{tag}{i}", f"_prob{tag}{i}", f"_label{tag}{i}"
+            names = {model.featuresCol: features, model.rawPredictionCol: raw, model.predictionCol: label} | ({model.probabilityCol: prob} if hasattr(model, "probabilityCol") else {})
             df = model.transform(df, names)
             if curve is not None:
-                df = VectorAssembler(inputCols=[f"_margin{i}"], outputCol=f"_margins{i}").transform(df.withColumn(f"_margin{i}", vector_to_array(raw)[1]))
-                df = curve.transform(df, {curve.featuresCol: f"_margins{i}", curve.rawPredictionCol: f"_r{i}", curve.probabilityCol: prob, curve.predictionCol: f"_l{i}"})
-        if single:
-            p = vector_to_array("_prob0")
-        else:
-            each = F.array(*[vector_to_array(f"_prob{i}")[1] for i in range(self.k)])
-            total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-            p = F.transform(each, lambda x: F.when(total > 0, x / total).otherwise(1.0 / self.k))
-        return df.select(*[c for c in df.columns if not c.startswith("_")], p.alias("p"))
+                df = VectorAssembler(inputCols=[f"_margin{tag}{i}"], outputCol=f"_margins{tag}{i}").transform(df.withColumn(f"_margin{tag}{i}", vector_to_array(raw)[1]))
+                df = curve.transform(df, {curve.featuresCol: f"_margins{tag}{i}", curve.rawPredictionCol: f"_r{tag}{i}", curve.probabilityCol: prob, curve.predictionCol: f"_l{tag}{i}"})
+        if len(self.models) == 1:
+            return df, vector_to_array(f"_prob{tag}0")
+        each = F.array(*[vector_to_array(f"_prob{tag}{i}")[1] for i in range(self.k)])
+        total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+        return df, F.transform(each, lambda x: F.when(total > 0, x / total).otherwise(1.0 / self.k))
 
 
 def fit(rows: DataFrame, kind: str, params: dict, k: int, width: int) -> Fitted:
@@ -159,31 +162,71 @@ def scored_auc(scored: DataFrame, k: int) -> DataFrame:
 def search(rows: DataFrame, key: str, spec: Spec, k: int, width: int, how: str = "randomized", folds: int = 3, most: int | None = None) -> dict:
     """The candidate of the greatest AUC under stratified folds, the first of equal ones; a candidate that fails scores 0.
 
-    AT_ONCE candidates are fitted side by side, so that small jobs fill the cluster.
+    Logistic candidates are fitted all together, a pass over the rows for each step of all of them (side_by_side.py), and scored in one
+    pass. Of the other kinds AT_ONCE candidates are fitted at a time, so that small jobs fill the cluster.
     """
-    folded = stratified_folds(rows, "label", key, folds).cache()
+    folded = stratified_folds(rows, "label", key, folds)
+    tried = candidates(spec, how)[:most]
+    found = together(folded, k, width, folds, tried) if spec.kind == "logistic" else one_by_one(folded, spec, k, width, folds, tried)
+    return tried[found.index(max(found))] if tried else dict(spec.params)
+
+
+def together(folded: DataFrame, k: int, width: int, folds: int, tried: list[dict]) -> list[float]:
+    """The AUC of each logistic candidate, to nine places: equal models are equal whatever the order of sums."""
+    data = side_by_side.packed(folded.select("fold", "label", "features"), ["fold", "label"])
+    numbers = folds * ((1 if k == 2 else k) * (width + 1) + 1)
+    share, out = max(1, side_by_side.MOST_NUMBERS // numbers), []
+    for at in range(0, len(tried), share):
+        part = tried[at : at + share]
+        weights, intercepts = side_by_side.fit_logistic(data, k, width, folds, part)
+        scored = side_by_side.scores(data, k, weights, intercepts)
+        worth = {r["model"]: r["auc"] or 0.0 for r in scored_auc(scored, k).collect()}  # a row for each candidate
+        out += [round(worth.get(str(i), 0.0), 9) for i in range(len(part))]
+    return out
+
+
+def one_by_one(folded: DataFrame, spec: Spec, k: int, width: int, folds: int, tried: list[dict]) -> list[float]:
+    """The AUC of each candidate, AT_ONCE of them at a time."""
+    folded = folded.cache()
 
     def worth(params: dict) -> float:
         try:
-            parts = []
-            for f in range(folds):
-                model = fit(folded.filter(F.col("fold") != f), spec.kind, params, k, width)
-                parts.append(model.scores(folded.filter(F.col("fold") == f)).select(F.lit("m").alias("model"), F.col("label").alias("y"), "p"))
-            return scored_auc(reduce(DataFrame.unionByName, parts), k).first()["auc"] or 0.0
+            fitted = {f: fit(folded.filter(F.col("fold") != f), spec.kind, params, k, width) for f in range(folds)}
+            scored = in_one_pass(folded, {"m": fitted}, {f: F.col("features") for f in range(folds)}, dict.fromkeys(range(folds), width))
+            return scored_auc(scored.select("model", F.col("label").alias("y"), "p"), k).first()["auc"] or 0.0
         except Exception as error:  # what a library refuses must not end the search
             log.warning("candidate %s failed: %s", params, error)
             return 0.0
 
     try:
         folded.count()  # cached once, before all ask for it
-        tried = candidates(spec, how)[:most]
         with ThreadPoolExecutor(AT_ONCE) as pool:
-            found = list(pool.map(worth, tried))
-        return tried[found.index(max(found))] if tried else dict(spec.params)
+            return list(pool.map(worth, tried))
     finally:
         folded.unpersist()
 
 
+def in_one_pass(df: DataFrame, fitted: dict[str, dict[int, Fitted]], features: dict[int, Column], widths: dict[int, int]) -> DataFrame:
+    """df (with `fold`) as (model, its columns, p): every row scored by each model that was fitted for its fold, in one pass over df.
+
+    features: the vector of a row, by fold. A model only ever sees vectors of its own fold: to it the rows of others are zeros, and what it says of
+    them is not looked at. Rows whose fold has no model of a name are left out for that name.
+    """
+    names, own = list(df.columns), {}
+    rows = df.filter(F.col("fold").isin(sorted(features)))
+    for f, vector in features.items():
+        zeros = array_to_vector(F.array(*[F.lit(0.0)] * widths[f]))
+        rows = rows.withColumn(f"_x{f}", F.when(F.col("fold") == f, vector).otherwise(zeros))
+    for i, (m, by_fold) in enumerate(fitted.items()):
+        p = F.lit(None).cast("array<double>")
+        for f, model in by_fold.items():
+            rows, said = model.scored(rows, f"_x{f}", f"{i}_{f}_")
+            p = F.when(F.col("fold") == f, said).otherwise(p)
+        own[m] = p
+    told = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), p.alias("p")) for m, p in own.items()])).alias("_told")
+    return rows.select(*map(named, names), told).filter("_told.p is not null").select("_told.model", *map(named, names), "_told.p")
+
+
 def evaluate(scored: DataFrame, k: int, metric: str, thresholds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(metrics long, thresholds): thresholds tuned on the scored rows unless given; 0.5 for more than two classes."""
     if k > 2:
@@ -204,49 +247,62 @@ def chosen(ready: DataFrame, names: list[str], target: str, method: str | None,
     return select_features(ready, names, target, method, **({"limit": limit} if method == "featurewiz" else {}))
 
 
-def scored_rows(spark, parts: list[DataFrame], df: DataFrame, key: str) -> DataFrame:
-    """All parts together; without any, an empty table of their columns."""
-    if parts:
-        return reduce(DataFrame.unionByName, parts)
-    return spark.createDataFrame([], f"model string, fold int, id {dict(df.dtypes)[key]}, y int, p array<double>")
+def scored_rows(df: DataFrame, target: str, key: str, fitted: dict[str, dict[int, Fitted]], made: dict[int, dict[str, str]]) -> DataFrame:
+    """(model, fold, id, y, p) of the rows of df, which has `fold`: each fold's features by their SQL, then every model of the fold, in one pass."""
+    fitted = {m: by for m, by in fitted.items() if by}
+    if not fitted:
+        return df.sparkSession.createDataFrame([], f"model string, fold int, id {dict(df.dtypes)[key]}, y int, p array<double>")
+    vector = {f: array_to_vector(F.array(*[F.expr(sql).cast("double") for sql in features.values()])) for f, features in made.items()}
+    scored = in_one_pass(df, fitted, vector, {f: len(features) for f, features in made.items()})
+    return scored.select("model", F.col("fold").cast("int").alias("fold"), named(key).alias("id"), named(target).cast("int").alias("y"), "p")
+
+
+def fit_all(
+    train: DataFrame, target: str, key: str, k: int, models: list[str], method: str | None, params: dict[str, dict] | None, limit: float, failed,
+) -> tuple[dict[str, str], dict[str, Fitted]]:
+    """The features that the train table selects, with the SQL of each, and the models fitted on it; failed(model, error) hears of each that is not."""
+    ready, _, made = preprocess(train, train, [target, key])
+    names = chosen(ready, list(made), target, method, limit)
+    own, fitted = vectors(ready, names, target, [key]).cache(), {}
+    try:
+        for m in models:
+            spec = adjusted(REGISTRY[m], k)
+            try:
+                fitted[m] = fit(own, spec.kind, (params or {}).get(m, spec.params), k, len(names))
+            except Exception as error:
+                failed(m, error)
+    finally:
+        own.unpersist()
+    return {n: made[n] for n in names}, fitted
 
 
 def cross_validate(
     df: DataFrame, target: str, key: str, k: int, models: list[str], folds: int = 5, method: str | None = None, params: dict[str, dict] | None = None,
     limit: float = LIMIT, errors: Errors | None = None,
 ) -> DataFrame:
-    """(model, fold, id, y, p): every row scored by a model that was selected, scaled and fitted without its fold.
+    """(model, fold, id, y, p): every row scored by a model that was selected, scaled and fitted without its fold; one pass scores all folds and models.
 
     A fold whose preparation or fit fails is left out, with a warning and a row of `errors` (stage, model, fold, error), never
     scored by another model.
     """
-    folded = stratified_folds(df, target, key, folds).cache()
-    parts, errors = [], [] if errors is None else errors
+    folded, errors = stored(stratified_folds(df, target, key, folds), "folded"), [] if errors is None else errors
+    fitted: dict[str, dict[int, Fitted]] = {m: {} for m in models}
+    made: dict[int, dict[str, str]] = {}
 
     def failed(model: str, fold: int, error: Exception) -> None:
         log.warning("%s, fold %d failed: %s", model, fold, error)
         errors.append(("cross-validation", model, fold, str(error)[:500]))
 
     for f in range(folds):
-        train, test = folded.filter(F.col("fold") != f).drop("fold"), folded.filter(F.col("fold") == f).drop("fold")
         try:
-            ready, other, made = preprocess(train, test, [target, key])
-            names = chosen(ready, list(made), target, method, limit)
+            features, own = fit_all(folded.filter(F.col("fold") != f).drop("fold"), target, key, k, models, method, params, limit, lambda m, error, f=f: failed(m, f, error))
         except Exception as error:
             failed("", f, error)
             continue
-        own, held = vectors(ready, names, target, [key]).cache(), vectors(other, names, target, [key])
-        for m in models:
-            spec = adjusted(REGISTRY[m], k)
-            try:
-                model = fit(own, spec.kind, (params or {}).get(m, spec.params), k, len(names))
-            except Exception as error:
-                failed(m, f, error)
-                continue
-            parts.append(model.scores(held).select(F.lit(m).alias("model"), F.lit(f).alias("fold"), named(key).alias("id"), F.col("label").cast("int").alias("y"), "p"))
-        own.unpersist()
-    folded.unpersist()
-    return scored_rows(df.sparkSession, parts, df, key)
+        made[f] = features
+        for m, model in own.items():
+            fitted[m][f] = model
+    return scored_rows(folded, target, key, fitted, made)
 
 
 def hold_out(
@@ -255,23 +311,17 @@ def hold_out(
 ) -> tuple[DataFrame, dict[str, Fitted], dict[str, str]]:
     """Scored rows of the test table (fold -1) by models fitted on the whole train table, the models, and the features with the SQL of each.
 
-    A model that fails is left out, with a warning and a row of `errors`.
+    A model that fails is left out, with a warning and a row of `errors`. One pass over the test table scores all models.
     """
-    ready, other, made = preprocess(train, test, [target, key])
-    names = chosen(ready, list(made), target, method, limit)
-    own, held = vectors(ready, names, target, [key]).cache(), vectors(other, names, target, [key])
-    fitted, parts, errors = {}, [], [] if errors is None else errors
-    for m in models:
-        spec = adjusted(REGISTRY[m], k)
-        try:
-            fitted[m] = fit(own, spec.kind, (params or {}).get(m, spec.params), k, len(names))
-        except Exception as error:
-            log.warning("%s failed: %s", m, error)
-            errors.append(("hold-out", m, -1, str(error)[:500]))
-            continue
-        parts.append(fitted[m].scores(held).select(F.lit(m).alias("model"), F.lit(-1).alias("fold"), named(key).alias("id"), F.col("label").cast("int").alias("y"), "p"))
-    own.unpersist()
-    return scored_rows(train.sparkSession, parts, train, key), fitted, {n: made[n] for n in names}
+    errors = [] if errors is None else errors
+
+    def failed(model: str, error: Exception) -> None:
+        log.warning("%s failed: %s", model, error)
+        errors.append(("hold-out", model, -1, str(error)[:500]))
+
+    features, fitted = fit_all(train, target, key, k, models, method, params, limit, failed)
+    rows = test.withColumn("fold", F.lit(-1))
+    return scored_rows(rows, target, key, {m: {-1: model} for m, model in fitted.items()}, {-1: features}), fitted, features
 
 
 def hold_out_metrics(scored: DataFrame, k: int, thresholds: DataFrame) -> DataFrame:

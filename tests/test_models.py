@@ -83,6 +83,61 @@ def test_cross_validation_and_hold_out(rows):
     assert got["auc"] > 0.8
 
 
+def scans(df):
+    """Scans of files in the plan as executed."""
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan") + plan.count("Scan ExistingRDD") + plan.count("InMemoryTableScan")
+
+
+def test_all_folds_and_models_are_scored_in_one_pass(rows):
+    """One scan of the folded table, and the scores that each fold's model gives by itself; models of other widths in the folds."""
+    df, kinds = rows.drop("c"), ["Logistic Regression", "Decision Tree", "SVC"]
+    scored = models.cross_validate(df, "Target", "ID", 2, kinds, 3, "featurewiz")
+    assert scans(scored) == 1 and scored.count() == 240 * len(kinds)
+    got = {(r["model"], r["id"]): r["p"] for r in scored.collect()}
+    folded = prep.stratified_folds(df, "Target", "ID", 3).cache()
+    for f in range(3):
+        ready, other, made = selection.preprocess(folded.filter(F.col("fold") != f).drop("fold"), folded.filter(F.col("fold") == f).drop("fold"), ["Target", "ID"])
+        names = models.chosen(ready, list(made), "Target", "featurewiz", models.LIMIT)
+        for m in kinds:
+            spec = models.REGISTRY[m]
+            model = models.fit(models.vectors(ready, names, "Target", ["ID"]), spec.kind, spec.params, 2, len(names))
+            for r in model.scores(models.vectors(other, names, "Target", ["ID"])).collect():
+                assert got[m, r["ID"]] == pytest.approx(r["p"], abs=1e-6)
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_side_by_side_fits_have_the_library_optimum(rows, k):
+    """Weights of all candidates and folds, with ridge, lasso and both, equal those that the library fits one at a time; a constant feature has none."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from tabwarden.operators import side_by_side
+
+    names = ["x", "z", "noise", "one"]
+    df = rows.withColumn("one", F.lit(3.0)).withColumn("x", F.col("x") * 50 + 1000)
+    folded = prep.stratified_folds(models.vectors(df, names, "Target" if k == 2 else "c", ["ID"]), "label", "ID", 2)
+    tried = [{"regParam": r, "elasticNetParam": e, "maxIter": 200} for r, e in ((0.01, 0.0), (0.02, 1.0), (0.05, 0.5), (0.5, 1.0))]
+    data = side_by_side.packed(folded.select("fold", "label", "features"), ["fold", "label"])
+    weights, intercepts = side_by_side.fit_logistic(data, k, 4, 2, tried)
+    for c, params in enumerate(tried):
+        for f in range(2):
+            model = LogisticRegression(family="binomial" if k == 2 else "multinomial", tol=1e-12, **{**params, "maxIter": 1000}).fit(folded.filter(F.col("fold") != f))
+            want, level = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+            assert abs(weights[c, f] - want).max() < 2e-3 * max(1, abs(want).max())
+            assert abs((intercepts[c, f] - intercepts[c, f].mean() if k > 2 else intercepts[c, f]) - (level - level.mean() if k > 2 else level)).max() < 2e-3 * max(1, abs(level).max())
+
+
+def test_search_side_by_side_chooses_as_one_by_one(rows):
+    ready = models.vectors(rows, ["x", "z", "noise"], "Target", ["ID"])
+    folded = prep.stratified_folds(ready, "label", "ID", 3)
+    spec = models.REGISTRY["Logistic Regression"]
+    tried = [c for c in models.candidates(spec, "exhaustive") if c["maxIter"] == 100 and c["regParam"] > 0][::4]  # without a penalty the library stops earlier
+    both = models.together(folded, 2, 3, 3, tried), models.one_by_one(folded, spec, 2, 3, 3, tried)
+    assert both[0] == pytest.approx(both[1], abs=2e-4)
+    assert models.search(ready, "ID", spec, 2, 3) in models.candidates(spec, "randomized")
+
+
 def test_linear_shap_adds_up(rows):
     weights = {"x": 0.5, "z": -2.0}
     total = explain.linear_shap(rows, "ID", weights).groupBy("id").agg(F.sum("shap").alias("s"))
