@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import named
+from .trees import leaf_table, tree_shap, trees_of
 
 #: Rows that are explained and rows of the background, by kind of explainer; features that exact values allow.
 TREE_ROWS, KERNEL_ROWS, MOST_FEATURES = 100, 14, 12
@@ -100,6 +101,20 @@ def explained(df: DataFrame, key: str, features: list[str], predict, background:
     return sampled_shapley(df, key, features, predict, background)
 
 
+def of_trees(models: list, df: DataFrame, key: str, features: list[str], background: DataFrame | None = None) -> DataFrame:
+    """(id, class, feature, value, shap, error): exact values of fitted tree models by their leaves, for any number of features.
+
+    A tree or forest is explained in class probabilities, a boosted model in the margin of its class: class 1, or one model for each class.
+    """
+    found = None
+    for c, model in enumerate(models):
+        part = tree_shap(df, key, features, leaf_table(df.sparkSession, trees_of(model)), background)
+        if model.hasParam("lossType"):
+            part = part.withColumn("class", F.lit(c if len(models) > 1 else 1))
+        found = part if found is None else found.unionByName(part)
+    return found.withColumn("error", F.lit(0.0))
+
+
 def binary(column: str, d: int) -> Column:
     """The bits of a number, lowest first, as an array."""
     return F.array(*[F.shiftright(F.col(column), i).bitwiseAND(F.lit(1)) for i in range(d)])

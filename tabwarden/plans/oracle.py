@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .frames import TREES
+
 R = "(round(({})::DOUBLE, 6) + 0.0)"
 
 
@@ -36,6 +38,11 @@ def ct(facet: str = "a", outcome: str = "y") -> str:
     return f"WITH {ORD}, x AS (SELECT {facet} AS a, {outcome} AS y, s, price FROM ord)"
 
 
+def case_of(node, c: int) -> str:
+    """A tree's value for class c as nested CASE."""
+    return f"{node[c]}::DOUBLE" if isinstance(node, list) else f"CASE WHEN f{node[0]} <= {node[1]} THEN {case_of(node[2], c)} ELSE {case_of(node[3], c)} END"
+
+
 ONE = "'Overall' AS scope"
 #: Facet by outcome with zeros where no row is.
 GRID = """, g AS (
@@ -303,6 +310,17 @@ FROM (SELECT unnest(range(10)) AS a), (SELECT unnest(range(10)) AS b)""",
     "r6_mean_threshold": f"WITH {BIN}, {BEST} SELECT model, {r('avg(threshold)')} AS threshold FROM best GROUP BY model",
     "t4_search_score": f"""WITH {BIN}, {SOFT} SELECT model, {r('auc')} AS auc FROM ({auc('model', 'sb')})
 UNION ALL SELECT model, {r('avg(auc)')} FROM ({auc('model, class', 'ovr')}) GROUP BY model""",
+    "x5_tree_shap": f"""WITH {EMB}, q AS ({NUMBERED('emb', 'y', 'id', 42)}), b AS (
+  SELECT f0, f1, f2, f3 FROM q WHERE rk <= least(floor(100.0::DOUBLE * nc / (SELECT count(*) FROM emb)), nc)
+), h AS (
+  SELECT e.id, s.s, {", ".join(f"CASE WHEN (s.s >> {i}) & 1 = 1 THEN e.f{i} ELSE b.f{i} END AS f{i}" for i in range(4))}
+  FROM emb e, b, (SELECT unnest(range(16)) AS s) s
+), v AS (SELECT id, s, {", ".join(f"avg({' + '.join(case_of(t, c) for t in TREES)}) AS v{c}" for c in (0, 1))} FROM h GROUP BY id, s),
+w AS (SELECT id, c AS class, s, CASE c WHEN 0 THEN v0 ELSE v1 END AS v FROM v, (SELECT unnest([0, 1]) AS c))
+""" + " UNION ALL ".join(
+        f"""SELECT w.id, w.class::BIGINT AS class, 'f{i}' AS feature, {r(f'any_value(e.f{i})')} AS value,
+  {r(f"sum((CASE WHEN (s >> {i}) & 1 = 1 THEN 1 ELSE -1 END) * v / (4 * [1, 3, 3, 1][bit_count(s & {15 - (1 << i)}) + 1]))")} AS shap FROM w JOIN emb e USING (id) GROUP BY w.id, w.class""" for i in range(4)
+    ),
     "x4_linear_shap": f"WITH {EMB} " + " UNION ALL ".join(f"SELECT id, 'f{i}' AS feature, {r(f'{(i - 4.5) / 10}::DOUBLE * (f{i} - avg(f{i}) OVER ())')} AS shap FROM emb" for i in range(10)),
     "x7_telling_class": f"WITH {EMB}, {SHAP} SELECT class, {r('avg(abs(shap))')} AS mean FROM shap GROUP BY class ORDER BY round(avg(abs(shap)), 12) DESC, class LIMIT 1",
     "x8_importance": f"WITH {EMB}, {SHAP} SELECT feature, {r('importance')} AS importance FROM ({IMPORT.format('shap')})",

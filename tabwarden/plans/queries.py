@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
 from ..functions.store import written
-from ..operators import bias, clusters, curves, explain, models, prep, scoring, selection
+from ..operators import bias, clusters, curves, explain, models, prep, scoring, selection, trees
 from ..sources import tables
 from . import frames
 from .frames import CLASSES, FEATURES
@@ -362,6 +362,13 @@ def x4_linear(spark, d):
     return tidy(explain.linear_shap(frames.embeddings(spark, d), "id", weights).select("id", "feature", "shap"))
 
 
+def x5_trees(spark, d):
+    rows = frames.embeddings(spark, d)
+    few = prep.stratified_sample(rows, "y", "id", explain.TREE_ROWS, binary=False)
+    shap = trees.tree_shap(rows, "id", FEATURES[:4], trees.leaf_table(spark, frames.TREES), few)
+    return tidy(shap.select("id", "class", "feature", "value", "shap"))
+
+
 def x5_shapley(spark, d):
     from pyspark.ml.classification import RandomForestClassifier
 
@@ -420,6 +427,6 @@ QUERIES = {
     "t3_random_search": t3_search, "t4_search_score": t4_score, "t7_cross_validation": t7_cross_validation, "t8_hold_out": t8_hold_out,
     **{f"l{i}_{n.lower().replace(' ', '_')}": fitted(n) for i, n in enumerate(("Logistic Regression", "SVC", "Random Forest", "SGD", "MLP", "Decision Tree", "XGBoost"), 1)},
     "l1_logistic_optimum": l1_logistic,
-    "x2_explained_rows": x2_sample, "x4_linear_shap": x4_linear, "x5_x6_exact_shapley": x5_shapley, "x7_telling_class": x7_class, "x8_importance": x8_importance,
+    "x2_explained_rows": x2_sample, "x4_linear_shap": x4_linear, "x5_tree_shap": x5_trees, "x5_x6_exact_shapley": x5_shapley, "x7_telling_class": x7_class, "x8_importance": x8_importance,
     "x9_class_importance": x9_class_importance, "x10_beeswarm": x10_beeswarm,
 }

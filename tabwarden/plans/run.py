@@ -103,6 +103,8 @@ def explain_model(model: models.Fitted, name: str, features: dict[str, str], tes
     if kind == "linear" and k == 2:
         weights = dict(zip(names, (float(w) for w in model.models[0].coefficients)))
         shap = explain.linear_shap(ready, key, weights).withColumn("class", F.lit(1)).withColumn("error", F.lit(0.0))
+    elif kind == "tree":
+        shap = explain.of_trees(model.models, ready, key, names)
     else:
         shap = explain.explained(ready, key, names, model.scores)
     write_table(shap, f"{path}/Values")

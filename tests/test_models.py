@@ -164,6 +164,50 @@ def test_exact_shapley_adds_up(rows):
         explain.exact_shapley(few, "ID", ["x"] * 13, explain.probability(model))
 
 
+def many_features(rows, d):
+    return rows.select("ID", "Target", "c", *[(F.col("x") * (i % 3) + F.pmod(F.xxhash64("ID", F.lit(i)), F.lit(100)) / 50.0).alias(f"g{i}") for i in range(d)]), [f"g{i}" for i in range(d)]
+
+
+def test_tree_values_equal_all_coalitions(rows):
+    """Of a forest over ten features, three classes; the values by leaves are those by enumeration."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    df, names = many_features(rows, 10)
+    model = RandomForestClassifier(seed=3, numTrees=4, maxDepth=5).fit(models.vectors(df, names, "c"))
+    few, base = df.filter("ID % 60 = 7"), df.filter("ID % 40 = 3")
+    exact = {(r["id"], r["class"], r["feature"]): (r["value"], r["shap"]) for r in explain.exact_shapley(few, "ID", names, explain.probability(model), base).collect()}
+    got = {(r["id"], r["class"], r["feature"]): (r["value"], r["shap"]) for r in explain.of_trees([model], few, "ID", names, base).collect()}
+    assert got.keys() == exact.keys() and len(got) == 4 * 3 * 10
+    for k, (value, shap) in got.items():
+        assert value == exact[k][0] and shap == pytest.approx(exact[k][1], abs=1e-9)
+
+
+def test_tree_values_of_many_features_add_up(rows):
+    """Of boosted trees over sixty features, in the margin: each row's values add up to its margin less the background's mean. All rows are explained."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    df, names = many_features(rows, 60)
+    model = GBTClassifier(seed=3, maxIter=4, maxDepth=4).fit(models.vectors(df, names, "Target"))
+    base = df.filter("ID % 3 = 1")
+    margin = lambda d: model.transform(models.vectors(d, names, "Target", ["ID"])).select("ID", vector_to_array("rawPrediction")[1].alias("m"))
+    mean = margin(base).agg(F.avg("m")).first()[0]
+    sums = explain.of_trees([model], df, "ID", names, base).groupBy(F.col("id").alias("ID")).agg(F.sum("shap").alias("s"), F.count("*").alias("n")).join(margin(df), "ID").collect()
+    assert len(sums) == 240 and all(r["n"] == 60 and r["s"] == pytest.approx(r["m"] - mean, abs=1e-9) for r in sums)
+    with pytest.raises(ValueError):
+        explain.of_trees([model], df, "ID", names, df)
+
+
+def test_leaves_have_an_interval_for_each_feature(spark):
+    from tabwarden.operators import trees
+
+    leaves = trees.leaves_of([(1, 5.0, (1, 2.0, [1.0], (0, 0.0, [2.0], [3.0])), (1, 4.0, [4.0], [5.0]))])
+    assert [x[1] for x in leaves] == [[(1, None, 2.0)], [(0, None, 0.0), (1, 2.0, 5.0)], [(0, 0.0, None), (1, 2.0, 5.0)], [(1, 5.0, 4.0)], [(1, 5.0, None)]]
+    df = spark.createDataFrame([(1, float("nan"), 1.0), (2, None, 9.0)], "k long, a double, b double")
+    got = trees.tree_shap(df, "k", ["a", "b"], trees.leaf_table(spark, [(0, 0.0, [1.0], [2.0])]), df.filter("k = 1")).collect()
+    assert {(r["id"], r["feature"], r["shap"]) for r in got} == {(1, "a", 0.0), (1, "b", 0.0), (2, "a", -2.0), (2, "b", 0.0)}  # a null is in no interval
+
+
 def test_clusters(rows):
     n, placed = clusters.choose_clusters(rows, ["x", "z"], range(2, 4))
     assert n in (2, 3) and placed.count() == 240
