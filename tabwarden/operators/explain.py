@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import named
+from .boosting import Boosted
 from .trees import leaf_table, tree_shap, trees_of
 
 #: Rows that are explained and rows of the background, by kind of explainer; features that exact values allow.
@@ -104,13 +105,18 @@ def explained(df: DataFrame, key: str, features: list[str], predict, background:
 def of_trees(models: list, df: DataFrame, key: str, features: list[str], background: DataFrame | None = None) -> DataFrame:
     """(id, class, feature, value, shap, error): exact values of fitted tree models by their leaves, for any number of features.
 
-    A tree or forest is explained in class probabilities, a boosted model in the margin of its class: class 1, or one model for each class.
+    A tree or forest is explained in class probabilities, boosted trees in margins: of class 1 where there are two classes, else of each.
     """
-    found = None
+    forests: list[tuple[int | None, list]] = []
     for c, model in enumerate(models):
-        part = tree_shap(df, key, features, leaf_table(df.sparkSession, trees_of(model)), background)
-        if model.hasParam("lossType"):
-            part = part.withColumn("class", F.lit(c if len(models) > 1 else 1))
+        if isinstance(model, Boosted):
+            forests += [(1 if model.k == 2 else o, [r[o].nodes() for r in model.trees]) for o in range(1 if model.k == 2 else model.k)]
+        else:
+            forests.append(((c if len(models) > 1 else 1) if model.hasParam("lossType") else None, trees_of(model)))
+    found = None
+    for label, trees in forests:
+        part = tree_shap(df, key, features, leaf_table(df.sparkSession, trees), background)
+        part = part if label is None else part.withColumn("class", F.lit(label))
         found = part if found is None else found.unionByName(part)
     return found.withColumn("error", F.lit(0.0))
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
+    DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.feature import Normalizer, SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import named
 from ..functions.store import stored
 from . import side_by_side
+from .boosting import Boosted, fit_boosted
 from .prep import stratified_folds
 from .scoring import auc, best_threshold, bundle, class_bundle, long_metrics, mean_threshold, one_against_rest
 from .selection import LIMIT, preprocess, select_features
@@ -52,13 +53,24 @@ REGISTRY: dict[str, Spec] = {
     "SGD": Spec("logistic", {"regParam": [0.0001, 0.001, 0.01], "elasticNetParam": [0.0, 0.15, 0.5, 1.0]}, {"regParam": 0.0001, "elasticNetParam": 0.15}),
     "MLP": Spec("mlp", {"hidden": [[16], [32], [16, 16]], "stepSize": [0.01, 0.03], "maxIter": [50, 100]}, {"hidden": [16], "maxIter": 50}),
     "Decision Tree": Spec("tree", {"maxDepth": [3, 5, 10], "impurity": ["gini", "entropy"], "minInstancesPerNode": [1, 2, 4]}),
-    "XGBoost": Spec("boosted", {"maxIter": [10, 20, 50], "maxDepth": [3, 5], "stepSize": [0.05, 0.1, 0.3], "subsamplingRate": [0.8, 1.0]}, {"maxIter": 10}),
+    # Second order, all classes at once.
+    "XGBoost": Spec("boosted", {
+        "maxIter": [10, 20, 50], "maxDepth": [3, 5], "stepSize": [0.05, 0.1, 0.3], "subsamplingRate": [0.8, 1.0], "columnRate": [0.7, 1.0], "regLambda": [1.0, 5.0], "gamma": [0.0, 0.1],
+        "positiveWeight": [1.0, 2.0],
+    }, {"maxIter": 10}),
+}
+#: Parameters that mean something for two classes only, and those of boosted trees by their names in fit_boosted().
+TWO_CLASSES_ONLY = {"positiveWeight"}
+BOOSTED = {
+    "maxIter": "rounds", "maxDepth": "depth", "stepSize": "step", "subsamplingRate": "share", "columnRate": "columns", "regLambda": "reg_lambda", "gamma": "gamma", "positiveWeight": "positive",
 }
 
 
 def adjusted(spec: Spec, k: int) -> Spec:
-    """The spec for K classes: what holds for two classes only leaves the space. Binary-only kinds run one class against the rest."""
-    return spec if k == 2 or spec.kind != "boosted" else Spec(spec.kind, {n: v for n, v in spec.grid.items() if n != "subsamplingRate"}, spec.params)
+    """The spec for K classes: what holds for two classes only leaves the space and the parameters. Binary-only kinds run one class against the rest."""
+    if k == 2:
+        return spec
+    return Spec(spec.kind, *({n: v for n, v in x.items() if n not in TWO_CLASSES_ONLY} for x in (spec.grid, spec.params)))
 
 
 def estimator(kind: str, params: dict, k: int, width: int) -> Estimator:
@@ -73,8 +85,6 @@ def estimator(kind: str, params: dict, k: int, width: int) -> Estimator:
         return DecisionTreeClassifier(seed=SEED, **p)
     if kind == "mlp":
         return MultilayerPerceptronClassifier(seed=SEED, layers=[width, *p.pop("hidden", [16]), k], **p)
-    if kind == "boosted":
-        return GBTClassifier(seed=SEED, **p)
     raise ValueError(f"no kind of model {kind}")
 
 
@@ -82,7 +92,7 @@ def estimator(kind: str, params: dict, k: int, width: int) -> Estimator:
 class Fitted:
     """Fitted models: one that knows all classes, or one per class against the rest, each with a curve over its margin if it has no probability."""
 
-    models: list[Transformer]
+    models: list[Transformer | Boosted]
     curves: list[Transformer | None]
     k: int
 
@@ -93,6 +103,8 @@ class Fitted:
 
     def scored(self, df: DataFrame, features: str, tag: str) -> tuple[DataFrame, Column]:
         """df with hidden columns whose names begin with _ and have `tag` in them, and the scores over them, from the vector column `features`."""
+        if isinstance(self.models[0], Boosted):
+            return self.models[0].scored(df, features, tag)
         for i, (model, curve) in enumerate(zip(self.models, self.curves)):
             raw, prob, label = f"_raw{tag}{i}", f"_prob{tag}{i}", f"_label{tag}{i}"
             names = {model.featuresCol: features, model.rawPredictionCol: raw, model.predictionCol: label} | ({model.probabilityCol: prob} if hasattr(model, "probabilityCol") else {})
@@ -109,7 +121,9 @@ class Fitted:
 
 def fit(rows: DataFrame, kind: str, params: dict, k: int, width: int) -> Fitted:
     """rows: label and features. A linear margin gets a logistic curve; kinds for two classes are fitted for each class if K > 2."""
-    binary_only = kind in ("svc", "boosted")
+    if kind == "boosted":
+        return Fitted([fit_boosted(rows, k, width, seed=SEED, **{BOOSTED[n]: v for n, v in params.items()})], [None], k)
+    binary_only = kind == "svc"
     aims = [None] if k == 2 or not binary_only else range(k)
     models, curves = [], []
     for c in aims:
@@ -334,6 +348,8 @@ def pipeline(model: Fitted, features: dict[str, str]) -> PipelineModel:
     """One model from raw columns to `p`, a vector of the scores of classes 0 to K - 1: preparation, selection, fitted models, curves over margins."""
     places = [f"_f{i}" for i in range(len(features))]
     made = ", ".join(f"{sql} AS {p}" for p, sql in zip(places, features.values()))
+    if isinstance(model.models[0], Boosted):
+        return boosted_pipeline(model.models[0], places, made)
     stages: list[Transformer] = [SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__"), VectorAssembler(inputCols=places, outputCol="_features")]
     for i, (one, curve) in enumerate(zip(model.models, model.curves)):
         raw, chance = f"_raw{i}", f"_chance{i}"
@@ -351,6 +367,17 @@ def pipeline(model: Fitted, features: dict[str, str]) -> PipelineModel:
     return PipelineModel(stages)
 
 
+def boosted_pipeline(model: Boosted, places: list[str], made: str) -> PipelineModel:
+    """Boosted trees as SQL over the features."""
+    margins, chances = [f"_m{i}" for i in range(1 if model.k == 2 else model.k)], [f"_p{i}" for i in range(model.k)]
+    said = lambda names, sql: ", ".join(f"{x} AS {n}" for n, x in zip(names, sql))
+    return PipelineModel([
+        SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__"), SQLTransformer(statement=f"SELECT *, array({', '.join(places)}) AS _x FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {said(margins, model.margins('_x'))} FROM __THIS__"), SQLTransformer(statement=f"SELECT *, {said(chances, model.chances(margins))} FROM __THIS__"),
+        VectorAssembler(inputCols=chances, outputCol="p"),
+    ])
+
+
 def save(fitted: dict[str, Fitted], features: dict[str, str], path: str) -> None:
     """Each model, from raw columns to scores, as a pipeline model under path/<name>."""
     for name, f in fitted.items():

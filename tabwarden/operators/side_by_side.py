@@ -48,13 +48,13 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             yield fold, label, np.frombuffer(b.column(2)[i].as_buffer(), np.float64).reshape(len(fold), b.column(3)[i].as_py())
 
 
-def summed(df: DataFrame, work, size: int) -> np.ndarray:
-    """The sum over all blocks of what work(fold, label, x) gives, an array of `size` numbers: by task, then by a tree of tasks, then here."""
+def totals(df: DataFrame, parts_of, size: int) -> np.ndarray:
+    """The sum of the arrays of `size` numbers that parts_of(batches) yields over all rows: by task, then by a tree of tasks, then here."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for block in blocks(batches):
-            total += work(*block)
+        for part in parts_of(batches):
+            total += part
         yield pa.RecordBatch.from_pydict({"numbers": [total.tobytes()]})
 
     def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,6 +71,11 @@ def summed(df: DataFrame, work, size: int) -> np.ndarray:
     return sum((np.frombuffer(r["numbers"], np.float64) for r in found.collect()), np.zeros(size))  # FAN rows at most
 
 
+def summed(df: DataFrame, work, size: int) -> np.ndarray:
+    """The sum over all blocks of what work(fold, label, x) gives, an array of `size` numbers."""
+    return totals(df, lambda batches: (work(*block) for block in blocks(batches)), size)
+
+
 class Descent:
     """The way of one candidate to the least of loss + l1 |w|: limited-memory quasi-Newton steps that stay within an orthant where l1 > 0."""
 

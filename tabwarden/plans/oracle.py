@@ -310,6 +310,15 @@ FROM (SELECT unnest(range(10)) AS a), (SELECT unnest(range(10)) AS b)""",
     "r6_mean_threshold": f"WITH {BIN}, {BEST} SELECT model, {r('avg(threshold)')} AS threshold FROM best GROUP BY model",
     "t4_search_score": f"""WITH {BIN}, {SOFT} SELECT model, {r('auc')} AS auc FROM ({auc('model', 'sb')})
 UNION ALL SELECT model, {r('avg(auc)')} FROM ({auc('model, class', 'ovr')}) GROUP BY model""",
+    "l7_best_split": f"""WITH {EMB}, x AS (SELECT id, (y < 5)::INT AS t, u.f AS feature, round(u.v, 1) AS v FROM emb, (SELECT unnest([{", ".join(f"{{f: 'f{i}', v: f{i}}}" for i in range(4))}]) AS u)),
+n AS (SELECT feature, v, sum(0.5 - t) AS g, sum(0.25) AS h FROM x GROUP BY feature, v),
+c AS (
+  SELECT feature, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY feature) AS ga, sum(h) OVER (PARTITION BY feature) AS ha, max(v) OVER (PARTITION BY feature) AS top
+  FROM n WINDOW w AS (PARTITION BY feature ORDER BY v)
+), s AS (
+  SELECT feature, v, gl / (hl + 1) AS l, (ga - gl) / (ha - hl + 1) AS r, (gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1)) / 2 AS gain FROM c WHERE v < top
+)
+SELECT feature, {r("v")} AS threshold, {r("gain")} AS gain, {r("-l")} AS below, {r("-r")} AS above FROM s ORDER BY round(gain, 9) DESC, feature, v LIMIT 1""",
     "x5_tree_shap": f"""WITH {EMB}, q AS ({NUMBERED('emb', 'y', 'id', 42)}), b AS (
   SELECT f0, f1, f2, f3 FROM q WHERE rk <= least(floor(100.0::DOUBLE * nc / (SELECT count(*) FROM emb)), nc)
 ), h AS (

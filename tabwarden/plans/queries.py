@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
 from ..functions.store import written
-from ..operators import bias, clusters, curves, explain, models, prep, scoring, selection, trees
+from ..operators import bias, boosting, clusters, curves, explain, models, prep, scoring, selection, trees
 from ..sources import tables
 from . import frames
 from .frames import CLASSES, FEATURES
@@ -325,7 +325,7 @@ def fitted(name: str):
     """A model of the registry fitted and asked for its scores of the same rows, by class."""
 
     def query(spark, d):
-        binary = name in ("XGBoost", "SVC")
+        binary = name == "SVC"
         rows = small(spark, d).withColumn("y", F.col("t") if binary else F.col("id") % 3)
         k = 2 if binary else 3
         ready = models.vectors(rows, FEATURES[:4], "y", ["id"])
@@ -336,6 +336,15 @@ def fitted(name: str):
     return query
 
 
+def l7_split(spark, d):
+    """The first tree of boosting, of depth 1: its feature, threshold, gain and leaves. Features are rounded, so that their values are the bins."""
+    rows = small(spark, d).select("id", "t", *[F.round(f, 1).alias(f) for f in FEATURES[:4]])
+    model = boosting.fit_boosted(models.vectors(rows, FEATURES[:4], "t"), 2, 4, rounds=1, depth=1, step=1.0, reg_lambda=1.0)
+    tree = model.trees[0][0]
+    found = spark.createDataFrame([(FEATURES[tree.feature[0]], tree.threshold[0], model.gains[tree.feature[0]], tree.value[1], tree.value[2])], "feature string, threshold double, gain double, below double, above double")
+    return tidy(found)
+
+
 def l1_logistic(spark, d):
     """Where the likelihood is greatest, a class's scores weigh every feature as the class's rows do: (class, feature, mean of score x feature)."""
     rows = small(spark, d).withColumn("y", F.col("id") % 3)
@@ -426,7 +435,7 @@ QUERIES = {
     "r3_wide_report": r3_wide, "r4_hold_out_summary": r4_hold_out, "r5_confusion_layout": r5_layout, "r6_mean_threshold": r6_threshold,
     "t3_random_search": t3_search, "t4_search_score": t4_score, "t7_cross_validation": t7_cross_validation, "t8_hold_out": t8_hold_out,
     **{f"l{i}_{n.lower().replace(' ', '_')}": fitted(n) for i, n in enumerate(("Logistic Regression", "SVC", "Random Forest", "SGD", "MLP", "Decision Tree", "XGBoost"), 1)},
-    "l1_logistic_optimum": l1_logistic,
+    "l1_logistic_optimum": l1_logistic, "l7_best_split": l7_split,
     "x2_explained_rows": x2_sample, "x4_linear_shap": x4_linear, "x5_tree_shap": x5_trees, "x5_x6_exact_shapley": x5_shapley, "x7_telling_class": x7_class, "x8_importance": x8_importance,
     "x9_class_importance": x9_class_importance, "x10_beeswarm": x10_beeswarm,
 }

@@ -138,6 +138,68 @@ def test_search_side_by_side_chooses_as_one_by_one(rows):
     assert models.search(ready, "ID", spec, 2, 3) in models.candidates(spec, "randomized")
 
 
+@pytest.mark.parametrize("k", [2, 3])
+def test_boosting_is_as_good_as_the_library_and_its_margins_are_explained(spark, rows, tmp_path, k):
+    """Held-out log loss is not above that of first-order trees of the same size; trees as SQL, as leaves and as a saved pipeline say the same."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    from tabwarden.operators import boosting
+
+    names, target = ["x", "z", "noise"], "Target" if k == 2 else "c"
+    u = lambda i: F.pmod(F.xxhash64("ID", F.lit(i)), F.lit(1000)) / 1000.0
+    many = spark.range(4000).select(F.col("id").alias("ID")).withColumn("c", F.pmod(F.xxhash64("ID", F.lit(9)), F.lit(3)))
+    many = many.select("ID", "c", (F.col("c") > 0).cast("long").alias("Target"), (F.col("c") + 1.5 * u(0)).alias("x"), (F.col("c") * 0.5 + u(1)).alias("z"), u(2).alias("noise"))
+    noisy = many.withColumn(target, F.when(F.col("ID") % 7 == 0, F.pmod(F.xxhash64("ID"), F.lit(k))).otherwise(F.col(target))).cache()
+    ready = models.vectors(noisy, names, target, ["ID"]).withColumn("part", F.pmod(F.xxhash64("ID", F.lit(5)), F.lit(4)))
+    own, held = ready.filter("part > 0"), ready.filter("part = 0")
+    model = models.fit(own, "boosted", {"maxIter": 12, "maxDepth": 3, "stepSize": 0.3, "subsamplingRate": 0.9, "columnRate": 0.9}, k, 3)
+    assert len(model.models) == 1 and len(model.models[0].trees) == 12 and len(model.models[0].trees[0]) == (1 if k == 2 else 3)
+    loss = lambda p: p.select((-F.ln(F.get("p", F.col("label").cast("int")))).alias("l")).agg(F.avg("l")).first()[0]
+    each = []
+    for c in [1] if k == 2 else range(k):
+        one = own.withColumn("label", (F.col("label") == c).cast("double"))
+        each.append(GBTClassifier(seed=3, maxIter=12, maxDepth=3, stepSize=0.3).fit(one))
+    if k == 2:
+        library = each[0].transform(held).select("label", vector_to_array("probability").alias("p"))
+    else:
+        library = held
+        for c, m in enumerate(each):
+            library = m.transform(library, {m.probabilityCol: f"q{c}", m.rawPredictionCol: f"r{c}", m.predictionCol: f"l{c}"})
+        total = sum((vector_to_array(f"q{c}")[1] for c in range(k)), F.lit(0.0))
+        library = library.select("label", F.array(*[vector_to_array(f"q{c}")[1] / total for c in range(k)]).alias("p"))
+    assert loss(model.scores(held)) <= loss(library) + 0.005
+    # Values by leaves add up to the margins.
+    few = noisy.filter("ID < 20")
+    scored, _ = model.scored(models.vectors(few, names, target, ["ID"]), "features", "t")
+    said = {r["ID"]: [r[f"_mt{c}"] for c in range(1 if k == 2 else k)] for r in scored.collect()}
+    sums = {(r["id"], r["class"]): r["s"] for r in explain.of_trees(model.models, few, "ID", names).groupBy("id", "class").agg(F.sum("shap").alias("s")).collect()}
+    for o in range(1 if k == 2 else k):
+        mean = sum(m[o] for m in said.values()) / len(said)
+        assert all(sums[i, 1 if k == 2 else o] == pytest.approx(m[o] - mean, abs=1e-9) for i, m in said.items())
+    models.save({"XGBoost": model}, {n: f"CAST({n} AS DOUBLE)" for n in names}, str(tmp_path))
+    from pyspark.ml import PipelineModel
+
+    both = PipelineModel.load(str(tmp_path / "XGBoost")).transform(few).select("ID", vector_to_array("p").alias("q")).join(model.scores(models.vectors(few, names, target, ["ID"])), "ID")
+    assert both.count() == 20 and both.filter(F.exists(F.arrays_zip("p", "q"), lambda z: F.abs(z["p"] - z["q"]) > 1e-12)).count() == 0
+    with pytest.raises(ValueError):
+        boosting.fit_boosted(own, k, 3, depth=30)
+
+
+def test_boosting_stores_margins_anew_without_changing_the_model(rows, monkeypatch):
+    """Whenever margins are stored anew, the trees are the same; a class weight moves scores up."""
+    from tabwarden.operators import boosting
+
+    ready = models.vectors(rows, ["x", "z", "noise"], "Target", ["ID"])
+    one = boosting.fit_boosted(ready, 2, 3, rounds=5, depth=2)
+    monkeypatch.setattr(boosting, "REFRESH", 2)
+    two = boosting.fit_boosted(ready, 2, 3, rounds=5, depth=2)
+    assert [(t[0].feature, t[0].threshold) for t in one.trees] == [(t[0].feature, t[0].threshold) for t in two.trees]
+    assert all(t[0].value == pytest.approx(u[0].value) for t, u in zip(one.trees, two.trees))
+    heavy = boosting.fit_boosted(ready, 2, 3, rounds=1, depth=1, positive=5.0)
+    assert max(heavy.trees[0][0].value) > max(one.trees[0][0].value)
+
+
 def test_linear_shap_adds_up(rows):
     weights = {"x": 0.5, "z": -2.0}
     total = explain.linear_shap(rows, "ID", weights).groupBy("id").agg(F.sum("shap").alias("s"))
