@@ -43,6 +43,30 @@ def case_of(node, c: int) -> str:
     return f"{node[c]}::DOUBLE" if isinstance(node, list) else f"CASE WHEN f{node[0]} <= {node[1]} THEN {case_of(node[2], c)} ELSE {case_of(node[3], c)} END"
 
 
+def som_sql(k: int, epochs: int, last: float = 0.3, d: int = 10) -> str:
+    """A self-organising map over the embeddings' components, trained in SQL: each epoch's units from the means of the rows nearest to the units before."""
+    import math
+
+    dx = math.ceil(math.sqrt(k))
+    dy = math.ceil(k / dx)
+    first = max(min(dx, dy) / 2, last)
+    parts = [
+        EMB, "l AS (SELECT id, u.f, u.v FROM emb, (SELECT unnest([" + ", ".join(f"{{f: {i}, v: f{i}}}" for i in range(d)) + "]) AS u))",
+        "m AS (SELECT f, avg(v) AS mean, stddev_pop(v) AS std FROM l GROUP BY f)",
+        "z AS MATERIALIZED (SELECT id, f, CASE WHEN std > 0 THEN (v - mean) / std ELSE 0 END AS x FROM l JOIN m USING (f))",
+        f"c AS (SELECT i * {dy} + j AS c, i, j FROM (SELECT unnest(range({dx})) AS i), (SELECT unnest(range({dy})) AS j))",
+        f"u0 AS MATERIALIZED (SELECT c, f, CASE WHEN f % 2 = 0 THEN (2 * i + 1)::DOUBLE / {dx} - 1 ELSE (2 * j + 1)::DOUBLE / {dy} - 1 END AS w FROM c, (SELECT unnest(range({d})) AS f))",
+    ]
+    nearest = "b{0} AS MATERIALIZED (SELECT id, arg_min(c, d) AS c FROM (SELECT id, c, sum((x - w) * (x - w)) AS d FROM z JOIN u{0} USING (f) GROUP BY id, c ORDER BY c) GROUP BY id)"
+    for e in range(epochs):
+        sigma = first * (last / first) ** (e / max(1, epochs - 1))
+        parts += [
+            nearest.format(e), f"s{e} AS (SELECT c, f, sum(x) AS s, count(*) AS n FROM b{e} JOIN z USING (id) GROUP BY c, f)",
+            f"u{e + 1} AS MATERIALIZED (SELECT a.c, s.f, sum(h * s.s) / sum(h * s.n) AS w FROM (SELECT p.c, q.c AS o, exp(-((p.i - q.i) ** 2 + (p.j - q.j) ** 2) / {2 * sigma**2!r}::DOUBLE) AS h FROM c p, c q) a JOIN s{e} s ON s.c = a.o GROUP BY a.c, s.f)",
+        ]
+    return "WITH " + ", ".join([*parts, nearest.format(epochs)]) + f" SELECT c::INTEGER AS cluster, count(*)::BIGINT AS n FROM b{epochs} GROUP BY c"
+
+
 ONE = "'Overall' AS scope"
 #: Facet by outcome with zeros where no row is.
 GRID = """, g AS (
@@ -310,6 +334,7 @@ FROM (SELECT unnest(range(10)) AS a), (SELECT unnest(range(10)) AS b)""",
     "r6_mean_threshold": f"WITH {BIN}, {BEST} SELECT model, {r('avg(threshold)')} AS threshold FROM best GROUP BY model",
     "t4_search_score": f"""WITH {BIN}, {SOFT} SELECT model, {r('auc')} AS auc FROM ({auc('model', 'sb')})
 UNION ALL SELECT model, {r('avg(auc)')} FROM ({auc('model, class', 'ovr')}) GROUP BY model""",
+    "c1_clusters": som_sql(5, 10),
     "l7_best_split": f"""WITH {EMB}, x AS (SELECT id, (y < 5)::INT AS t, u.f AS feature, round(u.v, 1) AS v FROM emb, (SELECT unnest([{", ".join(f"{{f: 'f{i}', v: f{i}}}" for i in range(4))}]) AS u)),
 n AS (SELECT feature, v, sum(0.5 - t) AS g, sum(0.25) AS h FROM x GROUP BY feature, v),
 c AS (

@@ -270,6 +270,31 @@ def test_leaves_have_an_interval_for_each_feature(spark):
     assert {(r["id"], r["feature"], r["shap"]) for r in got} == {(1, "a", 0.0), (1, "b", 0.0), (2, "a", -2.0), (2, "b", 0.0)}  # a null is in no interval
 
 
+def test_maps_side_by_side(rows):
+    """Rows get closer to their units as the maps' bell curves narrow, but for a fiftieth between two epochs; a map's indices are those of C2 and of the library over its labels; all sizes cost the passes of one."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    names, ks = ["x", "z", "noise"], [2, 3, 7]
+    data, scale = clusters.blocks_of(rows, names)
+    maps, errors = clusters.batch_maps(data, scale, ks)
+    assert (errors[1:] <= errors[:-1] * 1.02).all() and (errors[-1] < 0.8 * errors[0]).all(), errors
+    alone, _ = clusters.batch_maps(data, scale, [3])
+    assert abs(alone[0].units - maps[1].units).max() < 1e-12
+    db, silhouette = (clusters.judged(data, scale, maps, by) for by in ("davies_bouldin", "silhouette"))
+    for i, m in enumerate(maps):
+        labelled = clusters.placed(rows, names, m, scale).cache()
+        assert labelled.filter("cluster >= " + str(len(m.units))).count() == 0
+        assert db[i] == pytest.approx(clusters.davies_bouldin(labelled, "cluster", names).first()["index"])
+        vectors = models.vectors(labelled, names, "Target", ["cluster"])
+        assert silhouette[i] == pytest.approx(ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(vectors.withColumn("cluster", F.col("cluster").cast("double"))))
+    n, chosen = clusters.choose_clusters(rows, names, range(2, 8), "silhouette")
+    assert n == chosen.select("cluster").distinct().count() and chosen.columns == [*rows.columns, "cluster"]
+    dotted = rows.withColumnRenamed("x", "x.y")
+    assert clusters.davies_bouldin(dotted, "Target", ["x.y"]).first()["index"] > 0
+    with pytest.raises(ValueError):
+        clusters.choose_clusters(rows.withColumn("one", F.lit(1.0)), ["one"], range(2, 4))
+
+
 def test_clusters(rows):
     n, placed = clusters.choose_clusters(rows, ["x", "z"], range(2, 4))
     assert n in (2, 3) and placed.count() == 240
