@@ -22,14 +22,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranges import rank_in_order
 from .common import crc_of_id, held, keep, map_batches, slices
 
 #: Tokens of a block (a window is two blocks), width of the model, ids with an input vector of their own.
 BLOCK, WIDTH, INPUTS = 16, 16, 4096
 #: Classes of ids, the last being the end of a text, leaves of a class, and how many of these are of one id each.
 CLASSES, LEAVES, OWN = 48, 48, 36
-#: Rounds of training, over which a hash deals the training texts. Blocks of a step, Adam's step size.
-ROUNDS, STEP_BLOCKS, RATE = 2, 224, 0.015
+#: Rounds of training, over which the training texts are dealt. Blocks of a step, Adam's step size.
+ROUNDS, STEP_BLOCKS, RATE = 2, 224, 0.045
+#: Of the step size, what is left at the end of the last round; it falls evenly until then.
+LAST_PACE = 0.1
+#: Ids that a copy is trained on in a round, about, and copies that are averaged at once.
+SHARE_TOKENS, FAN = 4_000_000, 16
 #: Words whose counts may be broadcast (16 bytes each: 16 MB).
 FREQUENT = 1 << 20
 #: Words that a worker remembers, characters of text and bytes of ids handled at once.
@@ -338,12 +343,12 @@ class Adam:
         self.m = {n: np.zeros_like(x) for n, x in model.p.items()}
         self.s = {n: np.zeros_like(x) for n, x in model.p.items()}
 
-    def step(self, g: dict[str, np.ndarray]) -> None:
+    def step(self, g: dict[str, np.ndarray], pace: float = 1.0) -> None:
         self.t += 1
         for n, x in g.items():
             self.m[n] += np.float32(0.1) * (x - self.m[n])
             self.s[n] += np.float32(0.02) * (x * x - self.s[n])
-            rate = RATE / (1 - 0.9**self.t)
+            rate = pace * RATE / (1 - 0.9**self.t)
             self.model.p[n] -= np.float32(rate) * self.m[n] / (np.sqrt(self.s[n] / (1 - 0.98**self.t)) + np.float32(1e-6))
 
 
@@ -374,37 +379,66 @@ def count(learned: DataFrame, path: str) -> DataFrame:
     return map_batches(learned.select("ids"), work, "kind int, key long, n long")
 
 
-def train(learned: DataFrame, path: str, layout: Layout, rounds: int = ROUNDS) -> Attention:
-    """The model after `rounds` rounds of local training and averaging; round r reads the texts whose hash mod `rounds` is r."""
-    model = Attention(layout)
+def dealt(learned: DataFrame) -> DataFrame:
+    """(ids, rank): training texts in the order of a hash of id and text, numbered from 0, whatever partitions they lie in. Equal rows are split like others."""
+    told = learned.select("ids", F.xxhash64("doc_id", "ids", F.lit("lm")).alias("order"), F.monotonically_increasing_id().alias("tie"))
+    return rank_in_order(told, [], [F.col("order"), F.col("tie")], "rank").select("ids", (F.col("rank") - 1).alias("rank"))
+
+
+def train(learned: DataFrame, path: str, layout: Layout, tokens: int, rounds: int = ROUNDS) -> Attention:
+    """The model after `rounds` rounds of local training and averaging; every text is read once, in the round that is its rank mod `rounds`.
+
+    In a round texts are dealt by rank into shares of about SHARE_TOKENS ids; each share trains a copy, and copies are averaged by the ids that they
+    have seen, up a tree. Shares follow from the texts alone, so the model does not depend on how these are partitioned.
+    """
+    model, rows = Attention(layout), dealt(learned)
+    shares = max(1, round(tokens / (rounds * SHARE_TOKENS)))
     for r in range(rounds):
         start = model.flat()
 
-        def work(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
+        def work(share: pa.Table) -> pa.Table:
             end, seen = len(tokens_of(path).spaced) - 1, 0
             own = Attention(layout).load(start)
-            adam = Adam(own)
-            for part in slices(batches, "ids", IDS):
+            adam, number = Adam(own), share["share"][0].as_py()
+            size = max(1, pc.sum(pc.binary_length(share["ids"])).as_py() // 2)
+            for part in slices(iter(share.sort_by("rank").select(["ids"]).combine_chunks().to_batches()), "ids", IDS):
                 fed, target = layout.blocks(*streams(part.column(0), end))
                 order = np.random.default_rng(seen).permutation(len(fed))
                 for at in range(0, len(order), STEP_BLOCKS):
                     some = order[at : at + STEP_BLOCKS]
-                    adam.step(own.gradient(fed[some], target[some]))
+                    done = (r + min(1.0, (seen + at * BLOCK) / size)) / rounds
+                    adam.step(own.gradient(fed[some], target[some]), 1 - (1 - LAST_PACE) * done)
                 seen += int((target >= 0).sum())
-            flat = own.flat().astype(np.float64) * seen
+            return one_row(number, own.flat().astype(np.float64) * seen, seen)
+
+        chosen = rows.filter(F.col("rank") % rounds == r).select("ids", "rank", (F.floor(F.col("rank") / rounds) % shares).cast("int").alias("share"))
+        fitted, left = chosen.groupBy("share").applyInArrow(work, COPIES), shares
+        while left > FAN:
+            left = -(-left // FAN)
+            fitted = fitted.withColumn("share", F.floor(F.col("share") / FAN).cast("int")).groupBy("share").applyInArrow(together, COPIES)
+        copies = fitted.toArrow().sort_by("share")  # FAN rows at most
+        if copies.num_rows:
+            total = together(copies)
+            seen = total["seen"][0].as_py()
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), float(seen)))], ["i", "x", "w"])
-
-        chosen = learned.filter(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(rounds)) == r).select("ids")
-        summed = map_batches(chosen, work, "i long, x double, w double").groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x"))
-        found = summed.toArrow()
-        if found.num_rows:
-            mean = np.zeros(found.num_rows)
-            mean[found.column("i").to_numpy()] = found.column("x").to_numpy()
-            model.load(mean)
+                model.load(np.frombuffer(total["weights"][0].as_py(), np.float64) / seen)
     return model
 
 
+COPIES = "share int, weights binary, seen long"
+
+
+def one_row(share: int, weights: np.ndarray, seen: int) -> pa.Table:
+    return pa.table({"share": pa.array([share], pa.int32()), "weights": pa.array([weights.tobytes()], pa.binary()), "seen": pa.array([seen], pa.int64())})
+
+
+def together(copies: pa.Table) -> pa.Table:
+    """The sums of copies that meet, in the order of their shares."""
+    copies = copies.sort_by("share")
+    total = sum((np.frombuffer(w.as_buffer(), np.float64) for w in copies["weights"]), np.zeros(1))
+    return one_row(copies["share"][0].as_py(), total, sum(copies["seen"].to_pylist()))
+
+
 SCORED = "doc_id long, n_tokens long, usual_n long, usual_log double, score double, hash array<long>, times array<int>"
 
 
@@ -462,7 +496,7 @@ def lm_score(df: DataFrame, train_on: Column, text_col: str = "text", id_col: st
     id_counts = np.zeros(len(tokens_of(path).spaced))
     id_counts[of_ids.column("key").to_numpy()] = of_ids.column("n").to_numpy()
     layout = Layout(id_counts, tokens_of(path).spaced)
-    model = train(learned, path, layout)
+    model = train(learned, path, layout, int(id_counts.sum()))
 
     words = counts.filter("kind = 0").select(F.col("key").alias("hash"), F.col("n").alias("c"))
     by_size = words.groupBy(F.floor(F.log2("c")).alias("size")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()

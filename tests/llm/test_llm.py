@@ -472,17 +472,37 @@ def test_lm_scores(spark, docs):
 
 
 def test_lm_trains_on_every_text_once(spark, docs, monkeypatch):
-    read, whole = [], lm.map_batches
-
-    def seen(df, work, schema):
-        if schema.startswith("i long, x double"):
-            read.append(df.count())
-        return whole(df, work, schema)
-
-    monkeypatch.setattr(lm, "map_batches", seen)
+    """The copies of all rounds have together seen each training id once, whatever the number of shares."""
     train_on = F.coalesce(F.col("doc_id") % 7 != 2, F.lit(False))
-    lm.lm_score(docs, train_on)
-    assert len(read) == lm.ROUNDS and sum(read) == docs.filter(train_on).count()
+    path, seen = lm.vocabulary_path(), []
+    read = lm.read(docs.select("doc_id", train_on.alias("train"), F.col("text")), path).filter("train")
+    ids = read.toArrow()["ids"].combine_chunks()
+    want = len(lm.streams(ids, len(lm.tokens_of(path).spaced) - 1)[0])
+    order = [r["rank"] for r in lm.dealt(read).collect()]
+    assert sorted(order) == list(range(len(ids)))
+    own = lm.together
+
+    def met(copies):
+        total = own(copies)
+        seen.append(total["seen"][0].as_py())
+        return total
+
+    monkeypatch.setattr(lm, "together", met)
+    for share in (10**9, 3000):
+        seen.clear()
+        monkeypatch.setattr(lm, "SHARE_TOKENS", share)
+        lm.lm_score(docs, train_on)
+        assert len(seen) == lm.ROUNDS and sum(seen) == want
+
+
+def test_lm_does_not_depend_on_partitions(spark, docs, monkeypatch):
+    """One, four and many partitions give the same scores, with a tree of many shares."""
+    monkeypatch.setattr(lm, "SHARE_TOKENS", 500)
+    monkeypatch.setattr(lm, "FAN", 3)
+    found = [sorted(((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.lm_score(docs.repartition(n), F.col("doc_id") % 7 != 2).collect())) for n in (1, 4, 64)]
+    for other in found[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in found[0]]
+        assert [x[2] for x in other] == pytest.approx([x[2] for x in found[0]], rel=1e-6)
 
 
 def test_lm_frequent_and_other_words_agree(spark, docs, monkeypatch):
