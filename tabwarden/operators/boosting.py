@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.store import stored
-from .side_by_side import BLOCK, MOST_NUMBERS, totals
+from .side_by_side import BLOCK, MOST_NUMBERS, tasks_of, totals
 
 #: Bins of a feature, rounds after which margins are stored anew, and the least hessian of a child.
 BINS, REFRESH, LEAST_WEIGHT = 64, 10, 1e-3
@@ -55,8 +55,18 @@ class Tree:
         return f"get({doubles(self.value)}, aggregate(sequence(1, {max(1, depth)}), 0, (n, i) -> {walk}))"
 
 
+class InSql:
+    """A model of k classes that is SQL over an array of features: margins(x) of its outputs, and chances(margins) of the classes."""
+
+    def scored(self, df: DataFrame, features: str, tag: str) -> tuple[DataFrame, Column]:
+        """df with hidden columns, and the class scores over them, from a vector column."""
+        x, m = f"_x{tag}", [f"_m{tag}{c}" for c in range(1 if self.k == 2 else self.k)]
+        df = df.withColumn(x, vector_to_array(features)).withColumns({n: F.expr(s) for n, s in zip(m, self.margins(f"`{x}`"))})
+        return df, F.array(*[F.expr(s) for s in self.chances([f"`{n}`" for n in m])])
+
+
 @dataclass
-class Boosted:
+class Boosted(InSql):
     """A fitted model: a tree for each round and output (one output for two classes, else one for each class)."""
 
     k: int
@@ -79,12 +89,6 @@ class Boosted:
         parts = [f"exp({m} - {top})" for m in margins]
         return [f"({e} / ({' + '.join(parts)}))" for e in parts]
 
-    def scored(self, df: DataFrame, features: str, tag: str) -> tuple[DataFrame, Column]:
-        """df with hidden columns, and the class scores over them, from a vector column."""
-        x, m = f"_x{tag}", [f"_m{tag}{c}" for c in range(1 if self.k == 2 else self.k)]
-        df = df.withColumn(x, vector_to_array(features)).withColumns({n: F.expr(s) for n, s in zip(m, self.margins(f"`{x}`"))})
-        return df, F.array(*[F.expr(s) for s in self.chances([f"`{n}`" for n in m])])
-
 
 def cut_points(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:
     """The thresholds of each feature: all values but the greatest where there are at most `bins`, else quantiles by a sketch."""
@@ -160,7 +164,7 @@ def fit_boosted(
     if (1 << max(depth - 1, 0)) * out * width * wide * 2 > MOST_NUMBERS:
         raise ValueError("too many nodes, features and bins for one level")
     data, kept, draw = binned(rows, cuts, out), 0, np.random.default_rng(seed)
-    model = Boosted(k, depth)
+    model, parts = Boosted(k, depth), tasks_of(data)
     for r in range(rounds):
         taken = [np.sort(draw.permutation(width)[: max(1, round(columns * width))]) for _ in range(out)] if width else [np.zeros(0, int)] * out
         size = 2 ** (depth + 1) - 1
@@ -191,7 +195,7 @@ def fit_boosted(
                             found += [np.bincount(node[here] * wide + bin_[here, f], v, n * wide) for f in range(width)]
                 return np.concatenate(found)
 
-            numbers = totals(data, lambda batches: (sums(*x) for x in opened(batches, width, out)), 2 * out * n * (1 if last else width * wide))
+            numbers = totals(data, lambda batches: (sums(*x) for x in opened(batches, width, out)), 2 * out * n * (1 if last else width * wide), parts)
             if last:
                 for c, (g, h) in enumerate(numbers.reshape(out, 2, n)):
                     for i in live[c]:

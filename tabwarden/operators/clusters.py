@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import named, ratio
 from .bias import audit
-from .side_by_side import packed, summed
+from .side_by_side import packed, summed, tasks_of
 
 #: Passes over the rows that train a map, and how narrow its bell curve is in the last one.
 EPOCHS, LAST_SIGMA = 10, 0.3
@@ -103,7 +103,7 @@ def batch_maps(data: DataFrame, scale: Scaled, ks: Sequence[int]) -> tuple[list[
     In an epoch each unit becomes the mean of all rows, weighted by how near on the grid the row's own unit is.
     """
     d = len(scale.mean)
-    maps, errors = [Map.of(k, d) for k in ks], []
+    maps, errors, parts = [Map.of(k, d) for k in ks], [], tasks_of(data)
     for epoch in range(EPOCHS):
         units = [m.units for m in maps]
 
@@ -114,7 +114,7 @@ def batch_maps(data: DataFrame, scale: Scaled, ks: Sequence[int]) -> tuple[list[
                 found += [np.bincount(at, minlength=len(u)), *(np.bincount(at, z[:, f], len(u)) for f in range(d)), [far.sum()]]
             return np.concatenate(found).astype(np.float64)
 
-        sums, at, error = summed(data, step, sum(len(u) * (d + 1) + 1 for u in units)), 0, []
+        sums, at, error = summed(data, step, sum(len(u) * (d + 1) + 1 for u in units), parts), 0, []
         for m in maps:
             n = len(m.units)
             part, near = sums[at : at + n * (d + 1)].reshape(d + 1, n), m.nearness(epoch)

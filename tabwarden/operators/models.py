@@ -11,6 +11,7 @@ import logging
 import random
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import named
 from ..functions.store import stored
 from . import side_by_side
-from .boosting import Boosted, fit_boosted
+from .boosting import InSql, fit_boosted
+from .margins import Lift, fit_by_batches, folds_of_rows
 from .prep import stratified_folds
 from .scoring import auc, best_threshold, bundle, class_bundle, long_metrics, mean_threshold, one_against_rest
 from .selection import LIMIT, preprocess, select_features
@@ -33,6 +35,8 @@ log = logging.getLogger(__name__)
 
 #: Candidates of the random search, the most that an exhaustive one may have, candidates fitted side by side, and seeds.
 DRAWS, MOST_CANDIDATES, AT_ONCE, SEED = 40, 500, 4, 42
+#: Folds whose held-out margins a logistic curve is fitted on.
+CURVE_FOLDS = 3
 
 
 @dataclass(frozen=True)
@@ -46,11 +50,11 @@ class Spec:
 
 REGISTRY: dict[str, Spec] = {
     "Logistic Regression": Spec("logistic", {"regParam": [0.0, 0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5, 1.0], "maxIter": [50, 100]}),
-    # A linear margin with a logistic curve over it; kernels have no counterpart.
-    "SVC": Spec("svc", {"regParam": [0.001, 0.01, 0.1, 1.0], "maxIter": [50, 100]}),
+    # A margin, linear or over random features of a radial kernel, with a logistic curve over it.
+    "SVC": Spec("svc", {"kernel": ["linear", "rbf"], "regParam": [0.001, 0.01, 0.1, 1.0], "maxIter": [50, 100]}, {"kernel": "rbf", "regParam": 0.001}),
     "Random Forest": Spec("forest", {"numTrees": [20, 50, 100], "maxDepth": [5, 10], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2"]}),
-    # Log loss with an elastic net, by batches of all rows.
-    "SGD": Spec("logistic", {"regParam": [0.0001, 0.001, 0.01], "elasticNetParam": [0.0, 0.15, 0.5, 1.0]}, {"regParam": 0.0001, "elasticNetParam": 0.15}),
+    # Modified Huber loss with an elastic net, by mini-batches.
+    "SGD": Spec("sgd", {"regParam": [0.0001, 0.001, 0.01], "elasticNetParam": [0.0, 0.15, 0.5, 1.0], "rate": [0.5, 1.0]}, {"regParam": 0.0001, "elasticNetParam": 0.15}),
     "MLP": Spec("mlp", {"hidden": [[16], [32], [16, 16]], "stepSize": [0.01, 0.03], "maxIter": [50, 100]}, {"hidden": [16], "maxIter": 50}),
     "Decision Tree": Spec("tree", {"maxDepth": [3, 5, 10], "impurity": ["gini", "entropy"], "minInstancesPerNode": [1, 2, 4]}),
     # Second order, all classes at once.
@@ -92,9 +96,10 @@ def estimator(kind: str, params: dict, k: int, width: int) -> Estimator:
 class Fitted:
     """Fitted models: one that knows all classes, or one per class against the rest, each with a curve over its margin if it has no probability."""
 
-    models: list[Transformer | Boosted]
+    models: list[Transformer | InSql]
     curves: list[Transformer | None]
     k: int
+    lift: Lift | None = None
 
     def scores(self, df: DataFrame) -> DataFrame:
         """df, which has a vector column `features`, with p: the scores of classes 0 to K - 1, which sum to 1."""
@@ -103,8 +108,10 @@ class Fitted:
 
     def scored(self, df: DataFrame, features: str, tag: str) -> tuple[DataFrame, Column]:
         """df with hidden columns whose names begin with _ and have `tag` in them, and the scores over them, from the vector column `features`."""
-        if isinstance(self.models[0], Boosted):
+        if isinstance(self.models[0], InSql):
             return self.models[0].scored(df, features, tag)
+        if self.lift is not None:
+            df, features = self.lift.lifted(df, features, f"_lift{tag}"), f"_lift{tag}"
         for i, (model, curve) in enumerate(zip(self.models, self.curves)):
             raw, prob, label = f"_raw{tag}{i}", f"_prob{tag}{i}", f"_label{tag}{i}"
             names = {model.featuresCol: features, model.rawPredictionCol: raw, model.predictionCol: label} | ({model.probabilityCol: prob} if hasattr(model, "probabilityCol") else {})
@@ -123,19 +130,31 @@ def fit(rows: DataFrame, kind: str, params: dict, k: int, width: int) -> Fitted:
     """rows: label and features. A linear margin gets a logistic curve; kinds for two classes are fitted for each class if K > 2."""
     if kind == "boosted":
         return Fitted([fit_boosted(rows, k, width, seed=SEED, **{BOOSTED[n]: v for n, v in params.items()})], [None], k)
-    binary_only = kind == "svc"
-    aims = [None] if k == 2 or not binary_only else range(k)
+    if kind == "sgd":
+        return Fitted([fit_by_batches(rows, k, width, **params)], [None], k)
+    params, lift = dict(params), None
+    if kind == "svc" and params.pop("kernel", "linear") == "rbf":
+        lift = Lift.of(rows, width, params.pop("gamma", None))
+        rows = lift.lifted(rows, "features", "_lift").withColumn("features", F.col("_lift")).drop("_lift")
     models, curves = [], []
-    for c in aims:
+    for c in [None] if k == 2 or kind != "svc" else range(k):
         own = rows if c is None else rows.withColumn("label", (F.col("label") == c).cast("double"))
-        model = estimator(kind, params, 2 if binary_only else k, width).fit(own)
-        curve = None
-        if kind == "svc":
-            margins = model.transform(own).select("label", vector_to_array("rawPrediction")[1].alias("m"))
-            curve = LogisticRegression().fit(VectorAssembler(inputCols=["m"], outputCol="features").transform(margins))
-        models.append(model)
-        curves.append(curve)
-    return Fitted(models, curves, k)
+        models.append(estimator(kind, params, 2 if kind == "svc" else k, width).fit(own))
+        curves.append(held_out_curve(own, params) if kind == "svc" else None)
+    return Fitted(models, curves, k, lift)
+
+
+def held_out_curve(rows: DataFrame, params: dict) -> Transformer:
+    """A logistic curve over the margins that rows get from a model that has not seen them: of training rows margins are further from 0 than of others."""
+    folded, parts = rows.withColumn("_fold", folds_of_rows(CURVE_FOLDS)), []
+    for f in range(CURVE_FOLDS):
+        mine, others = folded.filter(F.col("_fold") == f), folded.filter(F.col("_fold") != f)
+        if others.select("label").distinct().count() == 2:
+            parts.append(LinearSVC(**params).fit(others).transform(mine).select("label", vector_to_array("rawPrediction")[1].alias("m")))
+    if not parts:  # a class of so few equal rows has no fold without them
+        parts.append(LinearSVC(**params).fit(rows).transform(rows).select("label", vector_to_array("rawPrediction")[1].alias("m")))
+    margins = reduce(DataFrame.unionByName, parts)
+    return LogisticRegression().fit(VectorAssembler(inputCols=["m"], outputCol="features").transform(margins))
 
 
 def vectors(df: DataFrame, features: list[str], target: str, keep: list[str] = ()) -> DataFrame:
@@ -348,16 +367,22 @@ def pipeline(model: Fitted, features: dict[str, str]) -> PipelineModel:
     """One model from raw columns to `p`, a vector of the scores of classes 0 to K - 1: preparation, selection, fitted models, curves over margins."""
     places = [f"_f{i}" for i in range(len(features))]
     made = ", ".join(f"{sql} AS {p}" for p, sql in zip(places, features.values()))
-    if isinstance(model.models[0], Boosted):
-        return boosted_pipeline(model.models[0], places, made)
+    if isinstance(model.models[0], InSql):
+        return sql_pipeline(model.models[0], places, made)
     stages: list[Transformer] = [SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__"), VectorAssembler(inputCols=places, outputCol="_features")]
+    if model.lift is not None:
+        lifted = [f"_r{i}" for i in range(len(model.lift.shifts))]
+        stages = [
+            stages[0], SQLTransformer(statement=f"SELECT *, array({', '.join(places)}) AS _x FROM __THIS__"), SQLTransformer(statement=f"SELECT *, {model.lift.sql('_x')} AS _z FROM __THIS__"),
+            SQLTransformer(statement=f"SELECT *, {', '.join(f'get(_z, {i}) AS {n}' for i, n in enumerate(lifted))} FROM __THIS__"), VectorAssembler(inputCols=lifted, outputCol="_features"),
+        ]
     for i, (one, curve) in enumerate(zip(model.models, model.curves)):
         raw, chance = f"_raw{i}", f"_chance{i}"
         given = {one.featuresCol: "_features", one.rawPredictionCol: raw, one.predictionCol: f"_label{i}"} | ({one.probabilityCol: chance} if hasattr(one, "probabilityCol") else {})
         stages.append(one.copy(given))
         if curve is not None:
             stages.append(VectorSlicer(inputCol=raw, outputCol=f"_margin{i}", indices=[1]))
-            stages.append(curve.copy({curve.featuresCol: f"_margin{i}", curve.rawPredictionCol: f"_r{i}", curve.probabilityCol: chance, curve.predictionCol: f"_l{i}"}))
+            stages.append(curve.copy({curve.featuresCol: f"_margin{i}", curve.rawPredictionCol: f"_c{i}", curve.probabilityCol: chance, curve.predictionCol: f"_l{i}"}))
         if len(model.models) > 1:
             stages.append(VectorSlicer(inputCol=chance, outputCol=f"_one{i}", indices=[1]))
     if len(model.models) > 1:
@@ -367,8 +392,8 @@ def pipeline(model: Fitted, features: dict[str, str]) -> PipelineModel:
     return PipelineModel(stages)
 
 
-def boosted_pipeline(model: Boosted, places: list[str], made: str) -> PipelineModel:
-    """Boosted trees as SQL over the features."""
+def sql_pipeline(model: InSql, places: list[str], made: str) -> PipelineModel:
+    """A model that is SQL over the features."""
     margins, chances = [f"_m{i}" for i in range(1 if model.k == 2 else model.k)], [f"_p{i}" for i in range(model.k)]
     said = lambda names, sql: ", ".join(f"{x} AS {n}" for n, x in zip(names, sql))
     return PipelineModel([

@@ -48,8 +48,8 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             yield fold, label, np.frombuffer(b.column(2)[i].as_buffer(), np.float64).reshape(len(fold), b.column(3)[i].as_py())
 
 
-def totals(df: DataFrame, parts_of, size: int) -> np.ndarray:
-    """The sum of the arrays of `size` numbers that parts_of(batches) yields over all rows: by task, then by a tree of tasks, then here."""
+def totals(df: DataFrame, parts_of, size: int, parts: int | None = None) -> np.ndarray:
+    """The sum of the arrays of `size` numbers that parts_of(batches) yields over all rows: by task, then by a tree of tasks, then here. parts: tasks of df, if known."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
@@ -64,16 +64,20 @@ def totals(df: DataFrame, parts_of, size: int) -> np.ndarray:
                 total += np.frombuffer(b.column(0)[i].as_buffer(), np.float64)
         yield pa.RecordBatch.from_pydict({"numbers": [total.tobytes()]})
 
-    parts, found = df.rdd.getNumPartitions(), df.mapInArrow(one, SUMS)
+    parts, found = tasks_of(df) if parts is None else parts, df.mapInArrow(one, SUMS)
     while parts > FAN:
         parts = math.ceil(parts / FAN)
         found = found.repartition(parts).mapInArrow(more, SUMS)
     return sum((np.frombuffer(r["numbers"], np.float64) for r in found.collect()), np.zeros(size))  # FAN rows at most
 
 
-def summed(df: DataFrame, work, size: int) -> np.ndarray:
+def tasks_of(df: DataFrame) -> int:
+    return df.rdd.getNumPartitions()
+
+
+def summed(df: DataFrame, work, size: int, parts: int | None = None) -> np.ndarray:
     """The sum over all blocks of what work(fold, label, x) gives, an array of `size` numbers."""
-    return totals(df, lambda batches: (work(*block) for block in blocks(batches)), size)
+    return totals(df, lambda batches: (work(*block) for block in blocks(batches)), size, parts)
 
 
 class Descent:
@@ -140,10 +144,10 @@ def fit_logistic(data: DataFrame, k: int, width: int, folds: int, candidates: li
     data: blocks of packed(). A model of fold f is fitted on the rows of the others; candidates have regParam, elasticNetParam and maxIter. Penalties are on weights of
     features scaled by their sample deviation over the rows of the fit, and not on intercepts, as `pyspark.ml` has them, so both have one optimum.
     """
-    out = 1 if k == 2 else k
+    out, parts = 1 if k == 2 else k, tasks_of(data)
     moments = summed(data, lambda fold, label, x: np.concatenate([
         np.concatenate([[np.sum(fold != f)], x[fold != f].sum(axis=0), (x[fold != f] ** 2).sum(axis=0)]) for f in range(folds)
-    ]), folds * (1 + 2 * width)).reshape(folds, 1 + 2 * width)
+    ]), folds * (1 + 2 * width), parts).reshape(folds, 1 + 2 * width)
     n = moments[:, 0]
     mean = moments[:, 1 : 1 + width] / np.maximum(n, 1)[:, None]
     spread = np.sqrt(np.maximum(moments[:, 1 + width :] - n[:, None] * mean**2, 0) / np.maximum(n - 1, 1)[:, None])
@@ -187,7 +191,7 @@ def fit_logistic(data: DataFrame, k: int, width: int, folds: int, candidates: li
             g = np.einsum("nmo,nd->mod", r, x, optimize=True)
             return np.concatenate([loss.sum(axis=0), g.ravel(), r.sum(axis=0).ravel()])
 
-        found = summed(data, step, len(live) * (1 + out * width + out))
+        found = summed(data, step, len(live) * (1 + out * width + out), parts)
         loss = found[: len(live)]
         g, r = found[len(live) : len(live) * (1 + out * width)].reshape(len(live), out, width), found[len(live) * (1 + out * width) :].reshape(len(live), out)
         for i, (c, f) in enumerate(live):

@@ -138,6 +138,70 @@ def test_search_side_by_side_chooses_as_one_by_one(rows):
     assert models.search(ready, "ID", spec, 2, 3) in models.candidates(spec, "randomized")
 
 
+def rings(spark):
+    """Two rings, one around the other, with some noise: no line tells them apart."""
+    u = lambda i: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(100_000)) / 100_000.0
+    df = spark.range(600).select(F.col("id").alias("ID"), (F.col("id") % 2).alias("Target"), (u(1) * 6.28318).alias("a"), (1 + F.col("id") % 2 + 0.6 * (u(2) - 0.5)).alias("r"))
+    return df.select("ID", "Target", (F.col("r") * F.cos("a")).alias("x"), (F.col("r") * F.sin("a")).alias("z")).cache()
+
+
+def test_kernel_margin_tells_rings_apart(spark, rows, tmp_path):
+    """A radial kernel does what no line does, its curve is calibrated on rows that it has not seen, and the saved pipeline says the same."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    df, names = rings(spark), ["x", "z"]
+    train, test = prep.train_test_split(df, "Target", "ID")
+    own, held = models.vectors(train, names, "Target", ["ID"]), models.vectors(test, names, "Target", ["ID"])
+    auc = lambda m: models.scored_auc(m.scores(held).select(F.lit("m").alias("model"), F.col("label").alias("y"), "p"), 2).first()["auc"]
+    kernel, line = models.fit(own, "svc", {"kernel": "rbf", "regParam": 0.001}, 2, 2), models.fit(own, "svc", {"kernel": "linear", "regParam": 0.001}, 2, 2)
+    assert auc(kernel) > 0.95 and 0.3 < auc(line) < 0.7
+    models.save({"SVC": kernel}, {n: f"CAST({n} AS DOUBLE)" for n in names}, str(tmp_path))
+    both = PipelineModel.load(str(tmp_path / "SVC")).transform(test).select("ID", vector_to_array("p").alias("q")).join(kernel.scores(held), "ID")
+    assert both.count() == test.count() and both.filter(F.abs(F.col("p")[1] - F.col("q")[1]) > 1e-9).count() == 0
+    # Labels that a third of the time say nothing: scores of unseen rows are no surer than that.
+    coin = df.withColumn("Target", F.when(F.col("ID") % 3 == 0, F.pmod(F.xxhash64("ID"), F.lit(2))).otherwise(F.col("Target")))
+    train, test = prep.train_test_split(coin, "Target", "ID")
+    model = models.fit(models.vectors(train, names, "Target", ["ID"]), "svc", {"kernel": "rbf", "regParam": 0.001}, 2, 2)
+    said = model.scores(models.vectors(test, names, "Target", ["ID"])).groupBy((F.col("p")[1] > 0.5).alias("high")).agg(F.avg(F.col("p")[1]).alias("p"), F.avg("label").alias("y")).collect()
+    assert len(said) == 2 and all(abs(r["p"] - r["y"]) < 0.12 for r in said)
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_steps_by_batches_come_to_the_optimum(spark, rows, tmp_path, k):
+    """The loss's slope is that of differences; the averaged weights' objective is near the least one; a strong L1 part leaves no weight; the saved pipeline agrees."""
+    import numpy as np
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from tabwarden.operators import margins
+
+    at, side = np.linspace(-3, 3, 61) + 0.013, np.where(np.arange(61) % 2, 1.0, -1.0)
+    slope = (margins.huber_loss(at + 1e-6, side) - margins.huber_loss(at - 1e-6, side)) / 2e-6
+    assert abs(margins.huber_slope(at, side) - slope).max() < 1e-4
+    names, target = ["x", "z", "noise"], "Target" if k == 2 else "c"
+    noisy = rows.withColumn(target, F.when(F.col("ID") % 5 == 0, F.pmod(F.xxhash64("ID"), F.lit(k))).otherwise(F.col(target))).cache()
+    ready = models.vectors(noisy, names, target, ["ID"])
+    model = margins.fit_by_batches(ready, k, 3, 0.01, 0.0)
+    data = noisy.select(*names, target).toPandas().to_numpy()
+    x, y = data[:, :3].astype(float), data[:, 3].astype(int)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    for o in range(1 if k == 2 else 3):
+        side = np.where(y == (1 if k == 2 else o), 1.0, -1.0)
+        worth = lambda w, b, side=side: margins.huber_loss(z @ w + b, side).mean() + 0.005 * (w**2).sum()
+        w, b = np.zeros(3), 0.0
+        for _ in range(5000):  # plain descent to the optimum
+            r = margins.huber_slope(z @ w + b, side)
+            w, b = w - 0.05 * (z.T @ r / len(z) + 0.01 * w), b - 0.05 * r.mean()
+        got = model.weights[o] * x.std(axis=0), model.intercepts[o] + model.weights[o] @ x.mean(axis=0)
+        assert worth(w, b) - 1e-9 <= worth(*got) <= worth(w, b) * 1.01 + 0.002
+    assert not margins.fit_by_batches(ready, k, 3, 50.0, 1.0, epochs=2).weights.any()
+    fitted = models.Fitted([model], [None], k)
+    models.save({"SGD": fitted}, {n: f"CAST({n} AS DOUBLE)" for n in names}, str(tmp_path))
+    both = PipelineModel.load(str(tmp_path / "SGD")).transform(noisy).select("ID", vector_to_array("p").alias("q")).join(fitted.scores(ready), "ID")
+    assert both.count() == 240 and both.filter(F.exists(F.arrays_zip("p", "q"), lambda v: F.abs(v["p"] - v["q"]) > 1e-12)).count() == 0
+
+
 @pytest.mark.parametrize("k", [2, 3])
 def test_boosting_is_as_good_as_the_library_and_its_margins_are_explained(spark, rows, tmp_path, k):
     """Held-out log loss is not above that of first-order trees of the same size; trees as SQL, as leaves and as a saved pipeline say the same."""
