@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import count_where, ratio
+from ..functions.numbers import count_where, named, ratio
 from ..functions.store import stored
 
 #: Fair bands of the metrics for display, and the bounds beyond which a metric is called biased (fixed values).
@@ -30,8 +30,8 @@ def contingency(df: DataFrame, facet: str, outcome: str, subgroup: str | None =
     """(scope, s, a, y, n) without rows in which facet, outcome or subgroup is null."""
     chosen = df.select(
         (F.lit("Overall") if scope is None else scope.cast("string")).alias("scope"),
-        (F.lit(None).cast("string") if subgroup is None else F.col(subgroup).cast("string")).alias("s"),
-        F.col(facet).alias("a"), F.col(outcome).alias("y"),
+        (F.lit(None).cast("string") if subgroup is None else named(subgroup).cast("string")).alias("s"),
+        named(facet).alias("a"), named(outcome).alias("y"),
     ).filter("a is not null and y is not null" + ("" if subgroup is None else " and s is not null"))
     return chosen.groupBy("scope", "s", "a", "y").agg(F.count("*").alias("n"))
 
@@ -279,7 +279,7 @@ def logistic_coefficient(df: DataFrame, facet: str, outcome: str) -> tuple[float
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    rows = df.select(F.col(facet).cast("double").alias("x"), F.col(outcome).cast("double").alias("label")).dropna()
+    rows = df.select(named(facet).cast("double").alias("x"), named(outcome).cast("double").alias("label")).dropna()
     # Equal rows are one weighted row, so the fit sees a handful of rows at any size.
     cells = rows.groupBy("x", "label").agg(F.count("*").cast("double").alias("w"))
     size = cells.agg(F.sum("w").alias("n"), F.count_distinct("x").alias("a"), F.count_distinct("label").alias("y")).first()

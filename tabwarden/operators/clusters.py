@@ -208,6 +208,6 @@ def choose_clusters(df: DataFrame, features: list[str], ks: range = range(2, 31)
 def audit_clusters(df: DataFrame, scope: Column, facet: str, outcome: str, label=1, numeric: bool = True) -> DataFrame:
     """The audit within each cluster in which neither facet nor outcome is constant; one pass for all clusters."""
     live = df.select("*", scope.cast("string").alias("_scope"))
-    ends = live.groupBy("_scope").agg(F.min(facet).alias("a0"), F.max(facet).alias("a1"), F.min(outcome).alias("y0"), F.max(outcome).alias("y1"))
+    ends = live.groupBy("_scope").agg(F.min(named(facet)).alias("a0"), F.max(named(facet)).alias("a1"), F.min(named(outcome)).alias("y0"), F.max(named(outcome)).alias("y1"))
     good = ends.filter("a0 <> a1 and y0 <> y1").select("_scope")
     return audit(live.join(good, "_scope", "left_semi"), facet, outcome, label, None, F.concat(F.lit("Cluster "), F.col("_scope")), numeric)

@@ -22,59 +22,57 @@ def audit_table(df: DataFrame, feature: str, target: str = prep.TARGET, subgroup
 
 
 def run(spark: SparkSession, folder: str, config: Config, out: str) -> None:
-    """Reads Train and Test of a folder and writes the results' tables under `out`; what fails in a stage is a row of Errors."""
+    """Reads Train and Test of a folder and writes the results' tables under `out`; what fails in a stage is a row of Errors, and ends the run where nothing can follow."""
     errors: models.Errors = []
+    try:
+        steps(spark, folder, config, out, errors)
+    except Exception as error:
+        log.warning("the run ended early: %s", error)
+        errors.append(("run", "", -1, str(error)[:500]))
+    write_errors(spark, errors, f"{out}/Errors")
+
+
+def steps(spark: SparkSession, folder: str, config: Config, out: str, errors: models.Errors) -> None:
+    """The stages of run(), one after the other; errors hears of what failed in one that others do without."""
+
+    def tried(stage: str, model: str, work) -> None:
+        try:
+            work()
+        except Exception as error:
+            log.warning("%s of %s failed: %s", stage, model or "the run", error)
+            errors.append((stage, model, -1, str(error)[:500]))
+
     train, test = read_pair(spark, folder)
     target = config.target
     if config.bias_assessment and config.feature:
         for name, df in (("Train", train), ("Test", test)):
-            try:
-                write_table(audit_table(df, config.feature, target, config.subgroup, config.label), f"{out}/BiasAssessment/{name}")
-            except Exception as error:
-                log.warning("audit of %s failed: %s", name, error)
-                errors.append((f"audit {name}", "", -1, str(error)[:500]))
+            tried(f"audit {name}", "", lambda name=name, df=df: write_table(audit_table(df, config.feature, target, config.subgroup, config.label), f"{out}/BiasAssessment/{name}"))
     train, test, key = prep.prepared(train, test, target, config.key)
-    k = train.select(target).distinct().count()
-    write_table(prep.class_profile(train, target), f"{out}/ClassProfile")
+    k = train.select(F.col(f"`{target}`")).distinct().count()
+    tried("class profile", "", lambda: write_table(prep.class_profile(train, target), f"{out}/ClassProfile"))
     params = {}
     if config.search:
         ready, _, made = models.preprocess(train, test, [target, key])
         rows = models.vectors(ready, list(made), target, [key])
         for m in config.models:
-            try:
-                params[m] = models.search(rows, key, models.adjusted(models.REGISTRY[m], k), k, len(made), config.search)
-            except Exception as error:
-                log.warning("search for %s failed: %s", m, error)
-                errors.append(("search", m, -1, str(error)[:500]))
+            tried("search", m, lambda m=m: params.update({m: models.search(rows, key, models.adjusted(models.REGISTRY[m], k), k, len(made), config.search)}))
     chosen = list(config.models)
-    folded = models.cross_validate(train, target, key, k, chosen, config.folds, config.selector, params, config.correlation_limit, errors)
-    write_table(folded, f"{out}/FoldScores")
+    write_table(models.cross_validate(train, target, key, k, chosen, config.folds, config.selector, params, config.correlation_limit, errors), f"{out}/FoldScores")
     folded = spark.read.parquet(f"{out}/FoldScores")
     metrics, thresholds = models.evaluate(folded, k, config.metric)
     write_table(metrics, f"{out}/FoldMetrics")
     write_table(thresholds, f"{out}/Thresholds")
     write_table(scoring.fold_summary(metrics), f"{out}/{config.folds}_fold_results")
-    try:
-        scored, fitted, features = models.hold_out(train, test, target, key, k, chosen, config.selector, params, config.correlation_limit, errors)
-    except Exception as error:  # nothing to select or to scale by
-        log.warning("hold-out failed: %s", error)
-        errors.append(("hold-out", "", -1, str(error)[:500]))
-        write_errors(spark, errors, f"{out}/Errors")
-        return
+    scored, fitted, features = models.hold_out(train, test, target, key, k, chosen, config.selector, params, config.correlation_limit, errors)
     write_table(scored, f"{out}/TestScores")
     scored = spark.read.parquet(f"{out}/TestScores")
     write_table(scoring.wide_report(models.hold_out_metrics(scored, k, thresholds)), f"{out}/test_results")
     for name, rows in (("Folds", folded), ("Test", scored)):
-        write_table(confusion_cells(rows, k, thresholds), f"{out}/Confusion/{name}")
-        write_curves(rows, k, f"{out}/Curves/{name}")
-    models.save(fitted, features, f"{out}/Models")
+        tried(f"confusion {name}", "", lambda name=name, rows=rows: write_table(confusion_cells(rows, k, thresholds), f"{out}/Confusion/{name}"))
+        tried(f"curves {name}", "", lambda name=name, rows=rows: write_curves(rows, k, f"{out}/Curves/{name}"))
+    tried("saving", "", lambda: models.save(fitted, features, f"{out}/Models"))
     for m, model in fitted.items():
-        try:
-            explain_model(model, m, features, test, target, key, k, f"{out}/Explanation/{m.replace(' ', '_')}")
-        except Exception as error:
-            log.warning("explanation of %s failed: %s", m, error)
-            errors.append(("explanation", m, -1, str(error)[:500]))
-    write_errors(spark, errors, f"{out}/Errors")
+        tried("explanation", m, lambda m=m, model=model: explain_model(model, m, features, test, target, key, k, f"{out}/Explanation/{m.replace(' ', '_')}"))
 
 
 def confusion_cells(scored: DataFrame, k: int, thresholds: DataFrame) -> DataFrame:

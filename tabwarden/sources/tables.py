@@ -96,8 +96,15 @@ class Config:
 METRIC_NAMES = {"AUC": "auc", "Sensitivity": "sensitivity", "Specificity": "specificity", "F1-Score": "f1", "Accuracy": "accuracy", "Balanced Accuracy": "balanced_accuracy"}
 
 
+#: Names of selectors in a configuration file.
+SELECTOR_NAMES = {"FeatureWiz": "featurewiz", "RFE": "rfe", "Lasso": "lasso", "Random Forest": "rf", "XGBoost": "xgboost"}
+
+
 def read_config(spark: SparkSession, path: str) -> Config:
-    """A YAML file with the keys of the input form."""
+    """A YAML file with the keys of the input form, and Target, Label, Subgroup, Key and Selector beside them; `None` or nothing leaves a key as it is.
+
+    A selector is named as in SELECTOR_NAMES or in lower case; `none` selects nothing. ValueError for another one.
+    """
     import yaml
 
     said = yaml.safe_load("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())) or {}
@@ -106,9 +113,13 @@ def read_config(spark: SparkSession, path: str) -> Config:
     kinds = grid.get("type") or {} if isinstance(grid, dict) else {}
     models = said.get("Machine Learning Models") or {}
     bias = said.get("BiasAssessment", False)
-    feature = said.get("Feature")
+    plain = lambda k: None if said.get(k) in (None, "None", "") else str(said[k])
+    selector = Config.selector if plain("Selector") is None and said.get("Selector") != "None" else SELECTOR_NAMES.get(str(said["Selector"]), str(said["Selector"]).lower())
+    if selector not in (*SELECTOR_NAMES.values(), "none"):
+        raise ValueError(f"no selector {said['Selector']}")
     return Config(
-        bias_assessment=bool(bias), feature=None if feature in (None, "None", "") else str(feature), folds=int(said.get("number_of_k_folds", 5)),
+        target=plain("Target") or Config.target, label=int(said.get("Label", Config.label)), subgroup=plain("Subgroup"), key=plain("Key"), selector=None if selector == "none" else selector,
+        bias_assessment=bool(bias), feature=plain("Feature"), folds=int(said.get("number_of_k_folds", 5)),
         search=("exhaustive" if kinds.get("Exhaustive") else "randomized") if enabled else None,
         correlation_limit=float(said.get("Correlation Limit", 0.7)), metric=METRIC_NAMES.get(said.get("Metric For Threshold Optimization"), "balanced_accuracy"),
         models=tuple(m for m, on in models.items() if on) or Config.models,

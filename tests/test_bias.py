@@ -123,3 +123,11 @@ def test_a_cluster_needs_a_shared_folder():
         with pytest.raises(ValueError):
             store.shared_dir(session(master))
     assert store.shared_dir(session("local[4]")) == store.shared_dir(session("local"))
+
+
+def test_names_with_dots(spark):
+    """Columns are named as they are, dots and all."""
+    df = spark.createDataFrame([(i % 2, (i // 2) % 2, i % 3) for i in range(24)], "`f.a` int, `y.b` int, `s.c` int")
+    plain = df.toDF("f", "y", "s")
+    said = lambda d, f, y, s: sorted((r["scope"], r["metric"], r["value"]) for r in bias.audit(d, f, y, 1, s).collect() if r["value"] is not None)
+    assert said(df, "f.a", "y.b", "s.c") == said(plain, "f", "y", "s")

@@ -383,6 +383,26 @@ def test_config(spark, tmp_path):
     )
     c = tables.read_config(spark, str(tmp_path / "c.yaml"))
     assert c == tables.Config(True, "sex", 3, "randomized", 0.6, "f1", ("SVC",))
+    (tmp_path / "d.yaml").write_text("Target: sick\nLabel: 2\nSubgroup: ward\nKey: who\nSelector: RFE\nFeature: None\n")
+    assert tables.read_config(spark, str(tmp_path / "d.yaml")) == tables.Config(target="sick", label=2, subgroup="ward", key="who", selector="rfe")
+    (tmp_path / "e.yaml").write_text("Selector: None\n")
+    assert tables.read_config(spark, str(tmp_path / "e.yaml")) == tables.Config(selector=None)
+    (tmp_path / "f.yaml").write_text("Selector: guess\n")
+    with pytest.raises(ValueError):
+        tables.read_config(spark, str(tmp_path / "f.yaml"))
+
+
+def test_a_run_that_cannot_go_on_says_so(spark, rows, tmp_path):
+    """A missing target, or no files at all, is a row of the error table."""
+    from tabwarden.plans.run import run
+
+    os.makedirs(tmp_path / "in")
+    for name in ("Train", "Test"):
+        rows.select("ID", "x").limit(5).toPandas().to_csv(tmp_path / "in" / f"{name}.csv", index=False)
+    for folder in ("in", "nowhere"):
+        run(spark, str(tmp_path / folder), tables.Config(selector=None), str(tmp_path / "out"))
+        found = spark.read.parquet(f"{tmp_path}/out/Errors").collect()
+        assert len(found) == 1 and found[0]["stage"] == "run" and found[0]["error"]
 
 
 @pytest.mark.parametrize("k", [2, 3])
