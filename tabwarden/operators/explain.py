@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import factorial
+from math import comb, factorial
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,6 +17,8 @@ from .trees import leaf_table, tree_shap, trees_of
 TREE_ROWS, KERNEL_ROWS, MOST_FEATURES = 100, 14, 12
 #: Orders of the features that sampled values are averaged over, by pairs of an order and its reverse.
 ORDERS = 64
+#: Coalitions of a kernel regression, and groups of drawn ones.
+COALITIONS, GROUPS = 2048, 8
 TOP = 10
 
 
@@ -95,11 +97,82 @@ def sampled_shapley(df: DataFrame, key: str, features: list[str], predict, backg
     return means.select("id", "class", F.get(F.array(*map(F.lit, features)), F.col("i")).alias("feature"), F.get("x", F.col("i")).alias("value"), "shap", "error")
 
 
+def drawn_coalitions(d: int, most: int) -> tuple[list[int], list[float], list[int]]:
+    """(coalitions as bits, weights, groups): all but the empty and the whole one by their kernel weight, one group, if they are at most `most`; else drawn.
+
+    Drawn ones: first a size in proportion to the kernel weight of all coalitions of that size, then a coalition of it, and its complement beside it,
+    each of weight 1, dealt to GROUPS groups in turn.
+    """
+    if d <= 1:
+        return [], [], []
+    if 2**d - 2 <= most:
+        sizes = [s.bit_count() for s in range(1, 2**d - 1)]
+        return list(range(1, 2**d - 1)), [(d - 1) / (comb(d, m) * m * (d - m)) for m in sizes], [0] * (2**d - 2)
+    draw, weight = np.random.default_rng(17), np.array([(d - 1) / (m * (d - m)) for m in range(1, d)])
+    chosen, groups = [], []
+    for pair in range(most // 2):
+        inside = draw.permutation(d)[: draw.choice(np.arange(1, d), p=weight / weight.sum())]
+        s = sum(1 << int(i) for i in inside)
+        chosen += [s, 2**d - 1 - s]
+        groups += [pair % GROUPS] * 2
+    return chosen, [1.0] * len(chosen), groups
+
+
+def solver(d: int, coalitions: list[int], weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(M, c): the least squares over the coalitions, with values that add up to the change from nothing to all, are M b + c (that change), b being the weighted
+    sum of each coalition's change over its members. The normal equations are the same for all rows: d x d."""
+    z = np.array([[s >> i & 1 for i in range(d)] for s in coalitions], np.float64).reshape(-1, d)
+    inverse = np.linalg.pinv(z.T @ (np.array(weights)[:, None] * z))
+    one = inverse.sum(axis=1)
+    return inverse - np.outer(one, one) / one.sum(), one / one.sum()
+
+
+def kernel_shapley(df: DataFrame, key: str, features: list[str], predict, background: DataFrame | None = None, coalitions: int = COALITIONS) -> DataFrame:
+    """(id, class, feature, value, shap, error): interventional Shapley values of any model by kernel regression, for any number of features up to 60.
+
+    The model scores each row with the features of each coalition, the others from each background row; the weighted sums of the changes are
+    added up by row and class in Spark, and the values follow by one small matrix. With all coalitions they are exact and `error` is 0; else coalitions are
+    drawn by a fixed seed, and `error` is the standard error over GROUPS groups of them. Values add up to the row's score less the background's mean. df and
+    background as in exact_shapley().
+    """
+    d, spark = len(features), df.sparkSession
+    if d > 60:
+        raise ValueError("coalitions are the bits of a long: at most 60 features")
+    base = bounded_rows(df if background is None else background, features)
+    chosen, weights, groups = drawn_coalitions(d, coalitions)
+    n_groups = max(groups, default=0) + 1
+    others = spark.createDataFrame([([float(v) for v in b],) for b in base], "b array<double>")
+    plans = spark.createDataFrame([(0, 0.0, -1), (2**d - 1, 0.0, -1), *zip(chosen, weights, groups)], "s long, w double, g int")
+    rows = df.select(named(key).alias("id"), F.array(*[named(f).cast("double") for f in features]).alias("x"))
+    # Both are bounded: BACKGROUND rows and `coalitions`.
+    mixed = rows.join(F.broadcast(others)).join(F.broadcast(plans))
+    bit = lambda s, i: F.call_function("shiftright", s, i).bitwiseAND(F.lit(1)) == 1
+    hybrid = mixed.select("id", "x", "s", "w", "g", array_to_vector(F.transform("x", lambda v, i: F.when(bit(F.col("s"), i), v).otherwise(F.get("b", i)))).alias("features"))
+    worth = predict(hybrid).select("id", "x", "s", "w", "g", F.posexplode("p").alias("class", "p")).groupBy("id", "x", "s", "w", "g", "class").agg(F.avg("p").alias("v"))
+    ends = [F.max(F.when((F.col("g") == -1) & (F.col("s") == s), F.col("v"))).alias(n) for n, s in (("_none", 0), ("_all", 2**d - 1))]
+    # A coalition's change is its worth less that of nothing; the latter's part is added when both are known.
+    part = lambda g, i: F.sum(F.when((F.col("g") == g) & bit(F.col("s"), F.lit(i)), F.col("w") * F.col("v")).otherwise(0.0)).alias(f"_{g}_{i}")
+    sums = worth.groupBy("id", "x", "class").agg(*ends, *[part(g, i) for g in range(n_groups) for i in range(d)])
+    estimates = []
+    for g in range(n_groups):
+        mine = [(s, w) for s, w, own in zip(chosen, weights, groups) if own == g]
+        m, c = solver(d, [s for s, _ in mine], [w for _, w in mine]) if mine else (np.zeros((d, d)), np.ones(d))
+        total = [sum(w for s, w in mine if s >> i & 1) for i in range(d)]
+        change = F.array(*[F.col(f"_{g}_{i}") - F.col("_none") * total[i] for i in range(d)])
+        dot = lambda r: F.aggregate(F.zip_with(F.array(*map(F.lit, map(float, r))), F.col(f"_b{g}"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        sums = sums.withColumn(f"_b{g}", change)
+        estimates.append(F.array(*[dot(r) + (F.col("_all") - F.col("_none")) * float(c[i]) for i, r in enumerate(m)]))
+    found = sums.select("id", "x", "class", F.posexplode(F.arrays_zip(*[e.alias(f"e{g}") for g, e in enumerate(estimates)])).alias("i", "e"))
+    each = F.array(*[F.col(f"e.e{g}") for g in range(n_groups)])
+    mean = F.aggregate(each, F.lit(0.0), lambda a, v: a + v) / n_groups
+    spread = F.aggregate(each, F.lit(0.0), lambda a, v: a + (v - F.col("shap")) * (v - F.col("shap")))
+    told = found.withColumn("shap", mean).withColumn("error", F.sqrt(spread / (n_groups * (n_groups - 1))) if n_groups > 1 else F.lit(0.0))
+    return told.select("id", "class", F.get(F.array(*map(F.lit, features)), F.col("i")).alias("feature"), F.get("x", F.col("i")).alias("value"), "shap", "error")
+
+
 def explained(df: DataFrame, key: str, features: list[str], predict, background: DataFrame | None = None) -> DataFrame:
-    """(id, class, feature, value, shap, error): exact values where their features are few enough, with error 0, else sampled ones."""
-    if len(features) <= MOST_FEATURES:
-        return exact_shapley(df, key, features, predict, background).withColumn("error", F.lit(0.0))
-    return sampled_shapley(df, key, features, predict, background)
+    """(id, class, feature, value, shap, error): by kernel regression, exact with error 0 while the features have at most COALITIONS coalitions."""
+    return kernel_shapley(df, key, features, predict, background)
 
 
 def of_trees(models: list, df: DataFrame, key: str, features: list[str], background: DataFrame | None = None) -> DataFrame:

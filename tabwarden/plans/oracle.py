@@ -344,7 +344,7 @@ c AS (
   SELECT feature, v, gl / (hl + 1) AS l, (ga - gl) / (ha - hl + 1) AS r, (gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1)) / 2 AS gain FROM c WHERE v < top
 )
 SELECT feature, {r("v")} AS threshold, {r("gain")} AS gain, {r("-l")} AS below, {r("-r")} AS above FROM s ORDER BY round(gain, 9) DESC, feature, v LIMIT 1""",
-    "x5_tree_shap": f"""WITH {EMB}, q AS ({NUMBERED('emb', 'y', 'id', 42)}), b AS (
+    **dict.fromkeys(("x5_tree_shap", "x6_kernel_shap"), f"""WITH {EMB}, q AS ({NUMBERED('emb', 'y', 'id', 42)}), b AS (
   SELECT f0, f1, f2, f3 FROM q WHERE rk <= least(floor(100.0::DOUBLE * nc / (SELECT count(*) FROM emb)), nc)
 ), h AS (
   SELECT e.id, s.s, {", ".join(f"CASE WHEN (s.s >> {i}) & 1 = 1 THEN e.f{i} ELSE b.f{i} END AS f{i}" for i in range(4))}
@@ -354,7 +354,7 @@ w AS (SELECT id, c AS class, s, CASE c WHEN 0 THEN v0 ELSE v1 END AS v FROM v, (
 """ + " UNION ALL ".join(
         f"""SELECT w.id, w.class::BIGINT AS class, 'f{i}' AS feature, {r(f'any_value(e.f{i})')} AS value,
   {r(f"sum((CASE WHEN (s >> {i}) & 1 = 1 THEN 1 ELSE -1 END) * v / (4 * [1, 3, 3, 1][bit_count(s & {15 - (1 << i)}) + 1]))")} AS shap FROM w JOIN emb e USING (id) GROUP BY w.id, w.class""" for i in range(4)
-    ),
+    )),
     "x4_linear_shap": f"WITH {EMB} " + " UNION ALL ".join(f"SELECT id, 'f{i}' AS feature, {r(f'{(i - 4.5) / 10}::DOUBLE * (f{i} - avg(f{i}) OVER ())')} AS shap FROM emb" for i in range(10)),
     "x7_telling_class": f"WITH {EMB}, {SHAP} SELECT class, {r('avg(abs(shap))')} AS mean FROM shap GROUP BY class ORDER BY round(avg(abs(shap)), 12) DESC, class LIMIT 1",
     "x8_importance": f"WITH {EMB}, {SHAP} SELECT feature, {r('importance')} AS importance FROM ({IMPORT.format('shap')})",

@@ -378,6 +378,22 @@ def x5_trees(spark, d):
     return tidy(shap.select("id", "class", "feature", "value", "shap"))
 
 
+def x6_kernel(spark, d):
+    """The same values as by leaves, of the trees taken as a model like any other."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = frames.embeddings(spark, d)
+    few = prep.stratified_sample(rows, "y", "id", explain.TREE_ROWS, binary=False)
+
+    def value(node, c):
+        x = F.get("_x", F.lit(node[0])) if isinstance(node, tuple) else None
+        return F.lit(node[c]) if x is None else F.when(x <= node[1], value(node[2], c)).otherwise(value(node[3], c))
+
+    predict = lambda df: df.withColumn("_x", vector_to_array("features")).withColumn("p", F.array(*[sum((value(t, c) for t in frames.TREES), F.lit(0.0)) for c in (0, 1)])).drop("_x")
+    shap = explain.kernel_shapley(rows, "id", FEATURES[:4], predict, few)
+    return tidy(shap.select("id", "class", "feature", "value", "shap"))
+
+
 def x5_shapley(spark, d):
     from pyspark.ml.classification import RandomForestClassifier
 
@@ -436,6 +452,6 @@ QUERIES = {
     "t3_random_search": t3_search, "t4_search_score": t4_score, "t7_cross_validation": t7_cross_validation, "t8_hold_out": t8_hold_out,
     **{f"l{i}_{n.lower().replace(' ', '_')}": fitted(n) for i, n in enumerate(("Logistic Regression", "SVC", "Random Forest", "SGD", "MLP", "Decision Tree", "XGBoost"), 1)},
     "l1_logistic_optimum": l1_logistic, "l7_best_split": l7_split,
-    "x2_explained_rows": x2_sample, "x4_linear_shap": x4_linear, "x5_tree_shap": x5_trees, "x5_x6_exact_shapley": x5_shapley, "x7_telling_class": x7_class, "x8_importance": x8_importance,
+    "x2_explained_rows": x2_sample, "x4_linear_shap": x4_linear, "x5_tree_shap": x5_trees, "x6_kernel_shap": x6_kernel, "x5_x6_exact_shapley": x5_shapley, "x7_telling_class": x7_class, "x8_importance": x8_importance,
     "x9_class_importance": x9_class_importance, "x10_beeswarm": x10_beeswarm,
 }

@@ -290,6 +290,30 @@ def test_exact_shapley_adds_up(rows):
         explain.exact_shapley(few, "ID", ["x"] * 13, explain.probability(model))
 
 
+def test_kernel_regression_equals_all_coalitions_and_states_its_error(rows):
+    """Exact with all coalitions; with drawn ones near the exact values by the stated error, and adding up in either case."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    names = ["x", "z", "noise", "twin"]
+    model = RandomForestClassifier(seed=3, numTrees=5).fit(models.vectors(rows, names, "c"))
+    few, base = rows.filter("ID % 60 = 7"), rows.filter("ID % 40 = 3")
+    predict = explain.probability(model)
+    exact = {(r["id"], r["class"], r["feature"]): r["shap"] for r in explain.exact_shapley(few, "ID", names, predict, base).collect()}
+    got = explain.kernel_shapley(few, "ID", names, predict, base).collect()
+    assert len(got) == len(exact) == 4 * 3 * 4
+    assert all(r["error"] == 0 and r["shap"] == pytest.approx(exact[r["id"], r["class"], r["feature"]], abs=1e-9) for r in got)
+    df, names = many_features(rows, 13)
+    model = RandomForestClassifier(seed=3, numTrees=3, maxDepth=4).fit(models.vectors(df, names, "Target"))
+    few, base = df.filter("ID % 120 = 7"), df.filter("ID % 80 = 3")
+    exact = {(r["id"], r["class"], r["feature"]): r["shap"] for r in explain.of_trees([model], few, "ID", names, base).collect()}
+    drawn = explain.kernel_shapley(few, "ID", names, explain.probability(model), base, 400).collect()
+    assert len(drawn) == len(exact) and max(r["error"] for r in drawn) > 0
+    for r in drawn:
+        assert abs(r["shap"] - exact[r["id"], r["class"], r["feature"]]) <= 5 * r["error"] + 0.01
+    for i, c in {(r["id"], r["class"]) for r in drawn}:
+        assert sum(r["shap"] for r in drawn if (r["id"], r["class"]) == (i, c)) == pytest.approx(sum(v for k, v in exact.items() if k[:2] == (i, c)), abs=1e-9)
+
+
 def many_features(rows, d):
     return rows.select("ID", "Target", "c", *[(F.col("x") * (i % 3) + F.pmod(F.xxhash64("ID", F.lit(i)), F.lit(100)) / 50.0).alias(f"g{i}") for i in range(d)]), [f"g{i}" for i in range(d)]
 
