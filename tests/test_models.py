@@ -38,6 +38,16 @@ def test_sulov_drops_one_of_two_twins(rows):
     assert got["x"] != got["twin"] and got["noise"]
 
 
+def test_a_feature_behind_a_stronger_one_is_found(spark):
+    """Where one feature tells the target alone, trees over all features use no other; without it they find the next."""
+    u = lambda i: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10_000)) / 10_000.0
+    df = spark.range(800).select("id", F.round(u(1)).alias("strong"), u(2).alias("noise")).withColumn("weak", F.col("strong") * 0.6 + u(3) * 1.2).withColumn("y", F.col("strong").cast("int"))
+    alone = selection.boosted_importances(df, ["strong", "weak", "noise"], "y")
+    assert alone["weak"] < 1e-9
+    got = selection.correlation_selection(df, ["noise", "weak", "strong"], "y")
+    assert {"strong", "weak"} <= set(got) and got == [f for f in ["noise", "weak", "strong"] if f in got]
+
+
 @pytest.mark.parametrize("method", sorted(selection.SELECTORS))
 def test_selectors(rows, method):
     got = selection.select_features(rows, ["x", "z", "noise"], "Target", method)
