@@ -352,8 +352,7 @@ SELECT feature, {r("v")} AS threshold, {r("gain")} AS gain, {r("-l")} AS below,
 ), v AS (SELECT id, s, {", ".join(f"avg({' + '.join(case_of(t, c) for t in TREES)}) AS v{c}" for c in (0, 1))} FROM h GROUP BY id, s),
 w AS (SELECT id, c AS class, s, CASE c WHEN 0 THEN v0 ELSE v1 END AS v FROM v, (SELECT unnest([0, 1]) AS c))
 """ + " UNION ALL ".join(
-        f"""SELECT w.id, w.class::BIGINT AS class, 'f{i}' AS feature, {r(f'any_value(e.f{i})')} AS value,
-  {r(f"sum((CASE WHEN (s >> {i}) & 1 = 1 THEN 1 ELSE -1 END) * v / (4 * [1, 3, 3, 1][bit_count(s & {15 - (1 << i)}) + 1]))")} AS shap FROM w JOIN emb e USING (id) GROUP BY w.id, w.class""" for i in range(4)
+        f"""SELECT w.id, w.class::BIGINT AS class, 'f{i}' AS feature, {r(f"sum((CASE WHEN (s >> {i}) & 1 = 1 THEN 1 ELSE -1 END) * v / (4 * [1, 3, 3, 1][bit_count(s & {15 - (1 << i)}) + 1]))")} AS shap FROM w GROUP BY w.id, w.class""" for i in range(4)
     )),
     "x4_linear_shap": f"WITH {EMB} " + " UNION ALL ".join(f"SELECT id, 'f{i}' AS feature, {r(f'{(i - 4.5) / 10}::DOUBLE * (f{i} - avg(f{i}) OVER ())')} AS shap FROM emb" for i in range(10)),
     "x7_telling_class": f"WITH {EMB}, {SHAP} SELECT class, {r('avg(abs(shap))')} AS mean FROM shap GROUP BY class ORDER BY round(avg(abs(shap)), 12) DESC, class LIMIT 1",

@@ -375,7 +375,7 @@ def x5_trees(spark, d):
     rows = frames.embeddings(spark, d)
     few = prep.stratified_sample(rows, "y", "id", explain.TREE_ROWS, binary=False)
     shap = trees.tree_shap(rows, "id", FEATURES[:4], trees.leaf_table(spark, frames.TREES), few)
-    return tidy(shap.select("id", "class", "feature", "value", "shap"))
+    return tidy(shap.select("id", "class", "feature", "shap"))
 
 
 def x6_kernel(spark, d):
@@ -391,7 +391,7 @@ def x6_kernel(spark, d):
 
     predict = lambda df: df.withColumn("_x", vector_to_array("features")).withColumn("p", F.array(*[sum((value(t, c) for t in frames.TREES), F.lit(0.0)) for c in (0, 1)])).drop("_x")
     shap = explain.kernel_shapley(rows, "id", FEATURES[:4], predict, few)
-    return tidy(shap.select("id", "class", "feature", "value", "shap"))
+    return tidy(shap.select("id", "class", "feature", "shap"))
 
 
 def x5_shapley(spark, d):
