@@ -10,8 +10,8 @@ CLASSES = 10
 FEATURES = [f"f{i}" for i in range(10)]
 #: Made-up trees over the first four components, two classes: (feature, threshold, below or at it, above it), or a leaf's values.
 TREES = [
-    (0, 0.0, (1, 0.25, [1.0, -2.0], (0, -0.5, [0.25, 3.0], [4.0, 0.5])), (2, -0.125, [-1.0, 1.5], (0, 0.75, [2.0, 2.5], (3, 0.0, [-3.0, 0.0], [0.5, -0.75])))),
-    (3, 0.125, (2, 0.0, [0.0, 1.0], [1.25, -1.0]), (3, 0.5, (1, 0.0, [2.0, 0.0], [-0.5, 1.0]), [0.75, 0.25])),
+    (0, 0.0, (1, 0.25, [1.013724193, -2.170839127], (0, -0.5, [0.271828183, 3.141592654], [4.669201609, 0.577215665])), (2, -0.125, [-1.324717957, 1.618033989], (0, 0.75, [2.236067977, 2.502907875], (3, 0.0, [-3.359885666, 0.0], [0.5671432904, -0.764223653])))),
+    (3, 0.125, (2, 0.0, [0.0, 1.0986122887], [1.259921049, -1.0986122887]), (3, 0.5, (1, 0.0, [2.094551481, 0.0], [-0.5671432904, 1.1319882487]), [0.7475979202, 0.2614972128])),
 ]
 
 
