@@ -51,7 +51,7 @@ class Spec:
 REGISTRY: dict[str, Spec] = {
     "Logistic Regression": Spec("logistic", {"regParam": [0.0, 0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5, 1.0], "maxIter": [50, 100]}),
     # A margin, linear or over random features of a radial kernel, with a logistic curve over it.
-    "SVC": Spec("svc", {"kernel": ["linear", "rbf"], "regParam": [0.001, 0.01, 0.1, 1.0], "maxIter": [50, 100]}, {"kernel": "rbf", "regParam": 0.001}),
+    "SVC": Spec("svc", {"kernel": ["linear", "rbf"], "regParam": [0.001, 0.01, 0.1, 1.0], "maxIter": [50, 100]}, {"kernel": "rbf", "regParam": 0.001, "maxIter": 30}),
     "Random Forest": Spec("forest", {"numTrees": [20, 50, 100], "maxDepth": [5, 10], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2"]}),
     # Modified Huber loss with an elastic net, by mini-batches.
     "SGD": Spec("sgd", {"regParam": [0.0001, 0.001, 0.01], "elasticNetParam": [0.0, 0.15, 0.5, 1.0], "rate": [0.5, 1.0]}, {"regParam": 0.0001, "elasticNetParam": 0.15}),
