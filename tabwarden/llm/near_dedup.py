@@ -7,7 +7,8 @@ probability of their (weighted) Jaccard similarity.
 
 Equal word sequences are one node. Nodes that share a band meet in a bucket; a bucket is never expanded into its
 pairs: its members are compared with a pivot, and where they do not all prove connected, once more within the finer buckets
-that two bands make. What a bucket then still holds apart is compared in full, block by block in numpy. Links are checked on
+that two bands make. What a bucket then still holds apart meets by rare shingles that similar texts must share (the prefixes of
+set similarity joins), with one member of each such group and, where that leaves roots apart, by blocks in numpy. Links are checked on
 whole shingle sets and joined to components by contraction; every step works on tables, keyed by hash, and nothing of the
 corpus reaches the driver.
 """
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, map_batches, see_package, slices, small_broadcast
@@ -34,6 +35,8 @@ BANDS, ROWS = 32, 6
 ROW_BYTES, NODE_BYTES = 32, 64
 #: Bytes of shingles in a block of a bucket that is compared in full, and of a bucket's row, without and with pivots, in a broadcast table.
 BLOCK_BYTES, KEY_BYTES, PIVOT_BYTES = 2 << 20, 128, 256
+#: Slots in which shingles are counted to tell rare ones.
+SLOTS = 1 << 20
 #: Elements whose darts are thrown at once.
 THROWN = 200_000
 
@@ -229,8 +232,8 @@ def links(signed: DataFrame, similarity: float) -> DataFrame:
 
     First the members of each bucket are compared with one of them. Where a bucket's members are then not all connected, its
     members are dealt anew by pairs of such buckets: texts that are similar enough share two bands but once in 1,400 cases, and
-    far fewer others do. There each member is compared with one or two that it is not connected with. In buckets that are
-    still not connected, all members of different roots are compared, so every pair that shares a band is proved.
+    far fewer others do. There each member is compared with one or two that it is not connected with. Of buckets that are
+    still not connected, `rest` proves every pair of members that can be similar at all.
     """
     # One row stands for a node; rows are told apart by number, so that bands and shingles are not aggregated.
     stands = signed.filter("node is not null").groupBy("node").agg(F.min("_row").alias("_row"))
@@ -301,32 +304,120 @@ def similar(left: pa.Table, right: pa.Table | None, similarity: float) -> np.nda
     return common / np.maximum(size_a[:, None] + size_b[None] - common, 1) >= similarity
 
 
+def counted(sets: DataFrame) -> np.ndarray:
+    """How often shingles fall into each of SLOTS slots: an array of fixed size, whatever the number of shingles."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            total += np.bincount((mix(elements(pa.chunked_array([batch.column(0)]))[1]) % U(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot])], ["slot", "n"])
+
+    found = map_batches(sets.select("shingles"), work, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefixes(left: DataFrame, similarity: float) -> DataFrame:
+    """(node, root, shingles) -> (key, node, root, index): the groups in which two texts of `similarity` or more surely meet.
+
+    All sets are sorted by one order, rare slots first. Let |x| <= |y| and the two be similar enough: then they have at least
+    2s/(1+s)|x| and s|y| shingles in common, so one of the first |x| - 2s/(1+s)|x| + 1 of x ("index") is among the first
+    |y| - s|y| + 1 of y. A key is such a shingle with the power of 1/s that holds |x|; y is at that power or the next one.
+    """
+    counts = left.sparkSession.sparkContext.broadcast(counted(left))
+    step = math.log(1 / similarity) if similarity < 1 else 1.0
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
+        for part in slices(batches, "shingles", 2_000_000):
+            keys, owner, index = [], [], []
+            for n, raw in enumerate(part.column(2)):
+                x = np.unique(unpacked(raw.as_buffer()))
+                x = x[np.lexsort((x, often[(mix(x) % U(SLOTS)).astype(np.int64)]))]
+                size = len(x)
+                short = size - math.ceil(2 * similarity / (1 + similarity) * size - 1e-9) + 1
+                x = x[: size - math.ceil(similarity * size - 1e-9) + 1]
+                power = math.floor(math.log(size) / step + 1e-9)
+                for p in (power, power - 1):
+                    keys.append(mix(x * U(0x9E3779B97F4A7C15) + U(p + 1)))
+                    owner.append(np.full(len(x), n))
+                    index.append((np.arange(len(x)) < short) & (p == power))
+            if keys:
+                at = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).view(np.int64)), part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(index))],
+                    ["key", "node", "root", "index"],
+                )
+
+    return map_batches(left.select("node", "root", "shingles"), work, "key long, node binary, root binary, index boolean")
+
+
 def rest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, node, root) -> (a, b): roots of members of a key that a link connects, one row for each two roots of a block.
+    """(key, node, root) -> (a, b): roots that a link connects, of the nodes whose keys hold several roots.
 
-    A key's first pivot, its least node, has met all members. The others are dealt by hash into blocks of bounded bytes, those
-    of the commonest root apart from the others; each two blocks that can hold different roots meet in a task. Keys of one block
-    share tasks.
+    Such nodes meet by the rare shingles of theirs that similar texts must share, not in whole buckets. Groups of equal
+    members are one. Members meet one of their group first; where roots are then still apart, those that may be similar meet in blocks.
+    """
+    apart = rows.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("key")
+    left = keep(rows.join(apart, "key", "left_semi").select("node", "root").distinct().join(sets, "node"), "near-apart")
+    met = keep(prefixes(left, similarity), "near-prefixes")
+    member = [F.bit_xor(F.xxhash64("node", "index", F.lit(i))).alias(f"_m{i}") for i in (0, 1)]
+    groups = met.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.max("index").alias("_index"), F.count("*").alias("_n"), *member)
+    groups = groups.filter("_low <> _high and _index").groupBy("_m0", "_m1", "_n").agg(F.min("key").alias("key"))
+    met = keep(met.join(groups.select("key", "_n"), "key"), "near-grouped")
+    stars = keep(compared(star_pairs(met.select("key", "node", "root"), False), left.select("node", "shingles"), similarity), "near-pairs")
+    found = stars.filter(F.col("similarity") >= similarity)
+    own = left.select("node", "root")
+    found = found.join(own.select(F.col("node").alias("a"), F.col("root").alias("_a")), "a").join(own.select(F.col("node").alias("b"), F.col("root").alias("_b")), "b")
+    found = keep(found.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "near-found")
+    # Two members have met; of more, those that are still apart have met their pivot only.
+    more = met.filter("_n > 2").drop("_n")
+    merged = components(found).withColumnRenamed("node", "_of").withColumnRenamed("root", "_to")
+    now = more.join(merged, more["root"] == merged["_of"], "left").select("key", "node", F.coalesce("_to", "root").alias("root"), "index")
+    return found.unionByName(in_blocks(now, left.select("node", "shingles"), similarity)).distinct()
+
+
+def in_blocks(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, root, index) -> (a, b): roots of members of a key that a link connects, one of them by its index.
+
+    Members are dealt by hash into blocks of bounded bytes, those of the commonest root apart from the others and index rows apart
+    from the others; each two blocks that can hold such a link meet in a task. Keys of one block share tasks.
     """
     spark = rows.sparkSession
-    pivots = rows.groupBy("key").agg(F.min("node").alias("_pivot"))
-    left = rows.join(small_broadcast(pivots, KEY_BYTES), "key").filter("node <> _pivot").drop("_pivot")
-    left = keep(left.join(sets.select("node", F.octet_length("shingles").cast("long").alias("size")), "node"), "near-apart")
-    roots = left.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    keys = roots.groupBy("key").agg(F.max(F.struct("n", "root", "bytes")).alias("main"), F.sum("bytes").alias("bytes"), F.count("*").alias("n")).filter("n > 1")
-    single, blocks = F.col("bytes") <= BLOCK_BYTES, lambda b: F.ceil(b / BLOCK_BYTES).cast("long")
-    keys = keep(keys.select(
-        "key", single.alias("single"), F.col("main.root").alias("main"), F.when(single, 1).otherwise(blocks(F.col("bytes") - F.col("main.bytes"))).alias("q"),
-        F.when(single, 0).otherwise(blocks(F.col("main.bytes"))).alias("p"), "bytes",
-    ), "near-keys")
+    apart = rows.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("key")
+    left = rows.join(apart, "key", "left_semi").join(sets.select("node", F.octet_length("shingles").cast("long").alias("size")), "node")
+    left = keep(left, "near-left")
+    roots = left.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = roots.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main")).select("key", "main.root")
+    main = small_broadcast(keep(main.withColumnRenamed("root", "main"), "near-main"), KEY_BYTES)
+    left = left.join(main, "key").withColumn("is_main", F.col("root") == F.col("main"))
+    # Kinds in the order of their blocks: index rows of other roots, of the commonest, further rows of other roots, of the commonest.
+    kind = F.when(F.col("index"), 0).otherwise(2) + F.col("is_main").cast("int")
+    left = keep(left.withColumn("kind", kind).select("key", "node", "root", "size", "kind"), "near-kinds")
+    sums = [F.sum(F.when(F.col("kind") == i, F.col("size")).otherwise(0)).alias(f"b{i}") for i in range(4)]
+    keys = left.groupBy("key").agg(F.sum("size").alias("bytes"), *sums)
+    single = F.col("bytes") <= BLOCK_BYTES
+    keys = keep(keys.select("key", single.alias("single"), "bytes", *(F.ceil(F.col(f"b{i}") / BLOCK_BYTES).cast("long").alias(f"n{i}") for i in range(4))), "near-keys")
     bins = 1 + (keys.filter("single").agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES
-    in_main, own = ~F.col("single") & (F.col("root") == F.col("main")), F.xxhash64("node")
-    dealt = left.join(small_broadcast(keys.drop("bytes"), KEY_BYTES), "key").withColumn(
-        "block", F.when(in_main, F.col("q") + F.pmod(own, F.greatest("p", F.lit(1)))).otherwise(F.pmod(own, F.col("q")))
-    ).select(
-        "key", "node", "root", "single", "block",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1 + F.when(in_main, 0).otherwise(F.col("p")))).alias("other"),
+    dealt = left.join(small_broadcast(keys.drop("bytes"), KEY_BYTES), "key")
+    n = [F.col(f"n{i}") for i in range(4)]
+    first = [F.lit(0).cast("long"), n[0], n[0] + n[1], n[0] + n[1] + n[2]]
+    own = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.element_at(F.array(*n), F.col("kind") + 1)))
+
+    def run(begin: Column, end: Column) -> Column:
+        return F.when(end > begin, F.sequence(begin, end - 1)).otherwise(F.array().cast("array<long>"))
+
+    zero, end = first[0], first[3] + n[3]
+    others = (
+        F.when(F.col("single"), F.array(zero)).when(F.col("kind") == 0, run(zero, end))
+        .when(F.col("kind") == 1, F.concat(run(zero, first[1]), run(first[2], first[3])))
+        .when(F.col("kind") == 2, run(zero, first[2])).otherwise(run(zero, first[1]))
     )
+    block = F.when(F.col("single"), zero).otherwise(F.element_at(F.array(*first), F.col("kind") + 1) + own)
+    dealt = dealt.withColumn("block", block).select("key", "node", "root", "single", "block", F.explode(others).alias("other"))
     i, j = F.least("block", "other"), F.greatest("block", "other")
     dealt = dealt.select("key", "node", "root", i.alias("i"), j.alias("j"), (F.col("block") == i).alias("low"), F.when(F.col("single"), F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.xxhash64("key", i, j)).alias("task"))
     full = dealt.join(sets, "node").select("task", "key", "i", "j", "low", "root", "shingles")

@@ -156,6 +156,36 @@ def test_near_dedup_finds_pairs_within_a_family_below_the_threshold(spark, monke
     assert {r["doc_id"]: r["class_id"] for r in near_dedup(df).collect()} == want
 
 
+def test_prefixes_and_blocks_lose_no_link_of_a_bucket(spark, monkeypatch):
+    from tabwarden.llm import near_dedup as near
+
+    np, draw = near.np, random.Random(11)
+    pool, sets = [draw.getrandbits(40) for _ in range(400)], []
+    for n in range(240):  # families that drop or swap a fifth or less of a base, very small sets, parts of one another
+        base = pool[: draw.choice([1, 2, 3, 5, 9, 20, 40, 90, 390])]
+        lost = draw.random() * 0.2
+        sets.append({x for x in base if draw.random() > lost} | {draw.getrandbits(40) for _ in range(int(len(base) * draw.random() * 0.1))} or {base[0]})
+    ids = [n.to_bytes(16, "big") for n in range(len(sets))]
+    packed = [b"".join(x.to_bytes(5, "little") for x in sorted(s)) for s in sets]
+    linked = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    want = {n: n for n in range(len(sets))}
+    for a, b in sorted(linked):
+        x, y = sorted((want[a], want[b]))
+        want = {n: x if r == y else r for n, r in want.items()}
+    rows = spark.createDataFrame([(7, i, i) for i in ids], "key long, node binary, root binary")
+    texts = spark.createDataFrame(list(zip(ids, packed)), "node binary, shingles binary")
+
+    def classes():
+        found = near.components(near.rest(rows, texts, 0.8)).collect()
+        return {int.from_bytes(r["node"], "big"): int.from_bytes(r["root"], "big") for r in found}
+
+    joined = {n: r for n, r in want.items() if list(want.values()).count(r) > 1}
+    assert len(set(joined.values())) > 5 and len(joined) < len(sets)
+    assert classes() == joined
+    monkeypatch.setattr(near, "BLOCK_BYTES", 600)  # so that groups take several blocks
+    assert classes() == joined
+
+
 def test_sentencepiece(spark, docs):
     import sentencepiece
 
