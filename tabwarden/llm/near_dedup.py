@@ -359,7 +359,7 @@ def rest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(key, node, root) -> (a, b): roots that a link connects, of the nodes whose keys hold several roots.
 
     Such nodes meet by the rare shingles of theirs that similar texts must share, not in whole buckets. Groups of equal
-    members are one. Members meet one of their group first; where roots are then still apart, those that may be similar meet in blocks.
+    members are one. Members meet one of their group first; where roots are then still apart, groups or clusters of them meet in blocks.
     """
     apart = rows.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("key")
     left = keep(rows.join(apart, "key", "left_semi").select("node", "root").distinct().join(sets, "node"), "near-apart")
@@ -377,7 +377,26 @@ def rest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     more = met.filter("_n > 2").drop("_n")
     merged = components(found).withColumnRenamed("node", "_of").withColumnRenamed("root", "_to")
     now = more.join(merged, more["root"] == merged["_of"], "left").select("key", "node", F.coalesce("_to", "root").alias("root"), "index")
-    return found.unionByName(in_blocks(now, left.select("node", "shingles"), similarity)).distinct()
+    sizes = left.select("node", F.octet_length("shingles").cast("long").alias("size"))
+    return found.unionByName(in_blocks(fewest(now, sizes), left.select("node", "shingles"), similarity)).distinct()
+
+
+def fewest(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, node, root, index) -> the same columns, whose groups let every two members of a group of several roots meet, with fewer bytes.
+
+    Groups that share members are a cluster. A cluster takes the place of its groups, so that a set goes to one place, unless its
+    blocks would take more bytes than its groups do.
+    """
+    apart = rows.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.min("node").alias("_pivot")).filter("_low <> _high")
+    rows = keep(rows.join(apart.select("key", "_pivot"), "key").join(sizes, "node"), "near-several")
+    clusters = components(rows.select(F.col("node").alias("a"), F.col("_pivot").alias("b"))).withColumnRenamed("root", "_cluster")
+    rows = keep(rows.drop("_pivot").join(clusters, "node"), "near-clustered")
+    whole = rows.groupBy("_cluster", "node").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.count("*").alias("_n"))
+    whole = keep(whole, "near-whole")
+    cost = whole.groupBy("_cluster").agg((F.sum("size") * F.ceil(F.sum("size") / BLOCK_BYTES)).alias("_once"), F.sum(F.col("size") * F.col("_n")).alias("_each"))
+    cost = keep(cost.select("_cluster", (F.col("_once") <= F.col("_each")).alias("_whole")), "near-cost")
+    together = whole.join(cost.filter("_whole"), "_cluster").select(F.xxhash64("_cluster").alias("key"), "node", "root", F.lit(True).alias("index"))
+    return together.unionByName(rows.join(cost.filter("not _whole"), "_cluster").select("key", "node", "root", "index"))
 
 
 def in_blocks(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
