@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +40,35 @@ def until_the_end(spark: SparkSession, path: str) -> str:
     return path
 
 
-def written(df: DataFrame, what: str, kind: str = "parquet") -> str:
-    """The path of df, written into the shared folder. It goes when the session's JVM ends."""
+def removed(spark: SparkSession, path: str) -> None:
+    """What lies at the path goes now; nothing may read it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Paths of tables that the innermost passing() around has to remove.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within go when it ends, but for lasting ones. What is planned on them has to be written by then."""
+    paths: list[str] = []
+    token = _PASSING.set(paths)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in paths:
+            removed(spark, path)
+
+
+def written(df: DataFrame, what: str, kind: str = "parquet", lasting: bool = False) -> str:
+    """The path of df, written into the shared folder. It goes when the session's JVM ends, or with a passing() around that it does not outlast."""
     path = new_path(df.sparkSession, what, kind)
+    paths = _PASSING.get()
+    if paths is not None and not lasting:
+        paths.append(path)
     df.write.format(kind).save(path)
     return until_the_end(df.sparkSession, path)
 
