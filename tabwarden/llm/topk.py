@@ -1,8 +1,9 @@
 """Exact top-k search by inner product: tiled matrix products, partial selection per tile, tree merge of the lists.
 
 Queries are packed into blocks and rows into shards; a tile is one block against one shard. A set of blocks is broadcast
-only up to a fixed number of bytes: a larger query set is cut into bands by a hash of the id, and each band is a pass of its own
-over the rows as stored, whose lists are stored in turn. So neither rows nor queries are ever shuffled; only lists of k are.
+only up to a fixed number of bytes: a larger query set is cut into bands by a hash of the id. Rows are then packed into shards once
+and stored, and each band is a pass of its own over the stored shards, whose lists are stored in turn. So neither rows nor queries
+are ever shuffled; only lists of k are.
 """
 
 from __future__ import annotations
@@ -204,10 +205,12 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", ve
     # The number of passes follows from the bytes of the queries; each pass broadcasts BAND_BYTES or so.
     one = keep(one, "topk-queries")
     bands = max(1, math.ceil((one.agg(F.sum(F.size("vector").cast("long") * 8 + 8)).first()[0] or 0) / BAND_BYTES))
+    shards = map_batches(rows, pack(SHARD), PACKED)
+    shards = shards if bands == 1 else keep(shards, "topk-shards")  # rows are parsed once, however many passes follow
     found = None
     for band in range(bands):
         part = one.filter(F.pmod(F.xxhash64("id"), F.lit(bands)) == band).coalesce(1)
-        best = searched(rows, part, k)
+        best = searched(shards, part, k)
         best = best if bands == 1 else keep(best, "topk-band")
         found = best if found is None else found.unionByName(best)
     return found.select("query_id", F.posexplode(F.arrays_zip("score", "vec_id")).alias("pos", "hit")).select(
@@ -215,16 +218,15 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", ve
     )
 
 
-def searched(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, score, vec_id), lists of the k best: one pass over the rows for a band of queries."""
+def searched(shards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, score, vec_id), lists of the k best: one pass over the packed shards for a band of queries."""
     blocks = map_batches(queries, pack(BLOCK), PACKED).select(
         F.monotonically_increasing_id().alias("block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dim").alias("q_dim"), F.col("wide").alias("q_wide")
     )
-    shards = map_batches(rows, pack(SHARD), PACKED)
     pairs = shards.join(F.broadcast(blocks), F.col("dim") == F.col("q_dim")).select("ids", "matrix", "dim", "block", "q_ids", "q_matrix", "wide", "q_wide")
     found = map_batches(pairs, tiles(k), LISTS)
     # Tree: each level joins at most FAN lists of a query, by the task that made them.
-    parts = max(1, rows.rdd.getNumPartitions())
+    parts = max(1, shards.rdd.getNumPartitions())
     while parts > FAN:
         found = merged(found, ["query_id", F.floor(F.col("task") / FAN).cast("int").alias("task")], k)
         parts = math.ceil(parts / FAN)

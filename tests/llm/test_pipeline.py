@@ -7,6 +7,7 @@ from oracle_check import differs, views
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tabwarden.functions.store import shared_dir
 from tabwarden.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -51,3 +52,46 @@ def test_repeated_rows_and_null_ids_through_run(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     ids = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(ids, key=str) == sorted([5, 7, None, *range(30, 42)], key=str)
+
+
+def test_kept_rows_by_bits_and_bands(spark, tmp_path):
+    texts = [f"text {i % 90}" for i in range(400)]
+    docs = spark.createDataFrame([(i % 50, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(7).write.parquet(f"{tmp_path}/t.parquet")
+    rows = corpus_pipeline.numbered(spark.read.parquet(f"{tmp_path}/t.parquet"))
+    assert rows.select(corpus_pipeline.NUMBER).distinct().count() == 400
+    kept = rows.filter("n_chars = 6 or doc_id % 3 = 0")
+    want = sorted(map(tuple, kept.select(*corpus_pipeline.COLUMNS).collect()))
+    for most in (1 << 25, 5000):  # one band, and some seven
+        got = corpus_pipeline.only(rows, kept, most)
+        assert sorted(map(tuple, got.collect())) == want and got.columns == corpus_pipeline.COLUMNS
+    assert corpus_pipeline.only(rows, kept.limit(0)).count() == 0
+    no_file = corpus_pipeline.numbered(docs)
+    assert no_file.select(corpus_pipeline.NUMBER).distinct().count() == 400
+
+
+def test_a_band_scans_its_own_files_only(spark, tmp_path):
+    docs = spark.range(70).select("id", *(F.lit("x").alias(c) for c in ("text", "lang", "source")), F.lit(1).alias("n_chars")).withColumnRenamed("id", "doc_id")
+    docs.repartition(7).write.parquet(f"{tmp_path}/t.parquet")
+    rows = corpus_pipeline.numbered(spark.read.parquet(f"{tmp_path}/t.parquet"))
+    part = rows.filter(F.pmod(F.col(f"{corpus_pipeline.NUMBER}.file"), F.lit(7)) == 0).select("doc_id")
+    n = part.count()
+    plan = part._jdf.queryExecution().executedPlan()
+    part.collect()
+    scan = plan.collectLeaves().head()
+    assert scan.metrics().get("numFiles").get().value() * 10 <= n + 15 and n < 70
+
+
+def test_tables_on_the_way_go_with_their_stage(spark, tmp_path):
+    words = "the house of many old trees stood near a quiet river where people came to rest in summer and winter".split()
+    rows = [(i, " ".join(words[j % 19] + words[(j * i) % 17] for j in range(30)), "en", "s", 9) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(os.listdir(shared_dir(spark)))
+    done = corpus_pipeline.run(spark, str(tmp_path))
+    left = {n.split("-")[0] + "-" + n.split("-")[1] for n in set(os.listdir(shared_dir(spark))) - before if n.startswith(("pipeline", "near", "dedup"))}
+    assert left == {"pipeline-pii"} and done.count() == 12
+
+
+def test_empty_table_through_run(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
