@@ -29,6 +29,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NUMBER = "row_number"
 #: Bytes of a row of bits in a broadcast table, generously.
 BITS_BYTES = ROW_BITS // 8 + 128
+#: Bytes of a batch of rows that goes to a Python worker.
+BATCH_BYTES = 2 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """The session's workers see this package, and a batch for them ends at BATCH_BYTES as well as at its number of rows: the stages' workers and JVMs share memory."""
+    see_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -63,28 +71,28 @@ def only(rows: DataFrame, kept: DataFrame, most: int = BROADCAST_BYTES) -> DataF
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told stay; those that the identifier rejects go. Learns from the same training rows as the query."""
-    see_package(spark)
+    bounded(spark)
     found = identify(docs, fit(docs, ~held_out()), carry=COLUMNS[1:])
     return found.filter(~F.col("rejected")).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
-    see_package(spark)
+    bounded(spark)
     rows = numbered(docs)
     return only(rows, exact_dedup(rows, digests={NUMBER: F.col(NUMBER)}).filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
-    see_package(spark)
+    bounded(spark)
     rows = numbered(docs)
     return only(rows, near_dedup(rows, row_col=NUMBER).filter("kept"))
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to its kind in brackets; n_chars follows the text. Every document stays, a null text null."""
-    see_package(spark)
+    bounded(spark)
     found = find_pii(docs.select("doc_id", "text", "lang", "source", "n_chars"), redact=True, carry=["lang", "source", "n_chars"], keep_null=True)
     text = F.col("redacted")
     return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
@@ -95,8 +103,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers that have served the stages before have less memory to spare, so they encode less text at once and remember fewer words.
     """
-    see_package(spark)
-    return pack_documents(docs, remember=30_000, together=1_500_000)
+    bounded(spark)
+    return pack_documents(docs, remember=30_000, together=500_000)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("pii", personal), ("packing", packed)]

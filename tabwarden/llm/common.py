@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -47,17 +48,28 @@ def small_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow(work); a worker gives memory it no longer needs back after each task, since others share its limit."""
+    """df.mapInArrow(work); a worker gives memory it no longer needs back before and after each task, since others share its limit."""
     see_package(df.sparkSession)
+    return df.mapInArrow(tidied(work), schema)
+
+
+def tidied(work: Callable) -> Callable:
+    """work, for whose batches a worker first gives up what it holds for another module, and after which it gives back free memory."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(work.__module__)
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
-        if trim is not None:
-            trim(0)
+        give_back()
+
+    return tidy
+
 
-    return df.mapInArrow(tidy, schema)
+def give_back() -> None:
+    """Free memory of this worker goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
 
 
 _HELD: dict[tuple, object] = {}
@@ -72,6 +84,14 @@ def held(kind: type, *args):
     return _HELD[key]
 
 
+def forget_others(module: str) -> None:
+    """What a worker holds of a kind from another module goes, with all it remembers: the operator that it served has ended."""
+    if any(kind.__module__ != module for kind, *_ in _HELD):
+        _HELD.clear()
+        gc.collect()
+        give_back()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about `chars` bytes of text; a longer text is a slice of its own."""
     for batch in batches:

@@ -32,6 +32,8 @@ LENGTHS, ENOUGH, FALL = 13, 20, 0.75
 LANG_BYTES = 128
 #: Documents whose vectors are held at once.
 ROWS = 256
+#: Characters of text whose n-grams are hashed at once: their numbers take some 90 times as many bytes.
+SLICE = 250_000
 UNKNOWN = "und"
 
 
@@ -76,7 +78,7 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, text, 1_000_000):
+    for part in slices(batches, text, SLICE):
         for at in range(0, part.num_rows, ROWS):
             yield part.slice(at, ROWS)
 
