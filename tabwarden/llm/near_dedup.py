@@ -35,6 +35,8 @@ BANDS, ROWS = 32, 6
 ROW_BYTES, NODE_BYTES = 32, 64
 #: Bytes of shingles in a block of a bucket that is compared in full, and of a bucket's row, without and with pivots, in a broadcast table.
 BLOCK_BYTES, KEY_BYTES, PIVOT_BYTES = 2 << 20, 128, 256
+#: Finer buckets in which a member and a pivot have to meet to be compared there: those of four bands. Pairs that meet in fewer are left to `rest`.
+MEETINGS = 6
 #: Slots in which shingles are counted to tell rare ones.
 SLOTS = 1 << 20
 #: Elements whose darts are thrown at once.
@@ -213,8 +215,8 @@ def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def star_pairs(rows: DataFrame, both_ends: bool) -> DataFrame:
-    """(key, node, root) -> (a, b): each node of a key with a pivot of it that has another root.
+def star_pairs(rows: DataFrame, both_ends: bool, meetings: int = 1) -> DataFrame:
+    """(key, node, root) -> (a, b): each node of a key with a pivot of it that has another root, if the two meet so at least `meetings` times.
 
     Pivots are the nodes of least and, with `both_ends`, of greatest (root, node): so a key's pairs are as many as its rows, or
     twice as many, and pivots come from partial aggregates however many rows a key has. They are stored before they meet the
@@ -224,7 +226,7 @@ def star_pairs(rows: DataFrame, both_ends: bool) -> DataFrame:
     pivots = F.array("low", "high") if both_ends else F.array("low")
     chosen = small_broadcast(keep(ends.select("key", pivots.alias("pivots")), "near-pivots"), PIVOT_BYTES)
     met = rows.join(chosen, "key").select("node", "root", F.explode("pivots").alias("p")).filter("root <> p.root")
-    return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("_n")).filter(F.col("_n") >= meetings).select("a", "b")
 
 
 def links(signed: DataFrame, similarity: float) -> DataFrame:
@@ -232,8 +234,9 @@ def links(signed: DataFrame, similarity: float) -> DataFrame:
 
     First the members of each bucket are compared with one of them. Where a bucket's members are then not all connected, its
     members are dealt anew by pairs of such buckets: texts that are similar enough share two bands but once in 1,400 cases, and
-    far fewer others do. There each member is compared with one or two that it is not connected with. Of buckets that are
-    still not connected, `rest` proves every pair of members that can be similar at all.
+    far fewer others do. There each member is compared with one or two that it is not connected with, if it meets them in MEETINGS
+    of the finer buckets. Of buckets that are still not connected, `rest` proves every pair of members that can be similar at all,
+    whether or not they were compared before.
     """
     # One row stands for a node; rows are told apart by number, so that bands and shingles are not aggregated.
     stands = signed.filter("node is not null").groupBy("node").agg(F.min("_row").alias("_row"))
@@ -254,12 +257,21 @@ def links(signed: DataFrame, similarity: float) -> DataFrame:
     own = unclear.groupBy("node").agg(F.first("root").alias("root"), F.sort_array(F.collect_list("key")).alias("keys"))
     twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
     by_two = keep(own.select("node", "root", F.explode(twos).alias("key")), "near-two")
-    pairs = star_pairs(by_two, True)
-    second = keep(compared(pairs, sets, similarity), "near-pairs").filter(F.col("similarity") >= similarity)
-    labels = components(first.select("a", "b").unionByName(second.select("a", "b")))
-    merged = components(keep(rest(labelled(unclear.select("key", "node"), labels), sets, similarity), "near-rest"))
-    further = labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-    return further.unionByName(merged.join(labels.select("node"), "node", "left_anti").select("node", "root"))
+    second = keep(compared(star_pairs(by_two, True, MEETINGS), sets, similarity), "near-pairs").filter(F.col("similarity") >= similarity)
+    labels = keep(further(labels, components(at_roots(second, unclear.select("node", "root").distinct()))), "near-labels")
+    return further(labels, components(keep(rest(labelled(unclear.select("key", "node"), labels), sets, similarity), "near-rest")))
+
+
+def at_roots(found: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b) of nodes, each in own(node, root) -> (a, b) of their roots."""
+    met = found.select("a", "b").join(own.select(F.col("node").alias("a"), F.col("root").alias("_a")), "a")
+    return met.join(own.select(F.col("node").alias("b"), F.col("root").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+
+
+def further(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """labels(node, root) after their roots, and nodes that have had no link, are merged."""
+    moved = labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return moved.unionByName(merged.join(labels.select("node"), "node", "left_anti").select("node", "root"))
 
 
 def elements(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -370,9 +382,7 @@ def rest(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     met = keep(met.join(groups.select("key", "_n"), "key"), "near-grouped")
     stars = keep(compared(star_pairs(met.select("key", "node", "root"), False), left.select("node", "shingles"), similarity), "near-pairs")
     found = stars.filter(F.col("similarity") >= similarity)
-    own = left.select("node", "root")
-    found = found.join(own.select(F.col("node").alias("a"), F.col("root").alias("_a")), "a").join(own.select(F.col("node").alias("b"), F.col("root").alias("_b")), "b")
-    found = keep(found.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "near-found")
+    found = keep(at_roots(found, left.select("node", "root")), "near-found")
     # Two members have met; of more, those that are still apart have met their pivot only.
     more = met.filter("_n > 2").drop("_n")
     merged = components(found).withColumnRenamed("node", "_of").withColumnRenamed("root", "_to")
@@ -468,11 +478,15 @@ def in_blocks(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of each node that has an edge: contraction to the least neighbour until no edge is left."""
-    edges = keep(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "near-edges")
-    label = None
+    """(node, root) of each node that has an edge: contraction to the least neighbour until no edge is left. An edge is one row, not one for each direction."""
+
+    def once(found: DataFrame) -> DataFrame:
+        return keep(found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-edges")
+
+    edges, label = once(edges), None
     while not edges.isEmpty():
-        least = keep(edges.groupBy("a").agg(F.min("b").alias("_b")).select("a", F.least("a", "_b").alias("to")), "near-least")
+        ways = edges.select("a", "b").union(edges.select("b", "a"))
+        least = keep(ways.groupBy("a").agg(F.min("b").alias("_b")).select("a", F.least("a", "_b").alias("to")), "near-least")
         if label is None:
             label = least.select(F.col("a").alias("node"), F.col("to").alias("root"))
         else:
@@ -482,8 +496,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = moved.join(least.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         # a node and the least neighbour it moved to are joined too
         steps = least.join(least.select(F.col("a").alias("to"), F.col("to").alias("z")), "to").select(F.col("to").alias("a"), F.col("z").alias("b"))
-        both = moved.unionByName(steps).filter("a <> b")
-        edges = keep(both.union(both.select("b", "a")).distinct(), "near-edges")
+        edges = once(moved.unionByName(steps))
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
