@@ -39,8 +39,8 @@ SHARE_TOKENS, FAN = 4_000_000, 16
 FREQUENT = 1 << 20
 #: Words that a worker remembers, characters of text and bytes of ids handled at once.
 REMEMBER, SLICE, IDS = 150_000, 2_000_000, 1_000_000
-#: Blocks of one batch of masked attention in scoring.
-BATCH = 256
+#: Blocks of one batch of masked attention in scoring, rows of a tile, and rows whose logits are held at once.
+BATCH, TILE, CHUNK = 256, 32, 1024
 
 
 class Tokens:
@@ -71,10 +71,10 @@ class Tokens:
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
             ids = np.array(self.encoding.encode_ordinary(" " + " ".join(some)), "<u2")
-            starts = (2 * np.flatnonzero(self.spaced[ids])).tolist()
+            starts = 2 * np.flatnonzero(self.spaced[ids])
             raw = ids.tobytes()
-            for w, a, b in zip(some, starts, [*starts[1:], len(raw)], strict=True):
-                self.known[w] = raw[a:b]
+            cuts = map(slice, starts.tolist(), [*starts[1:].tolist(), len(raw)])
+            self.known.update(zip(some, map(raw.__getitem__, cuts), strict=True))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, and where each text's begin, with the end at last."""
@@ -82,9 +82,12 @@ class Tokens:
             self.before, self.known = self.known, {}
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.string())))
         coded = lists.flatten().dictionary_encode()
-        words, of = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        self.learn([w for w in words if w not in self.known])
-        ids = [self.known[w] for w in words]
+        words, of = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+        ids = list(map(self.known.get, words))
+        new = [n for n, x in enumerate(ids) if x is None]
+        self.learn([words[n] for n in new])
+        for n in new:
+            ids[n] = self.known[words[n]]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
         begin = np.concatenate([[0], np.cumsum(size)])
         own = size[of]
@@ -202,14 +205,91 @@ def bands(weight: np.ndarray, n: int) -> np.ndarray:
     return np.minimum((n * (mass - weight / 2) / mass[-1:]).astype(np.int64), n - 1)
 
 
-MASK = np.where(np.arange(2 * BLOCK)[None] <= BLOCK + np.arange(BLOCK)[:, None], 0, -1e9).astype(np.float32)
+#: Added to the scores of a block, by key and query: a query sees the block before it and its own past.
+MASK = np.where(np.arange(2 * BLOCK)[:, None] <= BLOCK + np.arange(BLOCK)[None], 0, -1e9).astype(np.float32)
 #: Gradients below it count as it: numbers that float32 holds only in part make products many times slower.
 TINY = np.float32(1e-15)
 
 
 def summed(x: np.ndarray) -> np.ndarray:
     """Sums of rows."""
-    return x @ np.ones(x.shape[1], x.dtype)
+    return x @ np.ones(x.shape[-1], x.dtype)
+
+
+class Sums:
+    """Sums of rows by the number (below 2^16) that each row has."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.order = np.argsort(numbers.astype(np.uint16), kind="stable")
+        own = numbers[self.order]
+        self.cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        #: The numbers that occur, in order.
+        self.numbers = own[self.cuts]
+
+    def ranks(self) -> np.ndarray:
+        """Of each row the place of its number among those that occur."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.repeat(np.arange(len(self.cuts)), np.diff(np.append(self.cuts, len(out))))
+        return out
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        """The sums for `numbers`; as complex numbers two columns are added at a time."""
+        pairs = values.take(self.order, axis=0).view(np.result_type(values, np.complex64))
+        return np.add.reduceat(pairs, self.cuts, axis=0).view(values.dtype)
+
+
+class Tiles:
+    """Rows that have a target, sorted by its class, in tiles of TILE rows of one class, so that the matrices of all tiles are multiplied at once.
+
+    The first tiles of all classes come first, then the second ones, and so on: tiles of a turn have different classes.
+    """
+
+    def __init__(self, of_class: np.ndarray):
+        size = np.bincount(of_class[of_class >= 0], minlength=CLASSES)
+        self.rows = np.argsort(of_class.astype(np.uint8), kind="stable")[: size.sum()]  # without a target: 255, at the end
+        tiles = -(-size // TILE)
+        first = np.cumsum(tiles) - tiles
+        turn = np.arange(tiles.sum()) - np.repeat(first, tiles)
+        order = np.argsort(turn, kind="stable")
+        self.of_class, self.turns = np.repeat(np.arange(CLASSES), tiles)[order], np.bincount(turn).tolist()
+        number = np.empty_like(order)
+        number[order] = np.arange(len(order))
+        tile, inside = np.divmod(np.arange(len(self.rows)) + np.repeat(first * TILE - (np.cumsum(size) - size), size), TILE)
+        self.place = number[tile] * TILE + inside
+        #: Of each row its place; of one without a target the place behind all.
+        self.where = np.full(len(of_class), len(order) * TILE)
+        self.where[self.rows] = self.place
+
+    def dealt(self, rows: np.ndarray) -> np.ndarray:
+        """Rows in tiles; empty places get the last one."""
+        source = np.full(len(self.of_class) * TILE, len(rows) - 1)
+        source[self.place] = self.rows
+        return rows.take(source, axis=0).reshape(-1, TILE, rows.shape[1])
+
+    def by_class(self, values: np.ndarray) -> np.ndarray:
+        """The sums of matrices, one of each tile, by class."""
+        out, at = np.zeros((CLASSES, *values.shape[1:]), values.dtype), 0
+        for n in self.turns:
+            out[self.of_class[at : at + n]] += values[at : at + n]
+            at += n
+        return out
+
+
+def odds(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, exp() of them and its sums over rows; logits with which it would overflow or lose digits are clipped."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.exp(logits)
+        sums = summed(e)
+    if not (sums.max(initial=0) < 1e26 and sums.min(initial=1) > 1e-26):
+        e = np.exp(np.clip(logits, -60, 60, out=logits), out=e)
+        sums = summed(e)
+    return logits, e, sums
+
+
+def chances(e: np.ndarray, sums: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+    """From odds and their sums, in place, chances times share."""
+    e *= (share / sums)[..., None]
+    return e if sums.max(initial=0) < 1e10 else np.maximum(e, TINY, out=e)
 
 
 class Attention:
@@ -231,125 +311,139 @@ class Attention:
         return np.concatenate([self.p[n].ravel() for n in self.NAMES])
 
     def load(self, flat: np.ndarray) -> Attention:
+        """Take parameters from `flat`; from float32 they are views of it."""
         at = 0
         for n in self.NAMES:
             size = self.p[n].size
-            self.p[n] = flat[at : at + size].astype(np.float32).reshape(self.p[n].shape)
+            self.p[n] = flat[at : at + size].astype(np.float32, copy=False).reshape(self.p[n].shape)
             at += size
         return self
 
-    def tables(self) -> dict[str, np.ndarray]:
-        """Scaled queries, keys and values of every symbol: a symbol's do not depend on where it stands."""
-        t = {n: self.p["embed"] @ self.p[n] for n in "qkv"}
-        t["q"] *= np.float32(WIDTH**-0.5)
-        return t
-
-    def attend(self, fed: np.ndarray, tables: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-        own = fed[:, BLOCK:]
-        q, k, v = tables["q"].take(own, axis=0), tables["k"].take(fed, axis=0), tables["v"].take(fed, axis=0)
-        weight = q @ k.transpose(0, 2, 1)
-        weight += self.p["near"] + MASK
+    def maps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Matrices that give, of a symbol's input vector, its scaled query and the vector itself, and its key and its value by way of `o`."""
+        p = self.p
+        return np.hstack([p["q"] * np.float32(WIDTH**-0.5), np.eye(WIDTH, dtype=p["q"].dtype)]), np.hstack([p["k"], p["v"] @ p["o"]])
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What maps() gives, for every symbol: it does not depend on where the symbol stands."""
+        own, fed = self.maps()
+        return self.p["embed"] @ own, self.p["embed"] @ fed
+
+    def attend(self, fed: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Queries, keys and values (block, place, width each), weights (block, key, query), their sums, what they mix, and hidden rows with a 1
+        behind each, and a row of 0 at last."""
+        own, seen = tables[0].take(fed[:, BLOCK:], axis=0), tables[1].take(fed, axis=0)
+        q, k, v = own[:, :, :WIDTH], seen[:, :, :WIDTH], seen[:, :, WIDTH:]
+        weight = k @ np.ascontiguousarray(q.transpose(0, 2, 1))
+        weight += self.p["near"].T + MASK
         if weight.max(initial=0) > 60:
             np.minimum(weight, 60, out=weight)
         np.exp(weight, out=weight)
-        total = weight.sum(axis=2, keepdims=True)
-        mixed = weight @ v
+        total = (np.ones((1, 2 * BLOCK), weight.dtype) @ weight).reshape(-1, BLOCK, 1)
+        mixed = weight.transpose(0, 2, 1) @ v
         mixed /= total
-        hidden = self.p["embed"].take(own, axis=0) + mixed @ self.p["o"]
-        return q, k, v, weight, total, mixed, hidden
-
-    def classes(self, hidden: np.ndarray) -> np.ndarray:
-        """Logits of the classes; exp() of them neither overflows nor loses digits."""
-        logits = hidden @ self.p["out"]
-        logits += self.p["bias"]
-        return np.clip(logits, -60, 60, out=logits)
-
-    def leaves(self, hidden: np.ndarray, of_class: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logits of the leaves of each row's class, with rows sorted by class; how they are sorted, and where each class begins."""
-        order = np.argsort(of_class.astype(np.uint8), kind="stable")
-        cuts = np.searchsorted(of_class[order], np.arange(CLASSES + 1))
-        rows, logits = hidden[order], np.empty((len(order), LEAVES), hidden.dtype)
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            np.matmul(rows[cuts[c] : cuts[c + 1]], self.p["leaf"][c], out=logits[cuts[c] : cuts[c + 1]])
-        logits += self.p["leaf_bias"].take(of_class[order], axis=0)
-        return np.clip(logits, -60, 60, out=logits), order, cuts
-
-    def score(self, fed: np.ndarray, target: np.ndarray, tables: dict[str, np.ndarray]) -> np.ndarray:
+        rows = np.ones((mixed.shape[0] * BLOCK + 1, WIDTH + 1), weight.dtype)
+        np.add(own[:, :, WIDTH:].reshape(-1, WIDTH), mixed.reshape(-1, WIDTH), out=rows[:-1, :WIDTH])
+        rows[-1] = 0
+        return q, k, v, weight, total, mixed, rows
+
+    def heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of classes, and of each class's leaves, with the biases as their last row."""
+        p = self.p
+        return np.vstack([p["out"], p["bias"]]), np.concatenate([p["leaf"], p["leaf_bias"][:, None]], axis=1)
+
+    def score(self, fed: np.ndarray, target: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Natural log-probability of each target; padding gets 0."""
-        hidden = self.attend(fed, tables)[-1].reshape(-1, WIDTH)
-        aim = target.ravel()
-        of_class, leaf = np.divmod(np.maximum(aim, 0), LEAVES)
-        rows, logits = np.arange(len(aim)), self.classes(hidden)
-        out = logits[rows, of_class] - np.log(summed(np.exp(logits)))
-        logits, order, _ = self.leaves(hidden, of_class)
-        out[order] += logits[rows, leaf[order]] - np.log(summed(np.exp(logits)))
+        rows, aim = self.attend(fed, tables)[-1], target.ravel()
+        of_class, leaf = np.divmod(aim, LEAVES)  # padding has class -1
+        tiles, (top, leaves) = Tiles(of_class), self.heads()
+        out = np.empty(len(aim), rows.dtype)
+        for a in range(0, len(aim), CHUNK):
+            own = of_class[a : a + CHUNK]
+            logits, _, sums = odds(rows[a : min(a + CHUNK, len(aim))] @ top)
+            out[a : a + CHUNK] = logits[np.arange(len(own)), own] - np.log(sums)
+        logits, _, sums = odds(tiles.dealt(rows) @ leaves[tiles.of_class])
+        out[tiles.rows] += logits.reshape(-1, LEAVES)[tiles.place, leaf[tiles.rows]] - np.log(sums.ravel()[tiles.place])
         return np.where(aim >= 0, out, 0).reshape(target.shape)
 
     def gradient(self, fed: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-        p, scale = self.p, np.float32(WIDTH**-0.5)
-        q, k, v, weight, total, mixed, hidden = self.attend(fed, self.tables())
-        weight /= total
-        rows, aim = hidden.reshape(-1, WIDTH), target.ravel()
-        of_class, leaf = np.divmod(np.maximum(aim, 0), LEAVES)
-        share = ((aim >= 0) / max(1, (aim >= 0).sum())).astype(np.float32)
-
-        def error(logits: np.ndarray, aim: np.ndarray, share: np.ndarray) -> np.ndarray:
-            d = np.exp(logits, out=logits)
-            d *= (share / summed(d))[:, None]
-            np.maximum(d, TINY, out=d)
-            d[np.arange(len(aim)), aim] -= share
-            return d
-
-        d_class = error(self.classes(rows), of_class, share)
-        g = {"out": rows.T @ d_class, "bias": d_class.sum(axis=0), "leaf": np.zeros_like(p["leaf"]), "leaf_bias": np.zeros_like(p["leaf_bias"])}
-        logits, order, cuts = self.leaves(rows, of_class)
-        d_leaf = error(logits, leaf[order], share[order])
-        by_class, back = rows[order], np.empty_like(rows)
-        seen = np.flatnonzero(np.diff(cuts))
-        for c in seen.tolist():
-            a, b = cuts[c], cuts[c + 1]
-            np.matmul(by_class[a:b].T, d_leaf[a:b], out=g["leaf"][c])
-            np.matmul(d_leaf[a:b], p["leaf"][c].T, out=back[a:b])
-        g["leaf_bias"][seen] = np.add.reduceat(d_leaf, cuts[seen], axis=0)
-        d_hidden = d_class @ p["out"].T
-        d_hidden[order] += back
-
-        g["o"] = mixed.reshape(-1, WIDTH).T @ d_hidden
-        d_hidden = d_hidden.reshape(hidden.shape)
-        d_mixed = d_hidden @ p["o"].T
-        d_weight = d_mixed @ v.transpose(0, 2, 1)
-        d_v = weight.transpose(0, 2, 1) @ d_mixed
-        d_weight -= (d_mixed * mixed).sum(axis=2, keepdims=True)
-        d_score = np.multiply(d_weight, weight, out=weight)
-        g["near"] = d_score.sum(axis=0)
-        d_q, d_k = d_score @ k * scale, d_score.transpose(0, 2, 1) @ q  # q is scaled already
-        whole, own = p["embed"].take(fed, axis=0).reshape(-1, WIDTH), p["embed"].take(fed[:, BLOCK:], axis=0).reshape(-1, WIDTH)
-        d_q, d_k, d_v = (x.reshape(-1, WIDTH) for x in (d_q, d_k, d_v))
-        g |= {"q": own.T @ d_q, "k": whole.T @ d_k, "v": whole.T @ d_v}
-        back = (d_k @ p["k"].T + d_v @ p["v"].T).reshape(*fed.shape, WIDTH)
-        back[:, BLOCK:] += (d_q @ p["q"].T).reshape(hidden.shape) + d_hidden
-        symbol = fed.ravel().astype(np.uint16)
-        order = np.argsort(symbol, kind="stable")
-        s = symbol[order]
-        cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        p, kind = self.p, self.p["out"].dtype
+        seen = Sums(fed.ravel())  # tables are made for the symbols that occur
+        vectors, maps, short = p["embed"][seen.numbers], self.maps(), seen.ranks().reshape(fed.shape)
+        q, k, v, weight, total, mixed, rows = self.attend(short, tuple(vectors @ m for m in maps))
+        of_class, leaf = np.divmod(target.ravel(), LEAVES)
+        tiles, (top, leaves) = Tiles(of_class), self.heads()
+        share = 1 / max(1, len(tiles.rows))
+        own_share = np.where(of_class >= 0, share, 0).astype(kind)
+        d_hidden, d_top, back_top = np.empty((len(of_class), WIDTH), kind), np.zeros_like(top), np.ascontiguousarray(p["out"].T)
+        for a in range(0, len(of_class), CHUNK):
+            some, own = rows[a : min(a + CHUNK, len(of_class))], own_share[a : a + CHUNK]
+            d = chances(*odds(some @ top)[1:], own)
+            d.reshape(-1)[np.arange(len(own)) * CLASSES + np.maximum(of_class[a : a + CHUNK], 0)] -= own
+            d_top += some.T @ d
+            np.matmul(d, back_top, out=d_hidden[a : a + CHUNK])
+        dealt = tiles.dealt(rows)
+        d = chances(*odds(dealt @ leaves[tiles.of_class])[1:], share)
+        d.reshape(-1)[tiles.place * LEAVES + leaf[tiles.rows]] -= share
+        d_leaves = tiles.by_class(dealt.transpose(0, 2, 1) @ d)
+        back = np.zeros((d.shape[0] * TILE + 1, WIDTH), kind)
+        np.matmul(d, np.ascontiguousarray(p["leaf"].transpose(0, 2, 1))[tiles.of_class], out=back[:-1].reshape(-1, TILE, WIDTH))
+        d_hidden += back.take(tiles.where, axis=0)
+        g = {"out": d_top[:WIDTH], "bias": d_top[WIDTH], "leaf": d_leaves[:, :WIDTH], "leaf_bias": d_leaves[:, WIDTH]}
+
+        # Of each symbol as itself the gradient of query and vector, and as one looked at those of key and value.
+        as_own, as_seen = np.empty((*mixed.shape[:2], 2 * WIDTH), kind), np.empty((*fed.shape, 2 * WIDTH), kind)
+        d_hidden = as_own[:, :, WIDTH:] = d_hidden.reshape(mixed.shape)
+        d_mixed = d_hidden / total
+        d_score = v @ np.ascontiguousarray(d_mixed.transpose(0, 2, 1))
+        mixed *= d_mixed
+        d_score -= summed(mixed)[:, None]
+        d_score *= weight
+        g["near"] = (np.ones(len(fed), kind) @ d_score.reshape(len(fed), -1)).reshape(2 * BLOCK, BLOCK).T
+        np.matmul(d_score.transpose(0, 2, 1), k, out=as_own[:, :, :WIDTH])
+        np.matmul(d_score, q, out=as_seen[:, :, :WIDTH])
+        np.matmul(weight, d_mixed, out=as_seen[:, :, WIDTH:])
+        own = Sums(short[:, BLOCK:].ravel())
+        as_own, as_seen = own(as_own.reshape(-1, 2 * WIDTH)), seen(as_seen.reshape(-1, 2 * WIDTH))
+        d_vectors = as_seen @ maps[1].T
+        d_vectors[own.numbers] += as_own @ maps[0].T
         g["embed"] = np.zeros_like(p["embed"])
-        g["embed"][s[cuts]] = np.add.reduceat(back.reshape(-1, WIDTH).take(order, axis=0), cuts, axis=0)
-        return g
+        g["embed"][seen.numbers] = d_vectors
+        g["q"] = vectors[own.numbers].T @ as_own[:, :WIDTH] * np.float32(WIDTH**-0.5)
+        by_map = vectors.T @ as_seen
+        return g | {"k": by_map[:, :WIDTH], "v": by_map[:, WIDTH:] @ p["o"].T, "o": p["v"].T @ by_map[:, WIDTH:]}
 
 
 class Adam:
+    """Steps of a model whose parameters become views of one vector, which is handled in pieces that stay in a core's cache."""
+
+    PIECE = 1 << 13
+
     def __init__(self, model: Attention):
-        self.model, self.t = model, 0
-        self.m = {n: np.zeros_like(x) for n, x in model.p.items()}
-        self.s = {n: np.zeros_like(x) for n, x in model.p.items()}
+        self.model, self.t, self.flat = model, 0, model.flat()
+        model.load(self.flat)
+        #: Sums that fade by 0.9 and 0.98; their means are a tenth and a fiftieth of them.
+        self.m, self.s = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def step(self, g: dict[str, np.ndarray], pace: float = 1.0) -> None:
         self.t += 1
-        for n, x in g.items():
-            self.m[n] += np.float32(0.1) * (x - self.m[n])
-            self.s[n] += np.float32(0.02) * (x * x - self.s[n])
-            rate = pace * RATE / (1 - 0.9**self.t)
-            self.model.p[n] -= np.float32(rate) * self.m[n] / (np.sqrt(self.s[n] / (1 - 0.98**self.t)) + np.float32(1e-6))
+        g = np.concatenate([g[n].ravel() for n in self.model.NAMES])
+        root = (0.02 / (1 - 0.98**self.t)) ** 0.5
+        rate, least = np.float32(0.1 * pace * RATE / (1 - 0.9**self.t) / root), np.float32(1e-6 / root)
+        for at in range(0, len(g), self.PIECE):
+            x, m, s, p = (y[at : at + self.PIECE] for y in (g, self.m, self.s, self.flat))
+            m *= np.float32(0.9)
+            m += x
+            s *= np.float32(0.98)
+            x *= x
+            s += x
+            np.sqrt(s, out=x)
+            x += least
+            np.divide(m, x, out=x)
+            x *= rate
+            p -= x
+            if self.t % 50 == 0:  # what has faded goes, before float32 holds it only in part
+                m[np.abs(m) < 1e-30] = 0
 
 
 def vocabulary_path() -> str:

@@ -588,6 +588,46 @@ def test_lm_probabilities_of_all_ids_sum_to_one():
         assert chance == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_tiles_hold_each_row_with_a_target_once():
+    """Classes from none to many tiles, and padding: rows and sums of tiles are those of the classes."""
+    np = lm.np
+    rng = np.random.default_rng(4)
+    for of_class in (rng.choice([-1, 0, 5, lm.CLASSES - 1], 700, p=[0.1, 0.7, 0.15, 0.05]), np.full(9, -1), np.arange(-1, lm.CLASSES), np.full(2 * lm.TILE, 3)):
+        rows = np.vstack([rng.normal(size=(len(of_class), 3)), np.zeros((1, 3))])
+        tiles = lm.Tiles(of_class)
+        dealt = tiles.dealt(rows)
+        back = np.vstack([dealt.reshape(-1, 3), np.full((1, 3), 7.0)])[tiles.where]
+        assert (back == np.where((of_class >= 0)[:, None], rows[:-1], 7)).all() and (np.sort(tiles.rows) == np.flatnonzero(of_class >= 0)).all()
+        assert np.allclose(tiles.by_class(dealt.sum(axis=1)), [rows[:-1][of_class == c].sum(axis=0) for c in range(lm.CLASSES)])
+
+
+def test_lm_step_makes_tables_of_the_symbols_that_occur(monkeypatch):
+    """A step's tables hold its own symbols, not all; its gradient is that of probabilities also where logits are cut off."""
+    np, made, own = lm.np, [], lm.Attention.attend
+    monkeypatch.setattr(lm.Attention, "attend", lambda self, fed, tables: made.append([len(x) for x in tables]) or own(self, fed, tables))
+    rng, model = np.random.default_rng(5), lm.Attention(a_layout())
+    fed = rng.integers(7, 60, (40, 2 * lm.BLOCK))
+    target = rng.integers(0, lm.CLASSES * lm.LEAVES, (40, lm.BLOCK))
+    for bias in (0, 100):
+        model.p["bias"] = model.p["bias"] + np.float32(bias) * (np.arange(lm.CLASSES) == 2)
+        made.clear()
+        g = model.gradient(fed, target)
+        assert made == [[len(np.unique(fed))] * 2] and all(np.isfinite(x).all() for x in g.values())
+        assert np.flatnonzero(np.abs(g["embed"]).sum(axis=1)).tolist() == np.unique(fed).tolist()
+        assert abs(g["bias"].sum()) < 1e-4 and np.isfinite(model.score(fed, target, model.tables())).all()
+
+
+def test_lm_steps_leave_no_numbers_too_small_for_float32():
+    """The running means of what no longer occurs fade to 0, not to numbers below the smallest normal one, which are slow."""
+    np, model = lm.np, lm.Attention(a_layout())
+    adam, g = lm.Adam(model), {n: np.full_like(x, 1e-3) for n, x in model.p.items()}
+    adam.step(g)
+    for _ in range(1100):
+        adam.step({n: np.zeros_like(x) for n, x in g.items()})
+    means = np.concatenate([np.ravel(x) for x in adam.m.values()]) if isinstance(adam.m, dict) else adam.m
+    assert not ((means != 0) & (np.abs(means) < np.finfo(np.float32).tiny)).any()
+
+
 def test_lm_beats_counts_and_pairs_of_ids(spark):
     """Held-out log10 probability against the ids' counts alone, and against counts of id pairs smoothed by them (Witten and Bell)."""
     import os
